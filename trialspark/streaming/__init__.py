@@ -1,0 +1,6 @@
+"""Streaming.
+
+The study works on dated snapshots only: no stream, watermark or stateful
+operator appears in it, so this package deliberately holds no operator. A new
+snapshot is processed by re-running the batch plan (``trialspark.plans``).
+"""
