@@ -1,9 +1,12 @@
 """Cohort and baseline operators (O1-O15, O21, O22): one row per patient.
 
-Every operator joins an event source to the cohort on ``alf_pe`` (plus a range
-predicate kept as a join residual), aggregates per patient with partial
-aggregation and attaches the result with a left join. No operator pairs the
-rows of one patient with each other.
+Each attribute operator takes a narrow ``keys`` frame (``alf_pe`` + the dates
+it needs), joins one event source on ``alf_pe`` (range predicates stay join
+residuals), and returns a per-patient aggregate ``(alf_pe, new columns...)``
+built with partial aggregation. ``attach`` adds it to the cohort with a left
+join. Aggregates are computed from a fixed key frame, never from the growing
+cohort, so the plan grows linearly; no operator pairs a patient's rows with
+each other.
 """
 
 from __future__ import annotations
@@ -70,16 +73,16 @@ def exclude_prior_exposure(cohort: DataFrame, exposure_ends: DataFrame, params:
 
 
 # ---------------------------------------------------------------- O4, O5, O6
-def contact_days(cohort: DataFrame, gp_events: DataFrame, params: StudyParams) -> DataFrame:
-    """Distinct qualifying event days in (index, index + 1 year]; none -> 0."""
-    idx = cohort.select(KEY, "diag_date")
+def contact_days(keys: DataFrame, gp_events: DataFrame, params: StudyParams) -> DataFrame:
+    """``(alf_pe, gp_int_days)``: distinct qualifying event days in (index, index + 1 year].
+
+    Patients without such days are absent; ``attach_counts`` turns them into 0.
+    """
     ev = gp_events.where(counts_as_contact(col("event_cd"))).select(KEY, "event_dt")
-    days = (ev.join(idx, KEY)
+    return (ev.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_dt", F.date_add("diag_date", 1),
                            plus_years("diag_date", params.contact_window_years)))
-            .groupBy(KEY).agg(F.count_distinct("event_dt").cast("int").alias("_gp_int")))
-    return (cohort.join(days, KEY, "left")
-            .withColumn("gp_int_days", F.coalesce(col("_gp_int"), F.lit(0))).drop("_gp_int"))
+            .groupBy(KEY).agg(F.count_distinct("event_dt").cast("int").alias("gp_int_days")))
 
 
 def fill_from(cohort: DataFrame, lookup: DataFrame, target: str, source: str) -> DataFrame:
@@ -105,46 +108,45 @@ def episode_bounds(exposure_starts: DataFrame, exposure_ends: DataFrame) -> Data
     return s.join(e, [KEY, "pabx_str"])
 
 
-def exposure_bounds(cohort: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``first_abx_dt``, ``pabx_end`` for the cohort's exposure start ``pabx_str``."""
+def exposure_bounds(keys: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``(alf_pe, first_abx_dt, pabx_end)`` for each patient's exposure start ``pabx_str``."""
     b = bounds.select(KEY, "pabx_str", col("first_script").alias("first_abx_dt"), col("last_end").alias("pabx_end"))
-    return cohort.join(b, [KEY, "pabx_str"], "left")
+    return keys.select(KEY, "pabx_str").join(b, [KEY, "pabx_str"]).drop("pabx_str")
 
 
-def first_exposure_ever(cohort: DataFrame, exposure_starts: DataFrame, bounds: DataFrame) -> DataFrame:
-    """First episode start on or after index (any time), with its bounds; all NULL without bounds."""
+def first_exposure_ever(keys: DataFrame, exposure_starts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """First episode start on or after index (any time), with its bounds; no row without bounds."""
     first = (exposure_starts.select(KEY, col("pabx_str").alias("_s"))
-             .join(cohort.select(KEY, "diag_date"), KEY)
+             .join(keys.select(KEY, "diag_date"), KEY)
              .where(F.datediff("_s", "diag_date") >= 0)
              .groupBy(KEY).agg(F.min("_s").alias("pabx_str_all")))
     b = bounds.select(KEY, col("pabx_str").alias("pabx_str_all"),
                       col("first_script").alias("pabx_all_first_script"), col("last_end").alias("pabx_end_all"))
-    return cohort.join(first.join(b, [KEY, "pabx_str_all"]), KEY, "left")
+    return first.join(b, [KEY, "pabx_str_all"])
 
 
 # ---------------------------------------------------------------- O8
-def dose_at_start(cohort: DataFrame, prescriptions: DataFrame) -> DataFrame:
+def dose_at_start(keys: DataFrame, prescriptions: DataFrame) -> DataFrame:
     """Group-3 prescriptions on the exposure start day; >1 distinct kind -> 'Multi'."""
     rx = prescriptions.where(col("event_in_grp") == 3).select(
         KEY, col("event_dt").alias("pabx_str"), F.struct("antibx_category", "dose", "dose_consistency").alias("_kind"))
-    per = (rx.join(cohort.select(KEY, "pabx_str"), [KEY, "pabx_str"])
+    per = (rx.join(keys.select(KEY, "pabx_str"), [KEY, "pabx_str"])
            .groupBy(KEY).agg(F.count_distinct("_kind").alias("_n"), F.min("_kind").alias("_one")))
     multi = col("_n") > 1
     out = per.select(
         KEY,
         F.when(multi, F.lit("Multi")).otherwise(col("_one.dose")).alias("dose"),
         F.when(multi, F.lit("Multi")).otherwise(col("_one.dose_consistency")).alias("dose_consistency"))
-    return cohort.join(out, KEY, "left")
+    return out
 
 
 # ---------------------------------------------------------------- O10, O11
-def next_episode_start(cohort: DataFrame, exposure_starts: DataFrame) -> DataFrame:
-    """First episode start after the current episode's end (forward as-of)."""
-    nxt = (exposure_starts.select(KEY, col("pabx_str").alias("_s"))
-           .join(cohort.select(KEY, "pabx_end"), KEY)
-           .where(col("_s") > col("pabx_end"))
-           .groupBy(KEY).agg(F.min("_s").alias("next_pabx_str")))
-    return cohort.join(nxt, KEY, "left")
+def next_episode_start(keys: DataFrame, exposure_starts: DataFrame) -> DataFrame:
+    """``(alf_pe, next_pabx_str)``: first episode start after the current episode's end (forward as-of)."""
+    return (exposure_starts.select(KEY, col("pabx_str").alias("_s"))
+            .join(keys.select(KEY, "pabx_end"), KEY)
+            .where(col("_s") > col("pabx_end"))
+            .groupBy(KEY).agg(F.min("_s").alias("next_pabx_str")))
 
 
 def override_exit_reason(cohort: DataFrame, params: StudyParams) -> DataFrame:
@@ -158,28 +160,25 @@ def override_exit_reason(cohort: DataFrame, params: StudyParams) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O13, O14
-def practice_rate(cohort: DataFrame, registration: DataFrame, rates: DataFrame,
+def practice_rate(keys: DataFrame, registration: DataFrame, rates: DataFrame,
                   max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Practice registered at index -> its prescribing rate as decimal(5,3), stored as double."""
     reg = registration.select(col(KEY).alias("_k"), "prac_cd_pe", "start_date", "end_date")
-    idx = cohort.select(KEY, "diag_date")
+    idx = keys.select(KEY, "diag_date")
     cond = (col(KEY) == col("_k")) & between("diag_date", "start_date", "end_date")
     prac = idx.join(reg, cond, "left").select(KEY, "prac_cd_pe")
     rt = bounded_broadcast(rates.select("prac_cd_pe", "abx_presc_rt"), max_broadcast_rows)
-    rated = (prac.join(rt, "prac_cd_pe", "left")
-             .select(KEY, col("abx_presc_rt").cast("decimal(5,3)").cast("double").alias("gp_presc_rt")))
-    return cohort.join(rated, KEY, "left")
+    return (prac.join(rt, "prac_cd_pe", "left")
+            .select(KEY, col("abx_presc_rt").cast("decimal(5,3)").cast("double").alias("gp_presc_rt")))
 
 
-def baseline_resistance(cohort: DataFrame, tests: DataFrame, params: StudyParams) -> DataFrame:
-    """Any resistant result in [index - 365 days, index] -> 1, else 0."""
-    hit = (tests.where(any_resistant()).select(KEY, "spcm_collected_dt")
-           .join(cohort.select(KEY, "diag_date"), KEY)
-           .where(between("spcm_collected_dt", F.date_sub("diag_date", params.resistance_lookback_days),
-                          "diag_date"))
-           .groupBy(KEY).agg(F.lit(1).alias("_amr")))
-    return (cohort.join(hit, KEY, "left")
-            .withColumn("amr_baseline", F.coalesce(col("_amr"), F.lit(0))).drop("_amr"))
+def baseline_resistance(keys: DataFrame, tests: DataFrame, params: StudyParams) -> DataFrame:
+    """``(alf_pe, amr_baseline=1)`` for any resistant result in [index - 365 days, index]; others get 0."""
+    return (tests.where(any_resistant()).select(KEY, "spcm_collected_dt")
+            .join(keys.select(KEY, "diag_date"), KEY)
+            .where(between("spcm_collected_dt", F.date_sub("diag_date", params.resistance_lookback_days),
+                           "diag_date"))
+            .groupBy(KEY).agg(F.lit(1).alias("amr_baseline")))
 
 
 # ---------------------------------------------------------------- O15
@@ -192,7 +191,7 @@ def earliest_end(cohort: DataFrame, params: StudyParams) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O21, O22
-def baseline_uti_counts_gp(cohort: DataFrame, gp_uti: DataFrame, hosp_uti: DataFrame,
+def baseline_uti_counts_gp(keys: DataFrame, gp_uti: DataFrame, hosp_uti: DataFrame,
                            params: StudyParams) -> DataFrame:
     """GP UTI episodes in [index - 1 year, index], not inside the patient's hospital UTIs.
 
@@ -209,21 +208,28 @@ def baseline_uti_counts_gp(cohort: DataFrame, gp_uti: DataFrame, hosp_uti: DataF
                & (col("_min_e").isNull() | (g <= col("_min_e"))))
     lo = plus_years("diag_date", -params.uti_lookback_years)
     gp = gp_uti.where(col("data_source") == "WLGP").select(KEY, "event_str_dt", "event_end_dt", "data_source")
-    n = (gp.join(cohort.select(KEY, "diag_date"), KEY)
-         .where(between("event_str_dt", lo, "diag_date"))
-         .join(hs, KEY, "left")
-         .where(~is_true(covered))
-         .groupBy(KEY).agg(F.count_distinct(F.struct("event_str_dt", "event_end_dt", "data_source"))
-                           .cast("int").alias("gp_uti_pre")))
-    return cohort.join(n, KEY, "left")
+    return (gp.join(keys.select(KEY, "diag_date"), KEY)
+            .where(between("event_str_dt", lo, "diag_date"))
+            .join(hs, KEY, "left")
+            .where(~is_true(covered))
+            .groupBy(KEY).agg(F.count_distinct(F.struct("event_str_dt", "event_end_dt", "data_source"))
+                              .cast("int").alias("gp_uti_pre")))
 
 
-def baseline_uti_counts_hosp(cohort: DataFrame, hosp_uti: DataFrame, params: StudyParams) -> DataFrame:
+def baseline_uti_counts_hosp(keys: DataFrame, hosp_uti: DataFrame, params: StudyParams) -> DataFrame:
     """Distinct hospital UTI episodes starting or ending in [index - 1 year, index]."""
     lo = plus_years("diag_date", -params.uti_lookback_years)
     h = hosp_uti.where(col("data_source") == "PEDW").select(KEY, "event_str_dt", "event_end_dt", "data_source")
-    n = (h.join(cohort.select(KEY, "diag_date"), KEY)
-         .where(between("event_end_dt", lo, "diag_date") | between("event_str_dt", lo, "diag_date"))
-         .groupBy(KEY).agg(F.count_distinct(F.struct("event_str_dt", "event_end_dt", "data_source"))
-                           .cast("int").alias("pedw_uti_pre")))
-    return cohort.join(n, KEY, "left")
+    return (h.join(keys.select(KEY, "diag_date"), KEY)
+            .where(between("event_end_dt", lo, "diag_date") | between("event_str_dt", lo, "diag_date"))
+            .groupBy(KEY).agg(F.count_distinct(F.struct("event_str_dt", "event_end_dt", "data_source"))
+                              .cast("int").alias("pedw_uti_pre")))
+
+
+def attach(cohort: DataFrame, *aggregates: DataFrame, zero: tuple[str, ...] = ()) -> DataFrame:
+    """Left-join per-patient aggregates onto the cohort; ``zero`` columns default to 0 when absent."""
+    for agg in aggregates:
+        cohort = cohort.join(agg, KEY, "left")
+    if zero:
+        cohort = cohort.withColumns({z: F.coalesce(col(z), F.lit(0)) for z in zero})
+    return cohort

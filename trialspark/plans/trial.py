@@ -32,36 +32,50 @@ def exit_cohort(cat: SourceCatalog, params: StudyParams) -> DataFrame:
     return C.follow_up_exit(C.eligible(cat.cohort, params), cat.deaths, params)
 
 
-def baseline_cohort(cat: SourceCatalog, params: StudyParams) -> DataFrame:
-    """O1-O15, O21, O22 in the study's statement order. One row per patient."""
-    df = exit_cohort(cat, params)
-    df = C.exclude_prior_exposure(df, cat.exposure_ends, params)
-    df = C.fill_from(df, cat.ethnicity, "ethnic", "ethn_ec_ons_date_latest_code")
-    df = C.contact_days(df, cat.gp_events, params)
-    df = C.days_to_exposure(df).withColumn("pabx_str", col("pabx_after_ruti"))
+def baseline_cohort(cat: SourceCatalog, params: StudyParams, materialise=None) -> DataFrame:
+    """O1-O15, O21, O22 in the study's statement order. One row per patient.
+
+    ``materialise`` (e.g. ``session.cut``) is applied to the eligible base, which
+    every per-patient aggregate reads.
+    """
+    base = C.exclude_prior_exposure(exit_cohort(cat, params), cat.exposure_ends, params)
+    base = C.fill_from(base, cat.ethnicity, "ethnic", "ethn_ec_ons_date_latest_code")
+    base = C.days_to_exposure(base).withColumn("pabx_str", col("pabx_after_ruti"))
+    if materialise is not None:
+        base = materialise(base)
+    keys = base.select(KEY, "diag_date", "pabx_str")
     bounds = C.episode_bounds(cat.exposure_starts, cat.exposure_ends)
-    df = C.exposure_bounds(df, bounds)
-    df = C.dose_at_start(df, cat.prescriptions)
-    df = C.next_episode_start(df, cat.exposure_starts)
+    expo = C.exposure_bounds(keys, bounds)                                   # first_abx_dt, pabx_end
+    df = C.attach(
+        base,
+        C.contact_days(keys, cat.gp_events, params),
+        expo,
+        C.dose_at_start(keys, cat.prescriptions),
+        C.next_episode_start(expo, cat.exposure_starts),
+        C.first_exposure_ever(keys, cat.exposure_starts, bounds),
+        C.practice_rate(keys, cat.registration, cat.practice_rate),
+        C.baseline_resistance(keys, cat.urine_tests, params),
+        C.baseline_uti_counts_gp(keys, cat.gp_uti, cat.hosp_uti, params),
+        C.baseline_uti_counts_hosp(keys, cat.hosp_uti, params),
+        zero=("gp_int_days", "amr_baseline"))
     df = C.override_exit_reason(df, params)
-    df = C.first_exposure_ever(df, cat.exposure_starts, bounds)
-    df = C.practice_rate(df, cat.registration, cat.practice_rate)
-    df = C.baseline_resistance(df, cat.urine_tests, params)
-    df = C.earliest_end(df, params)
-    df = C.baseline_uti_counts_gp(df, cat.gp_uti, cat.hosp_uti, params)
-    df = C.baseline_uti_counts_hosp(df, cat.hosp_uti, params)
-    return df
+    return C.earliest_end(df, params)
 
 
 # ---------------------------------------------------------------- patient facts used by the outcome tables
-def patient_facts(pre: DataFrame, cat: SourceCatalog, params: StudyParams) -> DataFrame:
-    """O33, O34, O35, O37a and the O38b exclusion on the one-row-per-patient table."""
-    idx = pre.where(col("diag_date").isNotNull())
-    df = (idx.join(O.closest_specimen(idx, cat.urine_tests, params), KEY, "left")
-          .join(O.exposure_type(idx, cat.exposure_starts, params), KEY, "left")
-          .join(O.next_event_date(idx, cat.all_uti), KEY, "left"))
-    df = O.clamp_exposure(df)
-    return df.join(O.started_before_index(df, cat.exposure_starts), KEY, "left_anti")
+def patient_facts(pre: DataFrame, cat: SourceCatalog, params: StudyParams, exclude: bool = True) -> DataFrame:
+    """O33, O34, O35, O37a and the O38b exclusion on the one-row-per-patient table.
+
+    The study deletes O38b's patients from the finished outcome table; the rule is
+    per patient, so dropping them here, before the panel is exploded, gives the same table.
+    """
+    idx = O.clamp_exposure(pre.where(col("diag_date").isNotNull()))
+    keys = idx.select(KEY, "diag_date", "pabx_str_c")
+    df = C.attach(idx, O.closest_specimen(keys, cat.urine_tests, params),
+                  O.exposure_type(keys, cat.exposure_starts, params), O.next_event_date(keys, cat.all_uti))
+    if not exclude:
+        return df
+    return df.join(O.started_before_index(keys, cat.exposure_starts), KEY, "left_anti")
 
 
 # ---------------------------------------------------------------- the outcome template on the stacked panel
