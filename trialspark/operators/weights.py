@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,25 +69,46 @@ class LogitFit:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.linear()))
 
 
-def fit_logit(df: DataFrame, label: str, numeric: list[str], factors: list[str], max_iter: int = 50) -> LogitFit:
-    """Pooled logistic regression; factor levels one-hot coded against one dropped level."""
-    stages_in = []
+def factor_levels(df: DataFrame, factors: list[str], numeric: list[str], by: str = "outcome_id") -> dict:
+    """Per group: sorted levels of each factor and the numeric columns that vary (one small job).
+
+    ``collect_set`` is bounded by the number of levels; min/max detect constant columns,
+    which R drops as aliased and IRLS cannot invert.
+    """
+    aggs = [F.sort_array(F.collect_set(f)).alias(f) for f in factors]
+    aggs += [(F.min(c) != F.max(c)).alias(c) for c in numeric]
+    out = {}
+    for row in df.groupBy(by).agg(*aggs).collect():
+        out[row[by]] = ({f: list(row[f]) for f in factors}, [c for c in numeric if row[c]])
+    return out
+
+
+def design(numeric: list[str], levels: dict[str, list[str]]) -> tuple[list[Column], list[str]]:
+    """Numeric columns plus 0/1 dummies for every level but the first (R's reference level)."""
+    cols = [col(c).cast("double") for c in numeric]
     names = list(numeric)
-    data = df.select(col(label).cast("double").alias("_y"), *[col(c).cast("double").alias(c) for c in numeric],
-                     *[col(f) for f in factors])
-    vec_inputs = list(numeric)
-    for f in factors:
-        idx = StringIndexer(inputCol=f, outputCol=f + "_ix", stringOrderType="alphabetAsc").fit(data)
-        levels = idx.labels
-        data = idx.transform(data)
-        enc = OneHotEncoder(inputCols=[f + "_ix"], outputCols=[f + "_oh"], dropLast=True).fit(data)
-        data = enc.transform(data)
-        vec_inputs.append(f + "_oh")
-        names.extend(f"{f}={lv}" for lv in levels[:-1])
-        stages_in.append(f)
-    data = VectorAssembler(inputCols=vec_inputs, outputCol="_x").transform(data)
+    for f, lv in levels.items():
+        for level in lv[1:]:
+            cols.append(F.when(col(f) == level, 1.0).otherwise(0.0))
+            names.append(f"{f}={level}")
+    return cols, names
+
+
+def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, list[str]] | None = None,
+              weight: str | None = None, max_iter: int = 25) -> LogitFit:
+    """Pooled logistic regression by IRLS (Spark ML GLR, binomial / logit).
+
+    ``label`` may be a proportion with ``weight`` trials: grouped binomial data give
+    the same estimates as the individual rows.
+    """
+    cols, names = design(numeric, levels or {})
+    xs = [f"_x{i}" for i in range(len(cols))]
+    data = df.select(col(label).cast("double").alias("_y"),
+                     (col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
+                     *[c.alias(x) for c, x in zip(cols, xs)])
+    data = VectorAssembler(inputCols=xs, outputCol="_x").transform(data)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y",
-                                      maxIter=max_iter, regParam=0.0, tol=1e-8)
+                                      weightCol="_w", maxIter=max_iter, regParam=0.0, tol=1e-8)
     model = glr.fit(data)
     coefs = dict(zip(names, [float(b) for b in model.coefficients]))
     iters = model.summary.numIterations if model.hasSummary else -1
@@ -100,9 +121,14 @@ def prob_of_received(p: Column, treat: str = "pabx_start", risk: str = "at_risk"
 
 
 def stabilised_weight(num: str = "p_num_t", den: str = "p_den_t") -> Column:
-    """Running product of numerator over running product of denominator, in time order."""
+    """Running product of numerator over running product of denominator, in time order.
+
+    A fitted probability of exactly 0 or 1 makes the denominator 0; the ratio is then
+    +Inf (NaN for 0/0) as in R, and the truncation caps it.
+    """
     w = Window.partitionBy(*PATIENT).orderBy("cal_time").rowsBetween(Window.unboundedPreceding, 0)
-    return F.product(col(num)).over(w) / F.product(col(den)).over(w)
+    n, d = F.product(col(num)).over(w), F.product(col(den)).over(w)
+    return (F.when(d != 0, n / d).when(n == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
 
 
 def type7_quantile(df: DataFrame, value: str, group: list[str], q: float, accuracy: int = 100_000) -> DataFrame:
@@ -145,11 +171,14 @@ def type7_quantile(df: DataFrame, value: str, group: list[str], q: float, accura
 
 def truncate_weights(df: DataFrame, params: StudyParams, weight: str = "sw_a", out: str = "sw_trunc",
                      group: list[str] | None = None) -> DataFrame:
-    """Cap weights above the ``weight_q`` quantile of the cloned rows' weights (per outcome)."""
+    """Cap weights above the ``weight_q`` quantile of the cloned rows' weights (per outcome).
+
+    The threshold table has one row per group, so it is broadcast. A band that
+    missed its ranks (never expected) fails the job instead of capping wrongly.
+    """
     group = group or ["outcome_id"]
     thr = type7_quantile(df, weight, group, params.weight_q)
-    bad = thr.where(~col("exact")).limit(1).count()
-    if bad:
-        raise RuntimeError("weight quantile band missed its ranks; raise the accuracy")
-    return (df.join(F.broadcast(thr.select(*group, col("quantile").alias("_thr"))), group, "left")
+    thr = thr.select(*group, F.when(col("exact") | (col("n") == 0), col("quantile"))
+                     .otherwise(F.raise_error(F.lit("weight quantile band missed its ranks"))).alias("_thr"))
+    return (df.join(F.broadcast(thr), group, "left")
             .withColumn(out, F.when(col(weight) > col("_thr"), col("_thr")).otherwise(col(weight))).drop("_thr"))

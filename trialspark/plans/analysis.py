@@ -6,6 +6,8 @@ All outcomes are analysed together: every window is partitioned by
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,29 @@ def denominator_terms() -> tuple[list[str], list[str]]:
     return numeric, factors
 
 
-def fit_models(df: DataFrame, outcome_ids) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
-    """O45 + O46 per outcome, on the at-risk rows of the uncloned table."""
+def fit_models(df: DataFrame, outcome_ids, threads: int = 6) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
+    """O45 + O46 per outcome, on the at-risk rows of the uncloned table.
+
+    The numerator model (time, time^2) is fitted on rows grouped by (outcome, time):
+    a proportion with its count as weight is the same binomial likelihood. The
+    outcomes are fitted as concurrent Spark jobs.
+    """
     numeric, factors = denominator_terms()
-    fits = {}
-    for oid in outcome_ids:
-        rows = df.where((col("outcome_id") == oid) & (col("at_risk") == 1))
-        den = W.fit_logit(rows, "pabx_start", numeric, factors)
-        num = W.fit_logit(rows, "pabx_start", W.TIME, [])
-        fits[oid] = (den, num)
-    return fits
+    rows = df.where(col("at_risk") == 1)
+    info = W.factor_levels(rows, factors, numeric)
+    grouped = (rows.groupBy("outcome_id", "cal_time", "time_sq")
+               .agg(F.avg(col("pabx_start").cast("double")).alias("_p"), F.count(F.lit(1)).alias("_n")))
+
+    def fit(oid):
+        levels, varying = info[oid]
+        mine = rows.where(col("outcome_id") == oid)
+        den = W.fit_logit(mine, "pabx_start", varying, levels)
+        num = W.fit_logit(grouped.where(col("outcome_id") == oid), "_p", W.TIME, weight="_n")
+        return oid, (den, num)
+
+    ids = [i for i in outcome_ids if i in info]
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(ids)))) as pool:
+        return dict(pool.map(fit, ids))
 
 
 def _by_outcome(fits: dict, pick: int) -> Column:
@@ -55,9 +70,15 @@ def with_probabilities(df: DataFrame, p_den: Column, p_num: Column) -> DataFrame
     return df.withColumn("sw_a", W.stabilised_weight())
 
 
-def weighted_clones(df: DataFrame, params: StudyParams) -> DataFrame:
-    """O39-O43 on the weighted table (O49: weights are computed before cloning), then O50."""
+def weighted_clones(df: DataFrame, params: StudyParams, materialise=None) -> DataFrame:
+    """O39-O43 on the weighted table (O49: weights are computed before cloning), then O50.
+
+    The truncation reads the clones three times (quantile sketch, band, cap);
+    ``materialise`` cuts them once before that.
+    """
     clones = M.censor_clones(df, params)
+    if materialise is not None:
+        clones = materialise(clones)
     return W.truncate_weights(clones, params, "sw_a", "sw_trunc", ["outcome_id"])
 
 
@@ -74,7 +95,7 @@ def effects_modelled(table: DataFrame, params: StudyParams, outcome_ids, materia
         prep = materialise(prep)
     fits = fit_models(prep, outcome_ids)
     weighted = with_probabilities(prep, _by_outcome(fits, 0), _by_outcome(fits, 1))
-    return effects(weighted_clones(weighted, params))
+    return effects(weighted_clones(weighted, params, materialise))
 
 
 def formula_probabilities() -> tuple[Column, Column]:

@@ -23,6 +23,7 @@ from trialspark.functions.predicates import any_resistant, resistant_to
 from trialspark.params import FIXTURE_PARAMS
 from trialspark.plans import analysis as A
 from trialspark.plans import trial as T
+from trialspark.plans.session import cut
 from trialspark.sources.fixtures import fixture_catalog
 
 col = F.col
@@ -41,9 +42,25 @@ def _cat(spark: SparkSession, sf_dir: str):
     return _CATALOGS[key]
 
 
+_MATERIALISED: dict = {}
+
+
+def _memo(spark, sf_dir, name, build):
+    """Materialise a reused intermediate once per (session, folder) in the checkpoint folder."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MATERIALISED:
+        _MATERIALISED[key] = cut(build())
+    return _MATERIALISED[key]
+
+
 def _pre(spark, sf_dir):
     cat = _cat(spark, sf_dir)
-    return cat, T.baseline_cohort(cat, PARAMS)
+    return cat, _memo(spark, sf_dir, "pre", lambda: T.baseline_cohort(cat, PARAMS))
+
+
+def _table(spark, sf_dir):
+    cat, pre = _pre(spark, sf_dir)
+    return _memo(spark, sf_dir, "outcomes", lambda: T.all_outcomes(cat, PARAMS, pre=pre))
 
 
 def _pre_cols(*cols) -> Callable[[SparkSession, str], DataFrame]:
@@ -195,17 +212,18 @@ def unique_key_check(spark, sf_dir):
 
 
 def outcome_table(spark, sf_dir):
-    return T.all_outcomes(_cat(spark, sf_dir), PARAMS, outcome_ids=[1])
+    cat, pre = _pre(spark, sf_dir)
+    return T.all_outcomes(cat, PARAMS, outcome_ids=[1], pre=pre)
 
 
 def all_outcomes(spark, sf_dir):
-    return T.all_outcomes(_cat(spark, sf_dir), PARAMS)
+    cat, pre = _pre(spark, sf_dir)
+    return T.all_outcomes(cat, PARAMS, pre=pre)
 
 
 # ---------------------------------------------------------------- analysis
 def _clones(spark, sf_dir, weights: bool):
-    table = T.all_outcomes(_cat(spark, sf_dir), PARAMS)
-    prep = A.prepared(table, PARAMS)
+    prep = A.prepared(_table(spark, sf_dir), PARAMS)
     if weights:
         prep = A.with_probabilities(prep, *A.formula_probabilities())
     return prep
@@ -218,7 +236,8 @@ def clones_censored(spark, sf_dir):
 
 
 def _weighted(spark, sf_dir):
-    return A.weighted_clones(_clones(spark, sf_dir, True), PARAMS)
+    return _memo(spark, sf_dir, "weighted", lambda: A.weighted_clones(_clones(spark, sf_dir, True), PARAMS,
+                                                                       materialise=cut))
 
 
 def weights_given_probs(spark, sf_dir):
@@ -240,8 +259,7 @@ def effects(spark, sf_dir):
 
 def treatment_model(spark, sf_dir):
     """Fitted coefficients per outcome and model (rows-only check)."""
-    table = T.all_outcomes(_cat(spark, sf_dir), PARAMS)
-    prep = A.prepared(table, PARAMS).cache()
+    prep = cut(A.prepared(_table(spark, sf_dir), PARAMS))
     fits = A.fit_models(prep, sorted(E.OUTCOMES))
     rows = []
     for oid, (den, num) in fits.items():
@@ -252,8 +270,7 @@ def treatment_model(spark, sf_dir):
 
 
 def effects_modelled(spark, sf_dir):
-    table = T.all_outcomes(_cat(spark, sf_dir), PARAMS)
-    return A.effects_modelled(table, PARAMS, sorted(E.OUTCOMES), materialise=lambda d: d.cache())
+    return A.effects_modelled(_table(spark, sf_dir), PARAMS, sorted(E.OUTCOMES), materialise=cut)
 
 
 def bootstrap_ci(spark, sf_dir):
