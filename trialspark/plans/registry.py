@@ -55,7 +55,7 @@ def _memo(spark, sf_dir, name, build):
 
 def _pre(spark, sf_dir):
     cat = _cat(spark, sf_dir)
-    return cat, _memo(spark, sf_dir, "pre", lambda: T.baseline_cohort(cat, PARAMS))
+    return cat, _memo(spark, sf_dir, "pre", lambda: T.baseline_cohort(cat, PARAMS, materialise=cut))
 
 
 def _table(spark, sf_dir):

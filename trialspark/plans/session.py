@@ -9,6 +9,7 @@ partitions). A lineage cut writes to the shared folder named by
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and drop its lineage (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as parquet under the checkpoint folder and read it back: lineage ends here.
+
+    One computation (a reliable ``checkpoint()`` recomputes unless cached), files on
+    the shared folder survive lost executors, and later reads prune columns and
+    push filters into the scan.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
