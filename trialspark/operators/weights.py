@@ -66,7 +66,15 @@ class LogitFit:
         return expr
 
     def probability(self) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.linear()))
+        return logistic(self.linear())
+
+
+def logistic(eta: Column) -> Column:
+    """Inverse logit as R's binomial ``linkinv``: the linear predictor is clamped at +-30, so a
+    probability is never exactly 0 or 1 (no infinite weight). Pass a column, not a long expression."""
+    eps = 2.220446049250313e-16  # double machine epsilon
+    t = F.when(eta < -30, F.lit(eps)).when(eta > 30, F.lit(1.0 / eps)).otherwise(F.exp(eta))
+    return t / (F.lit(1.0) + t)
 
 
 def factor_levels(df: DataFrame, factors: list[str], numeric: list[str], by: str = "outcome_id") -> dict:
@@ -94,14 +102,46 @@ def design(numeric: list[str], levels: dict[str, list[str]]) -> tuple[list[Colum
     return cols, names
 
 
+def non_aliased(df: DataFrame, cols: list[Column], names: list[str], weight: str | None = None,
+                tol: float = 1e-7) -> list[int]:
+    """Indexes of design columns that are not linear combinations of the intercept and earlier columns.
+
+    R's ``glm`` drops such aliased terms (NA coefficient). The Gram matrix X'X is one
+    aggregation (p x p sums); the greedy rank check runs on the driver on that small matrix.
+    """
+    import numpy as np
+
+    k = len(cols)
+    xs = [F.lit(1.0)] + cols
+    w = col(weight).cast("double") if weight else F.lit(1.0)
+    sums = [F.sum(w * xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    row = df.agg(*sums).first()
+    g = np.zeros((k + 1, k + 1))
+    for i in range(k + 1):
+        for j in range(i, k + 1):
+            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
+    scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    g = g / np.outer(scale, scale)
+    keep = [0]
+    for i in range(1, k + 1):
+        trial = keep + [i]
+        sub = g[np.ix_(trial, trial)]
+        if np.linalg.eigvalsh(sub).min() > tol:
+            keep = trial
+    return [i - 1 for i in keep[1:]]
+
+
 def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, list[str]] | None = None,
-              weight: str | None = None, max_iter: int = 25) -> LogitFit:
+              weight: str | None = None, max_iter: int = 25, drop_aliased: bool = True) -> LogitFit:
     """Pooled logistic regression by IRLS (Spark ML GLR, binomial / logit).
 
     ``label`` may be a proportion with ``weight`` trials: grouped binomial data give
     the same estimates as the individual rows.
     """
     cols, names = design(numeric, levels or {})
+    if drop_aliased and cols:
+        keep = non_aliased(df, cols, names, weight)
+        cols, names = [cols[i] for i in keep], [names[i] for i in keep]
     xs = [f"_x{i}" for i in range(len(cols))]
     data = df.select(col(label).cast("double").alias("_y"),
                      (col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),

@@ -56,13 +56,21 @@ def fit_models(df: DataFrame, outcome_ids, threads: int = 6) -> dict[int, tuple[
 
 
 def _by_outcome(fits: dict, pick: int) -> Column:
+    """The fitted linear predictor of each outcome's model, selected by ``outcome_id``."""
     expr = None
     for oid, pair in fits.items():
-        p = pair[pick].probability()
-        expr = F.when(col("outcome_id") == oid, p) if expr is None else expr.when(col("outcome_id") == oid, p)
+        eta = pair[pick].linear()
+        expr = F.when(col("outcome_id") == oid, eta) if expr is None else expr.when(col("outcome_id") == oid, eta)
     return expr
 
 
+def with_fitted(df: DataFrame, fits: dict) -> DataFrame:
+    """O47 + O48 from fitted models: linear predictors as columns first, then probabilities."""
+    df = df.withColumns({"_eta_den": _by_outcome(fits, 0), "_eta_num": _by_outcome(fits, 1)})
+    return with_probabilities(df, W.logistic(col("_eta_den")), W.logistic(col("_eta_num"))).drop("_eta_den",
+                                                                                                  "_eta_num")
+
+
 def with_probabilities(df: DataFrame, p_den: Column, p_num: Column) -> DataFrame:
     """O47 + O48: probabilities of the treatment received and the stabilised weight ``sw_a``."""
     df = df.withColumns({"p_den": p_den, "p_num": p_num})
@@ -94,8 +102,7 @@ def effects_modelled(table: DataFrame, params: StudyParams, outcome_ids, materia
     if materialise is not None:
         prep = materialise(prep)
     fits = fit_models(prep, outcome_ids)
-    weighted = with_probabilities(prep, _by_outcome(fits, 0), _by_outcome(fits, 1))
-    return effects(weighted_clones(weighted, params, materialise))
+    return effects(weighted_clones(with_fitted(prep, fits), params, materialise))
 
 
 def formula_probabilities() -> tuple[Column, Column]:
