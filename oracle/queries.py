@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from oracle.roles import with_ctes
-from oracle.stages import ANALYSIS, EVENTS, OUTCOME, PANEL
+from oracle.stages import ANALYSIS, EVENTS, OUTCOME, PANEL, bootstrap
+from trialspark.plans.registry import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED
 
 R = 9
 _EV = "alf_pe, prov_unit_cd, spell_num_pe, epi_num, epi_str_dt, diag_cd_1234"
@@ -77,4 +78,7 @@ ORACLE: dict[str, str] = {
     "effects": _sql(f"""SELECT outcome_id, {_r('r1')}, {_r('r0')}, {_r('r1 - r0', 'rd')},
         {_r('r1 / nullif(r0, 0)', 'rr')}, {_r('1.0 / nullif(r1 - r0, 0)', 'nnt')} FROM eff""",
                     PANEL, EVENTS, OUTCOME, ANALYSIS),
+    "bootstrap_ci": _sql("SELECT outcome_id, replicates, " + ", ".join(
+        _r(f"{m}_{e}", digits=6) for m in ("rd", "rr", "r1", "r0") for e in ("lo", "hi")) + " FROM bs_ci",
+        PANEL, EVENTS, OUTCOME, ANALYSIS, bootstrap(BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED)),
 }

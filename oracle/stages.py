@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracle.roles import S0, S1, addm, q, ql
 from trialspark.functions import codes
+from trialspark.operators.survival import poisson1_thresholds
 from trialspark.params import FIXTURE_PARAMS as P
 
 D12R = addm("ruti_diag_dt", P.followup_months)
@@ -267,3 +268,28 @@ ANALYSIS = [
     ("eff", """SELECT outcome_id, 1 - max(CASE WHEN arm = 1 THEN s END) AS r1, 1 - max(CASE WHEN arm = 0 THEN s END) AS r0
         FROM (SELECT outcome_id, arm, min(surv) AS s FROM km GROUP BY outcome_id, arm) GROUP BY outcome_id"""),
 ]
+
+
+def bootstrap(replicates: int, seed: int) -> list[tuple[str, str]]:
+    """Poisson(1) patient multiplicities from md5(alf:rep:seed), KM per replicate, percentile interval."""
+    mult = " + ".join(f"CASE WHEN u >= {t!r} THEN 1 ELSE 0 END" for t in poisson1_thresholds())
+    q = lambda m, p: f"quantile_cont({m}, {p})"
+    cis = ", ".join(f"{q(e, 0.025)} AS {m}_lo, {q(e, 0.975)} AS {m}_hi" for m, e in
+                    (("rd", "r1 - r0"), ("rr", "r1 / nullif(r0, 0)"), ("r1", "r1"), ("r0", "r0")))
+    return [
+        ("bs_counts", f"""SELECT alf, rep, {mult} AS mult FROM (
+            SELECT alf, rep, CAST(('0x' || substr(md5(alf || ':' || CAST(rep AS VARCHAR) || ':{seed}'), 1, 8))
+                AS BIGINT) / 4294967296.0 AS u
+            FROM (SELECT DISTINCT alf FROM trunc) CROSS JOIN (SELECT range AS rep FROM range(1, {replicates + 1})))"""),
+        ("bs_steps", """SELECT t.outcome_id, t.arm, c.rep, t.cal_time, sum(t.sw_trunc * c.mult) AS n_risk,
+            sum(t.sw_trunc * c.mult * t.outcome) AS n_event
+            FROM trunc t JOIN bs_counts c ON t.alf = c.alf WHERE t.outcome IS NOT NULL AND c.mult > 0
+            GROUP BY t.outcome_id, t.arm, c.rep, t.cal_time"""),
+        ("bs_km", """SELECT outcome_id, arm, rep, min(surv) AS s FROM (
+            SELECT *, product(1.0 - coalesce(n_event / nullif(n_risk, 0), 0.0)) OVER (
+                PARTITION BY outcome_id, arm, rep ORDER BY cal_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                AS surv FROM bs_steps) GROUP BY outcome_id, arm, rep"""),
+        ("bs_eff", """SELECT outcome_id, rep, 1 - max(CASE WHEN arm = 1 THEN s END) AS r1,
+            1 - max(CASE WHEN arm = 0 THEN s END) AS r0 FROM bs_km GROUP BY outcome_id, rep"""),
+        ("bs_ci", f"SELECT outcome_id, CAST(count(*) AS INTEGER) AS replicates, {cis} FROM bs_eff GROUP BY outcome_id"),
+    ]

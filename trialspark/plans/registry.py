@@ -29,6 +29,8 @@ from trialspark.sources.fixtures import fixture_catalog
 col = F.col
 PARAMS = FIXTURE_PARAMS
 ROUND = 9
+BOOTSTRAP_REPLICATES = 50
+BOOTSTRAP_SEED = 7
 
 
 _CATALOGS: dict = {}
@@ -274,7 +276,8 @@ def effects_modelled(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    reps = S.bootstrap_effects(_weighted(spark, sf_dir), ["outcome_id"], replicates=50, seed=7)
+    reps = S.bootstrap_effects(_weighted(spark, sf_dir), ["outcome_id"], replicates=BOOTSTRAP_REPLICATES,
+                               seed=BOOTSTRAP_SEED)
     ci = S.bootstrap_ci(reps, ["outcome_id"])
     return ci.select("outcome_id", col("replicates").cast("int"),
                      *[F.round(c, 6).alias(c) for c in ci.columns if c.endswith(("_lo", "_hi"))])
