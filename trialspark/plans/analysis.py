@@ -19,8 +19,15 @@ from trialspark.params import StudyParams
 col = F.col
 
 
-def prepared(table: DataFrame, params: StudyParams) -> DataFrame:
-    """O44 features + the at-risk indicator."""
+# columns of the outcome table the analysis reads (the rest stays in the outcome table)
+ANALYSIS_COLUMNS = ["alf", "outcome_id", "cal_time", "pabx_start", "outcome"] + \
+    [c for c in W.NUMERIC] + list(W.FACTORS)
+
+
+def prepared(table: DataFrame, params: StudyParams, narrow: bool = True) -> DataFrame:
+    """O44 features + the at-risk indicator (D17); ``narrow`` keeps only the analysis columns."""
+    if narrow:
+        table = table.select(*ANALYSIS_COLUMNS)
     return W.model_features(table).withColumn("at_risk", W.at_risk(params))
 
 
@@ -38,25 +45,28 @@ def fit_models(df: DataFrame, outcome_ids, threads: int = 6) -> dict[int, tuple[
     outcomes are fitted as concurrent Spark jobs.
     """
     numeric, factors = denominator_terms()
-    rows = df.where(col("at_risk") == 1)
-    info = W.factor_levels(rows, factors, numeric)
-    grouped = (rows.groupBy("outcome_id", "cal_time", "time_sq")
-               .agg(F.avg(col("pabx_start").cast("double")).alias("_p"), F.count(F.lit(1)).alias("_n")))
-
-    def fit(oid):
-        levels, varying = info[oid]
-        mine = rows.where(col("outcome_id") == oid)
-        den = W.fit_logit(mine, "pabx_start", varying, levels)
-        num = W.fit_logit(grouped.where(col("outcome_id") == oid), "_p", W.TIME, weight="_n")
-        return oid, (den, num)
-
-    ids = [i for i in outcome_ids if i in info]
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(ids)))) as pool:
-        return dict(pool.map(fit, ids))
+    # the at-risk rows are read by every IRLS pass of every model: keep them in memory while fitting
+    rows = df.where(col("at_risk") == 1).select("outcome_id", "pabx_start", *numeric, *factors).cache()
+    try:
+        info = W.factor_levels(rows, factors, numeric)
+        grouped = (rows.groupBy("outcome_id", "cal_time", "time_sq")
+                   .agg(F.avg(col("pabx_start").cast("double")).alias("_p"), F.count(F.lit(1)).alias("_n")))
+
+        def fit(oid):
+            levels, varying = info[oid]
+            den = W.fit_logit(rows.where(col("outcome_id") == oid), "pabx_start", varying, levels)
+            num = W.fit_logit(grouped.where(col("outcome_id") == oid), "_p", W.TIME, weight="_n")
+            return oid, (den, num)
+
+        ids = [i for i in outcome_ids if i in info]
+        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(ids)))) as pool:
+            return dict(pool.map(fit, ids))
+    finally:
+        rows.unpersist()
 
 
 def _by_outcome(fits: dict, pick: int) -> Column:
-    """The fitted linear predictor of each outcome's model, selected by ``outcome_id``."""
+    """The fitted linear predictor of each outcome's model, selected by ``outcome_id`` (small fit sets)."""
     expr = None
     for oid, pair in fits.items():
         eta = pair[pick].linear()
@@ -64,9 +74,38 @@ def _by_outcome(fits: dict, pick: int) -> Column:
     return expr
 
 
+def coefficient_table(spark, fits: dict, pick: int, prefix: str) -> tuple[DataFrame, Column]:
+    """One row per outcome with the model's coefficients as columns, and the linear predictor over them.
+
+    Joined by broadcast (one row per outcome), so the scoring expression has one term per model
+    term instead of one per (outcome, term).
+    """
+    terms = sorted({t for pair in fits.values() for t in pair[pick].coefficients})
+    rows = [(int(oid), float(pair[pick].intercept), *[float(pair[pick].coefficients.get(t, 0.0)) for t in terms])
+            for oid, pair in fits.items()]
+    names = [f"{prefix}{i}" for i in range(len(terms))]
+    schema = ", ".join(["outcome_id int", f"{prefix}b0 double"] + [f"{n} double" for n in names])
+    table = spark.createDataFrame(rows, schema)
+    eta = col(f"{prefix}b0")
+    for t, n in zip(terms, names):
+        if "=" in t:
+            factor, level = t.split("=", 1)
+            x = F.when(col(factor) == level, F.lit(1.0)).otherwise(F.lit(0.0))
+        else:
+            x = col(t).cast("double")
+        eta = eta + col(n) * x
+    return table, eta
+
+
 def with_fitted(df: DataFrame, fits: dict) -> DataFrame:
-    """O47 + O48 from fitted models: linear predictors as columns first, then probabilities."""
-    df = df.withColumns({"_eta_den": _by_outcome(fits, 0), "_eta_num": _by_outcome(fits, 1)})
+    """O47 + O48 from fitted models: coefficients joined per outcome, linear predictors, probabilities."""
+    spark = df.sparkSession
+    den, eta_den = coefficient_table(spark, fits, 0, "_d")
+    num, eta_num = coefficient_table(spark, fits, 1, "_n")
+    coefs = den.join(num, "outcome_id")
+    df = df.join(F.broadcast(coefs), "outcome_id", "left")
+    df = df.withColumns({"_eta_den": eta_den, "_eta_num": eta_num}).drop(*[c for c in coefs.columns
+                                                                          if c != "outcome_id"])
     return with_probabilities(df, W.logistic(col("_eta_den")), W.logistic(col("_eta_num"))).drop("_eta_den",
                                                                                                   "_eta_num")
 
