@@ -131,17 +131,8 @@ def non_aliased(df: DataFrame, cols: list[Column], names: list[str], weight: str
     return [i - 1 for i in keep[1:]]
 
 
-def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, list[str]] | None = None,
-              weight: str | None = None, max_iter: int = 25, drop_aliased: bool = True) -> LogitFit:
-    """Pooled logistic regression by IRLS (Spark ML GLR, binomial / logit).
-
-    ``label`` may be a proportion with ``weight`` trials: grouped binomial data give
-    the same estimates as the individual rows.
-    """
-    cols, names = design(numeric, levels or {})
-    if drop_aliased and cols:
-        keep = non_aliased(df, cols, names, weight)
-        cols, names = [cols[i] for i in keep], [names[i] for i in keep]
+def _glr(df: DataFrame, label: str, cols: list[Column], names: list[str], weight: str | None,
+         max_iter: int) -> LogitFit:
     xs = [f"_x{i}" for i in range(len(cols))]
     data = df.select(col(label).cast("double").alias("_y"),
                      (col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
@@ -155,6 +146,29 @@ def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, l
     return LogitFit(float(model.intercept), coefs, iters)
 
 
+def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, list[str]] | None = None,
+              weight: str | None = None, max_iter: int = 25, drop_aliased: bool = True) -> LogitFit:
+    """Pooled logistic regression by IRLS (Spark ML GLR, binomial / logit).
+
+    ``label`` may be a proportion with ``weight`` trials: grouped binomial data give
+    the same estimates as the individual rows. If the fit fails, hits the iteration
+    cap or has extreme coefficients, aliased terms are found from X'X and dropped
+    (as R does) and the model is refitted; constant columns are dropped beforehand.
+    """
+    cols, names = design(numeric, levels or {})
+    try:
+        fit = _glr(df, label, cols, names, weight, max_iter)
+        healthy = fit.iterations < max_iter and all(abs(b) < 1e3 for b in fit.coefficients.values())
+    except Exception:  # singular normal equations
+        fit, healthy = None, False
+    if healthy or not drop_aliased or not cols:
+        if fit is None:
+            raise RuntimeError("logistic fit failed")
+        return fit
+    keep = non_aliased(df, cols, names, weight)
+    return _glr(df, label, [cols[i] for i in keep], [names[i] for i in keep], weight, max_iter)
+
+
 def prob_of_received(p: Column, treat: str = "pabx_start", risk: str = "at_risk") -> Column:
     """Probability of the treatment actually received; 1 where not at risk."""
     return F.when(col(risk) == 1, F.when(col(treat) == 1, p).otherwise(F.lit(1.0) - p)).otherwise(F.lit(1.0))
