@@ -65,11 +65,20 @@ def prior_exposure_condition(params: StudyParams) -> Column:
     return recent | between(diag, "pabx_after_ruti", end)
 
 
+def prior_exposure_keys(cohort: DataFrame, exposure_ends: DataFrame, params: StudyParams) -> DataFrame:
+    """Patients with an episode that ended < 12 months before index or that spans the index date.
+
+    The (large, possibly skewed) event side is the streamed side of an inner join, so AQE can
+    split a hot patient; the result is reduced to one row per patient with partial aggregation.
+    """
+    keys = cohort.select(KEY, "diag_date", "pabx_after_ruti")
+    return (exposure_ends.select(KEY, "alt_end_dt_comb").join(keys, KEY)
+            .where(prior_exposure_condition(params)).select(KEY).distinct())
+
+
 def exclude_prior_exposure(cohort: DataFrame, exposure_ends: DataFrame, params: StudyParams) -> DataFrame:
-    """O3: anti join on ``alf_pe`` with the range condition as residual (one join, no key list)."""
-    ends = exposure_ends.select(col(KEY).alias("_k"), "alt_end_dt_comb")
-    cond = (col(KEY) == col("_k")) & prior_exposure_condition(params)
-    return cohort.join(ends, cond, "left_anti")
+    """O3: drop those patients (an anti join against at most one row per patient)."""
+    return cohort.join(prior_exposure_keys(cohort, exposure_ends, params), KEY, "left_anti")
 
 
 # ---------------------------------------------------------------- O4, O5, O6
