@@ -149,3 +149,14 @@ def test_trim_keeps_rows_when_dates_are_null(spark):
     rows = _template_rows(spark, None, None, P)
     assert len(rows) == 5 and all(r.outcome == 0 for r in rows)
     assert F  # module used
+
+
+def test_source_cardinality_checks(spark):
+    import pytest
+
+    from trialspark.operators.joins import CardinalityError, assert_unique, duplicate_keys
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "alf_pe string, x int")
+    assert [tuple(r) for r in duplicate_keys(df, "alf_pe").collect()] == [("a", 2)]
+    with pytest.raises(CardinalityError):
+        assert_unique(df, "alf_pe", "deaths")
+    assert_unique(df.where("alf_pe = 'b'"), "alf_pe")

@@ -19,7 +19,7 @@ from trialspark.operators import cohort as C
 from trialspark.operators import events as E
 from trialspark.operators import outcomes as O
 from trialspark.operators import panel as P
-from trialspark.operators.joins import KEY
+from trialspark.operators.joins import KEY, assert_unique
 from trialspark.params import StudyParams
 from trialspark.sources.catalog import SourceCatalog
 
@@ -32,12 +32,22 @@ def exit_cohort(cat: SourceCatalog, params: StudyParams) -> DataFrame:
     return C.follow_up_exit(C.eligible(cat.cohort, params), cat.deaths, params)
 
 
-def baseline_cohort(cat: SourceCatalog, params: StudyParams, materialise=None) -> DataFrame:
+def check_sources(cat: SourceCatalog) -> None:
+    """O38 on the sources the study merges by patient: one index date (D14), one death, one ethnicity
+    per patient. Raises ``CardinalityError``; each check is one aggregation job."""
+    assert_unique(cat.cohort, KEY, "cohort (one index date per patient)")
+    assert_unique(cat.deaths, KEY, "deaths")
+    assert_unique(cat.ethnicity, KEY, "ethnicity")
+
+
+def baseline_cohort(cat: SourceCatalog, params: StudyParams, materialise=None, check: bool = False) -> DataFrame:
     """O1-O15, O21, O22 in the study's statement order. One row per patient.
 
     ``materialise`` (e.g. ``session.cut``) is applied to the eligible base, which
-    every per-patient aggregate reads.
+    every per-patient aggregate reads. ``check`` runs :func:`check_sources` first.
     """
+    if check:
+        check_sources(cat)
     base = C.exclude_prior_exposure(exit_cohort(cat, params), cat.exposure_ends, params)
     base = C.fill_from(base, cat.ethnicity, "ethnic", "ethn_ec_ons_date_latest_code")
     base = C.days_to_exposure(base).withColumn("pabx_str", col("pabx_after_ruti"))
