@@ -73,10 +73,10 @@ ROLES = [
         CASE WHEN k % 7 = 0 THEN 'Inconsistent' ELSE 'Consistent' END FROM expo WHERE k % 5 = 0"""),
     ("gp_events", """SELECT CAST(c AS VARCHAR) AS alf_pe, dt AS event_dt,
         CASE WHEN k % 3 = 0 THEN lower(substr(priority, 3)) ELSE priority END AS event_cd FROM o"""),
-    ("gp_uti", """SELECT CAST(c AS VARCHAR) AS alf_pe, dt AS event_str_dt, dt AS event_end_dt,
-        'WLGP' AS data_source FROM o WHERE status = 'O'"""),
-    ("hosp_uti", """SELECT CAST(c AS VARCHAR) AS alf_pe, dt AS event_str_dt, dt + CAST(k % 10 AS INTEGER) AS event_end_dt,
-        'PEDW' AS data_source FROM o WHERE status = 'P'"""),
+    ("gp_uti", f"""SELECT CAST(c AS VARCHAR) AS alf_pe, dt AS event_str_dt, dt AS event_end_dt,
+        {q(codes.GP_SOURCE)} AS data_source FROM o WHERE status = 'O'"""),
+    ("hosp_uti", f"""SELECT CAST(c AS VARCHAR) AS alf_pe, dt AS event_str_dt, dt + CAST(k % 10 AS INTEGER) AS event_end_dt,
+        {q(codes.HOSPITAL_SOURCE)} AS data_source FROM o WHERE status = 'P'"""),
     ("all_uti", "SELECT alf_pe, event_str_dt FROM gp_uti UNION ALL SELECT alf_pe, event_str_dt FROM hosp_uti"),
     ("spell", """SELECT CAST(c AS VARCHAR) AS alf_pe, CAST(k % 7 AS VARCHAR) AS prov_unit_cd, k AS spell_num_pe,
         dt AS admis_dt, dt + CAST(k % 12 AS INTEGER) AS disch_dt FROM o"""),
@@ -196,14 +196,14 @@ BASELINE = [
               ON gp.alf_pe = pd.alf_pe
          WHERE pd.alf_pe IS NULL OR gp.event_str_dt NOT BETWEEN pd.event_str_dt + 1 AND pd.event_end_dt) jny
         JOIN pre4 tt ON tt.alf_pe = jny.alf_pe
-        WHERE jny.event_str_dt BETWEEN {addm('tt.diag_date', -12)} AND tt.diag_date AND jny.data_source = 'WLGP'
+        WHERE jny.event_str_dt BETWEEN {addm('tt.diag_date', -12)} AND tt.diag_date AND jny.data_source = {q(codes.GP_SOURCE)}
         GROUP BY tt.alf_pe"""),
     ("hosp_uti_n", f"""SELECT tt.alf_pe, count(jny.alf_pe) AS uti_count FROM
         (SELECT DISTINCT alf_pe, event_str_dt, event_end_dt, data_source FROM hosp_uti) jny
         JOIN pre4 tt ON tt.alf_pe = jny.alf_pe
         WHERE (jny.event_end_dt BETWEEN {addm('tt.diag_date', -12)} AND tt.diag_date
                OR jny.event_str_dt BETWEEN {addm('tt.diag_date', -12)} AND tt.diag_date)
-          AND jny.data_source = 'PEDW'
+          AND jny.data_source = {q(codes.HOSPITAL_SOURCE)}
         GROUP BY tt.alf_pe"""),
     ("pre", """SELECT p.* EXCLUDE (ethnic), p.ethnic_f AS ethnic, CAST(g.uti_count AS INTEGER) AS gp_uti_pre,
         CAST(h.uti_count AS INTEGER) AS pedw_uti_pre

@@ -52,5 +52,9 @@ REASON_DIED = "DIED"
 REASON_STUDY_END = "STUDY END"
 REASON_NEW = "NEW PABX"
 
+# --- fixed values: source tags of UTI episodes (primary care / hospital) in the data_source column.
+GP_SOURCE = "WLGP"
+HOSPITAL_SOURCE = "PEDW"
+
 # --- fixed values: far-future date used in place of a missing end date.
 OPEN_END = "2099-01-31"

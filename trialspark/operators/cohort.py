@@ -216,7 +216,7 @@ def baseline_uti_counts_gp(keys: DataFrame, gp_uti: DataFrame, hosp_uti: DataFra
                & (col("_max_s").isNull() | (g >= F.date_add("_max_s", 1)))
                & (col("_min_e").isNull() | (g <= col("_min_e"))))
     lo = plus_years("diag_date", -params.uti_lookback_years)
-    gp = gp_uti.where(col("data_source") == "WLGP").select(KEY, "event_str_dt", "event_end_dt", "data_source")
+    gp = gp_uti.where(col("data_source") == codes.GP_SOURCE).select(KEY, "event_str_dt", "event_end_dt", "data_source")
     return (gp.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_str_dt", lo, "diag_date"))
             .join(hs, KEY, "left")
@@ -228,7 +228,7 @@ def baseline_uti_counts_gp(keys: DataFrame, gp_uti: DataFrame, hosp_uti: DataFra
 def baseline_uti_counts_hosp(keys: DataFrame, hosp_uti: DataFrame, params: StudyParams) -> DataFrame:
     """Distinct hospital UTI episodes starting or ending in [index - 1 year, index]."""
     lo = plus_years("diag_date", -params.uti_lookback_years)
-    h = hosp_uti.where(col("data_source") == "PEDW").select(KEY, "event_str_dt", "event_end_dt", "data_source")
+    h = hosp_uti.where(col("data_source") == codes.HOSPITAL_SOURCE).select(KEY, "event_str_dt", "event_end_dt", "data_source")
     return (h.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_end_dt", lo, "diag_date") | between("event_str_dt", lo, "diag_date"))
             .groupBy(KEY).agg(F.count_distinct(F.struct("event_str_dt", "event_end_dt", "data_source"))

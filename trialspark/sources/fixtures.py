@@ -119,10 +119,10 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, params: StudyParams = FIXT
         F.when(k % 3 == 0, F.lower(F.substring("priority", 3, 100))).otherwise(F.col("priority")).alias("event_cd"))
 
     gp_uti = orders.where(F.col("status") == "O").select(
-        alf, F.col("dt").alias("event_str_dt"), F.col("dt").alias("event_end_dt"), F.lit("WLGP").alias("data_source"))
+        alf, F.col("dt").alias("event_str_dt"), F.col("dt").alias("event_end_dt"), F.lit(codes.GP_SOURCE).alias("data_source"))
     hosp_uti = orders.where(F.col("status") == "P").select(
         alf, F.col("dt").alias("event_str_dt"), F.date_add("dt", _days(k % 10)).alias("event_end_dt"),
-        F.lit("PEDW").alias("data_source"))
+        F.lit(codes.HOSPITAL_SOURCE).alias("data_source"))
     all_uti = gp_uti.select("alf_pe", "event_str_dt").unionByName(hosp_uti.select("alf_pe", "event_str_dt"))
 
     spell = orders.select(
