@@ -21,6 +21,24 @@ SESSION_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run, from the volume of the event sources.
+
+    About one ``target_partition_bytes`` slice per task (so a partition fits in executor
+    memory), at least two waves of the cluster's cores; AQE coalesces small shuffle
+    partitions and splits skewed ones (a partition 5x the median and over 256 MB).
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        **SESSION_CONF,
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "trialspark",
                   driver_memory: str = "8g") -> SparkSession:
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
