@@ -127,6 +127,19 @@ def multi_resistant_events(cohort: DataFrame, tests: DataFrame, params: StudyPar
             .where(col("spcm_collected_dt") > col("diag_date")))
 
 
+def first_lab_dates(cohort: DataFrame, tests: DataFrame, predicates: dict) -> DataFrame:
+    """O26 + O28 for several predicates in one pass: ``(alf_pe, d_<id>...)`` first matching specimen
+    date after index per outcome id. The tests are joined and shuffled once, not once per outcome."""
+    hit = None
+    for pred in predicates.values():
+        hit = pred if hit is None else (hit | pred)
+    j = (tests.where(hit).select(KEY, "spcm_collected_dt", *[pred.alias(f"_p{k}") for k, pred in predicates.items()])
+         .join(cohort.select(KEY, "diag_date"), KEY)
+         .where(col("spcm_collected_dt") > col("diag_date")))
+    return j.groupBy(KEY).agg(*[F.min(F.when(col(f"_p{k}"), col("spcm_collected_dt"))).alias(f"d_{k}")
+                                for k in predicates])
+
+
 # ---------------------------------------------------------------- O28
 def first_event(events: DataFrame, date_col: str) -> DataFrame:
     """Earliest event date per patient (only the date is used downstream)."""
@@ -146,13 +159,19 @@ def outcome_events(cat, cohort: DataFrame, params: StudyParams) -> dict[int, Dat
     # Outcome 2 pairs UTI events with the unfiltered resistance events
     res_uti = co_occurring(uti, res, params)
     tests = cat.urine_tests
+    labs = first_lab_dates(cohort, tests, {3: any_resistant(), 5: col("trimethoprim") == codes.RESISTANT,
+                                           6: col("nitrofurantoin") == codes.RESISTANT})
+
+    def lab(k):
+        return labs.select(KEY, col(f"d_{k}").alias("outcome_dt")).where(col("outcome_dt").isNotNull())
+
     return {
         1: first_event(exclude_recent_discharge(res, cat.spell, params), "epi_str_dt"),
         2: first_event(exclude_recent_discharge(res_uti, cat.spell, params), "epi_str_dt"),
-        3: first_event(lab_events(cohort, tests, any_resistant()), "spcm_collected_dt"),
+        3: lab(3),
         4: first_event(multi_resistant_events(cohort, tests, params), "spcm_collected_dt"),
-        5: first_event(lab_events(cohort, tests, col("trimethoprim") == codes.RESISTANT), "spcm_collected_dt"),
-        6: first_event(lab_events(cohort, tests, col("nitrofurantoin") == codes.RESISTANT), "spcm_collected_dt"),
+        5: lab(5),
+        6: lab(6),
     }
 
 
