@@ -29,3 +29,19 @@ def test_run_from_parquet_sources(spark):
     assert len(res.outcomes.columns) == 57
     assert os.path.isdir(f"{out}/outcome_tables/outcome_id=1")
     assert spark.read.parquet(f"{out}/outcome_tables").count() == res.outcomes.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_bootstrap_refit_runs_and_orders_bounds(spark):
+    from pyspark.sql import functions as F
+
+    from trialspark.plans import analysis as A
+    from trialspark.plans import registry as R
+    prep = A.prepared(R.QUERIES["all_outcomes"](spark, SF), FIXTURE_PARAMS)
+    ci = A.bootstrap_refit(prep, FIXTURE_PARAMS, [1, 5], replicates=2, seed=3)
+    rows = ci.collect()
+    assert {r.outcome_id for r in rows} <= {1, 5}
+    for r in rows:
+        assert r.replicates == 2
+        assert r.rd_lo is None or r.rd_lo <= r.rd_hi + 1e-12
+    assert F is not None

@@ -37,7 +37,8 @@ def denominator_terms() -> tuple[list[str], list[str]]:
     return numeric, factors
 
 
-def fit_models(df: DataFrame, outcome_ids, threads: int = 6) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
+def fit_models(df: DataFrame, outcome_ids, threads: int = 6, weight: str | None = None
+               ) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
     """O45 + O46 per outcome, on the at-risk rows of the uncloned table.
 
     The numerator model (time, time^2) is fitted on rows grouped by (outcome, time):
@@ -46,15 +47,18 @@ def fit_models(df: DataFrame, outcome_ids, threads: int = 6) -> dict[int, tuple[
     """
     numeric, factors = denominator_terms()
     # the at-risk rows are read by every IRLS pass of every model: keep them in memory while fitting
-    rows = df.where(col("at_risk") == 1).select("outcome_id", "pabx_start", *numeric, *factors).cache()
+    wt = col(weight).cast("double") if weight else F.lit(1.0)
+    rows = (df.where(col("at_risk") == 1)
+            .select("outcome_id", "pabx_start", *numeric, *factors, wt.alias("_wt")).cache())
     try:
         info = W.factor_levels(rows, factors, numeric)
         grouped = (rows.groupBy("outcome_id", "cal_time", "time_sq")
-                   .agg(F.avg(col("pabx_start").cast("double")).alias("_p"), F.count(F.lit(1)).alias("_n")))
+                   .agg((F.sum(col("_wt") * col("pabx_start")) / F.sum("_wt")).alias("_p"), F.sum("_wt").alias("_n")))
 
         def fit(oid):
             levels, varying = info[oid]
-            den = W.fit_logit(rows.where(col("outcome_id") == oid), "pabx_start", varying, levels)
+            den = W.fit_logit(rows.where(col("outcome_id") == oid), "pabx_start", varying, levels,
+                              weight="_wt" if weight else None)
             num = W.fit_logit(grouped.where(col("outcome_id") == oid), "_p", W.TIME, weight="_n")
             return oid, (den, num)
 
@@ -150,3 +154,39 @@ def formula_probabilities() -> tuple[Column, Column]:
                                              - F.lit(0.1) * col("cal_time") + F.lit(0.3) * col("diab"))))
     num = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(-2.0) - F.lit(0.1) * col("cal_time"))))
     return den, num
+
+
+def bootstrap_refit(prep: DataFrame, params: StudyParams, outcome_ids, replicates: int = 20, seed: int = 1,
+                    level: float = 0.95, materialise=None) -> DataFrame:
+    """O53 (b): percentile intervals with both weight models refitted in every replicate.
+
+    A replicate gives each patient a Poisson(1) multiplicity (seeded md5, as in the fixed-weight
+    bootstrap); the fits use it as a frequency weight, the truncation quantile is taken over the
+    replicate's rows repeated by multiplicity, and KM weights are ``sw_trunc * mult``. Censoring
+    does not depend on the weights, so the clones are built once. Each replicate is a short
+    sequence of distributed jobs; only its six effect rows reach the driver.
+    """
+    counts = S.replicate_counts(prep, replicates, seed)
+    clones = M.censor_clones(prep, params).select("alf", "outcome_id", "arm", "cal_time", "outcome")
+    if materialise is not None:
+        counts, clones = materialise(counts), materialise(clones)
+    per_rep = []
+    for b in range(1, replicates + 1):
+        mult = counts.where(col("rep") == b).select("alf", "mult")
+        rows = prep.join(mult, "alf")
+        fits = fit_models(rows, outcome_ids, weight="mult")
+        if not fits:
+            continue
+        w = with_fitted(rows, fits).select("alf", "outcome_id", "cal_time", "sw_a", "mult")
+        cl = clones.join(w, ["alf", "outcome_id", "cal_time"])
+        expanded = cl.select("outcome_id", "sw_a", F.explode(F.array_repeat(F.lit(1), col("mult"))).alias("_c"))
+        thr = W.type7_quantile(expanded, "sw_a", ["outcome_id"], params.weight_q)
+        cl = (cl.join(F.broadcast(thr.select("outcome_id", col("quantile").alias("_thr"))), "outcome_id")
+              .withColumn("sw_trunc", F.least(col("sw_a"), col("_thr")) * col("mult")))
+        eff = effects(cl).withColumn("rep", F.lit(b))
+        per_rep.append(eff.collect())
+    spark = prep.sparkSession
+    rows = [r.asDict() for rep in per_rep for r in rep]
+    reps = spark.createDataFrame(rows, "outcome_id int, r1 double, r0 double, rd double, rr double, nnt double, "
+                                       "rep int")
+    return S.bootstrap_ci(reps, ["outcome_id"], level)

@@ -31,6 +31,7 @@ PARAMS = FIXTURE_PARAMS
 ROUND = 9
 BOOTSTRAP_REPLICATES = 50
 BOOTSTRAP_SEED = 7
+REFIT_REPLICATES = 4
 
 
 _CATALOGS: dict = {}
@@ -283,6 +284,15 @@ def bootstrap_ci(spark, sf_dir):
                      *[F.round(c, 6).alias(c) for c in ci.columns if c.endswith(("_lo", "_hi"))])
 
 
+def bootstrap_refit_ci(spark, sf_dir):
+    """O53 (b): intervals with the weight models refitted per replicate (rows-only check)."""
+    prep = _memo(spark, sf_dir, "prepared", lambda: A.prepared(_table(spark, sf_dir), PARAMS))
+    ci = A.bootstrap_refit(prep, PARAMS, sorted(E.OUTCOMES), replicates=REFIT_REPLICATES, seed=BOOTSTRAP_SEED,
+                           materialise=cut)
+    return ci.select("outcome_id", col("replicates").cast("int"),
+                     *[F.round(c, 6).alias(c) for c in ci.columns if c.endswith(("_lo", "_hi"))])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_exit": cohort_exit,
     "prior_exposure_excluded": prior_exposure_excluded,
@@ -328,4 +338,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_ci": bootstrap_ci,
     "treatment_model": treatment_model,
     "effects_modelled": effects_modelled,
+    "bootstrap_refit_ci": bootstrap_refit_ci,
 }
