@@ -14,7 +14,7 @@ def spark():
     from trialspark.plans.session import SESSION_CONF
 
     b = (SparkSession.builder.master("local[4]").appName("trialspark-tests")
-         .config("spark.sql.shuffle.partitions", "4")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trialspark-test-ckpt-")))
     for k, v in SESSION_CONF.items():

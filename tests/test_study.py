@@ -37,8 +37,9 @@ def test_bootstrap_refit_runs_and_orders_bounds(spark):
 
     from trialspark.plans import analysis as A
     from trialspark.plans import registry as R
-    prep = A.prepared(R.QUERIES["all_outcomes"](spark, SF), FIXTURE_PARAMS)
-    ci = A.bootstrap_refit(prep, FIXTURE_PARAMS, [1, 5], replicates=2, seed=3)
+    from trialspark.plans.session import cut
+    prep = cut(A.prepared(R.QUERIES["all_outcomes"](spark, SF), FIXTURE_PARAMS))
+    ci = A.bootstrap_refit(prep, FIXTURE_PARAMS, [1, 5], replicates=2, seed=3, materialise=cut)
     rows = ci.collect()
     assert {r.outcome_id for r in rows} <= {1, 5}
     for r in rows:

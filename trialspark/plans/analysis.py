@@ -166,6 +166,7 @@ def bootstrap_refit(prep: DataFrame, params: StudyParams, outcome_ids, replicate
     does not depend on the weights, so the clones are built once. Each replicate is a short
     sequence of distributed jobs; only its six effect rows reach the driver.
     """
+    prep = prep.where(col("outcome_id").isin(*list(outcome_ids)))
     counts = S.replicate_counts(prep, replicates, seed)
     clones = M.censor_clones(prep, params).select("alf", "outcome_id", "arm", "cal_time", "outcome")
     if materialise is not None:
