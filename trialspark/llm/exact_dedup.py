@@ -22,8 +22,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from trialspark.llm.common import SPACES, shared_dir, stored, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Disk-backed state; small stores must not reserve disk they don't fill.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -76,8 +80,9 @@ def keyed_state(spark: SparkSession, path: str, schema, files_per_trigger: int |
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             entries.writeStream.outputMode("update")
@@ -88,7 +93,8 @@ def keyed_state(spark: SparkSession, path: str, schema, files_per_trigger: int |
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     empty = spark.createDataFrame([], entries.schema)
     try:
         seen = spark.read.schema(StructType([*entries.schema, StructField("batch", IntegerType())])).parquet(out)
