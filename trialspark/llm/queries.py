@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import bpe, exact_dedup, minhash
-from trialspark.llm.common import limit_batches
+from trialspark.llm import bpe, decontaminate, exact_dedup, language, minhash, quality
+from trialspark.llm.common import crc_mod, limit_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.training_fold(F.col("doc_id")))
+    scored = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), quality.score("text", model).alias("score"))
+    return scored.select("*", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,10 +49,20 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.Model(language.sample(docs.where(crc_mod(F.col("doc_id"), 4) != 2)))
+    out = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), language.predict("text", model, spark).alias("found"))
+    return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_minhash": op8_minhash,
+    "op10_language": op10_language,
 }
 
 ORACLE: dict[str, str] = {
