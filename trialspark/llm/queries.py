@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import bpe, decontaminate, exact_dedup, extract, language, minhash, quality, urls
+from trialspark.llm import bpe, decontaminate, exact_dedup, extract, language, maxent, minhash, quality, urls
 from trialspark.llm.common import crc_mod, limit_batches
 
 
@@ -69,6 +69,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    scored = maxent.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.Model(language.sample(docs.where(crc_mod(F.col("doc_id"), 4) != 2)))
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_minhash": op8_minhash,
+    "op9_maxent": op9_maxent,
     "op10_language": op10_language,
 }
 
