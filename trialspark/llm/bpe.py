@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import text_of
 
-#: Words kept by a task before its table is started anew (about 100 MB).
-CACHED_WORDS = 400_000
+#: Chunks and words kept by a task before its tables are started anew (under 100 MB).
+CACHED_WORDS = 200_000
 
 #: Bands of ranks in the index of a replay; ranks are below 2**20.
 BANDS = 48
 
 #: Stands for "these two don't merge".
-NONE = 1 << 40
+NONE = 1 << 30
 
 #: Characters of Unicode's White_Space property, which ``\s`` of the pre-token pattern means.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -77,7 +77,7 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.token = {rank: token for token, rank in ranks.items()}
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = []
         for token, rank in ranks.items():
             for at in range(1, len(token)):
@@ -87,13 +87,13 @@ class Merges:
         found.sort()
         keys, merged = zip(*found) if found else ((), ())
         self.keys = np.array([*keys, 1 << 62], np.int64)
-        self.merged = np.array([*merged, NONE], np.int64)
+        self.merged = np.array([*merged, NONE], np.int32)
 
     def rank(self, left, right):
         """Ranks of the pairs, ``NONE`` where they don't merge."""
         key = (np.asarray(left, np.int64) << 32) | right
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.merged[at], NONE)
+        return np.where(self.keys[at] == key, self.merged[at], np.int32(NONE))
 
 
 @functools.lru_cache
@@ -117,13 +117,13 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     tokens = merges.byte[raw]
-    word = np.repeat(np.arange(len(words)), sizes)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     new = np.flatnonzero(np.diff(word, prepend=-1))
     before[new] = -1
     after[new[1:] - 1] = -1
     after[n - 1] = -1
-    pair = np.full(n, NONE)  # rank of the pair that starts at each place
+    pair = np.full(n, NONE, np.int32)  # rank of the pair that starts at each place
     start = np.flatnonzero(after >= 0)
     pair[start] = merges.rank(tokens[start], tokens[start + 1])
     start = start[pair[start] != NONE]
@@ -146,7 +146,7 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
         while len(todo):
             todo = np.unique(todo)
             todo = todo[pair[todo] <= top]  # an earlier merge may have taken one side, or changed it
-            order = np.argsort(word[todo] << 20 | pair[todo], kind="stable")
+            order = np.argsort(word[todo].astype(np.int64) << 20 | pair[todo], kind="stable")
             todo = todo[order]
             first = np.diff(word[todo], prepend=-1) != 0
             places, todo = todo[first], todo[~first]
@@ -190,7 +190,7 @@ class Encoder:
         split = [START.split(x) if RUN.search(x) else x.split(" ") for x in texts]
         heads = {x[0] for x in split}
         fresh = set().union(*[x[1:] for x in split]).difference(self.chunks)
-        if len(self.chunks) + len(fresh) > CACHED_WORDS:
+        if len(self.chunks) + len(self.words) + len(fresh) > CACHED_WORDS:
             self.chunks, self.words = {}, {}
             fresh = set().union(*[x[1:] for x in split])
         parts = {x: self.find(" " + x) for x in fresh}
