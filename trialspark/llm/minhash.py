@@ -10,10 +10,10 @@ million, and fewer above.
 Documents with equal sets are one class from the start. An element that one
 class alone has can't be part of a shared key, so only elements that occur
 twice are paired. In each table bucket the members are verified against the
-smallest (a star), links merge into components, and what is still apart within
-a bucket is verified again until no pair of a bucket lies in two components
-unverified. So no pair is lost and a large group of near copies costs one star
-rather than all its pairs.
+smallest (a star) and links merge into components. What ``STARS`` turns leave
+apart within a bucket is compared in blocks, across components only. So no pair
+of a bucket in two components stays unverified, and a large group of near
+copies costs a star rather than all its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +36,13 @@ BAND = 3
 #: Words whose hash a task remembers before it starts anew.
 CACHED_WORDS = 500_000
 
-#: Pairs left to verify, as a multiple of the members, at which all are verified at once.
-FINISH = 4
+#: Turns of star verification before what is still apart is compared block by block.
+STARS = 2
+
+#: Nodes and bytes of text in a block, and hashes in a column block of a comparison.
+BLOCK_NODES = 500
+BLOCK_BYTES = 4 << 20
+COLUMNS = 4096
 
 
 class WordHashes(dict):
@@ -166,44 +171,101 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int, collect
         "texts",
     )
     found = None  # verified links so far
-    tested = None  # pairs that were verified, similar or not
     labels = members.select("node", F.col("node").alias("component")).distinct()
-    while True:
+    for turn in range(STARS + 1):
         here = members.join(labels, "node")
-        by_part = here.groupBy("key", "component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
-        by_key = by_part.groupBy("key").agg(
-            F.min(F.struct("least", "component")).alias("hub"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1")
-        open_keys = stored(by_key.select("key", "hub", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs")), "open")
-        left, rows = open_keys.agg(F.sum("pairs"), F.count(F.lit(1))).first()
-        if not rows:
+        hubs = here.groupBy("key").agg(F.min(F.struct("node", "component")).alias("hub"), F.max("component").alias("most"), F.min("component").alias("least"))
+        here = stored(here.join(hubs.where("least <> most").select("key", "hub"), "key"), "open")
+        if here.isEmpty():
             break
-        here = here.join(open_keys, "key")
-        finish = tested is not None and left <= FINISH * members.count()
-        if finish:
-            parts = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).drop("n")
-            across = parts.select("key", F.col("component").alias("other"))
-            meet = parts.join(across, "key").where("component < other")
-            a = here.select("key", "component", F.col("node").alias("a"))
-            b = here.select("key", F.col("component").alias("other"), F.col("node").alias("b"))
-            pairs = meet.join(a, ["key", "component"]).join(b, ["key", "other"])
-            pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        if turn < STARS:
+            pairs = here.where(F.col("component") != F.col("hub.component")).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
+            new = _verified(pairs, texts, width, percent)
+            # a bucket's hub has met all the others and need not be asked again
+            members = here.where(F.col("node") != F.col("hub.node")).select("key", "node")
         else:
-            pairs = here.where(F.col("component") != F.col("hub.component")).select(F.col("node").alias("u"), F.col("hub.least").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        new = stored(_verified(pairs, texts, width, percent), "links")
+            new = _across(here.select("key", "node", "component"), texts, width, percent)
+        new = stored(new, "links")
         found = new if found is None else found.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = stored(labels.select("node").join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-        if finish:
-            break
-        # a bucket's hub has met all the others: it need not be asked again unless linked
-        members = stored(here.where(F.col("node") != F.col("hub.least")).select("key", "node"), "members")
+        labels = labels.select("node").join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        labels = stored(labels, "labels")
     return labels
 
 
+def _across(here: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links between nodes of different components that buckets connect.
+
+    ``here`` has the rows (key, node, component) of buckets with several
+    components. Nodes that buckets connect are a family; its nodes are dealt
+    into blocks of bounded size, a component of its own block or blocks if it
+    is large, and every two blocks meet in a task of their own unless they are
+    of one component. Sets are compared inside the task; only links leave it.
+    """
+    chain = here.join(here.groupBy("key").agg(F.min("node").alias("v")), "key").select(F.col("node").alias("u"), "v").distinct()
+    families = components(chain).select("node", F.col("component").alias("family"))
+    nodes = here.select("node", "component").distinct().join(families, "node")
+    nodes = nodes.join(texts.groupBy(F.col("doc_id").alias("node")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")), "node")
+    size = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    own = size.select("family", "component", F.when(F.col("n") * 2 > BLOCK_NODES, F.col("component")).alias("part"))
+    nodes = stored(nodes.join(own, ["family", "component"]), "families")
+    n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("long")
+    parts = nodes.groupBy(F.col("family").alias("f"), F.col("part").alias("p")).agg(n_blocks.alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = nodes.join(parts, (F.col("family") == F.col("f")) & F.col("p").eqNullSafe(F.col("part")))
+    dealt = stored(dealt.select("family", "part", block.alias("block"), "node", "component"), "blocks")
+    each = dealt.select("family", F.struct("part", "block").alias("b")).distinct()
+    meet = each.select("family", F.col("b").alias("one")).join(each.select("family", F.col("b").alias("two")), "family")
+    apart = F.col("one.part").isNull() | ~F.col("one.part").eqNullSafe(F.col("two.part"))
+    meet = meet.where((F.col("one") <= F.col("two")) & apart)
+    sides = F.when(F.col("one") == F.col("two"), F.array("one")).otherwise(F.array("one", "two"))
+    places = meet.select("family", F.struct("one", "two").alias("pair"), F.posexplode(sides).alias("side", "b"))
+    full = dealt.select("family", F.struct("part", "block").alias("b"), "node", "component").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    rows = places.join(full, ["family", "b"]).select("family", "pair", "side", "node", "component", "text")
+    kind = dict(here.dtypes)["node"]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        known = WordHashes()
+        sets = [shingles(x, width, known) for x in group["text"]]
+        node, component, side = (group[c].to_numpy() for c in ("node", "component", "side"))
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        a, b = _similar_pairs([sets[i] for i in left], [sets[i] for i in right], percent)
+        u, v = left[a], right[b]
+        linked = component[u] != component[v]
+        return pd.DataFrame({"u": np.maximum(node[u], node[v])[linked], "v": np.minimum(node[u], node[v])[linked]})
+
+    return rows.groupBy("family", "pair").applyInPandas(compare, f"u {kind}, v {kind}").where("u <> v").distinct()
+
+
+def _similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of the pairs of sets with ``100 * shared >= percent * union``.
+
+    Shared counts come from products of indicator matrices, over the hashes
+    that occur on both sides, ``COLUMNS`` at a time.
+    """
+    vocabulary = np.intersect1d(np.concatenate(left), np.concatenate(right)) if left and right else np.zeros(0, np.uint64)
+
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+        there = vocabulary[at] == values
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[there], at[there]
+
+    shared = np.zeros((len(left), len(right)))
+    if len(vocabulary):
+        (row_a, col_a), (row_b, col_b) = flat(left), flat(right)
+        for at in range(0, len(vocabulary), COLUMNS):
+            tables = []
+            for row, col, n in ((row_a, col_a, len(left)), (row_b, col_b, len(right))):
+                inside = (col >= at) & (col < at + COLUMNS)
+                table = np.zeros((n, COLUMNS), np.float32)
+                table[row[inside], col[inside] - at] = 1
+                tables.append(table)
+            shared += tables[0] @ tables[1].T
+    sizes = np.add.outer([len(s) for s in left], [len(s) for s in right])
+    return np.nonzero((shared > 0) & (100 * shared >= percent * (sizes - shared)))
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
