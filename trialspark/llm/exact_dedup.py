@@ -42,21 +42,19 @@ def sha256(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``locator`` struct (file, row number); landed first if not file-backed."""
+def file_backed(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have a place in files, else a stored copy of it."""
     try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.select("*", F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias("locator"))
+        docs.metadataColumn("_metadata")
     except AnalysisException:
-        return located(stored(docs, "landed"))
+        return stored(docs, "landed")
+    return docs
 
 
-def fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, digest, size (code points of the original text) and locator of every row."""
-    content = normalised(F.col("text"))
-    return located(docs.select("doc_id", "text")).select(
-        "doc_id", digest(content).alias("digest"), F.length(text_of()).alias("size"), "locator"
-    )
+def locator(docs: DataFrame) -> Column:
+    """Struct (file, row number) of the rows of a file-backed table."""
+    meta = docs.metadataColumn("_metadata")
+    return F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
 
 
 def _order() -> Column:
@@ -113,10 +111,12 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     a null doc_id sorts last. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    landed = located(docs.select("doc_id", "text"))
+    docs = file_backed(docs)
     prints_path = shared_dir(spark, "prints")
-    content = normalised(F.col("text"))
-    whole = landed.select("doc_id", digest(content).alias("digest"), F.length(text_of()).alias("size"), "locator", content.alias("content"))
+    content = normalised(docs["text"])
+    whole = docs.select(
+        docs["doc_id"], digest(content).alias("digest"), F.length(text_of(docs["text"])).alias("size"), locator(docs).alias("locator"), content.alias("content")
+    )
     prints = whole.drop("content")
     prints.write.parquet(prints_path)
     schema = prints.schema
@@ -149,7 +149,6 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    names = docs.columns
-    rows = located(docs)
-    kept = exact_groups(rows.drop("locator")).where("kept").select(F.col("locator").alias("_kept"))
-    return rows.join(kept, rows["locator"] == kept["_kept"], "left_semi").select(*[rows[f"`{c}`"] for c in names])
+    docs = file_backed(docs)
+    kept = exact_groups(docs).where("kept").select(F.col("locator").alias("_kept"))
+    return docs.join(kept, locator(docs) == kept["_kept"], "left_semi")
