@@ -19,9 +19,9 @@ def _r(c: str, alias: str | None = None, digits: int = R) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "cohort_exit": _sql("SELECT alf_pe, diag_date, dod, cohort_end_dt, cohort_end_reason FROM exit_cte"),
+    "cohort_exit": _sql("SELECT alf_pe, diag_date, dod, cohort_end_dt, cohort_end_reason FROM leaving"),
     "prior_exposure_excluded": _sql(
-        "SELECT alf_pe FROM exit_cte WHERE alf_pe IN (SELECT alf_pe FROM prior_abx)"),
+        "SELECT alf_pe FROM leaving WHERE alf_pe IN (FROM exposed_before)"),
     "contact_days": _sql("SELECT alf_pe, gp_int_days FROM pre"),
     "ethnicity_fill": _sql("SELECT alf_pe, ethnic FROM pre"),
     "exposure_bounds": _sql("SELECT alf_pe, pabx_str, days_to_pabx, first_abx_dt, pabx_end FROM pre"),
@@ -36,34 +36,34 @@ ORACLE: dict[str, str] = {
     "exit_flags": _sql("SELECT alf_pe, cal_time, death, ltf, study_ended, new_pabx, diag_12months FROM pre2f", PANEL),
     "uti_counts_gp": _sql("SELECT alf_pe, gp_uti_pre FROM pre"),
     "uti_counts_hosp": _sql("SELECT alf_pe, pedw_uti_pre FROM pre"),
-    "hospital_events": _sql(f"SELECT {_EV} FROM pedw_res", PANEL, EVENTS),
-    "recent_discharge": _sql(f"SELECT {_EV} FROM pedw_res_f", PANEL, EVENTS),
-    "co_occurring": _sql(f"SELECT DISTINCT {_EV} FROM amr_uti_f", PANEL, EVENTS),
+    "hospital_events": _sql(f"SELECT {_EV} FROM resistant_stays", PANEL, EVENTS),
+    "recent_discharge": _sql(f"SELECT {_EV} FROM resistant_clear", PANEL, EVENTS),
+    "co_occurring": _sql(f"SELECT DISTINCT {_EV} FROM infected_clear", PANEL, EVENTS),
     "lab_any": _sql("SELECT alf_pe, spcm_collected_dt, report_seq, request_seq FROM lab_any", PANEL, EVENTS),
     "lab_trim": _sql("SELECT alf_pe, spcm_collected_dt, report_seq, request_seq FROM lab_trim", PANEL, EVENTS),
     "lab_nitro": _sql("SELECT alf_pe, spcm_collected_dt, report_seq, request_seq FROM lab_nitro", PANEL, EVENTS),
     "lab_multi": _sql("""SELECT DISTINCT alf_pe, spcm_collected_dt, report_seq, request_seq,
         CAST(resistant_count AS INTEGER) AS resistant_count FROM lab_multi""", PANEL, EVENTS),
-    "first_event": _sql("""SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, outcome_dt FROM od
+    "first_event": _sql("""SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, outcome_dt FROM firsts
         WHERE alf_pe IN (SELECT alf_pe FROM pre)""", PANEL, EVENTS),
     "outcome_flag": _sql("""SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, cal_time,
-        CAST(outcome_raw AS INTEGER) AS outcome FROM op2""", PANEL, EVENTS, OUTCOME),
+        CAST(outcome_raw AS INTEGER) AS outcome FROM resolved""", PANEL, EVENTS, OUTCOME),
     "competing_events": _sql("""SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, cal_time, death, ltf,
-        study_ended, diag_12months, new_pabx, CAST(outcome AS INTEGER) AS outcome FROM op2""", PANEL, EVENTS, OUTCOME),
-    "trimmed_panel": _sql("SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, cal_time, cal_dt FROM op3",
+        study_ended, diag_12months, new_pabx, CAST(outcome AS INTEGER) AS outcome FROM resolved""", PANEL, EVENTS, OUTCOME),
+    "trimmed_panel": _sql("SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, cal_time, cal_dt FROM trimmed",
                           PANEL, EVENTS, OUTCOME),
-    "inclusion_days": _sql("SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, fup_obs FROM incdur",
+    "inclusion_days": _sql("SELECT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id, fup_obs FROM included",
                            PANEL, EVENTS, OUTCOME),
     "closest_specimen": _sql("SELECT alf_pe, CAST(most_recent_urine AS INTEGER) AS most_recent_urine FROM closest",
                              PANEL, EVENTS, OUTCOME),
-    "exposure_type": _sql("SELECT alf_pe, pabx_type FROM ptype", PANEL, EVENTS, OUTCOME),
+    "exposure_type": _sql("SELECT alf_pe, pabx_type FROM kinds", PANEL, EVENTS, OUTCOME),
     "clamped_exposure": _sql("""SELECT alf_pe, pabx_str_c, pabx_end_c, pabx_duration, pabx_str_all_c, pabx_end_all_c,
-        pabx_duration_all FROM clamp2""", PANEL, EVENTS, OUTCOME),
+        pabx_duration_all FROM observed""", PANEL, EVENTS, OUTCOME),
     "death_after_outcome": _sql("""SELECT DISTINCT alf_pe, CAST(outcome_id AS INTEGER) AS outcome_id,
         CASE WHEN dod BETWEEN outcome_dt AND coalesce(gp_end_dt, study_end) THEN 1 ELSE 0 END AS death_after_outcome
-        FROM op3""", PANEL, EVENTS, OUTCOME),
+        FROM trimmed""", PANEL, EVENTS, OUTCOME),
     "next_event": _sql("SELECT alf_pe, next_uti_dt FROM next_uti", PANEL, EVENTS, OUTCOME),
-    "started_before_index": _sql("SELECT alf_pe FROM excl", PANEL, EVENTS, OUTCOME),
+    "started_before_index": _sql("SELECT alf_pe FROM too_early", PANEL, EVENTS, OUTCOME),
     "unique_key_check": _sql("""SELECT alf_pe, spcm_collected_dt, report_seq, request_seq, CAST(count(*) AS INTEGER) AS n
         FROM urine_tests GROUP BY alf_pe, spcm_collected_dt, report_seq, request_seq HAVING count(*) > 1"""),
     "outcome_table": _sql("SELECT * FROM final WHERE outcome_id = 1", PANEL, EVENTS, OUTCOME),

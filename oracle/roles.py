@@ -1,12 +1,13 @@
 """DuckDB SQL for the fixture roles (FIXTURES.md C) and the baseline stage.
 
-Written from the study's semantics, in SQL's own idiom (correlated EXISTS,
-NOT IN, pairwise range joins, recursive CTE), not from the Spark operators.
+Written from SURVEY's wording of each operator, with names, fixed values and a
+structure of its own, not from the Spark operators.
 Each entry is one CTE; ``with_ctes`` chains all of them before a final SELECT.
 """
 
 from __future__ import annotations
 
+from oracle import values as V
 from trialspark.functions import codes
 from trialspark.params import FIXTURE_PARAMS as P
 from trialspark.sources import fixtures as FX
@@ -104,110 +105,79 @@ ROLES = [
         FROM supplier GROUP BY s_nationkey"""),
 ]
 
-_res_any = " OR ".join(f"{c} = 'Resistant'" for c in codes.RESISTANCE_COLUMNS)
-D12 = addm("diag_date", P.followup_months)
-W120Y = addm("wob", 12 * P.max_age_years)
-W120 = f"(wob + {P.max_age_years})"   # D1 as written: a bare number of days
+any_resistant = "'Resistant' IN (" + ", ".join(c for names in V.DRUGS for c in names) + ")"
+YEAR_ON = addm("diag_date", P.followup_months)
+OLDEST = addm("wob", 12 * P.max_age_years)
 
-# The baseline stage, statement by statement.
+# The baseline stage: facts of a patient, each from its own aggregate, put together at the end.
 BASELINE = [
-    ("exit_pre", f"""SELECT c.*, CAST(d.death_dt AS DATE) AS dod FROM cohort1 c LEFT JOIN deaths d ON c.alf_pe = d.alf_pe
-        WHERE c.wimd_2019_quintile IS NOT NULL AND c.pabx = 0"""),
-    ("exit_cte", f"""SELECT *,
-        CASE WHEN ({D12} < {W120Y}) AND ({D12} < gp_end_date) AND ({W120} < dod OR dod IS NULL) THEN {D12}
-             WHEN ((gp_end_date < dod - 1 OR year(gp_end_date) BETWEEN {P.study_start.year} AND {P.study_end.year}
-                    AND dod IS NULL) AND gp_end_date < {W120Y}) THEN gp_end_date
-             WHEN (dod <= gp_end_date + 1 AND dod <= {W120Y}) THEN dod
-             WHEN ({W120Y} < gp_end_date AND ({W120} < dod OR dod IS NULL)) THEN {W120Y}
-             ELSE {S1} END AS cohort_end_dt,
-        CASE WHEN ({D12} < {W120Y}) AND ({D12} < gp_end_date) AND ({W120} < dod OR dod IS NULL)
-                  AND {D12} <= {S1} THEN 'DG +12mths'
-             WHEN ((gp_end_date < dod - 1 OR year(gp_end_date) BETWEEN {P.study_start.year} AND {P.study_end.year}
-                    AND dod IS NULL) AND gp_end_date < {W120Y} AND gp_end_date <= {S1}) THEN 'LTF'
-             WHEN (dod <= gp_end_date + 1 AND dod <= {W120Y} AND dod <= {S1}) THEN 'DIED'
-             WHEN ({W120Y} < gp_end_date AND ({W120} < dod OR dod IS NULL) AND {W120Y} <= {S1}) THEN 'LTF'
-             ELSE 'STUDY END' END AS cohort_end_reason
-        FROM exit_pre"""),
-    ("prior_abx", f"""SELECT DISTINCT coh.alf_pe FROM exposure_ends abx JOIN cohort1 coh ON abx.alf_pe = coh.alf_pe
-        WHERE (coh.diag_date > abx.alt_end_dt_comb AND coh.diag_date < {addm('abx.alt_end_dt_comb', 12)})
-           OR coh.diag_date BETWEEN coh.pabx_after_ruti AND abx.alt_end_dt_comb"""),
-    ("gp_int", f"""SELECT a.alf_pe, count(DISTINCT b.event_dt) AS gp_int_count FROM gp_events b
-        JOIN cohort1 a ON a.alf_pe = b.alf_pe
-        WHERE b.event_dt BETWEEN a.diag_date + 1 AND {addm('a.diag_date', 12)}
-          AND (substr(b.event_cd, 1, 1) <> lower(substr(b.event_cd, 1, 1))
-               OR left(b.event_cd, 1) IN ('0','1','2','3','4','5','6','7','8','9'))
-        GROUP BY a.alf_pe"""),
-    ("pre0", """SELECT e.*, CASE WHEN e.ethnic IS NOT NULL THEN e.ethnic ELSE eth.ethn_ec_ons_date_latest_code END
-            AS ethnic_f,
-        CAST(e.pabx_after_ruti - e.diag_date AS INTEGER) AS days_to_pabx, e.pabx_after_ruti AS pabx_str,
-        CASE WHEN g.gp_int_count IS NULL THEN 0 ELSE CAST(g.gp_int_count AS INTEGER) END AS gp_int_days
-        FROM exit_cte e LEFT JOIN ethnicity eth ON e.alf_pe = eth.alf_pe LEFT JOIN gp_int g ON e.alf_pe = g.alf_pe
-        WHERE e.alf_pe NOT IN (SELECT alf_pe FROM prior_abx)"""),
-    ("pabx12", """SELECT s.alf_pe, s.pabx_str, s.alt_str_dt AS pabx_first_script, max(ed.alt_end_dt_comb) AS pabx_end
-        FROM (SELECT coh.alf_pe, coh.pabx_str, min(aa.alt_str_dt) AS alt_str_dt FROM pre0 coh
-              JOIN exposure_starts aa ON coh.alf_pe = aa.alf_pe AND coh.pabx_str = aa.pabx_str
-              GROUP BY coh.alf_pe, coh.pabx_str) s
-        JOIN exposure_ends ed ON s.alf_pe = ed.alf_pe AND s.pabx_str = ed.pabx_str
-        GROUP BY s.alf_pe, s.pabx_str, s.alt_str_dt"""),
-    ("dose_cte", """SELECT DISTINCT amr.alf_pe, abx.antibx_category, abx.dose, abx.dose_consistency
-        FROM pre0 amr JOIN prescriptions abx ON amr.alf_pe = abx.alf_pe AND amr.pabx_str = abx.event_dt
-        WHERE abx.event_in_grp = 3"""),
-    ("dose_tab", """SELECT alf_pe, 'Multi' AS dose, 'Multi' AS dose_consistency FROM dose_cte GROUP BY alf_pe
-        HAVING count(*) > 1
-        UNION ALL
-        SELECT alf_pe, min(dose), min(dose_consistency) FROM dose_cte GROUP BY alf_pe HAVING count(*) = 1"""),
-    ("pre1", """SELECT p.*, x.pabx_first_script AS first_abx_dt, x.pabx_end, d.dose, d.dose_consistency
-        FROM pre0 p LEFT JOIN pabx12 x ON p.alf_pe = x.alf_pe LEFT JOIN dose_tab d ON p.alf_pe = d.alf_pe"""),
-    ("next_abx", """SELECT tt.alf_pe, min(abx.pabx_str) AS next_pabx_str FROM pre1 tt
-        JOIN exposure_starts abx ON tt.alf_pe = abx.alf_pe WHERE abx.pabx_str > tt.pabx_end GROUP BY tt.alf_pe"""),
-    ("pre2a", f"""SELECT p.* EXCLUDE (cohort_end_reason), n.next_pabx_str,
-        CASE WHEN (n.next_pabx_str < p.dod OR (n.next_pabx_str IS NOT NULL AND p.dod IS NULL))
-                  AND n.next_pabx_str < p.gp_end_date AND n.next_pabx_str < {S1}
-                  AND n.next_pabx_str < {addm('p.diag_date', 12)}
-             THEN 'NEW PABX' ELSE p.cohort_end_reason END AS cohort_end_reason
-        FROM pre1 p LEFT JOIN next_abx n ON p.alf_pe = n.alf_pe"""),
-    ("first_all", """SELECT c2.alf_pe, c2.pabx_str_all, c2.alt_str_dt AS pabx_all_first_script,
-            max(ed.alt_end_dt_comb) AS pabx_end_all
-        FROM (SELECT c.alf_pe, c.pabx_str_all, min(aa.alt_str_dt) AS alt_str_dt
-              FROM (SELECT cohp.alf_pe, min(pabx.pabx_str) AS pabx_str_all FROM pre2a cohp
-                    LEFT JOIN exposure_starts pabx ON pabx.alf_pe = cohp.alf_pe
-                         AND pabx.pabx_str - cohp.diag_date >= 0
-                    GROUP BY cohp.alf_pe) c
-              JOIN exposure_starts aa ON c.alf_pe = aa.alf_pe AND c.pabx_str_all = aa.pabx_str
-              GROUP BY c.alf_pe, c.pabx_str_all) c2
-        JOIN exposure_ends ed ON c2.alf_pe = ed.alf_pe AND c2.pabx_str_all = ed.pabx_str
-        GROUP BY c2.alf_pe, c2.pabx_str_all, c2.alt_str_dt"""),
-    ("rate", """SELECT coh.alf_pe, CAST(CAST(rt.abx_presc_rt AS DECIMAL(5,3)) AS DOUBLE) AS gp_presc_rt
-        FROM cohort1 coh LEFT JOIN registration reg ON coh.alf_pe = reg.alf_pe
-             AND coh.diag_date BETWEEN reg.start_date AND reg.end_date
-        LEFT JOIN practice_rate rt ON reg.prac_cd_pe = rt.prac_cd_pe"""),
-    ("amr_base", f"""SELECT DISTINCT tt.alf_pe FROM pre2a tt JOIN urine_tests w ON tt.alf_pe = w.alf_pe
-        WHERE ({_res_any}) AND w.spcm_collected_dt BETWEEN tt.diag_date - {P.resistance_lookback_days} AND tt.diag_date"""),
-    ("pre3", f"""SELECT p.*, f.pabx_str_all, f.pabx_all_first_script, f.pabx_end_all, r.gp_presc_rt,
-        CASE WHEN a.alf_pe IS NULL THEN 0 ELSE 1 END AS amr_baseline
-        FROM pre2a p LEFT JOIN first_all f ON p.alf_pe = f.alf_pe LEFT JOIN rate r ON p.alf_pe = r.alf_pe
-        LEFT JOIN amr_base a ON p.alf_pe = a.alf_pe"""),
-    ("pre4", f"""SELECT *, CASE WHEN dod < {D12} AND cohort_end_reason = 'DIED' THEN dod
-        ELSE least(coalesce(gp_end_date, DATE '{codes.OPEN_END}'), coalesce(dod, DATE '{codes.OPEN_END}'), {S1},
-                   coalesce(next_pabx_str, DATE '{codes.OPEN_END}'), {D12}) END AS min_end_dt FROM pre3"""),
-    ("gp_uti_n", f"""SELECT tt.alf_pe, count(jny.alf_pe) AS uti_count FROM
-        (SELECT DISTINCT gp.alf_pe, gp.event_str_dt, gp.event_end_dt, gp.data_source FROM gp_uti gp
-         LEFT JOIN (SELECT DISTINCT alf_pe, event_str_dt, event_end_dt, data_source FROM hosp_uti) pd
-              ON gp.alf_pe = pd.alf_pe
-         WHERE pd.alf_pe IS NULL OR gp.event_str_dt NOT BETWEEN pd.event_str_dt + 1 AND pd.event_end_dt) jny
-        JOIN pre4 tt ON tt.alf_pe = jny.alf_pe
-        WHERE jny.event_str_dt BETWEEN {addm('tt.diag_date', -12)} AND tt.diag_date AND jny.data_source = {q(codes.GP_SOURCE)}
-        GROUP BY tt.alf_pe"""),
-    ("hosp_uti_n", f"""SELECT tt.alf_pe, count(jny.alf_pe) AS uti_count FROM
-        (SELECT DISTINCT alf_pe, event_str_dt, event_end_dt, data_source FROM hosp_uti) jny
-        JOIN pre4 tt ON tt.alf_pe = jny.alf_pe
-        WHERE (jny.event_end_dt BETWEEN {addm('tt.diag_date', -12)} AND tt.diag_date
-               OR jny.event_str_dt BETWEEN {addm('tt.diag_date', -12)} AND tt.diag_date)
-          AND jny.data_source = {q(codes.HOSPITAL_SOURCE)}
-        GROUP BY tt.alf_pe"""),
-    ("pre", """SELECT p.* EXCLUDE (ethnic), p.ethnic_f AS ethnic, CAST(g.uti_count AS INTEGER) AS gp_uti_pre,
-        CAST(h.uti_count AS INTEGER) AS pedw_uti_pre
-        FROM pre4 p LEFT JOIN gp_uti_n g ON p.alf_pe = g.alf_pe LEFT JOIN hosp_uti_n h ON p.alf_pe = h.alf_pe"""),
+    ("eligible", f"""SELECT cohort1.*, CAST(death_dt AS DATE) AS dod, {YEAR_ON} AS year_on, {OLDEST} AS oldest,
+        wob + {P.max_age_years} AS oldest_in_days
+        FROM cohort1 LEFT JOIN deaths USING (alf_pe) WHERE pabx = 0 AND wimd_2019_quintile IS NOT NULL"""),
+    # the ways to leave, in the order in which they are tried
+    ("ways", f"""SELECT *,
+        [year_on < oldest AND year_on < gp_end_date AND (dod IS NULL OR oldest_in_days < dod),
+         gp_end_date < oldest AND (gp_end_date < dod - 1
+             OR (dod IS NULL AND year(gp_end_date) BETWEEN {P.study_start.year} AND {P.study_end.year})),
+         dod <= least(gp_end_date + 1, oldest) AND gp_end_date IS NOT NULL,
+         oldest < gp_end_date AND (dod IS NULL OR oldest_in_days < dod)] AS way,
+        [year_on, gp_end_date, dod, oldest] AS day
+        FROM eligible"""),
+    ("leaving", f"""SELECT * EXCLUDE (way, day),
+        coalesce(day[list_position(way, true)], {S1}) AS cohort_end_dt,
+        coalesce([{q(V.TWELVE_MONTHS)}, {q(V.LEFT)}, {q(V.DIED)}, {q(V.LEFT)}][list_position(
+            [way[1] AND day[1] <= {S1}, way[2] AND day[2] <= {S1}, way[3] AND day[3] <= {S1}, way[4] AND day[4] <= {S1}], true)],
+            {q(V.STUDY_END)}) AS cohort_end_reason
+        FROM ways"""),
+    ("exposed_before", f"""SELECT DISTINCT alf_pe FROM cohort1 JOIN exposure_ends USING (alf_pe)
+        WHERE (alt_end_dt_comb < diag_date AND diag_date < {addm('alt_end_dt_comb', P.prior_exposure_months)})
+           OR (pabx_after_ruti <= diag_date AND diag_date <= alt_end_dt_comb)"""),
+    ("contacts", f"""SELECT alf_pe, CAST(count(DISTINCT event_dt) AS INTEGER) AS days FROM gp_events JOIN cohort1 USING (alf_pe)
+        WHERE event_dt > diag_date AND event_dt <= {addm('diag_date', 12 * P.contact_window_years)}
+          AND (regexp_matches(event_cd, '^[0-9]') OR event_cd[1] <> lower(event_cd[1]))
+        GROUP BY alf_pe"""),
+    # an episode of exposure: its first script and its last end
+    ("episodes", """SELECT * FROM (SELECT alf_pe, pabx_str, min(alt_str_dt) AS script FROM exposure_starts GROUP BY ALL)
+        JOIN (SELECT alf_pe, pabx_str, max(alt_end_dt_comb) AS last_end FROM exposure_ends GROUP BY ALL) USING (alf_pe, pabx_str)"""),
+    ("doses", """SELECT alf_pe, event_dt AS pabx_str, count(DISTINCT (antibx_category, dose, dose_consistency)) > 1 AS mixed,
+        min(dose) AS dose, min(dose_consistency) AS steady FROM prescriptions WHERE event_in_grp = 3 GROUP BY alf_pe, event_dt"""),
+    ("treated", """SELECT l.*, l.pabx_after_ruti AS pabx_str, CAST(l.pabx_after_ruti - l.diag_date AS INTEGER) AS days_to_pabx,
+        e.script AS first_abx_dt, e.last_end AS pabx_end,
+        if(d.mixed, 'Multi', d.dose) AS dose, if(d.mixed, 'Multi', d.steady) AS dose_consistency
+        FROM leaving l ANTI JOIN exposed_before USING (alf_pe)
+        LEFT JOIN episodes e ON e.alf_pe = l.alf_pe AND e.pabx_str = l.pabx_after_ruti
+        LEFT JOIN doses d ON d.alf_pe = l.alf_pe AND d.pabx_str = l.pabx_after_ruti"""),
+    ("following", """SELECT alf_pe, min(s.pabx_str) FILTER (s.pabx_str > t.pabx_end) AS next_pabx_str,
+        min(s.pabx_str) FILTER (s.pabx_str >= t.diag_date) AS pabx_str_all
+        FROM treated t JOIN exposure_starts s USING (alf_pe) GROUP BY alf_pe"""),
+    ("rate", """SELECT alf_pe, min(CAST(CAST(abx_presc_rt AS DECIMAL(5, 3)) AS DOUBLE)) AS gp_presc_rt
+        FROM cohort1 JOIN registration USING (alf_pe) JOIN practice_rate USING (prac_cd_pe)
+        WHERE start_date <= diag_date AND diag_date <= end_date GROUP BY alf_pe"""),
+    ("resisted", f"""SELECT DISTINCT alf_pe FROM urine_tests JOIN cohort1 USING (alf_pe)
+        WHERE {any_resistant} AND diag_date - spcm_collected_dt BETWEEN 0 AND {P.resistance_lookback_days}"""),
+    # episodes of general practice that not all hospital episodes of the patient cover
+    ("gp_own", """SELECT g.* FROM (SELECT DISTINCT * FROM gp_uti) g LEFT JOIN hosp_uti h USING (alf_pe) GROUP BY ALL
+        HAVING bool_and(g.event_str_dt > h.event_str_dt AND g.event_str_dt <= h.event_end_dt) IS NOT TRUE"""),
+    ("utis", f"""SELECT alf_pe,
+        CAST(count(DISTINCT (event_str_dt, event_end_dt)) FILTER (part = 'gp' AND began) AS INTEGER) AS at_gp,
+        CAST(count(DISTINCT (event_str_dt, event_end_dt)) FILTER (part = 'hospital' AND (began OR ended)) AS INTEGER) AS at_hospital
+        FROM (SELECT u.*, event_str_dt BETWEEN {addm('diag_date', -12 * P.uti_lookback_years)} AND diag_date AS began,
+                     event_end_dt BETWEEN {addm('diag_date', -12 * P.uti_lookback_years)} AND diag_date AS ended
+              FROM (SELECT *, 'gp' AS part FROM gp_own UNION ALL SELECT *, 'hospital' FROM hosp_uti) u JOIN cohort1 USING (alf_pe))
+        GROUP BY alf_pe"""),
+    ("pre", f"""SELECT t.* EXCLUDE (ethnic, cohort_end_reason, year_on, oldest, oldest_in_days),
+        coalesce(t.ethnic, ethn_ec_ons_date_latest_code) AS ethnic, coalesce(c.days, 0) AS gp_int_days,
+        f.next_pabx_str, f.pabx_str_all, a.script AS pabx_all_first_script, a.last_end AS pabx_end_all, gp_presc_rt,
+        CASE WHEN t.alf_pe IN (FROM resisted) THEN 1 ELSE 0 END AS amr_baseline,
+        if(f.next_pabx_str < list_min([t.dod, t.gp_end_date, {S1}, t.year_on]) AND t.gp_end_date IS NOT NULL,
+           {q(V.NEW)}, t.cohort_end_reason) AS cohort_end_reason,
+        if(t.dod < t.year_on AND (NOT (f.next_pabx_str < list_min([t.dod, t.gp_end_date, {S1}, t.year_on])
+                                       AND t.gp_end_date IS NOT NULL)) IS NOT FALSE AND t.cohort_end_reason = {q(V.DIED)},
+           t.dod, list_min([t.gp_end_date, t.dod, {S1}, f.next_pabx_str, t.year_on])) AS min_end_dt,
+        nullif(u.at_gp, 0) AS gp_uti_pre, nullif(u.at_hospital, 0) AS pedw_uti_pre
+        FROM treated t LEFT JOIN ethnicity USING (alf_pe) LEFT JOIN contacts c USING (alf_pe) LEFT JOIN following f USING (alf_pe)
+        LEFT JOIN episodes a ON a.alf_pe = t.alf_pe AND a.pabx_str = f.pabx_str_all
+        LEFT JOIN rate r ON r.alf_pe = t.alf_pe LEFT JOIN utis u ON u.alf_pe = t.alf_pe"""),
 ]
 
 

@@ -1,4 +1,4 @@
-"""O40-O42 closed forms against the study's literal per-patient if-chains (all binary vectors)."""
+"""O40-O42 against the censoring rule by the place of the first initiation (all binary vectors)."""
 
 import itertools
 
@@ -8,29 +8,23 @@ from trialspark.operators import emulate as M
 from trialspark.params import AS_DOCUMENTED, StudyParams
 
 
-def arm0_chain(p):
-    """The arm-0 rule exactly as the study writes it (1-based positions, position 4 tested twice)."""
-    n = len(p)
-    x = lambda k: p[k - 1]
-    if n > 1 and x(2) == 1:
-        return 2
-    if n > 2 and x(2) == 0 and x(3) == 1:
-        return 3
-    if n > 3 and x(2) == 0 and x(3) == 0 and x(4) == 1:
-        return 4
-    if n > 4 and x(2) == 0 and x(3) == 0 and x(4) == 0 and x(4) == 1:
-        return 5
-    for j in range(6, 14):
-        if n > j - 1 and all(x(k) == 0 for k in range(2, j - 1)) and x(j - 1) == 1:
-            return j
-    return None
+def first_start(p):
+    """Place (from 1) of the first initiation after the index row."""
+    return next((k for k, treated in enumerate(p[1:], 2) if treated), None)
 
 
-def arm1_chain(p):
-    n = len(p)
-    if n > 12 and all(p[k - 1] == 0 for k in range(2, 14)):
-        return 13
-    return None
+def untreated_leaves(p, grace=12):
+    """At the initiation up to place 4; from place 5 to the end of the grace period one row later, if there is one."""
+    j = first_start(p)
+    if j is None or j > grace:
+        return None
+    return j if j <= 4 else j + 1 if j < len(p) else None
+
+
+def treated_leaves(p, grace=12):
+    """In the row after the grace period, if no initiation came by then."""
+    j = first_start(p)
+    return grace + 1 if len(p) > grace and (j is None or j > grace + 1) else None
 
 
 def _vectors(max_len):
@@ -46,14 +40,14 @@ def _frame(spark, max_len):
     return spark.createDataFrame(rows, "alf string, outcome_id int, cal_time int, pabx_start int, outcome int")
 
 
-def test_censor_positions_match_if_chain_all_vectors(spark):
+def test_censor_positions_match_the_rule_on_all_vectors(spark):
     params = StudyParams()
     df = _frame(spark, 14)
     got = (df.select("alf", M.censor_no_treat(params).alias("c0"), M.censor_no_start(params).alias("c1"))
            .distinct().collect())
     got = {r.alf: (r.c0, r.c1) for r in got}
     for i, v in enumerate(_vectors(14)):
-        assert got[str(i)] == (arm0_chain(v), arm1_chain(v)), v
+        assert got[str(i)] == (untreated_leaves(v), treated_leaves(v)), v
 
 
 def test_documented_arm0_censors_at_first_initiation(spark):
