@@ -11,13 +11,13 @@ each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions import codes
 from trialspark.functions.dates import between, is_true, lit_date, plus_days, plus_months, plus_years
 from trialspark.functions.predicates import any_resistant, counts_as_contact
-from trialspark.operators.joins import KEY, bounded_broadcast
+from trialspark.operators.joins import KEY, one_value
 from trialspark.params import StudyParams
 
 col = F.col
@@ -68,11 +68,11 @@ def prior_exposure_condition(params: StudyParams) -> Column:
 def prior_exposure_keys(cohort: DataFrame, exposure_ends: DataFrame, params: StudyParams) -> DataFrame:
     """Patients with an episode that ended < 12 months before index or that spans the index date.
 
-    The (large, possibly skewed) event side is the streamed side of an inner join, so AQE can
-    split a hot patient; the result is reduced to one row per patient with partial aggregation.
+    Episode ends are reduced to one row per patient and day before the join, so a patient with
+    very many episodes brings at most as many rows as there are days.
     """
     keys = cohort.select(KEY, "diag_date", "pabx_after_ruti")
-    return (exposure_ends.select(KEY, "alt_end_dt_comb").join(keys, KEY)
+    return (exposure_ends.select(KEY, "alt_end_dt_comb").distinct().join(keys, KEY)
             .where(prior_exposure_condition(params)).select(KEY).distinct())
 
 
@@ -87,11 +87,12 @@ def contact_days(keys: DataFrame, gp_events: DataFrame, params: StudyParams) ->
 
     Patients without such days are absent; ``attach_counts`` turns them into 0.
     """
-    ev = gp_events.where(counts_as_contact(col("event_cd"))).select(KEY, "event_dt")
+    # one row per patient and day: a hot patient is combined before the shuffle
+    ev = gp_events.where(counts_as_contact(col("event_cd"))).select(KEY, "event_dt").distinct()
     return (ev.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_dt", F.date_add("diag_date", 1),
                            plus_years("diag_date", params.contact_window_years)))
-            .groupBy(KEY).agg(F.count_distinct("event_dt").cast("int").alias("gp_int_days")))
+            .groupBy(KEY).agg(F.count("event_dt").cast("int").alias("gp_int_days")))
 
 
 def fill_from(cohort: DataFrame, lookup: DataFrame, target: str, source: str) -> DataFrame:
@@ -125,7 +126,7 @@ def exposure_bounds(keys: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def first_exposure_ever(keys: DataFrame, exposure_starts: DataFrame, bounds: DataFrame) -> DataFrame:
     """First episode start on or after index (any time), with its bounds; no row without bounds."""
-    first = (exposure_starts.select(KEY, col("pabx_str").alias("_s"))
+    first = (exposure_starts.select(KEY, col("pabx_str").alias("_s")).distinct()
              .join(keys.select(KEY, "diag_date"), KEY)
              .where(F.datediff("_s", "diag_date") >= 0)
              .groupBy(KEY).agg(F.min("_s").alias("pabx_str_all")))
@@ -152,7 +153,7 @@ def dose_at_start(keys: DataFrame, prescriptions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- O10, O11
 def next_episode_start(keys: DataFrame, exposure_starts: DataFrame) -> DataFrame:
     """``(alf_pe, next_pabx_str)``: first episode start after the current episode's end (forward as-of)."""
-    return (exposure_starts.select(KEY, col("pabx_str").alias("_s"))
+    return (exposure_starts.select(KEY, col("pabx_str").alias("_s")).distinct()
             .join(keys.select(KEY, "pabx_end"), KEY)
             .where(col("_s") > col("pabx_end"))
             .groupBy(KEY).agg(F.min("_s").alias("next_pabx_str")))
@@ -169,21 +170,25 @@ def override_exit_reason(cohort: DataFrame, params: StudyParams) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O13, O14
-def practice_rate(keys: DataFrame, registration: DataFrame, rates: DataFrame,
-                  max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Practice registered at index -> its prescribing rate as decimal(5,3), stored as double."""
+def practice_rate(keys: DataFrame, registration: DataFrame, rates: DataFrame) -> DataFrame:
+    """Practice registered at index -> its prescribing rate as decimal(5,3), stored as double.
+
+    Registrations that touch or overlap at index count once if their rates agree; different
+    rates fail the job. Patients without a registration at index, or whose practices have no
+    rate, are absent.
+    """
     reg = registration.select(col(KEY).alias("_k"), "prac_cd_pe", "start_date", "end_date")
     idx = keys.select(KEY, "diag_date")
     cond = (col(KEY) == col("_k")) & between("diag_date", "start_date", "end_date")
-    prac = idx.join(reg, cond, "left").select(KEY, "prac_cd_pe")
-    rt = bounded_broadcast(rates.select("prac_cd_pe", "abx_presc_rt"), max_broadcast_rows)
-    return (prac.join(rt, "prac_cd_pe", "left")
-            .select(KEY, col("abx_presc_rt").cast("decimal(5,3)").cast("double").alias("gp_presc_rt")))
+    prac = idx.join(reg, cond).select(KEY, "prac_cd_pe").distinct()
+    found = prac.join(rates.select("prac_cd_pe", "abx_presc_rt"), "prac_cd_pe").select(
+        KEY, col("abx_presc_rt").cast("decimal(5,3)").cast("double").alias("gp_presc_rt"))
+    return one_value(found, KEY, "gp_presc_rt", "prescribing rate of the practice at index")
 
 
 def baseline_resistance(keys: DataFrame, tests: DataFrame, params: StudyParams) -> DataFrame:
     """``(alf_pe, amr_baseline=1)`` for any resistant result in [index - 365 days, index]; others get 0."""
-    return (tests.where(any_resistant()).select(KEY, "spcm_collected_dt")
+    return (tests.where(any_resistant()).select(KEY, "spcm_collected_dt").distinct()
             .join(keys.select(KEY, "diag_date"), KEY)
             .where(between("spcm_collected_dt", F.date_sub("diag_date", params.resistance_lookback_days),
                            "diag_date"))
@@ -208,15 +213,21 @@ def baseline_uti_counts_gp(keys: DataFrame, gp_uti: DataFrame, hosp_uti: DataFra
     patient covers it (start + 1 day .. end, with SQL NULL rules). That is
     ``g >= max(start) + 1 AND g <= min(end)`` over the patient's hospital
     episodes, so one per-patient aggregate replaces the pairwise join.
+    As documented (D9), it is dropped if *some* hospital episode covers it.
     """
+    lo = plus_years("diag_date", -params.uti_lookback_years)
+    gp = (gp_uti.where(col("data_source") == codes.GP_SOURCE)
+          .select(KEY, "event_str_dt", "event_end_dt", "data_source").distinct())
+    if params.documented:
+        kept = _outside_hospital(gp, hosp_uti)
+        return (kept.join(keys.select(KEY, "diag_date"), KEY).where(between("event_str_dt", lo, "diag_date"))
+                .groupBy(KEY).agg(F.count(F.lit(1)).cast("int").alias("gp_uti_pre")))
     hs = hosp_uti.groupBy(KEY).agg(F.max("event_str_dt").alias("_max_s"), F.min("event_end_dt").alias("_min_e"),
                                    F.lit(1).alias("_has_h"))
     g = col("event_str_dt")
     covered = (col("_has_h").isNotNull()
                & (col("_max_s").isNull() | (g >= F.date_add("_max_s", 1)))
                & (col("_min_e").isNull() | (g <= col("_min_e"))))
-    lo = plus_years("diag_date", -params.uti_lookback_years)
-    gp = gp_uti.where(col("data_source") == codes.GP_SOURCE).select(KEY, "event_str_dt", "event_end_dt", "data_source")
     return (gp.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_str_dt", lo, "diag_date"))
             .join(hs, KEY, "left")
@@ -225,10 +236,25 @@ def baseline_uti_counts_gp(keys: DataFrame, gp_uti: DataFrame, hosp_uti: DataFra
                               .cast("int").alias("gp_uti_pre")))
 
 
+def _outside_hospital(gp: DataFrame, hosp_uti: DataFrame) -> DataFrame:
+    """GP episodes that no hospital episode covers (start + 1 day .. end): over the patient's
+    episodes in order of start, the latest end of those that started before."""
+    h = hosp_uti.select(KEY, "event_str_dt", "event_end_dt").distinct()
+    none = F.lit(None).cast("date")
+    both = (gp.select(KEY, "event_str_dt", "event_end_dt", "data_source", none.alias("_h"))
+            .unionByName(h.select(KEY, "event_str_dt", none.alias("event_end_dt"), F.lit(None).cast("string").alias("data_source"),
+                                  col("event_end_dt").alias("_h"))))
+    before = Window.partitionBy(KEY).orderBy(F.unix_date("event_str_dt")).rangeBetween(Window.unboundedPreceding, -1)
+    return (both.withColumn("_until", F.max("_h").over(before))
+            .where(col("data_source").isNotNull() & (col("_until").isNull() | (col("_until") < col("event_str_dt"))))
+            .drop("_h", "_until"))
+
+
 def baseline_uti_counts_hosp(keys: DataFrame, hosp_uti: DataFrame, params: StudyParams) -> DataFrame:
     """Distinct hospital UTI episodes starting or ending in [index - 1 year, index]."""
     lo = plus_years("diag_date", -params.uti_lookback_years)
-    h = hosp_uti.where(col("data_source") == codes.HOSPITAL_SOURCE).select(KEY, "event_str_dt", "event_end_dt", "data_source")
+    h = (hosp_uti.where(col("data_source") == codes.HOSPITAL_SOURCE)
+         .select(KEY, "event_str_dt", "event_end_dt", "data_source").distinct())
     return (h.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_end_dt", lo, "diag_date") | between("event_str_dt", lo, "diag_date"))
             .groupBy(KEY).agg(F.count_distinct(F.struct("event_str_dt", "event_end_dt", "data_source"))

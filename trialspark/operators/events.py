@@ -119,7 +119,9 @@ def multi_resistant_events(cohort: DataFrame, tests: DataFrame, params: StudyPar
     Groups with a NULL key never join back to their rows in the study, so they are dropped.
     """
     keys = [KEY, "spcm_collected_dt", "report_seq", "request_seq"]
-    groups = (tests.where(col(KEY).isNotNull() & col("spcm_collected_dt").isNotNull()
+    # a group without any resistance can't reach the count, so its rows need not be shuffled
+    groups = (tests.where(any_resistant())
+              .where(col(KEY).isNotNull() & col("spcm_collected_dt").isNotNull()
                           & col("report_seq").isNotNull() & col("request_seq").isNotNull())
               .groupBy(*keys).agg(resistant_count(params).alias("resistant_count"))
               .where(col("resistant_count") >= min_count))
@@ -129,11 +131,12 @@ def multi_resistant_events(cohort: DataFrame, tests: DataFrame, params: StudyPar
 
 def first_lab_dates(cohort: DataFrame, tests: DataFrame, predicates: dict) -> DataFrame:
     """O26 + O28 for several predicates in one pass: ``(alf_pe, d_<id>...)`` first matching specimen
-    date after index per outcome id. The tests are joined and shuffled once, not once per outcome."""
+    date after index per outcome id. Tests are combined to one row per patient and day before the join."""
     hit = None
     for pred in predicates.values():
         hit = pred if hit is None else (hit | pred)
-    j = (tests.where(hit).select(KEY, "spcm_collected_dt", *[pred.alias(f"_p{k}") for k, pred in predicates.items()])
+    j = (tests.where(hit).groupBy(KEY, "spcm_collected_dt")
+         .agg(*[F.max(F.coalesce(pred, F.lit(False))).alias(f"_p{k}") for k, pred in predicates.items()])
          .join(cohort.select(KEY, "diag_date"), KEY)
          .where(col("spcm_collected_dt") > col("diag_date")))
     return j.groupBy(KEY).agg(*[F.min(F.when(col(f"_p{k}"), col("spcm_collected_dt"))).alias(f"d_{k}")

@@ -1,4 +1,4 @@
-"""Join helpers: uniqueness checks, size-checked broadcast, keyed attach."""
+"""Join helpers: uniqueness checks and sources reduced to one value per key."""
 
 from __future__ import annotations
 
@@ -29,18 +29,12 @@ def assert_unique(df: DataFrame, keys, what: str = "source") -> DataFrame:
     return df
 
 
-def attach(target: DataFrame, source: DataFrame, keys, check: bool = False, what: str = "source") -> DataFrame:
-    """MERGE ... WHEN MATCHED UPDATE as a left join on a source unique on ``keys``."""
-    if check:
-        assert_unique(source, keys, what)
-    return target.join(source, on=keys, how="left")
+def one_value(df: DataFrame, key: str, value: str, what: str) -> DataFrame:
+    """One row per key with its ``value`` (O9); a key with two different values fails the job.
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Above the bound the frame is
-    returned as is and the planner keeps a shuffle join.
+    The check is part of the aggregation, so it costs no job of its own and
+    can't be left out; equal values from several rows are one value.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    low, high = F.min(value), F.max(value)
+    error = F.raise_error(F.concat(F.lit(f"CardinalityError: {what}: different values for "), F.col(key).cast("string")))
+    return df.groupBy(key).agg(F.when(low.eqNullSafe(high), low).otherwise(error).alias(value))

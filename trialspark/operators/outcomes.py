@@ -79,7 +79,7 @@ def closest_specimen(cohort: DataFrame, tests: DataFrame, params: StudyParams) -
     """
     rank_of = F.create_map(*[x for i, o in enumerate(codes.UTI_OUTCOME_RANK, 1) for x in (F.lit(o), F.lit(i))])
     rank = F.coalesce(F.try_element_at(rank_of, col("uti_outcome")), F.lit(len(codes.UTI_OUTCOME_RANK) + 1))
-    best = (tests.select(KEY, "spcm_collected_dt", rank.alias("_rank"))
+    best = (tests.groupBy(KEY, "spcm_collected_dt").agg(F.min(rank).alias("_rank"))  # one row per patient and day
             .join(cohort.select(KEY, "diag_date"), KEY)
             .where(between("spcm_collected_dt", plus_years("diag_date", -params.specimen_lookback_years),
                            "diag_date"))
@@ -96,9 +96,10 @@ def closest_specimen(cohort: DataFrame, tests: DataFrame, params: StudyParams) -
 def exposure_type(cohort: DataFrame, exposure_starts: DataFrame, params: StudyParams) -> DataFrame:
     """Type of the first episode starting in [index, index + 12 months).
 
-    Ties on the start date resolve to the smallest type name (the study would reject them).
+    Several types on that day (which the study rejects): the first in the order of names, a
+    missing type only if there is no other.
     """
-    return (exposure_starts.select(KEY, "pabx_str", "alt_abx_type")
+    return (exposure_starts.groupBy(KEY, "pabx_str").agg(F.min("alt_abx_type").alias("alt_abx_type"))
             .join(cohort.select(KEY, "diag_date"), KEY)
             .where(months_within("pabx_str", "diag_date", params.followup_months))
             .groupBy(KEY).agg(F.min(F.struct("pabx_str", "alt_abx_type")).alias("_t"))
@@ -132,7 +133,7 @@ def death_after_outcome() -> Column:
 
 def next_event_date(cohort: DataFrame, all_uti: DataFrame) -> DataFrame:
     """First UTI after index (forward as-of)."""
-    return (all_uti.select(KEY, "event_str_dt").join(cohort.select(KEY, "diag_date"), KEY)
+    return (all_uti.select(KEY, "event_str_dt").distinct().join(cohort.select(KEY, "diag_date"), KEY)
             .where(col("event_str_dt") > col("diag_date"))
             .groupBy(KEY).agg(F.min("event_str_dt").alias("next_uti_dt")))
 

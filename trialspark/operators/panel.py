@@ -87,10 +87,3 @@ def panel(cohort: DataFrame, params: StudyParams) -> DataFrame:
         **exit_flags(params),
     }
     return p.withColumns(flags).select(*PANEL_COLUMNS, *FLAG_COLUMNS)
-
-
-def week_of(date: Column, start: Column, step_days: int) -> Column:
-    """Index of the interval holding ``date`` (NULL before ``start``)."""
-    return F.when(date >= start, F.floor(F.datediff(date, start) / step_days).cast("int"))
-
-

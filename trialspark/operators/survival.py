@@ -51,13 +51,17 @@ def effect_measures(final: DataFrame, by: list[str], arm: str = "arm") -> DataFr
 
 
 # ---------------------------------------------------------------- O53 bootstrap
-def poisson1_thresholds(k_max: int = 12) -> list[float]:
-    """CDF of Poisson(1) at 0..k_max (a parameterised rule, not a stored table)."""
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(k_max + 1):
+def poisson1_thresholds(bits: int = 32) -> list[float]:
+    """CDF of Poisson(1) at 0, 1, ... as far as a uniform of ``bits`` bits can reach.
+
+    Beyond the last value no such uniform lies, so nothing is cut off.
+    """
+    out, acc, term, k = [], 0.0, math.exp(-1.0), 0
+    while acc < 1.0 - 2.0 ** -bits:
         acc += term
         out.append(acc)
-        term /= (k + 1)
+        k += 1
+        term /= k
     return out
 
 

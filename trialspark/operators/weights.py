@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import dataclasses
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from trialspark.params import StudyParams
 
@@ -27,6 +30,9 @@ SQUARED = ["ruti_age", "gp_prescrib_rate", "utis_hosp_baseline", "utis_gp_baseli
 FACTORS = ["frailty", "wimd", "most_recent_urine"]
 TIME = ["cal_time", "time_sq"]
 
+# levels a factor may have; each is a column of the model
+MAX_LEVELS = 200
+
 
 def model_features(df: DataFrame) -> DataFrame:
     """Squares, factor levels as strings (missing -> 'NA'), NULL counts -> 0."""
@@ -53,6 +59,7 @@ class LogitFit:
     intercept: float
     coefficients: dict[str, float]   # column -> coefficient; dummies as "<factor>_lvl=<level>"
     iterations: int
+    converged: bool = True           # False: the iteration cap was reached
 
     def linear(self) -> Column:
         expr = F.lit(self.intercept)
@@ -80,9 +87,13 @@ def logistic(eta: Column) -> Column:
 def factor_levels(df: DataFrame, factors: list[str], numeric: list[str], by: str = "outcome_id") -> dict:
     """Per group: sorted levels of each factor and the numeric columns that vary (one small job).
 
-    ``collect_set`` is bounded by the number of levels; min/max detect constant columns,
+    A factor with more than ``MAX_LEVELS`` levels fails the job; min/max detect constant columns,
     which R drops as aliased and IRLS cannot invert.
     """
+    counts = df.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first()
+    wide = [f for f in factors if counts[f] > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"factors with more than {MAX_LEVELS} levels: {wide}")
     aggs = [F.sort_array(F.collect_set(f)).alias(f) for f in factors]
     aggs += [(F.min(c) != F.max(c)).alias(c) for c in numeric]
     out = {}
@@ -143,7 +154,7 @@ def _glr(df: DataFrame, label: str, cols: list[Column], names: list[str], weight
     model = glr.fit(data)
     coefs = dict(zip(names, [float(b) for b in model.coefficients]))
     iters = model.summary.numIterations if model.hasSummary else -1
-    return LogitFit(float(model.intercept), coefs, iters)
+    return LogitFit(float(model.intercept), coefs, iters, 0 <= iters < max_iter)
 
 
 def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, list[str]] | None = None,
@@ -156,14 +167,17 @@ def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, l
     (as R does) and the model is refitted; constant columns are dropped beforehand.
     """
     cols, names = design(numeric, levels or {})
+    fit = None
     try:
         fit = _glr(df, label, cols, names, weight, max_iter)
-        healthy = fit.iterations < max_iter and all(abs(b) < 1e3 for b in fit.coefficients.values())
-    except Exception:  # singular normal equations
-        fit, healthy = None, False
-    if healthy or not drop_aliased or not cols:
+    except (Py4JError, PySparkException) as error:  # only singular normal equations mean aliased terms
+        if "ingular" not in str(error):
+            raise
+    if fit is not None and fit.converged and all(abs(b) < 1e3 for b in fit.coefficients.values()):
+        return fit
+    if not drop_aliased or not cols:
         if fit is None:
-            raise RuntimeError("logistic fit failed")
+            raise RuntimeError("logistic fit failed: singular normal equations")
         return fit
     keep = non_aliased(df, cols, names, weight)
     return _glr(df, label, [cols[i] for i in keep], [names[i] for i in keep], weight, max_iter)
@@ -185,54 +199,59 @@ def stabilised_weight(num: str = "p_num_t", den: str = "p_den_t") -> Column:
     return (F.when(d != 0, n / d).when(n == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
 
 
-def type7_quantile(df: DataFrame, value: str, group: list[str], q: float, accuracy: int = 100_000) -> DataFrame:
-    """Exact R type-7 quantile per group, without gathering a group into one task.
+def type7_quantile(df: DataFrame, value: str, group: list[str], q: float, count: str | None = None,
+                   accuracy: int = 100_000) -> DataFrame:
+    """Exact R type-7 quantile per group: ``(group..., n, quantile)``, a row each on the driver.
 
-    1. ``percentile_approx`` brackets the two order statistics needed
-       (rank error <= n / accuracy); 2. one pass counts rows below the bracket;
-    3. only rows inside the bracket (about 4n/accuracy per group) are ranked.
-    Groups of at most ``accuracy`` rows use their whole range as the band.
+    ``count`` says how often a row's value occurs (default once). ``percentile_approx`` brackets
+    the two order statistics needed; one pass counts what lies below the bracket, and the
+    distinct values inside it, with their counts, are cumulated. Equal values are one row there,
+    however many they are. Where a bracket misses its ranks it is widened and the pass repeated,
+    up to the whole range, so the result never depends on the bracket.
     """
+    times = col(count).cast("long") if count else F.lit(1).cast("long")
+    rows = df.select(*group, col(value).cast("double").alias("_v"), times.alias("_c")).where(
+        col("_v").isNotNull() & (col("_c") > 0))
+    sizes = {tuple(r[:-1]): r[-1] for r in map(tuple, rows.groupBy(*group).agg(F.sum("_c")).collect())}
+    found: dict[tuple, float] = {}
     delta = 4.0 / accuracy
-    lo_q, hi_q = max(0.0, q - delta), min(1.0, q + delta)
-    stats = df.groupBy(*group).agg(
-        F.count(col(value)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-        F.percentile_approx(value, [lo_q, hi_q], accuracy).alias("_b"))
-    # small groups (n <= accuracy) take the whole group as the band: at most ``accuracy`` rows
-    small = col("_n") <= accuracy
-    stats = stats.select(*group, "_n", F.when(small, col("_min")).otherwise(col("_b")[0]).alias("_lo"),
-                         F.when(small, col("_max")).otherwise(col("_b")[1]).alias("_hi"))
-    # target ranks (0-based) h = (n-1) q
-    stats = stats.withColumn("_h", (col("_n") - 1) * F.lit(q))
-    stats = stats.withColumns({"_k0": F.floor("_h").cast("long"),
-                               "_k1": F.least(F.floor("_h").cast("long") + 1, col("_n") - 1)})
-    j = df.select(*group, col(value).alias("_v")).where(col("_v").isNotNull()).join(stats, group)
-    below = j.groupBy(*group).agg(F.count(F.when(col("_v") < col("_lo"), 1)).alias("_below"),
-                                  F.count(F.when(col("_v") <= col("_hi"), 1)).alias("_upto"))
-    stats = stats.join(below, group)
-    band = (j.join(below, group).where((col("_v") >= col("_lo")) & (col("_v") <= col("_hi")))
-            .withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_v")) - 1 + col("_below")))
-    pick = band.groupBy(*group).agg(
-        F.max(F.when(col("_r") == col("_k0"), col("_v"))).alias("_x0"),
-        F.max(F.when(col("_r") == col("_k1"), col("_v"))).alias("_x1"))
-    res = stats.join(pick, group, "left")
-    covered = (col("_below") <= col("_k0")) & (col("_upto") > col("_k1"))
-    res = res.withColumn("_ok", covered & col("_x0").isNotNull() & col("_x1").isNotNull())
-    frac = col("_h") - col("_k0")
-    return res.select(*group, F.when(col("_ok"), col("_x0") + frac * (col("_x1") - col("_x0"))).alias("quantile"),
-                      col("_ok").alias("exact"), col("_n").alias("n"))
+    while len(found) < len(sizes):
+        lo_q, hi_q = max(0.0, q - delta), min(1.0, q + delta)
+        whole = lo_q == 0.0 and hi_q == 1.0
+        edges = [F.min("_v"), F.max("_v")] if whole else [F.percentile_approx("_v", x, accuracy) for x in (lo_q, hi_q)]
+        band = rows.groupBy(*group).agg(edges[0].alias("_lo"), edges[1].alias("_hi"))
+        near = rows.join(F.broadcast(band), group)  # one row per group
+        below = near.groupBy(*group).agg(F.sum(F.when(col("_v") < col("_lo"), col("_c")).otherwise(0)).alias("_below"))
+        w = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        values = (near.where((col("_v") >= col("_lo")) & (col("_v") <= col("_hi"))).groupBy(*group, "_v")
+                  .agg(F.sum("_c").alias("_c")).withColumn("_upto", F.sum("_c").over(w)).join(F.broadcast(below), group)
+                  .withColumn("_upto", col("_upto") + col("_below")))
+        size = F.create_map(*[x for k, n in sizes.items() for x in (F.concat_ws("|", *[F.lit(v) for v in k]), F.lit(n))])
+        h = (F.element_at(size, F.concat_ws("|", *[col(g).cast("string") for g in group])) - 1) * F.lit(q)
+        # the first value whose cumulated count exceeds a rank is the order statistic of that rank
+        at = values.groupBy(*group).agg(
+            F.min(F.when(col("_upto") > F.floor(h), col("_v"))).alias("x0"),
+            F.min(F.when(col("_upto") > F.ceil(h), col("_v"))).alias("x1"), F.first("_below").alias("below"))
+        for *key, x0, x1, under in map(tuple, at.collect()):
+            h_key = (sizes[tuple(key)] - 1) * q
+            if x0 is not None and x1 is not None and under <= int(h_key):
+                found.setdefault(tuple(key), x0 if x0 == x1 else x0 + (h_key - int(h_key)) * (x1 - x0))
+        if whole and len(found) < len(sizes):
+            raise RuntimeError("quantile not found in the whole range")
+        delta *= 16
+    fields = [f for f in df.select(*group).schema]
+    schema = StructType([*fields, StructField("n", LongType()), StructField("quantile", DoubleType())])
+    return df.sparkSession.createDataFrame([(*k, sizes[k], x) for k, x in found.items()], schema)
 
 
 def truncate_weights(df: DataFrame, params: StudyParams, weight: str = "sw_a", out: str = "sw_trunc",
-                     group: list[str] | None = None) -> DataFrame:
+                     group: list[str] | None = None, count: str | None = None) -> DataFrame:
     """Cap weights above the ``weight_q`` quantile of the cloned rows' weights (per outcome).
 
-    The threshold table has one row per group, so it is broadcast. A band that
-    missed its ranks (never expected) fails the job instead of capping wrongly.
+    The threshold table has one row per group, so it is broadcast. A group without a threshold
+    has no weight to cap.
     """
     group = group or ["outcome_id"]
-    thr = type7_quantile(df, weight, group, params.weight_q)
-    thr = thr.select(*group, F.when(col("exact") | (col("n") == 0), col("quantile"))
-                     .otherwise(F.raise_error(F.lit("weight quantile band missed its ranks"))).alias("_thr"))
+    thr = type7_quantile(df, weight, group, params.weight_q, count).select(*group, col("quantile").alias("_thr"))
     return (df.join(F.broadcast(thr), group, "left")
             .withColumn(out, F.when(col(weight) > col("_thr"), col("_thr")).otherwise(col(weight))).drop("_thr"))

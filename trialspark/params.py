@@ -32,6 +32,9 @@ class StudyParams:
     discharge_gap_days: int = 3
     # weight truncation quantile (type 7)
     weight_q: float = 0.9995
+    # bootstrap replicates with fixed weights, and with both weight models fitted anew in each
+    bootstrap_replicates: int = 200
+    refit_replicates: int = 200
     # "as_written" reproduces the code, "as_documented" the stated intent
     mode: str = AS_WRITTEN
 
@@ -51,4 +54,5 @@ class StudyParams:
 
 
 # Window used with the driver's synthetic tables (orders run 1995-2001).
-FIXTURE_PARAMS = StudyParams(study_start=dt.date(1996, 1, 1), study_end=dt.date(2000, 12, 31))
+FIXTURE_PARAMS = StudyParams(study_start=dt.date(1996, 1, 1), study_end=dt.date(2000, 12, 31),
+                             bootstrap_replicates=50, refit_replicates=4)

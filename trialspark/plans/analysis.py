@@ -62,22 +62,16 @@ def fit_models(df: DataFrame, outcome_ids, threads: int = 6, weight: str | None
             num = W.fit_logit(grouped.where(col("outcome_id") == oid), "_p", W.TIME, weight="_n")
             return oid, (den, num)
 
-        ids = [i for i in outcome_ids if i in info]
+        ids = list(outcome_ids)
+        empty = [i for i in ids if i not in info]
+        if empty:
+            raise ValueError(f"no row at risk for outcomes {empty}: their weight models can't be fitted")
         with ThreadPoolExecutor(max_workers=max(1, min(threads, len(ids)))) as pool:
             return dict(pool.map(fit, ids))
     finally:
         rows.unpersist()
 
 
-def _by_outcome(fits: dict, pick: int) -> Column:
-    """The fitted linear predictor of each outcome's model, selected by ``outcome_id`` (small fit sets)."""
-    expr = None
-    for oid, pair in fits.items():
-        eta = pair[pick].linear()
-        expr = F.when(col("outcome_id") == oid, eta) if expr is None else expr.when(col("outcome_id") == oid, eta)
-    return expr
-
-
 def coefficient_table(spark, fits: dict, pick: int, prefix: str) -> tuple[DataFrame, Column]:
     """One row per outcome with the model's coefficients as columns, and the linear predictor over them.
 
@@ -162,7 +156,7 @@ def bootstrap_refit(prep: DataFrame, params: StudyParams, outcome_ids, replicate
 
     A replicate gives each patient a Poisson(1) multiplicity (seeded md5, as in the fixed-weight
     bootstrap); the fits use it as a frequency weight, the truncation quantile is taken over the
-    replicate's rows repeated by multiplicity, and KM weights are ``sw_trunc * mult``. Censoring
+    replicate's rows counted by multiplicity, and KM weights are ``sw_trunc * mult``. Censoring
     does not depend on the weights, so the clones are built once. Each replicate is a short
     sequence of distributed jobs; only its six effect rows reach the driver.
     """
@@ -176,14 +170,10 @@ def bootstrap_refit(prep: DataFrame, params: StudyParams, outcome_ids, replicate
         mult = counts.where(col("rep") == b).select("alf", "mult")
         rows = prep.join(mult, "alf")
         fits = fit_models(rows, outcome_ids, weight="mult")
-        if not fits:
-            continue
         w = with_fitted(rows, fits).select("alf", "outcome_id", "cal_time", "sw_a", "mult")
         cl = clones.join(w, ["alf", "outcome_id", "cal_time"])
-        expanded = cl.select("outcome_id", "sw_a", F.explode(F.array_repeat(F.lit(1), col("mult"))).alias("_c"))
-        thr = W.type7_quantile(expanded, "sw_a", ["outcome_id"], params.weight_q)
-        cl = (cl.join(F.broadcast(thr.select("outcome_id", col("quantile").alias("_thr"))), "outcome_id")
-              .withColumn("sw_trunc", F.least(col("sw_a"), col("_thr")) * col("mult")))
+        cl = W.truncate_weights(cl, params, "sw_a", "sw_trunc", ["outcome_id"], count="mult")
+        cl = cl.withColumn("sw_trunc", col("sw_trunc") * col("mult"))
         eff = effects(cl).withColumn("rep", F.lit(b))
         per_rep.append(eff.collect())
     spark = prep.sparkSession

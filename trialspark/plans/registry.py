@@ -29,9 +29,9 @@ from trialspark.sources.fixtures import fixture_catalog
 col = F.col
 PARAMS = FIXTURE_PARAMS
 ROUND = 9
-BOOTSTRAP_REPLICATES = 50
+BOOTSTRAP_REPLICATES = PARAMS.bootstrap_replicates
 BOOTSTRAP_SEED = 7
-REFIT_REPLICATES = 4
+REFIT_REPLICATES = PARAMS.refit_replicates
 
 
 _CATALOGS: dict = {}

@@ -26,6 +26,7 @@ class StudyResult:
     clones: DataFrame        # weighted, censored clones with truncated weights
     curves: DataFrame        # weighted survival curve per (outcome_id, arm, cal_time)
     effects: DataFrame       # r1, r0, rd, rr, nnt per outcome
+    intervals: DataFrame     # percentile intervals of the effects, weights held fixed
     fits: dict               # outcome_id -> (denominator, numerator) LogitFit
 
 
@@ -34,17 +35,22 @@ def write_outcome_tables(outcomes: DataFrame, path: str) -> None:
     outcomes.write.mode("overwrite").partitionBy("outcome_id").parquet(path)
 
 
-def run(cat: SourceCatalog, params: StudyParams, out_dir: str | None = None, outcome_ids=None) -> StudyResult:
+def run(cat: SourceCatalog, params: StudyParams, out_dir: str | None = None, outcome_ids=None,
+        check: bool = True) -> StudyResult:
+    """The study end to end. ``check`` first makes sure that merged sources have one row per key."""
     ids = sorted(outcome_ids or E.OUTCOMES)
-    pre = cut(T.baseline_cohort(cat, params, materialise=cut), "baseline")
+    pre = cut(T.baseline_cohort(cat, params, materialise=cut, check=check), "baseline")
     outcomes = cut(T.all_outcomes(cat, params, outcome_ids=ids, pre=pre), "outcomes")
     prep = cut(A.prepared(outcomes, params), "prepared")
     fits = A.fit_models(prep, ids)
     clones = cut(A.weighted_clones(A.with_fitted(prep, fits), params, materialise=cut), "clones")
     curves = S.weighted_km(clones, ["outcome_id", "arm"])
     effects = S.effect_measures(S.final_survival(curves, ["outcome_id", "arm"]), ["outcome_id"])
+    reps = S.bootstrap_effects(clones, ["outcome_id"], replicates=params.bootstrap_replicates)
+    intervals = S.bootstrap_ci(reps, ["outcome_id"])
     if out_dir:
         write_outcome_tables(outcomes, f"{out_dir}/outcome_tables")
         curves.write.mode("overwrite").parquet(f"{out_dir}/survival_curves")
         effects.write.mode("overwrite").parquet(f"{out_dir}/effects")
-    return StudyResult(outcomes, clones, curves, effects, fits)
+        intervals.write.mode("overwrite").parquet(f"{out_dir}/intervals")
+    return StudyResult(outcomes, clones, curves, effects, intervals, fits)

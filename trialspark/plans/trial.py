@@ -38,6 +38,7 @@ def check_sources(cat: SourceCatalog) -> None:
     assert_unique(cat.cohort, KEY, "cohort (one index date per patient)")
     assert_unique(cat.deaths, KEY, "deaths")
     assert_unique(cat.ethnicity, KEY, "ethnicity")
+    assert_unique(cat.practice_rate, "prac_cd_pe", "practice_rate")
 
 
 def baseline_cohort(cat: SourceCatalog, params: StudyParams, materialise=None, check: bool = False) -> DataFrame:
@@ -130,11 +131,4 @@ def all_outcomes(cat: SourceCatalog, params: StudyParams, outcome_ids=None, pre:
     return O.assemble(table, params)
 
 
-def study_panel(cat: SourceCatalog, params: StudyParams, pre: DataFrame | None = None) -> DataFrame:
-    """The weekly panel without outcomes (the study's PRE2)."""
-    pre = pre if pre is not None else baseline_cohort(cat, params)
-    return P.panel(pre, params)
-
-
-__all__ = ["exit_cohort", "baseline_cohort", "patient_facts", "stacked_panel", "outcome_template", "all_outcomes",
-           "study_panel"]
+__all__ = ["exit_cohort", "baseline_cohort", "patient_facts", "stacked_panel", "outcome_template", "all_outcomes"]
