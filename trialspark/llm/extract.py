@@ -51,8 +51,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WEIGHTS = {
     "bias": 0.2,
     "in_main": 6.0,
-    "in_chrome": -9.0,
-    "named_boilerplate": -9.0,
+    "in_chrome": -14.0,
+    "named_boilerplate": -14.0,
     "named_content": 1.5,
     "hidden": -12.0,
     "links": -4.0,

@@ -84,7 +84,7 @@ class Automaton:
             c = self.symbol[column]
             to = self.table[state + c]
             stuck = to == 0
-            count += stuck
+            count += stuck | (state == 0)
             to[stuck] = self.table[c[stuck]]
             state = to
         return count
@@ -136,7 +136,7 @@ class Model:
         bits = np.zeros((len(clean), len(self.automata)))
         for k, automaton in enumerate(self.automata):
             # every padding byte is a phrase of its own
-            count = automaton.phrases(columns) - (ROW_BYTES - ends) + 1
+            count = automaton.phrases(columns) - (ROW_BYTES - ends)
             phrases = np.bincount(owner, count, len(clean))
             bits[:, k] = phrases * np.log2(max(2, automaton.size)) / np.maximum(1, sizes)
         best = bits.argmin(axis=1)

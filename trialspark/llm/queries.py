@@ -113,4 +113,23 @@ ORACLE: dict[str, str] = {
         FROM d
         WINDOW g AS (PARTITION BY content ORDER BY size DESC, doc_id)
     """,
+    "op8_minhash": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: w[i:i + 2])) AS s
+            FROM words WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(s) AS n FROM words LEFT JOIN sets USING (doc_id) GROUP BY doc_id),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id
+            JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes n ON n.doc_id = y.doc_id
+            GROUP BY x.doc_id, y.doc_id, m.n, n.n
+            HAVING 100 * count(*) >= 85 * (m.n + n.n - count(*))),
+        reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+        SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+        FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
+    """,
 }
