@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from oracle.roles import with_ctes
-from oracle.stages import ANALYSIS, EVENTS, OUTCOME, PANEL, bootstrap
+from oracle.stages import ANALYSIS, EVENTS, NUMERATOR, OUTCOME, PANEL, bootstrap, denominator_terms
 from trialspark.plans.registry import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED
 
 R = 9
+# fixed values: numeric terms of the denominator model
+NUMERIC_TERMS = [
+    "ruti_age", "gp_prescrib_rate", "immun_supp", "diab", "renal_stone", "urin_tract_abnorm",
+    "utis_hosp_baseline", "utis_gp_baseline", "amr_baseline", "ruti_age_sq", "gp_prescrib_rate_sq",
+    "utis_hosp_baseline_sq", "utis_gp_baseline_sq", "cal_time", "time_sq",
+]
 _EV = "alf_pe, prov_unit_cd, spell_num_pe, epi_num, epi_str_dt, diag_cd_1234"
 
 
@@ -81,4 +87,8 @@ ORACLE: dict[str, str] = {
     "bootstrap_ci": _sql("SELECT outcome_id, replicates, " + ", ".join(
         _r(f"{m}_{e}", digits=6) for m in ("rd", "rr", "r1", "r0") for e in ("lo", "hi")) + " FROM bs_ci",
         PANEL, EVENTS, OUTCOME, ANALYSIS, bootstrap(BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED)),
+    "numerator_model": _sql(f"""SELECT outcome_id, {_r('a', 'intercept', 4)}, {_r('b', 'cal_time', 4)}, {_r('c', 'time_sq', 4)}
+        FROM newton WHERE step = 12""", PANEL, EVENTS, OUTCOME, ANALYSIS, NUMERATOR),
+    "denominator_score": _sql("SELECT outcome_id, term, CAST(0 AS DOUBLE) AS score FROM terms", PANEL, EVENTS, OUTCOME, ANALYSIS,
+                              denominator_terms(NUMERIC_TERMS)),
 }

@@ -176,6 +176,39 @@ ANALYSIS = [
 ]
 
 
+# Newton steps for a logistic model in time and its square, on counts by week; 3 x 3 equations solved by cofactors.
+NUMERATOR = [
+    ("tally", """SELECT outcome_id, CAST(cal_time AS DOUBLE) AS t, sum(pabx_start) AS y, count(*) AS n
+        FROM risk WHERE at_risk = 1 GROUP BY ALL"""),
+    ("newton", """SELECT DISTINCT outcome_id, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM tally
+        UNION ALL
+        SELECT outcome_id, step + 1,
+            a + ((h2 * h4 - h3 * h3) * g0 + (h2 * h3 - h1 * h4) * g1 + (h1 * h3 - h2 * h2) * g2) / d,
+            b + ((h2 * h3 - h1 * h4) * g0 + (h0 * h4 - h2 * h2) * g1 + (h1 * h2 - h0 * h3) * g2) / d,
+            c + ((h1 * h3 - h2 * h2) * g0 + (h1 * h2 - h0 * h3) * g1 + (h0 * h2 - h1 * h1) * g2) / d
+        FROM (SELECT *, h0 * (h2 * h4 - h3 * h3) - h1 * (h1 * h4 - h2 * h3) + h2 * (h1 * h3 - h2 * h2) AS d
+              FROM (SELECT outcome_id, step, a, b, c, sum(y - n * p) AS g0, sum(t * (y - n * p)) AS g1, sum(t * t * (y - n * p)) AS g2,
+                        sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * t) AS h1, sum(n * p * (1 - p) * t ** 2) AS h2,
+                        sum(n * p * (1 - p) * t ** 3) AS h3, sum(n * p * (1 - p) * t ** 4) AS h4
+                    FROM (SELECT w.*, t, y, n, 1 / (1 + exp(-(a + b * t + c * t * t))) AS p FROM newton w JOIN tally USING (outcome_id))
+                    GROUP BY outcome_id, step, a, b, c))
+        WHERE step < 12"""),
+]
+
+_levels = " UNION ALL ".join(
+    f"SELECT outcome_id, '{f}_lvl=' || coalesce(CAST({f} AS VARCHAR), 'NA') AS term FROM at_risk_rows"
+    for f in ("frailty", "wimd", "most_recent_urine"))
+
+
+def denominator_terms(numeric: list[str]) -> list[tuple[str, str]]:
+    """Every term of the denominator model: its score must be 0."""
+    return [
+        ("at_risk_rows", "SELECT f.* FROM final f JOIN risk r USING (alf, outcome_id, cal_time) WHERE r.at_risk = 1"),
+        ("terms", f"SELECT DISTINCT outcome_id, term FROM ({_levels} UNION ALL "
+                  f"SELECT outcome_id, unnest([{ql(['(intercept)', *numeric])}]) FROM at_risk_rows)"),
+    ]
+
+
 def bootstrap(replicates: int, seed: int) -> list[tuple[str, str]]:
     """Poisson(1) patient multiplicities from md5(alf:rep:seed), KM per replicate, percentile interval."""
     shares = [math.exp(-1.0) / math.factorial(k) for k in range(14)]

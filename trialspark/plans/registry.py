@@ -272,6 +272,38 @@ def treatment_model(spark, sf_dir):
     return spark.createDataFrame(rows, "outcome_id int, model string, term string, estimate double")
 
 
+def _fitted(spark, sf_dir):
+    prep = _memo(spark, sf_dir, "prepared", lambda: A.prepared(_table(spark, sf_dir), PARAMS))
+    return prep, A.fit_models(prep, sorted(E.OUTCOMES))
+
+
+def numerator_model(spark, sf_dir):
+    """The fitted coefficients of the numerator model (SQL solves the same normal equations)."""
+    fits = _fitted(spark, sf_dir)[1]
+    rows = [(oid, num.intercept, num.coefficients.get("cal_time", 0.0), num.coefficients.get("time_sq", 0.0))
+            for oid, (_, num) in fits.items()]
+    df = spark.createDataFrame(rows, "outcome_id int, intercept double, cal_time double, time_sq double")
+    return df.select("outcome_id", *[F.round(c, 4).alias(c) for c in ("intercept", "cal_time", "time_sq")])
+
+
+def denominator_score(spark, sf_dir):
+    """O44 + O45: size of the score of each term, summed over the at-risk rows and divided by their
+    number. At the maximum of the likelihood every one is 0, also those of dropped aliased terms."""
+    prep, fits = _fitted(spark, sf_dir)
+    numeric, factors = A.denominator_terms()
+    rows = A.with_fitted(prep, fits).where("at_risk = 1")
+    rows = rows.withColumn("_r", col("pabx_start") - col("p_den"))
+    terms = F.array(F.struct(F.lit("(intercept)").alias("term"), F.lit(1.0).alias("x")),
+                    *[F.struct(F.lit(c).alias("term"), col(c).cast("double").alias("x")) for c in numeric],
+                    *[F.struct(F.concat(F.lit(f"{f}="), col(f)).alias("term"), F.lit(1.0).alias("x")) for f in factors])
+    long = rows.select("outcome_id", "_r", F.explode(terms).alias("t"))
+    n = rows.groupBy("outcome_id").agg(F.count(F.lit(1)).alias("n"))
+    top = long.groupBy("outcome_id", col("t.term").alias("term")).agg(
+        F.sum(col("_r") * col("t.x")).alias("s"), F.max(F.abs(col("t.x"))).alias("m"))
+    size = F.abs(col("s")) / (col("n") * F.greatest(col("m"), F.lit(1.0)))
+    return top.join(F.broadcast(n), "outcome_id").select("outcome_id", "term", F.round(size, 4).alias("score"))
+
+
 def effects_modelled(spark, sf_dir):
     return A.effects_modelled(_table(spark, sf_dir), PARAMS, sorted(E.OUTCOMES), materialise=cut)
 
@@ -336,6 +368,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_km": weighted_km,
     "effects": effects,
     "bootstrap_ci": bootstrap_ci,
+    "numerator_model": numerator_model,
+    "denominator_score": denominator_score,
     "treatment_model": treatment_model,
     "effects_modelled": effects_modelled,
     "bootstrap_refit_ci": bootstrap_refit_ci,
