@@ -45,6 +45,9 @@ BUCKET_BYTES = 4 << 20
 #: Groups that share an anchor from which its windows are dealt one by one.
 HEAVY = 256
 
+#: Symbols by which a level of the interval expansion goes on (9 bits each must fit 63).
+STEP = 7
+
 #: Length of an anchor's string; windows of a run; bytes of text worked at once.
 GRAM = 25
 RUN = 32
@@ -277,50 +280,64 @@ def _asked(docs: Docs, pieces: Pieces) -> Iterator[tuple[int, bytes]]:
         yield bucket, zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
 
 
-def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes in the order of their first ``depth`` symbols (below 512), by doubling."""
-    n, step = len(text), 7
-    key = np.zeros(n, np.int64)
-    for k in range(step):
+def _packed_symbols(text: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` symbols (below 512, at most 7) of each suffix in one integer."""
+    key = np.zeros(len(text), np.int64)
+    for k in range(count):
         key <<= 9
-        key[: n - k] |= text[k:]
-    order = np.argsort(key, kind="stable").astype(np.int32)
-    while True:
-        new = np.diff(key[order], prepend=-1) != 0
+        key[: len(text) - k] |= text[k:]
+    return key
+
+
+def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of the suffixes in the order of at least their first ``depth`` symbols, by doubling."""
+    n, step = len(text), STEP
+    key = _packed_symbols(text, STEP)
+    order = np.argsort(key)
+    while step < depth:
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if step >= depth or rank[order[-1]] == n:
-            return order
+        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+        if rank[order[-1]] == n:
+            break
         key = rank << 32
         key[: n - step] |= rank[step:]
-        order = np.argsort(key, kind="stable").astype(np.int32)
+        order = np.argsort(key)
         step *= 2
+    return order.astype(np.int32)
 
 
 def equal_windows(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, class): suffixes in order, and a class that those with the same first ``length`` symbols share.
 
     ``text`` ends with its least symbol. The transform is that of the order by
-    at least ``length`` symbols. At each level all open intervals of suffixes
-    with a common prefix of that value are extended backwards by every symbol
-    at once: row i stems from row ``back[i]`` of the same symbol, and an
-    interval ends between two rows if one ended between the rows they stem
-    from. Only rows not parted so far are looked at.
+    at least ``length`` symbols; among suffixes equal that far any order will
+    do. All open intervals of suffixes with a common prefix are extended
+    backwards together, breadth first, by ``STEP`` symbols a level: the rows
+    that a row stems from follow from the transform, and an interval ends
+    between two rows if their new symbols differ or one ended between the rows
+    they stem from. So the common prefixes come out by increasing value, up to
+    ``length``; rows already parted are not looked at again.
     """
     starts = _suffixes(text, length + 1)
     transform = text[starts - 1]  # the symbol before each suffix
-    back = np.argsort(transform, kind="stable").astype(np.int32)
-    symbol = transform[back]
-    parted = np.ones(len(text), bool)
-    parted[1:] = symbol[1:] != symbol[:-1]  # common prefixes of value 0
+    back = np.argsort(transform, kind="stable").astype(np.int32)  # the row without the first symbol
+    first = _packed_symbols(text, STEP)[starts]
+    parted = np.diff(first, prepend=-1) != 0  # common prefixes below STEP
     open_ = np.flatnonzero(~parted)
-    for _ in range(1, length):
-        if not len(open_):
-            break
+    known, steps = STEP, {1: back}
+    while known < length and len(open_):
+        step = min(STEP, length - known)
+        if step not in steps:
+            row = back
+            for _ in range(step - 1):
+                row = back[row]
+            steps[step] = row
         interval = np.cumsum(parted, dtype=np.int32)
-        split = interval[back[open_]] != interval[back[open_ - 1]]
+        rows = steps[step]
+        split = interval[rows[open_]] != interval[rows[open_ - 1]]
         parted[open_[split]] = True
         open_ = open_[~split]
+        known += step
     return starts, np.cumsum(parted, dtype=np.int64)
 
 
@@ -346,6 +363,14 @@ def judge_pieces(texts: list[bytes], least: np.ndarray, length: int) -> tuple[np
     return out, first
 
 
+def _piece_anchors(texts: list[bytes]) -> np.ndarray:
+    """The anchor that all windows of each piece have."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    hashes = np.append(_hashes(np.frombuffer(b"".join(texts), np.uint8), GRAM), NONE)
+    return np.minimum.reduceat(hashes, np.stack([begin, begin + sizes - GRAM + 1], axis=1).ravel())[::2]
+
+
 def _judged(bucket: pd.DataFrame, length: int) -> pd.DataFrame:
     """For each group a mask for each of its pieces: windows that a smaller document has."""
     number: dict[bytes, int] = {}
@@ -367,8 +392,18 @@ def _judged(bucket: pd.DataFrame, length: int) -> pd.DataFrame:
                 least[k] = d
             at[i] = k
         asks.append((docs, at))
-    lows, first = judge_pieces(list(number), np.array(least, np.int64), length)
-    n_windows = np.diff(np.append(first, len(lows)))
+    texts, least = list(number), np.array(least, np.int64)
+    n_windows = np.array([len(x) - length + 1 for x in texts], np.int64)
+    first = np.cumsum(n_windows) - n_windows
+    lows = np.repeat(least, n_windows)
+    # equal windows have equal anchors: a text with an anchor of its own shares none
+    _, inverse, count = np.unique(_piece_anchors(texts), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[inverse] > 1)
+    if len(several):
+        found, _ = judge_pieces([texts[i] for i in several.tolist()], least[several], length)
+        own = np.repeat(first[several], n_windows[several])
+        within = np.arange(len(found)) - np.repeat(np.cumsum(n_windows[several]) - n_windows[several], n_windows[several])
+        lows[own + within] = found
     masks = []
     for docs, at in asks:
         mask = np.zeros(len(at), np.uint32)
