@@ -23,14 +23,17 @@ SESSION_CONF = {
 }
 
 
-def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
-    """Shuffle and scan sizing for a cluster run, from the volume of the event sources.
+def cluster_conf(shuffle_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20,
+                 max_partitions: int = 40_000) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run, from the bytes that are shuffled.
 
-    About one ``target_partition_bytes`` slice per task (so a partition fits in executor
-    memory), at least two waves of the cluster's cores; AQE coalesces small shuffle
-    partitions and splits skewed ones (a partition 5x the median and over 256 MB).
+    ``shuffle_bytes`` is what is left after filters and projections reached the scans (a few
+    columns of each event source), not the size of the input. About one ``target_partition_bytes``
+    slice per task and at least two waves of the cluster's cores, but no more than
+    ``max_partitions``: the driver keeps a status for every pair of map and reduce task, and AQE
+    splits partitions that turn out larger.
     """
-    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    parts = min(max_partitions, max(2 * total_cores, -(-shuffle_bytes // target_partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
