@@ -196,14 +196,15 @@ NUMERATOR = [
 ]
 
 _levels = " UNION ALL ".join(
-    f"SELECT outcome_id, '{f}_lvl=' || coalesce(CAST({f} AS VARCHAR), 'NA') AS term FROM at_risk_rows"
+    f"SELECT outcome_id, '{f}_lvl=' || CAST({f} AS VARCHAR) AS term FROM at_risk_rows"
     for f in ("frailty", "wimd", "most_recent_urine"))
 
 
 def denominator_terms(numeric: list[str]) -> list[tuple[str, str]]:
     """Every term of the denominator model: its score must be 0."""
     return [
-        ("at_risk_rows", "SELECT f.* FROM final f JOIN risk r USING (alf, outcome_id, cal_time) WHERE r.at_risk = 1"),
+        ("at_risk_rows", "SELECT f.* FROM final f JOIN risk r USING (alf, outcome_id, cal_time) "
+                         "WHERE r.at_risk = 1 AND frailty + wimd + most_recent_urine + gp_prescrib_rate IS NOT NULL"),
         ("terms", f"SELECT DISTINCT outcome_id, term FROM ({_levels} UNION ALL "
                   f"SELECT outcome_id, unnest([{ql(['(intercept)', *numeric])}]) FROM at_risk_rows)"),
     ]

@@ -69,3 +69,20 @@ def test_a_hot_patient_brings_one_row_a_day(spark):
 def test_partitions_have_a_bound():
     assert cluster_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "40000"
     assert cluster_conf(1 << 30, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_missing_covariates_as_written_and_as_documented(spark):
+    row = {"alf": "a", "outcome_id": 1, "cal_time": 0, "pabx_start": 0, **{c: 1 for c in W.NUMERIC}, **{f: "2" for f in W.FACTORS}}
+    rows = [row, {**row, "gp_prescrib_rate": None}, {**row, "frailty": None}, {**row, "utis_gp_baseline": None}]
+    kind = ", ".join(f"{c} {'string' if c == 'alf' or c in W.FACTORS else 'int'}" for c in row)
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], kind)
+    assert [r.complete for r in W.model_features(df, StudyParams()).collect()] == [True, False, False, True]
+    out = W.model_features(df, StudyParams(mode=AS_DOCUMENTED)).collect()
+    assert all(r.complete for r in out) and out[1].gp_prescrib_rate == 0 and out[2].frailty_lvl == "NA" and out[3].utis_gp_baseline == 0
+
+
+def test_no_weight_from_the_first_missing_probability_on(spark):
+    rows = [("a", 1, t, 0.5, None if t == 2 else 0.25) for t in range(4)]
+    df = spark.createDataFrame(rows, "alf string, outcome_id int, cal_time int, p_num_t double, p_den_t double")
+    got = [r.w for r in df.select("cal_time", W.stabilised_weight().alias("w")).orderBy("cal_time").collect()]
+    assert got == [2.0, 4.0, None, None]

@@ -34,16 +34,26 @@ TIME = ["cal_time", "time_sq"]
 MAX_LEVELS = 200
 
 
-def model_features(df: DataFrame) -> DataFrame:
-    """Squares, factor levels as strings (missing -> 'NA'), NULL counts -> 0."""
-    out = df.withColumns({
-        "utis_gp_baseline": F.coalesce(col("utis_gp_baseline"), F.lit(0)),
-        "utis_hosp_baseline": F.coalesce(col("utis_hosp_baseline"), F.lit(0)),
-        "gp_prescrib_rate": F.coalesce(col("gp_prescrib_rate"), F.lit(0.0)),
-    })
+def model_features(df: DataFrame, params: StudyParams) -> DataFrame:
+    """Squares, factor levels as strings, NULL counts -> 0 (D13), and ``complete``.
+
+    D23, missing covariates: as written, a row without a rate, a factor or another covariate is
+    not ``complete``: the denominator model neither uses it nor gives it a probability, so the
+    patient has no weight from there on (as ``glm`` and ``predict`` treat missing values). As
+    documented, a missing rate counts as 0 and a missing factor as a level ``NA``, and every
+    row is complete.
+    """
+    out = df.withColumns({c: F.coalesce(col(c), F.lit(0)) for c in ("utis_gp_baseline", "utis_hosp_baseline")})
+    if params.documented:
+        out = out.withColumn("gp_prescrib_rate", F.coalesce(col("gp_prescrib_rate"), F.lit(0.0)))
     out = out.withColumns({f"{c}_sq": col(c).cast("double") * col(c).cast("double") for c in SQUARED})
     out = out.withColumn("time_sq", col("cal_time").cast("double") * col("cal_time").cast("double"))
-    return out.withColumns({f"{c}_lvl": F.coalesce(col(c).cast("string"), F.lit("NA")) for c in FACTORS})
+    missing = F.lit("NA") if params.documented else F.lit(None).cast("string")
+    out = out.withColumns({f"{c}_lvl": F.coalesce(col(c).cast("string"), missing) for c in FACTORS})
+    known = F.lit(True)
+    for c in [*NUMERIC, *[f"{f}_lvl" for f in FACTORS]]:
+        known = known & col(c).isNotNull()
+    return out.withColumn("complete", known)
 
 
 def at_risk(params: StudyParams, treat: str = "pabx_start") -> Column:
@@ -192,11 +202,13 @@ def stabilised_weight(num: str = "p_num_t", den: str = "p_den_t") -> Column:
     """Running product of numerator over running product of denominator, in time order.
 
     A fitted probability of exactly 0 or 1 makes the denominator 0; the ratio is then
-    +Inf (NaN for 0/0) as in R, and the truncation caps it.
+    +Inf (NaN for 0/0) as in R, and the truncation caps it. From the first row without a
+    probability on there is no weight (D23).
     """
     w = Window.partitionBy(*PATIENT).orderBy("cal_time").rowsBetween(Window.unboundedPreceding, 0)
     n, d = F.product(col(num)).over(w), F.product(col(den)).over(w)
-    return (F.when(d != 0, n / d).when(n == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
+    gap = F.max(F.when(col(num).isNull() | col(den).isNull(), 1)).over(w)
+    return (F.when(gap.isNotNull(), F.lit(None)).when(d != 0, n / d).when(n == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
 
 
 def type7_quantile(df: DataFrame, value: str, group: list[str], q: float, count: str | None = None,

@@ -28,7 +28,7 @@ def prepared(table: DataFrame, params: StudyParams, narrow: bool = True) -> Data
     """O44 features + the at-risk indicator (D17); ``narrow`` keeps only the analysis columns."""
     if narrow:
         table = table.select(*ANALYSIS_COLUMNS)
-    return W.model_features(table).withColumn("at_risk", W.at_risk(params))
+    return W.model_features(table, params).withColumn("at_risk", W.at_risk(params))
 
 
 def denominator_terms() -> tuple[list[str], list[str]]:
@@ -49,15 +49,16 @@ def fit_models(df: DataFrame, outcome_ids, threads: int = 6, weight: str | None
     # the at-risk rows are read by every IRLS pass of every model: keep them in memory while fitting
     wt = col(weight).cast("double") if weight else F.lit(1.0)
     rows = (df.where(col("at_risk") == 1)
-            .select("outcome_id", "pabx_start", *numeric, *factors, wt.alias("_wt")).cache())
+            .select("outcome_id", "pabx_start", "complete", *numeric, *factors, wt.alias("_wt")).cache())
     try:
-        info = W.factor_levels(rows, factors, numeric)
+        full = rows.where("complete")  # the numerator has no covariate that can be missing
+        info = W.factor_levels(full, factors, numeric)
         grouped = (rows.groupBy("outcome_id", "cal_time", "time_sq")
                    .agg((F.sum(col("_wt") * col("pabx_start")) / F.sum("_wt")).alias("_p"), F.sum("_wt").alias("_n")))
 
         def fit(oid):
             levels, varying = info[oid]
-            den = W.fit_logit(rows.where(col("outcome_id") == oid), "pabx_start", varying, levels,
+            den = W.fit_logit(full.where(col("outcome_id") == oid), "pabx_start", varying, levels,
                               weight="_wt" if weight else None)
             num = W.fit_logit(grouped.where(col("outcome_id") == oid), "_p", W.TIME, weight="_n")
             return oid, (den, num)
@@ -104,7 +105,7 @@ def with_fitted(df: DataFrame, fits: dict) -> DataFrame:
     df = df.join(F.broadcast(coefs), "outcome_id", "left")
     df = df.withColumns({"_eta_den": eta_den, "_eta_num": eta_num}).drop(*[c for c in coefs.columns
                                                                           if c != "outcome_id"])
-    return with_probabilities(df, W.logistic(col("_eta_den")), W.logistic(col("_eta_num"))).drop("_eta_den",
+    return with_probabilities(df, F.when(col("complete"), W.logistic(col("_eta_den"))), W.logistic(col("_eta_num"))).drop("_eta_den",
                                                                                                   "_eta_num")
 
 

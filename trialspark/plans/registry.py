@@ -291,7 +291,7 @@ def denominator_score(spark, sf_dir):
     number. At the maximum of the likelihood every one is 0, also those of dropped aliased terms."""
     prep, fits = _fitted(spark, sf_dir)
     numeric, factors = A.denominator_terms()
-    rows = A.with_fitted(prep, fits).where("at_risk = 1")
+    rows = A.with_fitted(prep, fits).where("at_risk = 1 and complete")
     rows = rows.withColumn("_r", col("pabx_start") - col("p_den"))
     terms = F.array(F.struct(F.lit("(intercept)").alias("term"), F.lit(1.0).alias("x")),
                     *[F.struct(F.lit(c).alias("term"), col(c).cast("double").alias("x")) for c in numeric],
