@@ -86,3 +86,10 @@ def test_no_weight_from_the_first_missing_probability_on(spark):
     df = spark.createDataFrame(rows, "alf string, outcome_id int, cal_time int, p_num_t double, p_den_t double")
     got = [r.w for r in df.select("cal_time", W.stabilised_weight().alias("w")).orderBy("cal_time").collect()]
     assert got == [2.0, 4.0, None, None]
+
+
+def test_antibiotics_are_a_parameter(spark):
+    tests = spark.createDataFrame([("a", D(2016, 5, 1), "Resistant", "Sensitive"), ("b", D(2016, 5, 1), "Sensitive", "Resistant")],
+                                  "alf_pe string, spcm_collected_dt date, trimethoprim string, nitrofurantoin string")
+    only = StudyParams(antibiotics=("nitrofurantoin",))
+    assert [r[0] for r in C.baseline_resistance(_keys(spark), tests, only).collect()] == ["b"]

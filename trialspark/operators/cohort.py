@@ -188,7 +188,7 @@ def practice_rate(keys: DataFrame, registration: DataFrame, rates: DataFrame) ->
 
 def baseline_resistance(keys: DataFrame, tests: DataFrame, params: StudyParams) -> DataFrame:
     """``(alf_pe, amr_baseline=1)`` for any resistant result in [index - 365 days, index]; others get 0."""
-    return (tests.where(any_resistant()).select(KEY, "spcm_collected_dt").distinct()
+    return (tests.where(any_resistant(params.antibiotics)).select(KEY, "spcm_collected_dt").distinct()
             .join(keys.select(KEY, "diag_date"), KEY)
             .where(between("spcm_collected_dt", F.date_sub("diag_date", params.resistance_lookback_days),
                            "diag_date"))

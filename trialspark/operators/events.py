@@ -162,7 +162,7 @@ def outcome_events(cat, cohort: DataFrame, params: StudyParams) -> dict[int, Dat
     # Outcome 2 pairs UTI events with the unfiltered resistance events
     res_uti = co_occurring(uti, res, params)
     tests = cat.urine_tests
-    labs = first_lab_dates(cohort, tests, {3: any_resistant(), 5: col("trimethoprim") == codes.RESISTANT,
+    labs = first_lab_dates(cohort, tests, {3: any_resistant(params.antibiotics), 5: col("trimethoprim") == codes.RESISTANT,
                                            6: col("nitrofurantoin") == codes.RESISTANT})
 
     def lab(k):

@@ -9,6 +9,8 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 
+from trialspark.functions.codes import RESISTANCE_COLUMNS
+
 AS_WRITTEN = "as_written"
 AS_DOCUMENTED = "as_documented"
 
@@ -30,6 +32,8 @@ class StudyParams:
     # hospital rules
     admission_window_days: int = 2
     discharge_gap_days: int = 3
+    # Antibiotics whose resistance counts for the "any" laboratory outcome and at baseline
+    antibiotics: tuple[str, ...] = RESISTANCE_COLUMNS
     # weight truncation quantile (type 7)
     weight_q: float = 0.9995
     # bootstrap replicates with fixed weights, and with both weight models fitted anew in each
