@@ -61,6 +61,22 @@ def test_pages_without_main_text(page):
     assert extract.main_text(page) == ""
 
 
+RAW_ELEMENTS = [
+    "<script>for(i=0;i<n;i++){f(i)}</script>",
+    """<script>if(a<b)s="<div class='x";t='</p>'</SCRIPT >""",
+    "<style>a<b{}</style><title>i<n</title><textarea>x<y '</textarea>",
+    "<svg><style>a<b{}</style><path d='M0'/></svg>",
+    "<script><!-- document.write('<script src=x></script>') --></script>",
+    "<script><!-- if(i<n)f() </script>",
+]
+
+
+@pytest.mark.parametrize("raw", RAW_ELEMENTS)
+def test_raw_elements_end_at_their_closing_tag(raw):
+    rest = "<article><p>The text of the article.</p></article><script>g()</script><footer>x</footer>"
+    assert extract.main_text(f"<html><head>{raw}</head><body>{raw}{rest}") == "The text of the article."
+
+
 def test_truncated_and_very_long_pages():
     assert extract.main_text("<article><p>One block here.</p><p>Cut &am") == "One block here.\nCut &am"
     long = "<body><article>" + "".join(f"<p>Paragraph number {k} of the text.</p>" for k in range(5000)) + "</article><footer>x</footer>"

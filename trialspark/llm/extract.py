@@ -29,6 +29,7 @@ from trialspark.llm.common import text_of
 
 # fixed values: names of HTML elements by their part in a page, and words of class and id names
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select option".split())
+RAW_TEXT = frozenset("script style noscript textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -69,6 +70,9 @@ SAME_PARENT = 0.8
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:[\"'][^>]*)?(?:>|\Z)|[^<]+|<", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+#: What ends the text of a raw element; in a script, what opens and closes a comment that may hold a script.
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TEXT}
+SCRIPT_MARK = re.compile(r"<!--(?:-?>)?|-->|</?script(?=[\s/>]|\Z)", re.I)
 
 
 @dataclass
@@ -113,6 +117,30 @@ def _opened(name: str, rest: str, above: Element, number: int) -> Element:
     )
 
 
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where the closing tag of a raw element starts whose text starts at ``at``; -1 if it isn't closed.
+
+    Its text has no tags, so only the closing tag's own letters count. A script
+    may stand in a comment of a script; that one's closing tag ends nothing.
+    """
+    if name == "script":
+        state = "text"
+        for mark in SCRIPT_MARK.finditer(page, at):
+            what = mark[0].lower()
+            if what == "</script":
+                if state != "inner":
+                    return mark.start()
+                state = "comment"
+            elif what == "<script":
+                state = "inner" if state == "comment" else state
+            elif what == "-->":
+                state = "text"
+            elif what == "<!--" and state == "text":
+                state = "comment"
+    found = RAW_ENDS[name].search(page, at)
+    return found.start() if found else -1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order, with what their elements say; empty ones are left out.
 
@@ -124,12 +152,22 @@ def blocks_of(page: str) -> list[Block]:
     number, links, block = 0, 0, None
     out: list[Block] = []
     skip = ""
-    for token in TOKEN.findall(page):
+    at_char = 0
+    while at_char < len(page):
+        found = TOKEN.match(page, at_char)
+        token, at_char = found[0], found.end()
         if token[0] == "<" and len(token) > 1:
             match = TAG.match(token)
             if not match:  # comment, declaration
                 continue
             closing, name, rest = match[1] == "/", match[2].lower(), match[3]
+            if name in RAW_TEXT and not closing and not rest.rstrip(">").endswith("/"):
+                # the tag pattern doesn't hold in here: go on at the closing tag
+                end = raw_end(page, name, at_char)
+                if end >= 0:
+                    at_char = end
+                elif not skip:
+                    break
             if skip:
                 if closing and name == skip:
                     skip = ""
