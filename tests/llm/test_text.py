@@ -77,6 +77,28 @@ def test_raw_elements_end_at_their_closing_tag(raw):
     assert extract.main_text(f"<html><head>{raw}</head><body>{raw}{rest}") == "The text of the article."
 
 
+SENTENCES = "<p>" + "A long sentence of the page that reads as main text, with many words in it. " * 3 + "</p>"
+WRAPPED = [
+    f"<div class='layout with-sidebar'><article>{SENTENCES}</article></div>",
+    f"<main class='fixed-header'>{SENTENCES}</main>",
+    f"<article class='post category-search comments-open'>{SENTENCES}</article>",
+    f"<div id='side'><div class='page search'>{SENTENCES}</div></div>",
+]
+COMMENT = "<article class='comment-body'><p>Nice article, I have to say, and thanks for it to all of you who wrote it.</p></article>"
+AROUND = [
+    "",
+    f"<div id='comments' class='comments-area'><ol class='comment-list'><li>{COMMENT}</li></ol></div>",
+    "<div class='related-posts'><a href='/x'>More to read</a></div><div class='sidebar'><p>Most read today.</p></div>",
+]
+
+
+@pytest.mark.parametrize("after", AROUND)
+@pytest.mark.parametrize("wrapped", WRAPPED)
+def test_names_of_wrappers_lose_no_article(wrapped, after):
+    page = f"<div class='header'><a href='/'>Home</a></div>{wrapped}{after}<div class='site-footer'>All rights reserved.</div>"
+    assert extract.main_text(page) == SENTENCES[3:-4].strip()
+
+
 def test_truncated_and_very_long_pages():
     assert extract.main_text("<article><p>One block here.</p><p>Cut &am") == "One block here.\nCut &am"
     long = "<body><article>" + "".join(f"<p>Paragraph number {k} of the text.</p>" for k in range(5000)) + "</article><footer>x</footer>"

@@ -20,6 +20,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,16 +36,19 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CHROME = frozenset("nav header footer aside form menu dialog button fieldset".split())
-MAIN = frozenset("article main".split())
 SECTION_BREAKS = frozenset("article main section body html".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|dialog|"
+    r"(?:^|[^a-z])(ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|dialog|"
     r"footer|foot|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|privacy|promo|"
     r"recommended|related|replies|reply|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|widget|widgets|alert|gdpr)(?:$|[^a-z])"
 )
+# parts of a name that tell the look of an element or the subject of its text
+MODIFIERS = re.compile(
+    r"^(?:with|has|have|no|without|is|not|category|cat|tag|topic|type|format|status|layout|theme|show|hide|js)[-_]|[-_](?:open|opened|closed|enabled|disabled|layout)$"
+)
 CONTENT_NAMES = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|post|story|text)(?:$|[^a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
@@ -53,7 +57,9 @@ WEIGHTS = {
     "bias": 0.2,
     "in_main": 6.0,
     "in_chrome": -14.0,
-    "named_boilerplate": -14.0,
+    "named_whole": -8.0,
+    "named_part": -4.5,
+    "named_modifier": -1.5,
     "named_content": 1.5,
     "hidden": -12.0,
     "links": -4.0,
@@ -63,6 +69,13 @@ WEIGHTS = {
     "symbol_only": -1.0,
 }
 
+#: How a name says boilerplate: by a modifier, by a part of it, by all of it.
+MODIFIER, PART, WHOLE = 1, 2, 3
+NAMED = {0: 0.0, MODIFIER: WEIGHTS["named_modifier"], PART: WEIGHTS["named_part"], WHOLE: WEIGHTS["named_whole"]}
+
+#: Share of the page's unlinked text that an article holds at least to stand for the page's main text.
+ARTICLE_SHARE = 0.1
+
 #: Cost of a cut between neighbours in the page, and between blocks of one container.
 NEXT_TO = 0.6
 SAME_PARENT = 0.8
@@ -75,7 +88,7 @@ RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TE
 SCRIPT_MARK = re.compile(r"<!--(?:-?>)?|-->|</?script(?=[\s/>]|\Z)", re.I)
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     """An open element: what it says about the text below it."""
 
@@ -83,9 +96,14 @@ class Element:
     number: int
     in_main: bool = False
     in_chrome: bool = False
-    boilerplate: bool = False
+    named: int = 0
     content: bool = False
     hidden: bool = False
+    above: Element | None = None
+    article: bool = False
+    main: bool = False
+    holds_main: bool = False
+    unlinked: int = 0
 
 
 @dataclass
@@ -101,19 +119,78 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+@lru_cache(1 << 14)
+def _named(name: str) -> int:
+    """How one word of a class or id says boilerplate."""
+    found = BOILERPLATE_NAMES.search(name)
+    if not found:
+        return 0
+    return WHOLE if found[1] == name else MODIFIER if MODIFIERS.search(name) else PART
+
+
+def _weigh_names(elements: list[Element]) -> None:
+    """Let names of boilerplate hold for all below their element, and end main text, where they count.
+
+    A name doesn't count on an element that is or holds a main element, or holds
+    most of the unlinked text of the page's main part: that is its longest
+    article outside of elements named as boilerplate (or only in ones that hold
+    most of the page), else its main element, else the page. ``elements`` come in page order, the
+    page itself first.
+    """
+    if not any(e.named for e in elements):
+        return
+    for e in elements:
+        e.holds_main = e.main
+    for e in reversed(elements[1:]):
+        e.above.unlinked += e.unlinked
+        e.above.holds_main |= e.holds_main
+    page = elements[0]
+    below_main, tainted, inside, ended = ([False] * len(elements) for _ in range(4))
+    small = tainted[:]  # in a named element that doesn't hold most of the page's text
+    for e in elements[1:]:
+        below_main[e.number] = e.main or below_main[e.above.number]
+        named = e.named >= PART and not e.holds_main
+        tainted[e.number] = tainted[e.above.number] or named
+        small[e.number] = small[e.above.number] or (named and 2 * e.unlinked <= page.unlinked)
+    mains = [e for e in elements if e.main and e.unlinked]
+    articles = [
+        e for e in elements if e.article and e.unlinked and e.unlinked >= ARTICLE_SHARE * page.unlinked and (below_main[e.number] or not mains)
+    ]
+    clean = [e for e in articles if not tainted[e.number]] or [e for e in articles if not small[e.number]]
+    part = max(clean or mains or [page], key=lambda e: e.unlinked)
+    around, e = set(), part
+    while e is not None:
+        around.add(e.number)
+        e = e.above
+    inside[0] = part is page
+    for e in elements[1:]:
+        above = e.above
+        inside[e.number] = e is part or inside[above.number]
+        if e.holds_main or e.number in around or (inside[e.number] and 2 * e.unlinked > part.unlinked):
+            e.named = 0
+        if e.article:
+            e.named = min(e.named, MODIFIER)
+        ended[e.number] = ended[above.number] or e.named >= PART
+        e.in_main = e.in_main and not ended[e.number]
+        e.named = max(e.named, above.named)
+
+
 def _opened(name: str, rest: str, above: Element, number: int) -> Element:
     # a header or footer of the article itself is chrome as well; a new article ends none of it
     attrs = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(rest)} if rest.strip(" />") else {}
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-    plain = name in ("body", "html")
+    article, main = "article" in (name, attrs.get("role")), "main" in (name, attrs.get("role"))
     return Element(
         name,
         number,
-        above.in_main or name in MAIN or attrs.get("role") in ("main", "article"),
+        above.in_main or article or main,
         above.in_chrome or name in CHROME or attrs.get("role") in ROLES,
-        above.boilerplate or (not plain and bool(names) and bool(BOILERPLATE_NAMES.search(names))),
+        0 if name in ("body", "html") else max(map(_named, names.split()), default=0),
         above.content or (bool(names) and bool(CONTENT_NAMES.search(names))),
         above.hidden or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""),
+        above,
+        article,
+        main,
     )
 
 
@@ -149,6 +226,7 @@ def blocks_of(page: str) -> list[Block]:
     element that isn't inline ends a block.
     """
     stack = [Element("", 0)]
+    elements = stack[:]
     number, links, block = 0, 0, None
     out: list[Block] = []
     skip = ""
@@ -200,6 +278,7 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[at:]
             number += 1
             stack.append(_opened(name, rest, stack[-1], number))
+            elements.append(stack[-1])
         elif not skip:
             if block is None:
                 if token.isspace():
@@ -211,6 +290,9 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(block)
             block.parts.append(token)
             block.linked += links * len(token)
+            if not links and not stack[-1].in_chrome and not stack[-1].hidden:
+                stack[-1].unlinked += len(token.strip())
+    _weigh_names(elements)
     return [b for b in out if b.text]
 
 
@@ -223,7 +305,7 @@ def content_cost(block: Block) -> float:
         WEIGHTS["bias"]
         + WEIGHTS["in_main"] * e.in_main
         + WEIGHTS["in_chrome"] * e.in_chrome
-        + WEIGHTS["named_boilerplate"] * e.boilerplate
+        + NAMED[e.named]
         + WEIGHTS["named_content"] * e.content
         + WEIGHTS["hidden"] * e.hidden
         + WEIGHTS["links"] * (block.linked / max(1, size)) * (not e.in_main)
