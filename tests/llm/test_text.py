@@ -319,6 +319,28 @@ def test_language_by_cross_parsing(spark):
     assert docs.select(language.predict("text", none, spark).alias("p")).where("p.lang = 'und'").count() == len(rows + odd)
 
 
+def test_a_language_of_few_letters_wins_no_text(spark):
+    rnd = random.Random(5)
+    rows = [(k, " ".join(rnd.choices(LANGS[lang].split(), k=40)), lang) for k in range(60) for lang in [sorted(LANGS)[k % 3]]]
+    docs = spark.createDataFrame(rows + [(k, "ok", "xx") for k in range(60, 80)], "doc_id long, text string, lang string")
+    model = language.Model(language.sample(docs))
+    assert model.langs == ["aa", "bb", "cc", "xx"]
+    assert model.predict([t for _, t, _ in rows] + ["ok"])[0] == [lang for *_, lang in rows] + ["xx"]
+
+
+def test_samples_have_one_size_whatever_the_length_of_texts(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=4))
+    short = [(" 1 " + word(), "short") for _ in range(4000)] + [("same", "short")] * 2000
+    long = [(" ".join(word() for _ in range(6000)), "long")]
+    few = [(x, "few") for x in ("one", "two", "two", "a b", "12", "")]
+    docs = spark.createDataFrame(short + long + few, "text string, lang string")
+    got = language.sample(docs, size=4000)
+    for lang in ("short", "long"):
+        assert 4000 <= len(" ".join(got[lang])) + 1 <= 4000 + language.SLICE_CHARS + 1
+    assert sorted(got["few"]) == ["a b", "one", "two"]
+
+
 def test_automaton_phrases_match_brute_force():
     rnd = random.Random(9)
     sample = bytes(rnd.choice(b"abc") for _ in range(60))

@@ -3,12 +3,13 @@
 For each language a suffix automaton of a bounded sample of its labelled text
 accepts every substring of that sample. A text is parsed from left to right
 into longest matches against each automaton; the language that needs the
-fewest phrases for the text's bytes wins. The phrase count times the logarithm
-of the sample's length, by byte, estimates the cross entropy, which gives the
-score.
+fewest phrases for the text's bytes wins. Samples have one common size; a
+language with fewer letters than that pays as much a phrase, and a byte it lacks
+is a phrase, so a small sample is never cheap. The phrase count times the
+logarithm of the common size, by byte, estimates the cross entropy, which gives
+the score.
 
-The automata hold at most ``SAMPLE_ROWS * SLICE_CHARS`` characters of each
-language, and at most ``LANGUAGES`` languages are accepted, so their tables have
+The automata hold at most ``SAMPLE_BYTES`` bytes of each language, and at most ``LANGUAGES`` languages are accepted, so their tables have
 a fixed bound and are broadcast. Texts are parsed whole: a task lays them out in
 rows of ``ROW_BYTES`` bytes, so that one numpy step moves every row of a batch
 by one byte, and adds up the phrases of a text's rows.
@@ -20,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import limit_batches, text_of
 
-#: Bound of the fit: rows per language, and characters taken of each.
-SAMPLE_ROWS = 32
+#: Bytes of a language's sample, the same for all, and characters of a slice of text.
+SAMPLE_BYTES = 32_000
 SLICE_CHARS = 1000
 LANGUAGES = 200
 
@@ -69,7 +70,6 @@ class Automaton:
         self.symbols = len(used) + 1  # symbol 0: no byte of the sample
         self.symbol = np.zeros(256, np.int32)
         self.symbol[used] = np.arange(1, self.symbols)
-        self.size = len(sample)
         table = np.zeros((len(nexts), self.symbols), np.int32)  # 0: no longer match
         for state, edges in enumerate(nexts):
             for c, to in edges.items():
@@ -96,21 +96,30 @@ def normal(text: str) -> bytes:
     return " ".join(kept.split()).encode("utf-8", "surrogatepass")
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, slice_chars: int = SLICE_CHARS) -> dict[str, list[str]]:
-    """Per language a bounded sample: the least hash of ``rows`` buckets, a slice at a hashed place.
+def sample(docs: DataFrame, size: int = SAMPLE_BYTES, slice_chars: int = SLICE_CHARS) -> dict[str, list[str]]:
+    """Per language ``size`` bytes of letters, or all its distinct letters if there are fewer: slices of texts by hash order.
 
-    One aggregation with map-side combine; what reaches the driver is bounded by
-    ``LANGUAGES * rows * slice_chars`` characters.
+    Texts are cut into slices, and each language has so many buckets of hashes
+    that the least slices of them hold several times ``size``; a language of
+    fewer slices has each by itself. Equal slices are one. One aggregation with
+    map-side combine; what reaches the driver is bounded by ``LANGUAGES * size``
+    bytes and a slice a language.
     """
-    hashed = F.xxhash64("text")
-    at = (F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - slice_chars, F.lit(1))) + 1).cast("int")
-    piece = F.struct(hashed.alias("h"), F.substring(F.col("text"), at, F.lit(slice_chars)).alias("piece"))
-    picked = docs.where("lang is not null and text is not null").select("lang", F.pmod(hashed, F.lit(rows)).alias("bucket"), piece.alias("piece"))
-    found = picked.groupBy("lang", "bucket").agg(F.min("piece").alias("piece")).select("lang", "piece.piece")
-    if found.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+    letters = F.regexp_replace("text", r"[^\p{L}]+", " ")
+    parts = docs.where("lang is not null and text is not null").select("lang", F.explode(F.regexp_extract_all(letters, F.lit(f"(?s).{{1,{slice_chars}}}"), F.lit(0))).alias("piece"))
+    parts = parts.select("lang", F.trim("piece").alias("piece")).where("piece <> ''")
+    stock = parts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece").cast("long")).alias("bytes"))
+    if stock.limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    stock = stock.select("lang", "n", F.ceil(8 * size * F.col("n") / F.col("bytes")).alias("buckets"))
+    hashed = F.xxhash64("piece")
+    bucket = F.when(F.col("n") <= F.col("buckets"), hashed).otherwise(F.pmod(hashed, F.col("buckets")))
+    picked = parts.join(F.broadcast(stock), "lang").select("lang", bucket.alias("bucket"), F.struct(hashed.alias("h"), "piece").alias("piece"))
+    picked = picked.groupBy("lang", "bucket").agg(F.min("piece").alias("piece")).select("lang", "piece.h", "piece.piece")
+    before = Window.partitionBy("lang").orderBy("h", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    summed = picked.withColumn("before", F.coalesce(F.sum(F.octet_length("piece") + 1).over(before), F.lit(0)))
     out: dict[str, list[str]] = {}
-    for lang, piece in sorted(map(tuple, found.collect())):
+    for lang, _, piece in sorted(map(tuple, summed.where(F.col("before") < size).select("lang", "before", "piece").collect())):
         out.setdefault(lang, []).append(piece)
     return out
 
@@ -119,9 +128,10 @@ class Model:
     """Automata by language; scores batches of texts."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        joined = {lang: b" ".join(map(normal, parts)) for lang, parts in samples.items()}
+        joined = {lang: b" ".join(map(normal, parts))[:SAMPLE_BYTES] for lang, parts in samples.items()}
         self.langs = sorted(lang for lang, text in joined.items() if text.strip())
         self.automata = [Automaton(joined[lang]) for lang in self.langs]
+        self.phrase_bits = np.log2(SAMPLE_BYTES)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         clean = [normal(x) for x in texts]
@@ -138,7 +148,7 @@ class Model:
             # every padding byte is a phrase of its own
             count = automaton.phrases(columns) - (ROW_BYTES - ends)
             phrases = np.bincount(owner, count, len(clean))
-            bits[:, k] = phrases * np.log2(max(2, automaton.size)) / np.maximum(1, sizes)
+            bits[:, k] = phrases * self.phrase_bits / np.maximum(1, sizes)
         best = bits.argmin(axis=1)
         share = 2.0 ** -(bits - bits.min(axis=1, keepdims=True))
         score = 1 / share.sum(axis=1)
