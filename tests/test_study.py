@@ -46,3 +46,15 @@ def test_bootstrap_refit_runs_and_orders_bounds(spark):
         assert r.replicates == 2
         assert r.rd_lo is None or r.rd_lo <= r.rd_hi + 1e-12
     assert F is not None
+
+
+def test_registered_bootstraps_run_the_replicates_of_the_study(spark):
+    from trialspark.operators import survival as S
+    from trialspark.params import StudyParams
+    from trialspark.plans import registry as R
+    assert R.BOOTSTRAP_REPLICATES == StudyParams().bootstrap_replicates == 200
+    assert R.REFIT_REPLICATES == StudyParams().refit_replicates == 200
+    patients = spark.range(40).withColumnRenamed("id", "alf")
+    counts = {(r.alf, r.rep): r.mult for r in S.replicate_counts(patients, 30, 7).collect()}
+    arrays = {r.alf: r.mults for r in S.replicate_arrays(patients, 30, 7).collect()}
+    assert {(a, b + 1): m for a, row in arrays.items() for b, m in enumerate(row) if m} == counts

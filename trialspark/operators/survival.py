@@ -73,13 +73,27 @@ def uniform_from_md5(key: Column) -> Column:
 
 def resample_count(alf: Column, replicate: Column, seed: int) -> Column:
     """Patient-level Poisson(1) bootstrap multiplicity for one replicate."""
-    u = uniform_from_md5(F.concat_ws(":", alf.cast("string"), replicate.cast("string"), F.lit(str(seed))))
+    return _poisson1(_uniform(alf, replicate, seed))
+
+
+def _uniform(alf: Column, replicate: Column, seed: int) -> Column:
+    return uniform_from_md5(F.concat_ws(":", alf.cast("string"), replicate.cast("string"), F.lit(str(seed))))
+
+
+def _poisson1(u: Column) -> Column:
     cnt = F.lit(0)
     for t in poisson1_thresholds():
         cnt = cnt + F.when(u >= F.lit(t), 1).otherwise(0)
     return cnt
 
 
+def replicate_arrays(patients: DataFrame, replicates: int, seed: int, key: str = "alf") -> DataFrame:
+    """One row per patient: ``mults``, the multiplicities of all replicates, those of ``replicate_counts``."""
+    u = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(col(key), r, seed))
+    mults = F.transform(u, lambda x: _poisson1(x).cast("byte"))
+    return patients.select(key).distinct().select(key, mults.alias("mults"))
+
+
 def replicate_counts(patients: DataFrame, replicates: int, seed: int, key: str = "alf") -> DataFrame:
     """One row per (patient, replicate) with a positive multiplicity. Linear in patients x replicates."""
     r = patients.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))

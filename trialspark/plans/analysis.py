@@ -152,31 +152,33 @@ def formula_probabilities() -> tuple[Column, Column]:
 
 
 def bootstrap_refit(prep: DataFrame, params: StudyParams, outcome_ids, replicates: int = 20, seed: int = 1,
-                    level: float = 0.95, materialise=None) -> DataFrame:
+                    level: float = 0.95, materialise=None, threads: int = 4) -> DataFrame:
     """O53 (b): percentile intervals with both weight models refitted in every replicate.
 
     A replicate gives each patient a Poisson(1) multiplicity (seeded md5, as in the fixed-weight
     bootstrap); the fits use it as a frequency weight, the truncation quantile is taken over the
     replicate's rows counted by multiplicity, and KM weights are ``sw_trunc * mult``. Censoring
-    does not depend on the weights, so the clones are built once. Each replicate is a short
-    sequence of distributed jobs; only its six effect rows reach the driver.
+    does not depend on the weights, so the clones are built once, and the features are stored once with
+    each patient's multiplicities as one array. Each replicate is a short sequence of distributed jobs,
+    ``threads`` replicates at a time; only its six effect rows reach the driver.
     """
     prep = prep.where(col("outcome_id").isin(*list(outcome_ids)))
-    counts = S.replicate_counts(prep, replicates, seed)
     clones = M.censor_clones(prep, params).select("alf", "outcome_id", "arm", "cal_time", "outcome")
+    prep = prep.join(S.replicate_arrays(prep, replicates, seed), "alf")
     if materialise is not None:
-        counts, clones = materialise(counts), materialise(clones)
-    per_rep = []
-    for b in range(1, replicates + 1):
-        mult = counts.where(col("rep") == b).select("alf", "mult")
-        rows = prep.join(mult, "alf")
+        prep, clones = materialise(prep), materialise(clones)
+
+    def replicate(b: int) -> list:
+        rows = prep.withColumn("mult", F.element_at("mults", b).cast("int")).where(col("mult") > 0).drop("mults")
         fits = fit_models(rows, outcome_ids, weight="mult")
         w = with_fitted(rows, fits).select("alf", "outcome_id", "cal_time", "sw_a", "mult")
         cl = clones.join(w, ["alf", "outcome_id", "cal_time"])
         cl = W.truncate_weights(cl, params, "sw_a", "sw_trunc", ["outcome_id"], count="mult")
         cl = cl.withColumn("sw_trunc", col("sw_trunc") * col("mult"))
-        eff = effects(cl).withColumn("rep", F.lit(b))
-        per_rep.append(eff.collect())
+        return effects(cl).withColumn("rep", F.lit(b)).collect()
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        per_rep = list(pool.map(replicate, range(1, replicates + 1)))
     spark = prep.sparkSession
     rows = [r.asDict() for rep in per_rep for r in rep]
     reps = spark.createDataFrame(rows, "outcome_id int, r1 double, r0 double, rd double, rr double, nnt double, "
