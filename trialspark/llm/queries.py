@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import bpe, decontaminate, exact_dedup, extract, language, maxent, minhash, quality, suffix_dedup, urls
+from trialspark.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    extract,
+    language,
+    maxent,
+    minhash,
+    periods,
+    quality,
+    suffix_dedup,
+    urls,
+    vector_codes,
+    warc,
+)
 from trialspark.llm.common import crc_mod, limit_batches
 
 
@@ -86,6 +101,43 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def planted_period(words: list[str], doc_id: int | None) -> list[str]:
+    """The query's words: of one document in ten, the tail repeats with a period set by its id (none if null)."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    unit = words[a : a + p]
+    return words[:a] + (unit * -(-(n - a) // p))[: n - a]
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period)
+    best = periods.steepest(F.col("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        periods.digest(F.col("runs")).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op2_quality": op2_quality,
@@ -97,9 +149,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_maxent": op9_maxent,
     "op10_language": op10_language,
+    "op11_warc": op11_warc,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periods": op13_periods,
 }
 
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Rounds of nearest entry and floored mean, written out one after the other."""
+    nearest = """
+        near{r} AS MATERIALIZED (
+            SELECT rid, p, any_value(part) AS part, min(struct_pack(d := d, e := e)) AS best
+            FROM (SELECT t.rid, t.p, t.part, b.e,
+                         list_sum(list_transform(range(1, len(t.part) + 1), lambda i: (t.part[i] - b.entry[i]) * (t.part[i] - b.entry[i])))::BIGINT AS d
+                  FROM parts t JOIN book{r} b USING (p))
+            GROUP BY rid, p)"""
+    moved = """
+        book{s} AS MATERIALIZED (
+            SELECT b.p, b.e, coalesce(m.entry, b.entry) AS entry
+            FROM book{r} b LEFT JOIN (
+                SELECT p, e, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY i) AS entry
+                FROM (SELECT p, best.e AS e, i, sum(part[i]) AS total, count(*) AS n
+                      FROM near{r}, (SELECT unnest(range(1, (SELECT max(len(part)) FROM parts) + 1)) AS i)
+                      GROUP BY p, best.e, i)
+                GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+    chain = []
+    for r in range(rounds):
+        chain += [nearest.format(r=r), moved.format(r=r, s=r + 1)]
+    chain.append(nearest.format(r=rounds))
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid,
+                   list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS cells
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (
+            SELECT rid, p, cells[p * (len(cells) // {parts}) + 1 : (p + 1) * (len(cells) // {parts})] AS part
+            FROM kept, (SELECT unnest(range({parts})) AS p)),
+        book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, part AS entry FROM parts WHERE rid <= {entries}),
+        {",".join(chain)},
+        coded AS (
+            SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+            FROM near{rounds} GROUP BY rid)
+        SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+        FROM kept k JOIN coded c USING (rid)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages)
+        SELECT page_id, strlen(payload) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, 1 + 10 * (i // 8)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+               nullif(min(page_id) OVER same, page_id) AS refers_to
+        FROM p WINDOW same AS (PARTITION BY payload)
+    """,
+    "op12_vector_codes": vector_codes_sql(),
     "op7_exact_dedup": """
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS size,
