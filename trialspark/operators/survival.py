@@ -29,7 +29,11 @@ def km_steps(df: DataFrame, group: list[str], weight: str = "sw_trunc", event: s
 def weighted_km(df: DataFrame, group: list[str], weight: str = "sw_trunc", event: str = "outcome",
                 time: str = "cal_time") -> DataFrame:
     """The weighted survival curve per group: ``(group..., time, n_risk, n_event, surv)``."""
-    steps = km_steps(df, group, weight, event, time)
+    return product_limit(km_steps(df, group, weight, event, time), group, time)
+
+
+def product_limit(steps: DataFrame, group: list[str], time: str = "cal_time") -> DataFrame:
+    """``surv``, the running product over time of one less the share of events, from ``km_steps``."""
     factor = F.lit(1.0) - F.coalesce(F.try_divide(col("n_event"), col("n_risk")), F.lit(0.0))
     w = Window.partitionBy(*group).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     return steps.withColumn("surv", F.product(factor).over(w))
@@ -71,13 +75,10 @@ def uniform_from_md5(key: Column) -> Column:
     return bits.cast("double") / F.lit(float(2 ** 32))
 
 
-def resample_count(alf: Column, replicate: Column, seed: int) -> Column:
-    """Patient-level Poisson(1) bootstrap multiplicity for one replicate."""
-    return _poisson1(_uniform(alf, replicate, seed))
-
-
-def _uniform(alf: Column, replicate: Column, seed: int) -> Column:
-    return uniform_from_md5(F.concat_ws(":", alf.cast("string"), replicate.cast("string"), F.lit(str(seed))))
+def multiplicities(key: Column, replicates: int, seed: int) -> Column:
+    """Poisson(1) multiplicities of a patient in replicates 1, 2, ... as one array."""
+    draw = lambda r: uniform_from_md5(F.concat_ws(":", key.cast("string"), r.cast("string"), F.lit(str(seed))))
+    return F.transform(F.transform(F.sequence(F.lit(1), F.lit(replicates)), draw), lambda u: _poisson1(u).cast("byte"))
 
 
 def _poisson1(u: Column) -> Column:
@@ -87,37 +88,6 @@ def _poisson1(u: Column) -> Column:
     return cnt
 
 
-def replicate_arrays(patients: DataFrame, replicates: int, seed: int, key: str = "alf") -> DataFrame:
-    """One row per patient: ``mults``, the multiplicities of all replicates, those of ``replicate_counts``."""
-    u = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(col(key), r, seed))
-    mults = F.transform(u, lambda x: _poisson1(x).cast("byte"))
-    return patients.select(key).distinct().select(key, mults.alias("mults"))
-
-
-def replicate_counts(patients: DataFrame, replicates: int, seed: int, key: str = "alf") -> DataFrame:
-    """One row per (patient, replicate) with a positive multiplicity. Linear in patients x replicates."""
-    r = patients.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    return r.withColumn("mult", resample_count(col(key), col("rep"), seed)).where(col("mult") > 0)
-
-
-def bootstrap_effects(df: DataFrame, by: list[str], replicates: int = 200, seed: int = 1, weight: str = "sw_trunc",
-                      event: str = "outcome", key: str = "alf", arm: str = "arm") -> DataFrame:
-    """O53 with fixed weights: risk difference per replicate from one partial aggregation.
-
-    Patients are re-weighted by their Poisson(1) multiplicity; the panel is joined to the
-    (patient, replicate) counts and aggregated to (by, arm, replicate, time) right away.
-    """
-    counts = replicate_counts(df, replicates, seed, key)
-    rows = df.where(col(event).isNotNull()).join(counts, key)
-    steps = rows.groupBy(*by, arm, "rep", "cal_time").agg(
-        F.sum(col(weight) * col("mult")).alias("n_risk"),
-        F.sum(col(weight) * col("mult") * col(event)).alias("n_event"))
-    factor = F.lit(1.0) - F.coalesce(F.try_divide(col("n_event"), col("n_risk")), F.lit(0.0))
-    w = Window.partitionBy(*by, arm, "rep").orderBy("cal_time").rowsBetween(Window.unboundedPreceding, 0)
-    final = final_survival(steps.withColumn("surv", F.product(factor).over(w)), [*by, arm, "rep"])
-    return effect_measures(final, [*by, "rep"], arm)
-
-
 def bootstrap_ci(reps: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
     """Percentile interval over replicates (bounded by the replicate count, exact ``percentile``)."""
     a = (1.0 - level) / 2.0

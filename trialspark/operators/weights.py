@@ -1,23 +1,20 @@
 """Treatment weights.
 
-Model fitting uses Spark ML's ``GeneralizedLinearRegression`` (binomial/logit,
-IRLS like R's ``glm``): each iteration is one distributed pass that aggregates
-the normal equations. Predictions are turned back into a column expression of
-the fitted coefficients, so scoring stays in codegen and needs no vector column.
+Models are fitted by :mod:`irls`: each Newton step is one distributed pass that
+adds up the normal equations. Predictions are turned back into a column expression
+of the fitted coefficients, so scoring stays in codegen and needs no vector column.
 """
 
 from __future__ import annotations
 
 import dataclasses
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from trialspark.operators import irls
 from trialspark.params import StudyParams
 
 col = F.col
@@ -94,22 +91,14 @@ def logistic(eta: Column) -> Column:
     return t / (F.lit(1.0) + t)
 
 
-def factor_levels(df: DataFrame, factors: list[str], numeric: list[str], by: str = "outcome_id") -> dict:
-    """Per group: sorted levels of each factor and the numeric columns that vary (one small job).
-
-    A factor with more than ``MAX_LEVELS`` levels fails the job; min/max detect constant columns,
-    which R drops as aliased and IRLS cannot invert.
-    """
+def factor_levels(df: DataFrame, factors: list[str], by: str = "outcome_id") -> dict[int, dict[str, list[str]]]:
+    """Per group: the sorted levels of each factor. A factor with more than ``MAX_LEVELS`` levels fails the job."""
     counts = df.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first()
     wide = [f for f in factors if counts[f] > MAX_LEVELS]
     if wide:
         raise ValueError(f"factors with more than {MAX_LEVELS} levels: {wide}")
-    aggs = [F.sort_array(F.collect_set(f)).alias(f) for f in factors]
-    aggs += [(F.min(c) != F.max(c)).alias(c) for c in numeric]
-    out = {}
-    for row in df.groupBy(by).agg(*aggs).collect():
-        out[row[by]] = ({f: list(row[f]) for f in factors}, [c for c in numeric if row[c]])
-    return out
+    rows = df.groupBy(by).agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in factors]).collect()
+    return {row[by]: {f: list(row[f]) for f in factors} for row in rows}
 
 
 def design(numeric: list[str], levels: dict[str, list[str]]) -> tuple[list[Column], list[str]]:
@@ -123,74 +112,22 @@ def design(numeric: list[str], levels: dict[str, list[str]]) -> tuple[list[Colum
     return cols, names
 
 
-def non_aliased(df: DataFrame, cols: list[Column], names: list[str], weight: str | None = None,
-                tol: float = 1e-7) -> list[int]:
-    """Indexes of design columns that are not linear combinations of the intercept and earlier columns.
-
-    R's ``glm`` drops such aliased terms (NA coefficient). The Gram matrix X'X is one
-    aggregation (p x p sums); the greedy rank check runs on the driver on that small matrix.
-    """
-    import numpy as np
-
-    k = len(cols)
-    xs = [F.lit(1.0)] + cols
-    w = col(weight).cast("double") if weight else F.lit(1.0)
-    sums = [F.sum(w * xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
-    row = df.agg(*sums).first()
-    g = np.zeros((k + 1, k + 1))
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
-    g = g / np.outer(scale, scale)
-    keep = [0]
-    for i in range(1, k + 1):
-        trial = keep + [i]
-        sub = g[np.ix_(trial, trial)]
-        if np.linalg.eigvalsh(sub).min() > tol:
-            keep = trial
-    return [i - 1 for i in keep[1:]]
-
-
-def _glr(df: DataFrame, label: str, cols: list[Column], names: list[str], weight: str | None,
-         max_iter: int) -> LogitFit:
-    xs = [f"_x{i}" for i in range(len(cols))]
-    data = df.select(col(label).cast("double").alias("_y"),
-                     (col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
-                     *[c.alias(x) for c, x in zip(cols, xs)])
-    data = VectorAssembler(inputCols=xs, outputCol="_x").transform(data)
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y",
-                                      weightCol="_w", maxIter=max_iter, regParam=0.0, tol=1e-8)
-    model = glr.fit(data)
-    coefs = dict(zip(names, [float(b) for b in model.coefficients]))
-    iters = model.summary.numIterations if model.hasSummary else -1
-    return LogitFit(float(model.intercept), coefs, iters, 0 <= iters < max_iter)
-
-
 def fit_logit(df: DataFrame, label: str, numeric: list[str], levels: dict[str, list[str]] | None = None,
-              weight: str | None = None, max_iter: int = 25, drop_aliased: bool = True) -> LogitFit:
-    """Pooled logistic regression by IRLS (Spark ML GLR, binomial / logit).
+              weight: str | None = None, max_iter: int = irls.MAX_ITER) -> LogitFit:
+    """One logistic regression by Newton steps, each a single aggregation.
 
-    ``label`` may be a proportion with ``weight`` trials: grouped binomial data give
-    the same estimates as the individual rows. If the fit fails, hits the iteration
-    cap or has extreme coefficients, aliased terms are found from X'X and dropped
-    (as R does) and the model is refitted; constant columns are dropped beforehand.
+    ``label`` may be a proportion with ``weight`` trials: grouped binomial data give the same
+    estimates as the individual rows. Aliased terms (linear combinations of earlier ones, constants
+    among them) have no coefficient, as in R. Raises if the fit does not converge.
     """
     cols, names = design(numeric, levels or {})
-    fit = None
-    try:
-        fit = _glr(df, label, cols, names, weight, max_iter)
-    except (Py4JError, PySparkException) as error:  # only singular normal equations mean aliased terms
-        if "ingular" not in str(error):
-            raise
-    if fit is not None and fit.converged and all(abs(b) < 1e3 for b in fit.coefficients.values()):
-        return fit
-    if not drop_aliased or not cols:
-        if fit is None:
-            raise RuntimeError("logistic fit failed: singular normal equations")
-        return fit
-    keep = non_aliased(df, cols, names, weight)
-    return _glr(df, label, [cols[i] for i in keep], [names[i] for i in keep], weight, max_iter)
+    rows = df.select(F.lit(0).alias("o"), col(label).cast("double").alias("y"),
+                     (col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.array(F.lit(1.0), *cols).alias("x"))
+    fits = irls.newton(irls.newton_sums(rows, irls.flat_chunks), np.ones((1, 1, len(cols) + 1), bool), max_iter)
+    if not fits.converged.all():
+        raise RuntimeError(f"the logistic fit of {label} did not converge in {max_iter} steps")
+    used = {n: float(b) for n, b, u in zip(names, fits.beta[0, 0, 1:], fits.used[0, 0, 1:]) if u}
+    return LogitFit(float(fits.beta[0, 0, 0]), used, int(fits.iterations[0, 0]))
 
 
 def prob_of_received(p: Column, treat: str = "pabx_start", risk: str = "at_risk") -> Column:

@@ -6,12 +6,15 @@ All outcomes are analysed together: every window is partitioned by
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import dataclasses
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.operators import emulate as M
+from trialspark.operators import irls
+from trialspark.operators import replicates as R
 from trialspark.operators import survival as S
 from trialspark.operators import weights as W
 from trialspark.params import StudyParams
@@ -37,40 +40,79 @@ def denominator_terms() -> tuple[list[str], list[str]]:
     return numeric, factors
 
 
-def fit_models(df: DataFrame, outcome_ids, threads: int = 6, weight: str | None = None
-               ) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
-    """O45 + O46 per outcome, on the at-risk rows of the uncloned table.
+@dataclasses.dataclass
+class Design:
+    """The denominator's terms for all outcomes: columns of one design matrix, and which outcome has which.
 
-    The numerator model (time, time^2) is fitted on rows grouped by (outcome, time):
-    a proportion with its count as weight is the same binomial likelihood. The
-    outcomes are fitted as concurrent Spark jobs.
+    Every level of a factor is a column; an outcome's first level is its reference and not allowed there.
     """
+
+    outcome_ids: list[int]
+    terms: list[str]
+    allowed: np.ndarray  # (outcome, term)
+
+    def index(self) -> Column:
+        """Position of a row's outcome."""
+        return (F.array_position(F.array(*[F.lit(i) for i in self.outcome_ids]), col("outcome_id").cast("int")) - 1).cast("int")
+
+    def row(self) -> Column:
+        cells = [F.lit(1.0)]
+        for term in self.terms[1:]:
+            name, eq, level = term.partition("=")
+            cells.append(F.when(col(name) == level, 1.0).otherwise(0.0) if eq else col(name).cast("double"))
+        return F.array(*cells)
+
+
+def design(prep: DataFrame, outcome_ids) -> Design:
+    """Terms from the levels that complete rows at risk have (one small job)."""
     numeric, factors = denominator_terms()
-    # the at-risk rows are read by every IRLS pass of every model: keep them in memory while fitting
-    wt = col(weight).cast("double") if weight else F.lit(1.0)
-    rows = (df.where(col("at_risk") == 1)
-            .select("outcome_id", "pabx_start", "complete", *numeric, *factors, wt.alias("_wt")).cache())
-    try:
-        full = rows.where("complete")  # the numerator has no covariate that can be missing
-        info = W.factor_levels(full, factors, numeric)
-        grouped = (rows.groupBy("outcome_id", "cal_time", "time_sq")
-                   .agg((F.sum(col("_wt") * col("pabx_start")) / F.sum("_wt")).alias("_p"), F.sum("_wt").alias("_n")))
-
-        def fit(oid):
-            levels, varying = info[oid]
-            den = W.fit_logit(full.where(col("outcome_id") == oid), "pabx_start", varying, levels,
-                              weight="_wt" if weight else None)
-            num = W.fit_logit(grouped.where(col("outcome_id") == oid), "_p", W.TIME, weight="_n")
-            return oid, (den, num)
-
-        ids = list(outcome_ids)
-        empty = [i for i in ids if i not in info]
-        if empty:
-            raise ValueError(f"no row at risk for outcomes {empty}: their weight models can't be fitted")
-        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(ids)))) as pool:
-            return dict(pool.map(fit, ids))
-    finally:
-        rows.unpersist()
+    levels = W.factor_levels(prep.where((col("at_risk") == 1) & col("complete")), factors)
+    ids = list(outcome_ids)
+    empty = [i for i in ids if i not in levels]
+    if empty:
+        raise ValueError(f"no row at risk for outcomes {empty}: their weight models can't be fitted")
+    known = [(f, level) for f in factors for level in sorted({x for i in ids for x in levels[i][f]})]
+    allowed = [[True] * (1 + len(numeric)) + [level in levels[i][f][1:] for f, level in known] for i in ids]
+    return Design(ids, ["(intercept)", *numeric, *[f"{f}={level}" for f, level in known]], np.array(allowed))
+
+
+def fit_models(df: DataFrame, outcome_ids) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
+    """O45 + O46 for all outcomes, on the at-risk rows of the uncloned table.
+
+    Each Newton step of all outcomes is one aggregation over the rows. The numerator model (time,
+    time^2) is fitted on starts and rows at risk per (outcome, time), which is the same binomial
+    likelihood. A fit that does not settle fails the job.
+    """
+    terms = design(df, outcome_ids)
+    rows = df.where(col("at_risk") == 1)
+
+    flat = (rows.where(col("complete") & col("outcome_id").isin(terms.outcome_ids))
+            .select(terms.index().alias("o"), col("pabx_start").cast("double").alias("y"), F.lit(1.0).alias("w"), terms.row().alias("x")))
+    den = irls.newton(irls.newton_sums(flat, irls.flat_chunks), terms.allowed[:, None])
+    weeks = rows.groupBy("outcome_id", "cal_time").agg(F.count(F.lit(1)).alias("n"), F.sum("pabx_start").alias("y")).collect()
+    span = max(r["cal_time"] for r in weeks) + 1
+    trials, starts = np.zeros((2, len(terms.outcome_ids), span, 1))
+    for r in weeks:
+        if r["outcome_id"] in terms.outcome_ids:
+            at = terms.outcome_ids.index(r["outcome_id"]), r["cal_time"], 0
+            trials[at], starts[at] = r["n"], r["y"]
+    num = fit_numerator(trials, starts)
+    if not (den.converged.all() and num.converged.all()):
+        bad = [i for k, i in enumerate(terms.outcome_ids) if not (den.converged[k, 0] and num.converged[k, 0])]
+        raise RuntimeError(f"the weight models of outcomes {bad} did not converge")
+
+    def model(fits: irls.Fits, names: list[str], k: int) -> W.LogitFit:
+        used = {n: float(b) for n, b, u in zip(names, fits.beta[k, 0], fits.used[k, 0]) if u}
+        return W.LogitFit(used.pop("(intercept)"), used, int(fits.iterations[k, 0]), bool(fits.converged[k, 0]))
+
+    return {i: (model(den, terms.terms, k), model(num, ["(intercept)", *W.TIME], k)) for k, i in enumerate(terms.outcome_ids)}
+
+
+def fit_numerator(trials: np.ndarray, starts: np.ndarray) -> irls.Fits:
+    """O46 on (outcome, time, replicate) counts: at most 53 times, so the driver fits it."""
+    t = np.arange(trials.shape[1], dtype=float)
+    time = np.stack([np.ones_like(t), t, t * t], axis=1)
+    return irls.newton(irls.tally_sums(time, trials, starts), np.ones((len(trials), trials.shape[2], 3), bool))
 
 
 def coefficient_table(spark, fits: dict, pick: int, prefix: str) -> tuple[DataFrame, Column]:
@@ -151,36 +193,60 @@ def formula_probabilities() -> tuple[Column, Column]:
     return den, num
 
 
-def bootstrap_refit(prep: DataFrame, params: StudyParams, outcome_ids, replicates: int = 20, seed: int = 1,
-                    level: float = 0.95, materialise=None, threads: int = 4) -> DataFrame:
-    """O53 (b): percentile intervals with both weight models refitted in every replicate.
+def refit_patients(prep: DataFrame, params: StudyParams, terms: Design, replicates: int, seed: int) -> DataFrame:
+    """A row a patient for the refits: multiplicities, and per panel row what models, weights and curves need.
+
+    ``x`` is null where the denominator model has no probability to give; ``keep`` counts the arms that
+    hold the row, ``e0`` and ``e1`` are the arms' known outcomes. One exchange by patient serves the
+    windows and the grouping.
+    """
+    rows = prep.where(col("outcome_id").isin(terms.outcome_ids)).repartition("alf")
+    rows = rows.withColumns({"_c0": M.censor_no_treat(params), "_c1": M.censor_no_start(params)})
+    held = [col(c).isNull() | (M.position() <= col(c)) for c in ("_c0", "_c1")]
+    event = [F.when(col(c).isNull() | (M.position() < col(c)), col("outcome")) for c in ("_c0", "_c1")]
+    fields = {"o": terms.index(), "t": col("cal_time").cast("int"), "y": col("pabx_start").cast("int"), "risk": col("at_risk"),
+              "keep": held[0].cast("int") + held[1].cast("int"), "e0": event[0], "e1": event[1],
+              "x": F.when((col("at_risk") == 1) & col("complete"), terms.row())}
+    return R.one_row_a_patient(rows, "alf", fields, S.multiplicities(col("alf"), replicates, seed))
+
+
+def refit_effects(prep: DataFrame, params: StudyParams, outcome_ids, replicates: int = 200, seed: int = 1,
+                  materialise=None) -> tuple[DataFrame, dict[int, int]]:
+    """O53 (b): effect measures per (outcome, replicate), both weight models refitted in each.
 
     A replicate gives each patient a Poisson(1) multiplicity (seeded md5, as in the fixed-weight
-    bootstrap); the fits use it as a frequency weight, the truncation quantile is taken over the
-    replicate's rows counted by multiplicity, and KM weights are ``sw_trunc * mult``. Censoring
-    does not depend on the weights, so the clones are built once, and the features are stored once with
-    each patient's multiplicities as one array. Each replicate is a short sequence of distributed jobs,
-    ``threads`` replicates at a time; only its six effect rows reach the driver.
+    bootstrap). All replicates of all outcomes are fitted together: a Newton step is one aggregation
+    of arrays over one stored row a patient, the exact truncation quantile five more, the curves one.
+    Also returns how many replicates of an outcome did not settle (kept, as R keeps them).
     """
-    prep = prep.where(col("outcome_id").isin(*list(outcome_ids)))
-    clones = M.censor_clones(prep, params).select("alf", "outcome_id", "arm", "cal_time", "outcome")
-    prep = prep.join(S.replicate_arrays(prep, replicates, seed), "alf")
+    terms = design(prep, outcome_ids)
+    patients = refit_patients(prep, params, terms, replicates, seed)
     if materialise is not None:
-        prep, clones = materialise(prep), materialise(clones)
-
-    def replicate(b: int) -> list:
-        rows = prep.withColumn("mult", F.element_at("mults", b).cast("int")).where(col("mult") > 0).drop("mults")
-        fits = fit_models(rows, outcome_ids, weight="mult")
-        w = with_fitted(rows, fits).select("alf", "outcome_id", "cal_time", "sw_a", "mult")
-        cl = clones.join(w, ["alf", "outcome_id", "cal_time"])
-        cl = W.truncate_weights(cl, params, "sw_a", "sw_trunc", ["outcome_id"], count="mult")
-        cl = cl.withColumn("sw_trunc", col("sw_trunc") * col("mult"))
-        return effects(cl).withColumn("rep", F.lit(b)).collect()
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        per_rep = list(pool.map(replicate, range(1, replicates + 1)))
-    spark = prep.sparkSession
-    rows = [r.asDict() for rep in per_rep for r in rep]
-    reps = spark.createDataFrame(rows, "outcome_id int, r1 double, r0 double, rd double, rr double, nnt double, "
-                                       "rep int")
+        patients = materialise(patients)
+    models = np.repeat(terms.allowed[:, None], replicates, axis=1)
+    den = irls.newton(irls.newton_sums(patients, R.fit_chunks(len(terms.terms))), models)
+    counts = R.tally(patients).collect()  # outcomes x intervals inside the grace period
+    span = max(r["t"] for r in counts) + 1
+    trials, starts = np.zeros((2, len(terms.outcome_ids), span, replicates))
+    for o, t, v in map(tuple, counts):
+        trials[o, t], starts[o, t] = v[:replicates], v[replicates:]
+    num = fit_numerator(trials, starts)
+    weights = R.Weights(den.beta, num.beta)
+    caps = R.weight_quantiles(patients, weights, params.weight_q)
+    reps = R.replicate_effects(R.refitted_sums(patients, weights, caps, terms.outcome_ids), replicates)
+    stuck = (~(den.converged & num.converged)).sum(axis=1)
+    return reps, dict(zip(terms.outcome_ids, stuck.tolist()))
+
+
+def bootstrap_refit(prep: DataFrame, params: StudyParams, outcome_ids, replicates: int = 200, seed: int = 1,
+                    level: float = 0.95, materialise=None) -> DataFrame:
+    """O53 (b): percentile intervals over :func:`refit_effects`; ``unconverged`` counts fits that did not settle."""
+    reps, stuck = refit_effects(prep, params, outcome_ids, replicates, seed, materialise)
+    unsettled = F.create_map(*[F.lit(x) for pair in stuck.items() for x in pair])
+    return S.bootstrap_ci(reps, ["outcome_id"], level).withColumn("unconverged", unsettled[col("outcome_id")])
+
+
+def bootstrap_fixed(clones: DataFrame, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """O53 (a): percentile intervals with the weights held fixed."""
+    reps = R.replicate_effects(R.fixed_weight_sums(clones, replicates, seed), replicates)
     return S.bootstrap_ci(reps, ["outcome_id"], level)

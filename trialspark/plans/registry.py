@@ -309,9 +309,7 @@ def effects_modelled(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    reps = S.bootstrap_effects(_weighted(spark, sf_dir), ["outcome_id"], replicates=BOOTSTRAP_REPLICATES,
-                               seed=BOOTSTRAP_SEED)
-    ci = S.bootstrap_ci(reps, ["outcome_id"])
+    ci = A.bootstrap_fixed(_weighted(spark, sf_dir), replicates=BOOTSTRAP_REPLICATES, seed=BOOTSTRAP_SEED)
     return ci.select("outcome_id", col("replicates").cast("int"),
                      *[F.round(c, 6).alias(c) for c in ci.columns if c.endswith(("_lo", "_hi"))])
 
@@ -321,7 +319,7 @@ def bootstrap_refit_ci(spark, sf_dir):
     prep = _memo(spark, sf_dir, "prepared", lambda: A.prepared(_table(spark, sf_dir), PARAMS))
     ci = A.bootstrap_refit(prep, PARAMS, sorted(E.OUTCOMES), replicates=REFIT_REPLICATES, seed=BOOTSTRAP_SEED,
                            materialise=cut)
-    return ci.select("outcome_id", col("replicates").cast("int"),
+    return ci.select("outcome_id", col("replicates").cast("int"), "unconverged",
                      *[F.round(c, 6).alias(c) for c in ci.columns if c.endswith(("_lo", "_hi"))])
 
 

@@ -46,8 +46,7 @@ def run(cat: SourceCatalog, params: StudyParams, out_dir: str | None = None, out
     clones = cut(A.weighted_clones(A.with_fitted(prep, fits), params, materialise=cut), "clones")
     curves = S.weighted_km(clones, ["outcome_id", "arm"])
     effects = S.effect_measures(S.final_survival(curves, ["outcome_id", "arm"]), ["outcome_id"])
-    reps = S.bootstrap_effects(clones, ["outcome_id"], replicates=params.bootstrap_replicates)
-    intervals = S.bootstrap_ci(reps, ["outcome_id"])
+    intervals = A.bootstrap_fixed(clones, replicates=params.bootstrap_replicates)
     if out_dir:
         write_outcome_tables(outcomes, f"{out_dir}/outcome_tables")
         curves.write.mode("overwrite").parquet(f"{out_dir}/survival_curves")
