@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +41,20 @@ def test_bpe_small_word_tables_change_nothing(monkeypatch):
     assert [x for t in texts for x in small.encode([t])] == whole
 
 
+def test_bpe_of_one_huge_word():
+    """A word of 200,000 letters takes seconds; long words merge as the library merges them."""
+    merges = bpe.merges_of(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(RANKS), special_tokens={})
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdeinorst") for _ in range(n)) for n in (500, 513, 3000)] + ["a" * 2000, "ab" * 900, "é" * 700]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(merges, public_tokenizers.PATTERN).encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    huge = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(200_000))
+    began = time.process_time()
+    ids = bpe.Encoder(merges, public_tokenizers.PATTERN).encode([huge])[0]
+    assert time.process_time() - began < 20
+    assert bpe.text_bytes(ids, merges).decode() == huge
+
+
 # --- main text
 
 

@@ -7,14 +7,18 @@ touches its two neighbours only. A word's ids are the same wherever it stands, s
 put together from the words' ids.
 
 Needs no shuffle: documents are split by the scan, and every task replays its
-own words. The word table of a task is bounded (``CACHED_WORDS``) and started
-anew when full, which costs time but changes no result.
+own words. The word table of a task is bounded (``CACHED_WORDS``): it has two
+generations, and when the younger is full the older is dropped, so words in use
+stay; a word met again later is replayed again, which changes no result. A word
+beyond ``LONG_WORD`` bytes has an index of its own, a heap of its pairs by rank
+and place, so the cost of one huge word grows with its length times its logarithm.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import re
 import sys
 import unicodedata
@@ -27,8 +31,11 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import text_of
 
-#: Chunks and words kept by a task before its tables are started anew (under 100 MB).
-CACHED_WORDS = 200_000
+#: Chunks and words kept by a task in each generation of its tables (under 100 MB together).
+CACHED_WORDS = 150_000
+
+#: Longer words, in bytes, are replayed one by one.
+LONG_WORD = 512
 
 #: Bands of ranks in the index of a replay; ranks are below 2**20.
 BANDS = 48
@@ -96,6 +103,13 @@ class Merges:
         return np.where(self.keys[at] == key, self.merged[at], np.int32(NONE))
 
 
+    def of(self, left: int, right: int) -> int:
+        """Rank of one pair."""
+        key = left << 32 | right
+        at = self.keys.searchsorted(key)
+        return int(self.merged[at]) if self.keys[at] == key else NONE
+
+
 @functools.lru_cache
 def merges_of(path: str) -> Merges:
     return Merges(ranks_of(path))
@@ -168,6 +182,44 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     return tokens[live], np.bincount(word[live], minlength=len(words))
 
 
+def replay_long(word: bytes, merges: Merges) -> np.ndarray:
+    """Ids of one word: a heap holds its pairs by rank, then place; a merge enters the two new pairs."""
+    raw = np.frombuffer(word, np.uint8)
+    tokens = merges.byte[raw].astype(np.int64)
+    first = merges.rank(tokens[:-1], tokens[1:])
+    heap = [(int(first[i]) << 32) | i for i in np.flatnonzero(first != NONE).tolist()]
+    heapq.heapify(heap)
+    tokens, pair = tokens.tolist(), [*first.tolist(), NONE]
+    after, before = [*range(1, len(raw)), -1], list(range(-1, len(raw) - 1))
+    known: dict[tuple[int, int], int] = {}
+
+    def ranked(left: int, right: int) -> int:
+        found = known.get((left, right))
+        if found is None:
+            found = known[left, right] = merges.of(left, right)
+        return found
+
+    while heap:
+        entry = heapq.heappop(heap)
+        at, rank = entry & 0xFFFFFFFF, entry >> 32
+        if pair[at] != rank:
+            continue  # an earlier merge took one side, or changed it
+        gone = after[at]
+        right, left = after[gone], before[at]
+        tokens[at], tokens[gone], pair[gone] = rank, -1, NONE
+        after[at], pair[at] = right, NONE
+        if right >= 0:
+            before[right] = at
+            pair[at] = ranked(rank, tokens[right])
+            if pair[at] != NONE:
+                heapq.heappush(heap, (pair[at] << 32) | at)
+        if left >= 0:
+            pair[left] = ranked(tokens[left], rank)
+            if pair[left] != NONE:
+                heapq.heappush(heap, (pair[left] << 32) | left)
+    return np.array([t for t in tokens if t >= 0], np.int64)
+
+
 #: A space after white space: the run may be split elsewhere than at the space.
 RUN = re.compile(f"[{WHITE_SPACE}] ")
 START = re.compile(f"(?<=[^{WHITE_SPACE}]) ")
@@ -185,26 +237,41 @@ class Encoder:
         self.merges, self.find = merges, splitter(pattern).findall
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def unknown(self, needed: set[str], young: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+        """What neither generation knows; what only the older knows moves to the younger."""
+        fresh = needed.difference(young)
+        met = fresh.intersection(old)
+        young.update({x: old[x] for x in met})
+        return fresh - met
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) + len(self.words) > CACHED_WORDS:
+            self.old_chunks, self.old_words, self.chunks, self.words = self.chunks, self.words, {}, {}
         split = [START.split(x) if RUN.search(x) else x.split(" ") for x in texts]
-        heads = {x[0] for x in split}
-        fresh = set().union(*[x[1:] for x in split]).difference(self.chunks)
-        if len(self.chunks) + len(self.words) + len(fresh) > CACHED_WORDS:
-            self.chunks, self.words = {}, {}
-            fresh = set().union(*[x[1:] for x in split])
+        fresh = self.unknown(set().union(*[x[1:] for x in split]), self.chunks, self.old_chunks)
         parts = {x: self.find(" " + x) for x in fresh}
-        starts = {x: self.find(x) for x in heads}
-        new = list({w for d in (parts, starts) for ws in d.values() for w in ws}.difference(self.words))
-        ids, sizes = replay([w.encode() for w in new], self.merges)
+        starts = {x: self.find(x) for x in {x[0] for x in split}}
+        new = list(self.unknown({w for d in (parts, starts) for ws in d.values() for w in ws}, self.words, self.old_words))
+        raw = [w.encode() for w in new]
+        short = [i for i, w in enumerate(raw) if len(w) <= LONG_WORD]
+        ids, sizes = replay([raw[i] for i in short], self.merges)
         packed, ends = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
-        self.words.update(zip(new, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        self.words.update(zip([new[i] for i in short], [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        self.words.update({new[i]: replay_long(w, self.merges).astype("<u4").tobytes() for i, w in enumerate(raw) if len(w) > LONG_WORD})
         word = self.words.__getitem__
         self.chunks.update({x: b"".join(map(word, ws)) for x, ws in parts.items()})
         chunk = self.chunks.__getitem__
         return [b"".join([*map(word, starts[x[0]]), *map(chunk, x[1:])]) for x in split]
 
 
+def text_bytes(ids: bytes, merges: Merges) -> bytes:
+    """The bytes behind packed ids; an unknown id raises."""
+    return b"".join(map(merges.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(text: Column | str, ranks_path: str, pattern: str) -> Column:
     """The ids of each text as little-endian unsigned 32-bit integers, in one binary value.
 
@@ -225,8 +292,22 @@ def decode(ids: Column | str, ranks_path: str) -> Column:
 
     @F.pandas_udf("binary")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = merges_of(ranks_path).token.__getitem__
+        merges = merges_of(ranks_path)
         for batch in batches:
-            yield pd.Series([None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch], dtype=object)
+            yield pd.Series([None if x is None else text_bytes(x, merges) for x in batch], dtype=object)
 
     return joined(ids)
+
+
+def round_trip(text: Column | str, ranks_path: str, pattern: str) -> Column:
+    """``(ids, decoded)`` as :func:`encode` and :func:`decode` give them, by one Python worker a task."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        merges = merges_of(ranks_path)
+        encoder = Encoder(merges, pattern)
+        for batch in batches:
+            ids = encoder.encode(batch.tolist())
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([text_bytes(x, merges) for x in ids], dtype=object)})
+
+    return both(text_of(text))

@@ -70,12 +70,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     limit_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text", path, public_tokenizers.PATTERN).alias("ids"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip("text", path, public_tokenizers.PATTERN).alias("done"))
     return docs.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode("ids", path), 256).alias("decoded_sha256"),
+        (F.octet_length("done.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("done.ids", 256).alias("ids_sha256"),
+        F.sha2("done.decoded", 256).alias("decoded_sha256"),
     )
 
 
