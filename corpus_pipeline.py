@@ -40,12 +40,16 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids (packed little-endian 32-bit), n_tokens, and whether they decode to the text."""
+    """Adds ids (packed little-endian 32-bit), n_tokens, and whether they decode to the text.
+
+    Columns of these names that ``docs`` has already are replaced.
+    """
     limit_batches(spark)
     names = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
-    out = docs.select(*[F.col(f"`{c}`") for c in names], bpe.encode(docs["text"], RANKS, public_tokenizers.PATTERN).alias("ids"))
+    done = docs.select(*[F.col(f"`{c}`") for c in names], bpe.round_trip(docs["text"], RANKS, public_tokenizers.PATTERN).alias("ids"))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (bpe.decode("ids", RANKS) == text).alias("round_trip"))
+    return done.select(*[F.col(f"`{c}`") for c in names], F.col("ids.ids").alias("ids"), (F.octet_length("ids.ids") / 4).cast("long").alias("n_tokens"),
+                       (F.col("ids.decoded") == text).alias("round_trip"))
 
 
 STAGES = [
