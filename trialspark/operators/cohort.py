@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from trialspark.functions import codes
 from trialspark.functions.dates import between, is_true, lit_date, plus_days, plus_months, plus_years
 from trialspark.functions.predicates import any_resistant, counts_as_contact
+from trialspark.operators.bounds import UNBOUNDED, IndexBounds
 from trialspark.operators.joins import KEY, one_value
 from trialspark.params import StudyParams
 
@@ -82,13 +83,14 @@ def exclude_prior_exposure(cohort: DataFrame, exposure_ends: DataFrame, params:
 
 
 # ---------------------------------------------------------------- O4, O5, O6
-def contact_days(keys: DataFrame, gp_events: DataFrame, params: StudyParams) -> DataFrame:
+def contact_days(keys: DataFrame, gp_events: DataFrame, params: StudyParams, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """``(alf_pe, gp_int_days)``: distinct qualifying event days in (index, index + 1 year].
 
     Patients without such days are absent; ``attach_counts`` turns them into 0.
     """
     # one row per patient and day: a hot patient is combined before the shuffle
-    ev = gp_events.where(counts_as_contact(col("event_cd"))).select(KEY, "event_dt").distinct()
+    near = bounds.since("event_dt", days=1) & bounds.until("event_dt", 12 * params.contact_window_years)
+    ev = gp_events.where(counts_as_contact(col("event_cd")) & near).select(KEY, "event_dt").distinct()
     return (ev.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_dt", F.date_add("diag_date", 1),
                            plus_years("diag_date", params.contact_window_years)))
@@ -186,9 +188,10 @@ def practice_rate(keys: DataFrame, registration: DataFrame, rates: DataFrame) ->
     return one_value(found, KEY, "gp_presc_rt", "prescribing rate of the practice at index")
 
 
-def baseline_resistance(keys: DataFrame, tests: DataFrame, params: StudyParams) -> DataFrame:
+def baseline_resistance(keys: DataFrame, tests: DataFrame, params: StudyParams, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """``(alf_pe, amr_baseline=1)`` for any resistant result in [index - 365 days, index]; others get 0."""
-    return (tests.where(any_resistant(params.antibiotics)).select(KEY, "spcm_collected_dt").distinct()
+    near = bounds.around("spcm_collected_dt", before_days=params.resistance_lookback_days)
+    return (tests.where(any_resistant(params.antibiotics) & near).select(KEY, "spcm_collected_dt").distinct()
             .join(keys.select(KEY, "diag_date"), KEY)
             .where(between("spcm_collected_dt", F.date_sub("diag_date", params.resistance_lookback_days),
                            "diag_date"))
@@ -206,7 +209,7 @@ def earliest_end(cohort: DataFrame, params: StudyParams) -> DataFrame:
 
 # ---------------------------------------------------------------- O21, O22
 def baseline_uti_counts_gp(keys: DataFrame, gp_uti: DataFrame, hosp_uti: DataFrame,
-                           params: StudyParams) -> DataFrame:
+                           params: StudyParams, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """GP UTI episodes in [index - 1 year, index], not inside the patient's hospital UTIs.
 
     As written, a GP episode is dropped only if *every* hospital episode of the
@@ -216,7 +219,8 @@ def baseline_uti_counts_gp(keys: DataFrame, gp_uti: DataFrame, hosp_uti: DataFra
     As documented (D9), it is dropped if *some* hospital episode covers it.
     """
     lo = plus_years("diag_date", -params.uti_lookback_years)
-    gp = (gp_uti.where(col("data_source") == codes.GP_SOURCE)
+    near = bounds.around("event_str_dt", before=12 * params.uti_lookback_years)
+    gp = (gp_uti.where((col("data_source") == codes.GP_SOURCE) & near)
           .select(KEY, "event_str_dt", "event_end_dt", "data_source").distinct())
     if params.documented:
         kept = _outside_hospital(gp, hosp_uti)
@@ -250,10 +254,12 @@ def _outside_hospital(gp: DataFrame, hosp_uti: DataFrame) -> DataFrame:
             .drop("_h", "_until"))
 
 
-def baseline_uti_counts_hosp(keys: DataFrame, hosp_uti: DataFrame, params: StudyParams) -> DataFrame:
+def baseline_uti_counts_hosp(keys: DataFrame, hosp_uti: DataFrame, params: StudyParams,
+                             bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """Distinct hospital UTI episodes starting or ending in [index - 1 year, index]."""
     lo = plus_years("diag_date", -params.uti_lookback_years)
-    h = (hosp_uti.where(col("data_source") == codes.HOSPITAL_SOURCE)
+    near = [bounds.around(c, before=12 * params.uti_lookback_years) for c in ("event_str_dt", "event_end_dt")]
+    h = (hosp_uti.where((col("data_source") == codes.HOSPITAL_SOURCE) & (near[0] | near[1]))
          .select(KEY, "event_str_dt", "event_end_dt", "data_source").distinct())
     return (h.join(keys.select(KEY, "diag_date"), KEY)
             .where(between("event_end_dt", lo, "diag_date") | between("event_str_dt", lo, "diag_date"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from trialspark.functions import codes
 from trialspark.functions.dates import between, in_week, months_within, plus_months, plus_years
+from trialspark.functions.predicates import specimen_indicator, specimen_rank
+from trialspark.operators.bounds import UNBOUNDED, IndexBounds
 from trialspark.operators.joins import KEY
 from trialspark.params import StudyParams
 
@@ -71,25 +73,20 @@ def inclusion_days(df: DataFrame, params: StudyParams) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O33
-def closest_specimen(cohort: DataFrame, tests: DataFrame, params: StudyParams) -> DataFrame:
+def closest_specimen(cohort: DataFrame, tests: DataFrame, params: StudyParams, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """``most_recent_urine`` from the latest specimen in [index - 1 year, index].
 
     Several specimens that day: the best ranked outcome wins (unlisted outcomes rank last).
     One ``max(struct(date, -rank))`` per patient replaces the row_number + UNION of the study.
     """
-    rank_of = F.create_map(*[x for i, o in enumerate(codes.UTI_OUTCOME_RANK, 1) for x in (F.lit(o), F.lit(i))])
-    rank = F.coalesce(F.try_element_at(rank_of, col("uti_outcome")), F.lit(len(codes.UTI_OUTCOME_RANK) + 1))
-    best = (tests.groupBy(KEY, "spcm_collected_dt").agg(F.min(rank).alias("_rank"))  # one row per patient and day
+    near = bounds.around("spcm_collected_dt", before=12 * params.specimen_lookback_years)
+    best = (tests.where(near).groupBy(KEY, "spcm_collected_dt").agg(F.min(specimen_rank()).alias("_rank"))  # one row per patient and day
             .join(cohort.select(KEY, "diag_date"), KEY)
             .where(between("spcm_collected_dt", plus_years("diag_date", -params.specimen_lookback_years),
                            "diag_date"))
             .groupBy(KEY).agg(F.max(F.struct(col("spcm_collected_dt").alias("d"), (-col("_rank")).alias("nr")))
                               .alias("_b")))
-    indicator = dict(codes.URINE_INDICATOR_BY_RANK)
-    if params.documented:  # D5
-        indicator.update({5: codes.URINE_INDICATOR_NO_EVIDENCE_DOCUMENTED, 6: codes.URINE_INDICATOR_NO_EVIDENCE_DOCUMENTED})
-    ind_of = F.create_map(*[F.lit(x) for kv in sorted(indicator.items()) for x in kv])
-    return best.select(KEY, F.try_element_at(ind_of, -col("_b.nr")).cast("int").alias("most_recent_urine"))
+    return best.select(KEY, specimen_indicator(-col("_b.nr"), params).alias("most_recent_urine"))
 
 
 # ---------------------------------------------------------------- O34
@@ -131,9 +128,9 @@ def death_after_outcome() -> Column:
     return F.when(between("dod", "outcome_dt", F.coalesce(col("gp_end_dt"), col("study_end"))), 1).otherwise(0)
 
 
-def next_event_date(cohort: DataFrame, all_uti: DataFrame) -> DataFrame:
+def next_event_date(cohort: DataFrame, all_uti: DataFrame, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """First UTI after index (forward as-of)."""
-    return (all_uti.select(KEY, "event_str_dt").distinct().join(cohort.select(KEY, "diag_date"), KEY)
+    return (all_uti.where(bounds.since("event_str_dt", days=1)).select(KEY, "event_str_dt").distinct().join(cohort.select(KEY, "diag_date"), KEY)
             .where(col("event_str_dt") > col("diag_date"))
             .groupBy(KEY).agg(F.min("event_str_dt").alias("next_uti_dt")))
 

@@ -20,6 +20,7 @@ from trialspark.operators import panel as P
 from trialspark.operators import survival as S
 from trialspark.operators import weights as W
 from trialspark.functions.predicates import any_resistant, resistant_to
+from trialspark.operators.bounds import index_bounds
 from trialspark.params import FIXTURE_PARAMS
 from trialspark.plans import analysis as A
 from trialspark.plans import trial as T
@@ -63,7 +64,7 @@ def _pre(spark, sf_dir):
 
 def _table(spark, sf_dir):
     cat, pre = _pre(spark, sf_dir)
-    return _memo(spark, sf_dir, "outcomes", lambda: T.all_outcomes(cat, PARAMS, pre=pre))
+    return _memo(spark, sf_dir, "outcomes", lambda: T.all_outcomes(cat, PARAMS, pre=pre, bounds=index_bounds(pre), materialise=cut))
 
 
 def _pre_cols(*cols) -> Callable[[SparkSession, str], DataFrame]:
@@ -142,7 +143,7 @@ def lab_multi(spark, sf_dir):
 
 def first_event(spark, sf_dir):
     cat, pre = _pre(spark, sf_dir)
-    return E.outcome_dates_long(E.outcome_events(cat, pre, PARAMS)).select(
+    return E.outcome_dates_long(E.outcome_dates(cat, pre, PARAMS, sorted(E.OUTCOMES))).select(
         "alf_pe", col("outcome_id").cast("int"), "outcome_dt")
 
 
@@ -151,7 +152,7 @@ def _stacked(spark, sf_dir):
     cat, pre = _pre(spark, sf_dir)
     facts = T.patient_facts(pre, cat, PARAMS, exclude=False)
     ids = sorted(E.OUTCOMES)
-    wide = E.outcome_dates_wide(E.outcome_dates_long(E.outcome_events(cat, pre, PARAMS)), ids)
+    wide = T.missing_dates(cat, pre, PARAMS, ids)
     return T.stacked_panel(facts, wide, PARAMS, ids)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from trialspark.operators import events as E
 from trialspark.operators import survival as S
+from trialspark.operators.bounds import index_bounds
 from trialspark.params import StudyParams
 from trialspark.plans import analysis as A
 from trialspark.plans import trial as T
@@ -40,7 +41,7 @@ def run(cat: SourceCatalog, params: StudyParams, out_dir: str | None = None, out
     """The study end to end. ``check`` first makes sure that merged sources have one row per key."""
     ids = sorted(outcome_ids or E.OUTCOMES)
     pre = cut(T.baseline_cohort(cat, params, materialise=cut, check=check), "baseline")
-    outcomes = cut(T.all_outcomes(cat, params, outcome_ids=ids, pre=pre), "outcomes")
+    outcomes = cut(T.all_outcomes(cat, params, outcome_ids=ids, pre=pre, bounds=index_bounds(pre), materialise=cut), "outcomes")
     prep = cut(A.prepared(outcomes, params), "prepared")
     fits = A.fit_models(prep, ids)
     clones = cut(A.weighted_clones(A.with_fitted(prep, fits), params, materialise=cut), "clones")

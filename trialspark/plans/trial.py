@@ -19,6 +19,7 @@ from trialspark.operators import cohort as C
 from trialspark.operators import events as E
 from trialspark.operators import outcomes as O
 from trialspark.operators import panel as P
+from trialspark.operators.bounds import UNBOUNDED, IndexBounds, index_bounds
 from trialspark.operators.joins import KEY, assert_unique
 from trialspark.params import StudyParams
 from trialspark.sources.catalog import SourceCatalog
@@ -44,8 +45,9 @@ def check_sources(cat: SourceCatalog) -> None:
 def baseline_cohort(cat: SourceCatalog, params: StudyParams, materialise=None, check: bool = False) -> DataFrame:
     """O1-O15, O21, O22 in the study's statement order. One row per patient.
 
-    ``materialise`` (e.g. ``session.cut``) is applied to the eligible base, which
-    every per-patient aggregate reads. ``check`` runs :func:`check_sources` first.
+    The tests are read once, so the row also holds what the outcome tables need of them
+    (``events.LAB_FACTS``). ``materialise`` (e.g. ``session.cut``) is applied to the eligible base, which
+    every per-patient aggregate reads; the range of its index dates then bounds the event scans. ``check`` runs :func:`check_sources` first.
     """
     if check:
         check_sources(cat)
@@ -55,46 +57,52 @@ def baseline_cohort(cat: SourceCatalog, params: StudyParams, materialise=None, c
     if materialise is not None:
         base = materialise(base)
     keys = base.select(KEY, "diag_date", "pabx_str")
+    near = index_bounds(keys) if materialise is not None else UNBOUNDED  # one row of the stored base
     bounds = C.episode_bounds(cat.exposure_starts, cat.exposure_ends)
     expo = C.exposure_bounds(keys, bounds)                                   # first_abx_dt, pabx_end
     df = C.attach(
         base,
-        C.contact_days(keys, cat.gp_events, params),
+        C.contact_days(keys, cat.gp_events, params, near),
         expo,
         C.dose_at_start(keys, cat.prescriptions),
         C.next_episode_start(expo, cat.exposure_starts),
         C.first_exposure_ever(keys, cat.exposure_starts, bounds),
         C.practice_rate(keys, cat.registration, cat.practice_rate),
-        C.baseline_resistance(keys, cat.urine_tests, params),
-        C.baseline_uti_counts_gp(keys, cat.gp_uti, cat.hosp_uti, params),
-        C.baseline_uti_counts_hosp(keys, cat.hosp_uti, params),
+        E.lab_fold(keys, cat.urine_tests, params, near),                      # O14, and O26-O28, O33 for the outcome tables
+        C.baseline_uti_counts_gp(keys, cat.gp_uti, cat.hosp_uti, params, near),
+        C.baseline_uti_counts_hosp(keys, cat.hosp_uti, params, near),
         zero=("gp_int_days", "amr_baseline"))
     df = C.override_exit_reason(df, params)
     return C.earliest_end(df, params)
 
 
 # ---------------------------------------------------------------- patient facts used by the outcome tables
-def patient_facts(pre: DataFrame, cat: SourceCatalog, params: StudyParams, exclude: bool = True) -> DataFrame:
-    """O33, O34, O35, O37a and the O38b exclusion on the one-row-per-patient table.
+def patient_facts(pre: DataFrame, cat: SourceCatalog, params: StudyParams, exclude: bool = True,
+                  bounds: IndexBounds = UNBOUNDED) -> DataFrame:
+    """O34, O35, O37a and the O38b exclusion on the one-row-per-patient table (O33 came with the baseline).
 
     The study deletes O38b's patients from the finished outcome table; the rule is
     per patient, so dropping them here, before the panel is exploded, gives the same table.
     """
     idx = O.clamp_exposure(pre.where(col("diag_date").isNotNull()))
     keys = idx.select(KEY, "diag_date", "pabx_str_c")
-    df = C.attach(idx, O.closest_specimen(keys, cat.urine_tests, params),
-                  O.exposure_type(keys, cat.exposure_starts, params), O.next_event_date(keys, cat.all_uti))
+    df = C.attach(idx, O.exposure_type(keys, cat.exposure_starts, params), O.next_event_date(keys, cat.all_uti, bounds))
     if not exclude:
         return df
     return df.join(O.started_before_index(keys, cat.exposure_starts), KEY, "left_anti")
 
 
 # ---------------------------------------------------------------- the outcome template on the stacked panel
-def stacked_panel(facts: DataFrame, dates_wide: DataFrame, params: StudyParams, outcome_ids) -> DataFrame:
-    """(patient x outcome x interval) rows with the panel flags (O16-O20) and the outcome date."""
+def stacked_panel(facts: DataFrame, dates_wide: DataFrame | None, params: StudyParams, outcome_ids) -> DataFrame:
+    """(patient x outcome x interval) rows with the panel flags (O16-O20) and the outcome date.
+
+    Outcome dates are columns ``od_<id>`` of ``facts`` (those of the tests) or of ``dates_wide``.
+    """
     outs = F.array(*[F.struct(F.lit(i).alias("outcome_id"), col(f"od_{i}").alias("outcome_dt"))
                      for i in outcome_ids])
-    base = (facts.join(dates_wide, KEY, "left")
+    if dates_wide is not None:
+        facts = facts.join(dates_wide, KEY, "left")
+    base = (facts
             .withColumnsRenamed({"diag_date": "ruti_diag_dt", "gp_end_date": "gp_end_dt"})
             .withColumn("study_end", F.lit(params.study_end)))
     base = base.select(*[c for c in base.columns if not c.startswith("od_")], F.inline(outs))
@@ -108,6 +116,13 @@ def stacked_panel(facts: DataFrame, dates_wide: DataFrame, params: StudyParams,
     })
 
 
+def missing_dates(cat: SourceCatalog, pre: DataFrame, params: StudyParams, outcome_ids, bounds: IndexBounds = UNBOUNDED,
+                  materialise=None) -> DataFrame | None:
+    """The outcome dates that the baseline does not hold yet."""
+    todo = [i for i in outcome_ids if f"od_{i}" not in pre.columns]
+    return E.outcome_dates(cat, pre, params, todo, bounds, materialise) if todo else None
+
+
 def outcome_template(df: DataFrame, params: StudyParams) -> DataFrame:
     """O29-O32, O36, O37b on the stacked panel."""
     df = df.withColumn("outcome", O.outcome_flag(params))
@@ -118,15 +133,16 @@ def outcome_template(df: DataFrame, params: StudyParams) -> DataFrame:
 
 
 def all_outcomes(cat: SourceCatalog, params: StudyParams, outcome_ids=None, pre: DataFrame | None = None,
-                 dates_long: DataFrame | None = None) -> DataFrame:
-    """O38d: the six outcome tables in one pass, stacked on ``outcome_id``."""
+                 bounds: IndexBounds = UNBOUNDED, materialise=None) -> DataFrame:
+    """O38d: the six outcome tables in one pass, stacked on ``outcome_id``.
+
+    ``bounds`` is the range of index dates of a stored ``pre`` (``bounds.index_bounds``);
+    ``materialise`` stores the cohort's spells, which two rules read.
+    """
     outcome_ids = sorted(outcome_ids or E.OUTCOMES)
     pre = pre if pre is not None else baseline_cohort(cat, params)
-    if dates_long is None:
-        evs = E.outcome_events(cat, pre, params)
-        dates_long = E.outcome_dates_long({i: evs[i] for i in outcome_ids})
-    wide = E.outcome_dates_wide(dates_long, outcome_ids)
-    facts = patient_facts(pre, cat, params)
+    wide = missing_dates(cat, pre, params, outcome_ids, bounds, materialise)
+    facts = patient_facts(pre, cat, params, bounds=bounds)
     table = outcome_template(stacked_panel(facts, wide, params, outcome_ids), params)
     return O.assemble(table, params)
 
