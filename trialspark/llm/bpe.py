@@ -158,12 +158,17 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
         todo = np.concatenate(index[at]) if index[at] else new[:0]
         index[at] = []
         while len(todo):
-            todo = np.unique(todo)
-            todo = todo[pair[todo] <= top]  # an earlier merge may have taken one side, or changed it
-            order = np.argsort(word[todo].astype(np.int64) << 20 | pair[todo], kind="stable")
-            todo = todo[order]
-            first = np.diff(word[todo], prepend=-1) != 0
-            places, todo = todo[first], todo[~first]
+            todo.sort()
+            fresh = np.ones(len(todo), bool)
+            fresh[1:] = todo[1:] != todo[:-1]
+            fresh &= pair[todo] <= top  # an earlier merge may have taken one side, or changed it
+            todo = todo[fresh]
+            if not len(todo):
+                break
+            of = word[todo]  # ascending, as the places are
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            best = np.minimum.reduceat(pair[todo].astype(np.int64) << 32 | np.arange(len(todo)), starts) & 0xFFFFFFFF
+            places, todo = todo[best], np.delete(todo, best)
             gone, r = after[places], pair[places]
             right, left = after[gone], before[places]
             tokens[places], tokens[gone], pair[gone] = r, -1, NONE
@@ -262,7 +267,7 @@ class Encoder:
         self.words.update(zip([new[i] for i in short], [packed[a:b] for a, b in zip([0, *ends], ends)]))
         self.words.update({new[i]: replay_long(w, self.merges).astype("<u4").tobytes() for i, w in enumerate(raw) if len(w) > LONG_WORD})
         word = self.words.__getitem__
-        self.chunks.update({x: b"".join(map(word, ws)) for x, ws in parts.items()})
+        self.chunks.update({x: word(ws[0]) if len(ws) == 1 else b"".join(map(word, ws)) for x, ws in parts.items()})
         chunk = self.chunks.__getitem__
         return [b"".join([*map(word, starts[x[0]]), *map(chunk, x[1:])]) for x in split]
 
