@@ -44,7 +44,7 @@ ROLES = [
         CAST(o_orderdate AS DATE) AS dt FROM orders"""),
     ("expo", f"SELECT * FROM o WHERE priority IN ({ql(FX.EXPOSURE_PRIORITIES)})"),
     ("exposure_starts", f"""SELECT CAST(c AS VARCHAR) AS alf_pe, dt AS pabx_str, dt - CAST(k % 5 AS INTEGER) AS alt_str_dt,
-        CASE CAST(k % 3 AS INTEGER) {_types} END AS alt_abx_type FROM expo"""),
+        CASE CAST((c + date_diff('day', DATE '1970-01-01', dt)) % 3 AS INTEGER) {_types} END AS alt_abx_type FROM expo"""),
     ("exposure_ends", """SELECT CAST(c AS VARCHAR) AS alf_pe, dt AS pabx_str,
         dt + CAST(k % 120 + 30 AS INTEGER) AS alt_end_dt_comb FROM expo"""),
     ("first_idx", f"SELECT c, min(dt) AS diag_date FROM o WHERE dt BETWEEN {S0} AND {S1} GROUP BY c"),
@@ -97,8 +97,13 @@ ROLES = [
         {_supp},
         CASE CAST(l.l_partkey % 6 AS INTEGER) {_uti} END AS uti_outcome
         FROM lineitem l JOIN o ON o.k = l.l_orderkey"""),
+    # a quarter of the patients register twice: overlapping at one practice, or at the next one after a gap
     ("registration", f"""SELECT CAST(c_custkey AS VARCHAR) AS alf_pe, CAST(c_nationkey AS VARCHAR) AS prac_cd_pe,
-        {S0} AS start_date, {S1} AS end_date FROM customer"""),
+        {S0} AS start_date, if(c_custkey % 4 = 0, {S0} + CAST(c_custkey * 13 % {FX.SPLIT_DAYS} AS INTEGER), {S1}) AS end_date FROM customer
+        UNION ALL
+        SELECT CAST(c_custkey AS VARCHAR), CAST(if(c_custkey % 8 = 0, c_nationkey, (c_nationkey + 1) % 25) AS VARCHAR),
+        {S0} + CAST(c_custkey * 13 % {FX.SPLIT_DAYS} + if(c_custkey % 8 = 0, -{FX.REJOIN_DAYS}, {FX.GAP_DAYS}) AS INTEGER), {S1}
+        FROM customer WHERE c_custkey % 4 = 0"""),
     ("ethnicity", """SELECT CAST(c_custkey AS VARCHAR) AS alf_pe, CAST(c_nationkey % 6 + 1 AS INTEGER)
         AS ethn_ec_ons_date_latest_code FROM customer WHERE c_custkey % 3 = 0"""),
     ("practice_rate", """SELECT CAST(s_nationkey AS VARCHAR) AS prac_cd_pe, round(avg(s_acctbal) / 1000, 3) AS abx_presc_rt

@@ -28,14 +28,6 @@ def test_practice_rate_takes_one_value_and_raises_on_two(spark):
         C.practice_rate(_keys(spark), reg, other).collect()
 
 
-def test_exposure_type_prefers_a_known_type(spark):
-    from trialspark.operators import outcomes as O
-
-    starts = spark.createDataFrame([("a", D(2016, 7, 1), None), ("a", D(2016, 7, 1), "x"), ("a", D(2016, 8, 1), "a")],
-                                   "alf_pe string, pabx_str date, alt_abx_type string")
-    assert [tuple(r) for r in O.exposure_type(_keys(spark), starts, StudyParams()).collect()] == [("a", "x")]
-
-
 def test_gp_episode_inside_one_of_two_hospital_episodes(spark):
     kind = "alf_pe string, event_str_dt date, event_end_dt date, data_source string"
     gp = spark.createDataFrame([("a", D(2016, 3, 5), D(2016, 3, 5), "WLGP"), ("b", D(2016, 3, 5), D(2016, 3, 5), "WLGP")], kind)

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from trialspark.functions import codes
 from trialspark.functions.dates import between, is_true, lit_date, plus_days, plus_months, plus_years
 from trialspark.functions.predicates import any_resistant, counts_as_contact
+from trialspark.operators.asof import Source, asof_join
 from trialspark.operators.bounds import UNBOUNDED, IndexBounds
-from trialspark.operators.joins import KEY, one_value
+from trialspark.operators.joins import KEY, checked_left_join, one_value
 from trialspark.params import StudyParams
 
 col = F.col
@@ -45,9 +46,11 @@ def _exit_rules(params: StudyParams):
 
 
 def follow_up_exit(cohort: DataFrame, deaths: DataFrame, params: StudyParams) -> DataFrame:
-    """O2: ``dod``, ``cohort_end_dt``, ``cohort_end_reason`` by the ordered rule list."""
+    """O2: ``dod``, ``cohort_end_dt``, ``cohort_end_reason`` by the ordered rule list.
+
+    A patient with two deaths fails the job."""
     end = lit_date(params.study_end)
-    df = cohort.join(deaths.select(KEY, F.to_date("death_dt").alias("dod")), KEY, "left")
+    df = checked_left_join(cohort, deaths.select(KEY, F.to_date("death_dt").alias("dod")), KEY, "deaths")
     diag12, max_age, gp, d, r12, rltf, rdied, rold = _exit_rules(params)
     end_dt = (F.when(r12, diag12).when(rltf, gp).when(rdied, d).when(rold, max_age).otherwise(end))
     reason = (F.when(r12 & (diag12 <= end), codes.REASON_12M)
@@ -98,9 +101,9 @@ def contact_days(keys: DataFrame, gp_events: DataFrame, params: StudyParams, bou
 
 
 def fill_from(cohort: DataFrame, lookup: DataFrame, target: str, source: str) -> DataFrame:
-    """Keep the patient's own value, else the lookup's."""
+    """Keep the patient's own value, else the lookup's; two lookup rows for a patient fail the job."""
     lk = lookup.select(KEY, col(source).alias("_fill"))
-    return (cohort.join(lk, KEY, "left")
+    return (checked_left_join(cohort, lk, KEY, f"lookup of {target}")
             .withColumn(target, F.coalesce(col(target), col("_fill"))).drop("_fill"))
 
 
@@ -121,20 +124,21 @@ def episode_bounds(exposure_starts: DataFrame, exposure_ends: DataFrame) -> Data
 
 
 def exposure_bounds(keys: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``(alf_pe, first_abx_dt, pabx_end)`` for each patient's exposure start ``pabx_str``."""
+    """``(alf_pe, first_abx_dt, pabx_end)`` for each patient's exposure start ``pabx_str``.
+
+    ``episode_bounds`` has one row per patient and start; other bounds with two fail the job."""
     b = bounds.select(KEY, "pabx_str", col("first_script").alias("first_abx_dt"), col("last_end").alias("pabx_end"))
-    return keys.select(KEY, "pabx_str").join(b, [KEY, "pabx_str"]).drop("pabx_str")
+    found = checked_left_join(keys.select(KEY, "pabx_str"), b, [KEY, "pabx_str"], "episode bounds")
+    return found.where(col("first_abx_dt").isNotNull() | col("pabx_end").isNotNull()).drop("pabx_str")
 
 
-def first_exposure_ever(keys: DataFrame, exposure_starts: DataFrame, bounds: DataFrame) -> DataFrame:
+def first_exposure_ever(keys: DataFrame, exposure_starts: DataFrame, bounds: DataFrame, near: IndexBounds = UNBOUNDED) -> DataFrame:
     """First episode start on or after index (any time), with its bounds; no row without bounds."""
-    first = (exposure_starts.select(KEY, col("pabx_str").alias("_s")).distinct()
-             .join(keys.select(KEY, "diag_date"), KEY)
-             .where(F.datediff("_s", "diag_date") >= 0)
-             .groupBy(KEY).agg(F.min("_s").alias("pabx_str_all")))
+    starts = exposure_starts.where(near.since("pabx_str")).select(KEY, "pabx_str")
+    first = asof_join(keys.select(KEY, "diag_date"), KEY, "diag_date", Source(starts, "pabx_str", {"pabx_str_all": "pabx_str"}))
     b = bounds.select(KEY, col("pabx_str").alias("pabx_str_all"),
                       col("first_script").alias("pabx_all_first_script"), col("last_end").alias("pabx_end_all"))
-    return first.join(b, [KEY, "pabx_str_all"])
+    return first.drop("diag_date").join(b, [KEY, "pabx_str_all"])
 
 
 # ---------------------------------------------------------------- O8
@@ -155,10 +159,9 @@ def dose_at_start(keys: DataFrame, prescriptions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- O10, O11
 def next_episode_start(keys: DataFrame, exposure_starts: DataFrame) -> DataFrame:
     """``(alf_pe, next_pabx_str)``: first episode start after the current episode's end (forward as-of)."""
-    return (exposure_starts.select(KEY, col("pabx_str").alias("_s")).distinct()
-            .join(keys.select(KEY, "pabx_end"), KEY)
-            .where(col("_s") > col("pabx_end"))
-            .groupBy(KEY).agg(F.min("_s").alias("next_pabx_str")))
+    starts = exposure_starts.select(KEY, "pabx_str")
+    after = asof_join(keys.select(KEY, "pabx_end"), KEY, "pabx_end", Source(starts, "pabx_str", {"next_pabx_str": "pabx_str"}, exact=False))
+    return after.drop("pabx_end").where(col("next_pabx_str").isNotNull())
 
 
 def override_exit_reason(cohort: DataFrame, params: StudyParams) -> DataFrame:

@@ -62,29 +62,30 @@ def hospital_events(diagnosis: DataFrame, episode: DataFrame, spell: DataFrame,
 
 
 # ---------------------------------------------------------------- O24
-def recent_discharge_hits(events: DataFrame, spell: DataFrame, params: StudyParams) -> DataFrame:
-    """Which (patient, event date, own spell) have a discharge of a *different* spell 0..3 days before.
+def near_discharges(events: DataFrame, spell: DataFrame, params: StudyParams, how: str = "inner") -> DataFrame:
+    """``events`` (patient, event date, own spell ``_own``...) with the patient's discharges 0..3 days before.
 
-    Equi-join on (patient, discharge date): each event key is expanded to its
+    Equi-join on (patient, discharge date): each event is expanded to its
     four candidate discharge dates, spells are reduced to min/max spell number
-    per (patient, discharge date). "Some spell differs from s" is
-    ``min <> s OR max <> s``. No pairing of a patient's events with all spells.
+    per (patient, discharge date). No pairing of a patient's events with all spells.
     """
     gap = params.discharge_gap_days
-    keys = events.select(KEY, "epi_str_dt", "_own").distinct()
-    cand = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(gap))).alias("_off")) \
-        .withColumn("disch_dt", F.date_sub("epi_str_dt", col("_off")))
+    cand = events.select("*", F.explode(F.sequence(F.lit(0), F.lit(gap))).alias("_off")) \
+        .withColumn("disch_dt", F.date_sub("epi_str_dt", col("_off"))).drop("_off")
     sp = (spell.where(col("disch_dt").isNotNull())
           .groupBy(KEY, "disch_dt").agg(F.min("spell_num_pe").alias("_mn"), F.max("spell_num_pe").alias("_mx")))
-    return (cand.join(sp, [KEY, "disch_dt"])
-            .where((col("_mn") != col("_own")) | (col("_mx") != col("_own")))
-            .select(KEY, "epi_str_dt", "_own").distinct())
+    return cand.join(sp, [KEY, "disch_dt"], how)
+
+
+def other_spell() -> Column:
+    """Some spell discharged that day differs from the event's own."""
+    return (col("_mn") != col("_own")) | (col("_mx") != col("_own"))
 
 
 def recent_discharge_keys(events: DataFrame, spell: DataFrame, params: StudyParams) -> DataFrame:
-    """(patient, event date) pairs with such a discharge for some event on that date."""
-    hits = recent_discharge_hits(events.withColumn("_own", col("spell_num_pe")), spell, params)
-    return hits.select(KEY, "epi_str_dt").distinct()
+    """(patient, event date) pairs with a discharge of a *different* spell 0..3 days before."""
+    keys = events.select(KEY, "epi_str_dt", col("spell_num_pe").alias("_own")).distinct()
+    return near_discharges(keys, spell, params).where(other_spell()).select(KEY, "epi_str_dt").distinct()
 
 
 def exclude_recent_discharge(events: DataFrame, spell: DataFrame, params: StudyParams) -> DataFrame:
@@ -202,9 +203,8 @@ def hospital_dates(diagnosis: DataFrame, episode: DataFrame, spell: DataFrame, c
     flagged = flagged.withColumn("_two", col("_uti") & F.max("_res").over(Window.partitionBy(*unit)))
     events = flagged.where(col("_res") | col("_two")).groupBy(KEY, "epi_str_dt", col("spell_num_pe").alias("_own")).agg(
         F.max("_res").alias("_e1"), F.max("_two").alias("_e2"))
-    hits = recent_discharge_hits(events, spell, params).withColumn("_hit", F.lit(True))
-    marked = events.join(hits, [KEY, "epi_str_dt", "_own"], "left")
-    hit = F.coalesce(col("_hit"), F.lit(False))
+    marked = near_discharges(events, spell, params, "left")
+    hit = F.coalesce(other_spell(), F.lit(False))
     dates = marked.groupBy(KEY, "epi_str_dt").agg(*[F.max(col(f"_e{k}")).alias(f"_e{k}") for k in (1, 2)],
                                                   *[F.max(col(f"_e{k}") & hit).alias(f"_x{k}") for k in (1, 2)])
     return dates.groupBy(KEY).agg(*[F.min(F.when(col(f"_e{k}") & ~col(f"_x{k}"), col("epi_str_dt"))).alias(f"od_{k}") for k in (1, 2)])

@@ -38,3 +38,19 @@ def one_value(df: DataFrame, key: str, value: str, what: str) -> DataFrame:
     low, high = F.min(value), F.max(value)
     error = F.raise_error(F.concat(F.lit(f"CardinalityError: {what}: different values for "), F.col(key).cast("string")))
     return df.groupBy(key).agg(F.when(low.eqNullSafe(high), low).otherwise(error).alias(value))
+
+
+def checked_left_join(left: DataFrame, right: DataFrame, keys, what: str) -> DataFrame:
+    """``left`` with the columns of its only match in ``right``; a second match fails the job.
+
+    What a MERGE does: a source row that nothing matches may be repeated, a matched one may not, not
+    even by an equal row. ``right`` is counted map-side on the join's own key, so the check adds no job
+    and no exchange; it is a filter, so no later projection removes it. Null keys match nothing.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    values = [c for c in right.columns if c not in keys]
+    one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_matches"), *[F.first(v).alias(f"_match_{v}") for v in values])
+    key = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    error = F.raise_error(F.concat(F.lit(f"CardinalityError: {what}: more than one row for "), key))
+    joined = left.join(one, keys, "left").where(F.coalesce(F.when(F.col("_matches") > 1, error.cast("boolean")), F.lit(True)))
+    return joined.select(*left.columns, *[F.col(f"_match_{v}").alias(v) for v in values])

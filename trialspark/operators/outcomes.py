@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trialspark.functions import codes
 from trialspark.functions.dates import between, in_week, months_within, plus_months, plus_years
 from trialspark.functions.predicates import specimen_indicator, specimen_rank
+from trialspark.operators.asof import Source, asof_join
 from trialspark.operators.bounds import UNBOUNDED, IndexBounds
 from trialspark.operators.joins import KEY
 from trialspark.params import StudyParams
@@ -76,31 +77,34 @@ def inclusion_days(df: DataFrame, params: StudyParams) -> DataFrame:
 def closest_specimen(cohort: DataFrame, tests: DataFrame, params: StudyParams, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """``most_recent_urine`` from the latest specimen in [index - 1 year, index].
 
-    Several specimens that day: the best ranked outcome wins (unlisted outcomes rank last).
-    One ``max(struct(date, -rank))`` per patient replaces the row_number + UNION of the study.
+    Several specimens that day: the best ranked outcome wins (unlisted outcomes rank last). A
+    backward as-of join replaces the row_number + UNION of the study.
     """
     near = bounds.around("spcm_collected_dt", before=12 * params.specimen_lookback_years)
-    best = (tests.where(near).groupBy(KEY, "spcm_collected_dt").agg(F.min(specimen_rank()).alias("_rank"))  # one row per patient and day
-            .join(cohort.select(KEY, "diag_date"), KEY)
-            .where(between("spcm_collected_dt", plus_years("diag_date", -params.specimen_lookback_years),
-                           "diag_date"))
-            .groupBy(KEY).agg(F.max(F.struct(col("spcm_collected_dt").alias("d"), (-col("_rank")).alias("nr")))
-                              .alias("_b")))
-    return best.select(KEY, specimen_indicator(-col("_b.nr"), params).alias("most_recent_urine"))
+    seen = tests.where(near).select(KEY, "spcm_collected_dt", specimen_rank().alias("_rank"))
+    last = asof_join(cohort.select(KEY, "diag_date"), KEY, "diag_date",
+                     Source(seen, "spcm_collected_dt", {"_day": "spcm_collected_dt", "_best": "_rank"}, backward=True, prefer="_rank"))
+    return (last.where(col("_day") >= plus_years("diag_date", -params.specimen_lookback_years))
+            .select(KEY, specimen_indicator(col("_best"), params).alias("most_recent_urine")))
 
 
 # ---------------------------------------------------------------- O34
-def exposure_type(cohort: DataFrame, exposure_starts: DataFrame, params: StudyParams) -> DataFrame:
+def exposure_type(cohort: DataFrame, exposure_starts: DataFrame, params: StudyParams, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """Type of the first episode starting in [index, index + 12 months).
 
-    Several types on that day (which the study rejects): the first in the order of names, a
-    missing type only if there is no other.
+    Rows of one type on that day are one; two types (a missing one counts as a type) fail the job,
+    as the study's MERGE does. Other days are not judged.
     """
-    return (exposure_starts.groupBy(KEY, "pabx_str").agg(F.min("alt_abx_type").alias("alt_abx_type"))
-            .join(cohort.select(KEY, "diag_date"), KEY)
-            .where(months_within("pabx_str", "diag_date", params.followup_months))
-            .groupBy(KEY).agg(F.min(F.struct("pabx_str", "alt_abx_type")).alias("_t"))
-            .select(KEY, col("_t.alt_abx_type").alias("pabx_type")))
+    kind = col("alt_abx_type")
+    day = (exposure_starts.where(bounds.since("pabx_str") & bounds.until("pabx_str", params.followup_months))
+           .groupBy(KEY, "pabx_str").agg(F.min(kind).alias("_low"), F.max(kind).alias("_high"), F.max(kind.isNull()).alias("_none")))
+    first = (day.join(cohort.select(KEY, "diag_date"), KEY)
+             .where(months_within("pabx_str", "diag_date", params.followup_months))
+             .groupBy(KEY).agg(F.min(F.struct("pabx_str", "_low", "_high", "_none")).alias("_t")))
+    several = (col("_t._low") != col("_t._high")) | (col("_t._none") & col("_t._low").isNotNull())
+    error = F.raise_error(F.concat(F.lit("CardinalityError: exposure type: more than one type on the first day for "), col(KEY).cast("string")))
+    return (first.where(F.coalesce(F.when(several, error.cast("boolean")), F.lit(True)))
+            .select(KEY, col("_t._low").alias("pabx_type")))
 
 
 # ---------------------------------------------------------------- O35
@@ -130,9 +134,9 @@ def death_after_outcome() -> Column:
 
 def next_event_date(cohort: DataFrame, all_uti: DataFrame, bounds: IndexBounds = UNBOUNDED) -> DataFrame:
     """First UTI after index (forward as-of)."""
-    return (all_uti.where(bounds.since("event_str_dt", days=1)).select(KEY, "event_str_dt").distinct().join(cohort.select(KEY, "diag_date"), KEY)
-            .where(col("event_str_dt") > col("diag_date"))
-            .groupBy(KEY).agg(F.min("event_str_dt").alias("next_uti_dt")))
+    events = all_uti.where(bounds.since("event_str_dt", days=1)).select(KEY, "event_str_dt")
+    after = asof_join(cohort.select(KEY, "diag_date"), KEY, "diag_date", Source(events, "event_str_dt", {"next_uti_dt": "event_str_dt"}, exact=False))
+    return after.drop("diag_date").where(col("next_uti_dt").isNotNull())
 
 
 def next_event_flag(params: StudyParams) -> Column:

@@ -34,11 +34,10 @@ def exit_cohort(cat: SourceCatalog, params: StudyParams) -> DataFrame:
 
 
 def check_sources(cat: SourceCatalog) -> None:
-    """O38 on the sources the study merges by patient: one index date (D14), one death, one ethnicity
-    per patient. Raises ``CardinalityError``; each check is one aggregation job."""
+    """O38 before the run: one index date per patient (D14), one rate per practice. Raises ``CardinalityError``;
+    each check is one aggregation job. Deaths, ethnicity, episode bounds and exposure types are checked where
+    they are joined, whether this runs or not."""
     assert_unique(cat.cohort, KEY, "cohort (one index date per patient)")
-    assert_unique(cat.deaths, KEY, "deaths")
-    assert_unique(cat.ethnicity, KEY, "ethnicity")
     assert_unique(cat.practice_rate, "prac_cd_pe", "practice_rate")
 
 
@@ -66,7 +65,7 @@ def baseline_cohort(cat: SourceCatalog, params: StudyParams, materialise=None, c
         expo,
         C.dose_at_start(keys, cat.prescriptions),
         C.next_episode_start(expo, cat.exposure_starts),
-        C.first_exposure_ever(keys, cat.exposure_starts, bounds),
+        C.first_exposure_ever(keys, cat.exposure_starts, bounds, near),
         C.practice_rate(keys, cat.registration, cat.practice_rate),
         E.lab_fold(keys, cat.urine_tests, params, near),                      # O14, and O26-O28, O33 for the outcome tables
         C.baseline_uti_counts_gp(keys, cat.gp_uti, cat.hosp_uti, params, near),
@@ -86,7 +85,7 @@ def patient_facts(pre: DataFrame, cat: SourceCatalog, params: StudyParams, exclu
     """
     idx = O.clamp_exposure(pre.where(col("diag_date").isNotNull()))
     keys = idx.select(KEY, "diag_date", "pabx_str_c")
-    df = C.attach(idx, O.exposure_type(keys, cat.exposure_starts, params), O.next_event_date(keys, cat.all_uti, bounds))
+    df = C.attach(idx, O.exposure_type(keys, cat.exposure_starts, params, bounds), O.next_event_date(keys, cat.all_uti, bounds))
     if not exclude:
         return df
     return df.join(O.started_before_index(keys, cat.exposure_starts), KEY, "left_anti")

@@ -37,6 +37,10 @@ SUPPLIER_RESISTANCE = (
     ("amoxicillin_clavulanate", 19), ("gentamicin", 23),
 )
 EXPOSURE_PRIORITIES = ("1-URGENT", "2-HIGH")
+# second registrations: day of the change (days after the window's start, modulo), overlap and gap in days
+SPLIT_DAYS = 1200
+REJOIN_DAYS = 30
+GAP_DAYS = 200
 
 
 def _res(cond: Column) -> Column:
@@ -69,7 +73,8 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, params: StudyParams = FIXT
         alf,
         F.col("dt").alias("pabx_str"),
         F.date_sub("dt", _days(k % 5)).alias("alt_str_dt"),
-        F.element_at(F.array(*[F.lit(t) for t in ABX_TYPES]), _days(k % 3) + 1).alias("alt_abx_type"),
+        # one type a patient and day, as the study requires
+        F.element_at(F.array(*[F.lit(t) for t in ABX_TYPES]), _days((c + F.unix_date("dt")) % 3) + 1).alias("alt_abx_type"),
     )
     exposure_ends = expo.select(
         alf, F.col("dt").alias("pabx_str"), F.date_add("dt", _days(k % 120 + 30)).alias("alt_end_dt_comb"))
@@ -159,9 +164,18 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, params: StudyParams = FIXT
                                     (F.col("l_partkey") % 6).cast("int") + 1).alias("uti_outcome")))
 
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    registration = customer.select(
-        F.col("c_custkey").cast("string").alias("alf_pe"), F.col("c_nationkey").cast("string").alias("prac_cd_pe"),
-        F.lit(params.study_start).alias("start_date"), F.lit(params.study_end).alias("end_date"))
+    # one registration; or two: the same practice from REJOIN days before the first one ends (c % 8 = 0),
+    # or another practice after a gap of GAP days (c % 8 = 4)
+    r = F.col("c_custkey")
+    split = F.date_add(F.lit(params.study_start), _days(r * 13 % SPLIT_DAYS))
+    stay = F.struct(F.col("c_nationkey").alias("p"), F.lit(params.study_start).alias("s"),
+                    F.when(r % 4 == 0, split).otherwise(F.lit(params.study_end)).alias("e"))
+    later = F.struct(F.when(r % 8 == 0, F.col("c_nationkey")).otherwise((F.col("c_nationkey") + 1) % 25).cast("int").alias("p"),
+                     F.date_add(split, F.when(r % 8 == 0, -REJOIN_DAYS).otherwise(GAP_DAYS)).alias("s"), F.lit(params.study_end).alias("e"))
+    both = F.when(r % 4 == 0, F.array(stay, later)).otherwise(F.array(stay))
+    registration = customer.select("c_custkey", F.inline(both)).select(
+        F.col("c_custkey").cast("string").alias("alf_pe"), F.col("p").cast("string").alias("prac_cd_pe"),
+        F.col("s").alias("start_date"), F.col("e").alias("end_date"))
     ethnicity = customer.where(F.col("c_custkey") % 3 == 0).select(
         F.col("c_custkey").cast("string").alias("alf_pe"),
         (F.col("c_nationkey") % 6 + 1).cast("int").alias("ethn_ec_ons_date_latest_code"))
