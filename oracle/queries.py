@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from oracle.documented import as_documented
 from oracle.roles import with_ctes
-from oracle.stages import ANALYSIS, EVENTS, NUMERATOR, OUTCOME, PANEL, bootstrap, denominator_terms
+from oracle.stages import ANALYSIS, EVENTS, NUMERATOR, OUTCOME, PANEL, SMALL, bootstrap, denominator_terms
 from trialspark.plans.registry import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED
 
 R = 9
@@ -91,4 +92,14 @@ ORACLE: dict[str, str] = {
         FROM newton WHERE step = 12""", PANEL, EVENTS, OUTCOME, ANALYSIS, NUMERATOR),
     "denominator_score": _sql("SELECT outcome_id, term, CAST(0 AS DOUBLE) AS score FROM terms", PANEL, EVENTS, OUTCOME, ANALYSIS,
                               denominator_terms(NUMERIC_TERMS)),
+    "effects_small_model": _sql(f"""SELECT outcome_id, {_r('r1', digits=6)}, {_r('r0', digits=6)}, {_r('r1 - r0', 'rd', 6)},
+        {_r('r1 / nullif(r0, 0)', 'rr', 6)}, {_r('1.0 / nullif(r1 - r0, 0)', 'nnt', 6)} FROM fitted_effects""",
+                                PANEL, EVENTS, OUTCOME, ANALYSIS, NUMERATOR, SMALL),
 }
+for _name, _difference in (("cohort_exit", "D1"), ("competing_events", "D4"), ("closest_specimen", "D5"), ("co_occurring", "D6"),
+                           ("lab_multi", "D8"), ("uti_counts_gp", "D9"), ("clones_censored", "D16")):
+    ORACLE[f"{_name}_documented"] = as_documented(ORACLE[_name], _difference)
+ORACLE["model_features_documented"] = as_documented(_sql(f"""SELECT alf, outcome_id, cal_time,
+    round(coalesce(CAST(gp_prescrib_rate AS DOUBLE), 0.0), {R}) AS gp_prescrib_rate,
+    {", ".join(f"coalesce(CAST({f} AS VARCHAR), 'NA') AS {f}_lvl" for f in ("frailty", "wimd", "most_recent_urine"))}, 1 AS complete
+    FROM final""", PANEL, EVENTS, OUTCOME))

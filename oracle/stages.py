@@ -195,6 +195,44 @@ NUMERATOR = [
         WHERE step < 12"""),
 ]
 
+# The same for a denominator of time and age on complete rows, then weights, curves and effects from the two fits.
+_KNOWN = "frailty + wimd + most_recent_urine + gp_prescrib_rate IS NOT NULL"
+SMALL = [
+    ("covered", f"""SELECT r.*, CAST(r.ruti_age AS DOUBLE) AS u, {_KNOWN} AS known FROM risk r JOIN (SELECT alf, outcome_id, cal_time, frailty, wimd,
+        most_recent_urine, gp_prescrib_rate FROM final) USING (alf, outcome_id, cal_time)"""),
+    ("tally2", """SELECT outcome_id, CAST(cal_time AS DOUBLE) AS t, u, sum(pabx_start) AS y, count(*) AS n
+        FROM covered WHERE at_risk = 1 AND known GROUP BY ALL"""),
+    ("newton2", """SELECT DISTINCT outcome_id, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM tally2
+        UNION ALL
+        SELECT outcome_id, step + 1,
+            a + ((h11 * h22 - h12 * h12) * g0 + (h02 * h12 - h01 * h22) * g1 + (h01 * h12 - h02 * h11) * g2) / d,
+            b + ((h02 * h12 - h01 * h22) * g0 + (h00 * h22 - h02 * h02) * g1 + (h01 * h02 - h00 * h12) * g2) / d,
+            c + ((h01 * h12 - h02 * h11) * g0 + (h01 * h02 - h00 * h12) * g1 + (h00 * h11 - h01 * h01) * g2) / d
+        FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d
+              FROM (SELECT outcome_id, step, a, b, c, sum(y - n * p) AS g0, sum(t * (y - n * p)) AS g1, sum(u * (y - n * p)) AS g2,
+                        sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * t) AS h01, sum(n * p * (1 - p) * u) AS h02,
+                        sum(n * p * (1 - p) * t * t) AS h11, sum(n * p * (1 - p) * t * u) AS h12, sum(n * p * (1 - p) * u * u) AS h22
+                    FROM (SELECT w.*, t, u, y, n, 1 / (1 + exp(-(a + b * t + c * u))) AS p FROM newton2 w JOIN tally2 USING (outcome_id))
+                    GROUP BY outcome_id, step, a, b, c))
+        WHERE step < 14"""),
+    ("fitted", """SELECT f.*, if(known, 1 / (1 + exp(-(k.a + k.b * f.cal_time + k.c * f.u))), NULL) AS p_den,
+        1 / (1 + exp(-(m.a + m.b * f.cal_time + m.c * f.cal_time * f.cal_time))) AS p_num
+        FROM covered f JOIN newton2 k ON k.outcome_id = f.outcome_id AND k.step = 14 JOIN newton m ON m.outcome_id = f.outcome_id AND m.step = 12"""),
+    ("fitted_t", """SELECT *, if(at_risk = 1, if(pabx_start = 1, p_den, 1 - p_den), 1.0) AS p_den_t,
+        if(at_risk = 1, if(pabx_start = 1, p_num, 1 - p_num), 1.0) AS p_num_t FROM fitted"""),
+    ("fitted_w", """SELECT *, if(count(*) FILTER (p_den_t IS NULL) OVER w > 0, NULL, product(p_num_t) OVER w / product(p_den_t) OVER w) AS sw_a FROM fitted_t
+        WINDOW w AS (PARTITION BY alf, outcome_id ORDER BY cal_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    ("fitted_clones", """SELECT s.* EXCLUDE (outcome), arm, if(arm = 0, c0, c1) AS leaves, s.outcome AS seen
+        FROM fitted_w s CROSS JOIN (SELECT unnest([0, 1]) AS arm)"""),
+    ("fitted_kept", """SELECT *, if(cal_time + 1 = leaves, NULL, seen) AS outcome FROM fitted_clones WHERE leaves IS NULL OR cal_time + 1 <= leaves"""),
+    ("fitted_cut", f"""SELECT *, least(sw_a, quantile_cont(sw_a, {P.weight_q}) OVER (PARTITION BY outcome_id)) AS w FROM fitted_kept WHERE sw_a IS NOT NULL"""),
+    ("fitted_km", """SELECT outcome_id, arm, cal_time, product(1.0 - coalesce(event / nullif(risk, 0), 0.0)) OVER (PARTITION BY outcome_id, arm
+            ORDER BY cal_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS surv
+        FROM (SELECT outcome_id, arm, cal_time, sum(w) AS risk, sum(w * outcome) AS event FROM fitted_cut WHERE outcome IS NOT NULL
+              GROUP BY outcome_id, arm, cal_time)"""),
+    ("fitted_effects", """SELECT outcome_id, 1 - min(surv) FILTER (arm = 1) AS r1, 1 - min(surv) FILTER (arm = 0) AS r0 FROM fitted_km GROUP BY outcome_id"""),
+]
+
 _levels = " UNION ALL ".join(
     f"SELECT outcome_id, '{f}_lvl=' || CAST({f} AS VARCHAR) AS term FROM at_risk_rows"
     for f in ("frailty", "wimd", "most_recent_urine"))

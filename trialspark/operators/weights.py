@@ -93,11 +93,11 @@ def logistic(eta: Column) -> Column:
 
 def factor_levels(df: DataFrame, factors: list[str], by: str = "outcome_id") -> dict[int, dict[str, list[str]]]:
     """Per group: the sorted levels of each factor. A factor with more than ``MAX_LEVELS`` levels fails the job."""
-    counts = df.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first()
+    counts = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(f).alias(f) for f in factors]).first()
     wide = [f for f in factors if counts[f] > MAX_LEVELS]
     if wide:
         raise ValueError(f"factors with more than {MAX_LEVELS} levels: {wide}")
-    rows = df.groupBy(by).agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in factors]).collect()
+    rows = df.groupBy(by).agg(F.count(F.lit(1)), *[F.sort_array(F.collect_set(f)).alias(f) for f in factors]).collect()
     return {row[by]: {f: list(row[f]) for f in factors} for row in rows}
 
 

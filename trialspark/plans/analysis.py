@@ -63,9 +63,12 @@ class Design:
         return F.array(*cells)
 
 
-def design(prep: DataFrame, outcome_ids) -> Design:
-    """Terms from the levels that complete rows at risk have (one small job)."""
-    numeric, factors = denominator_terms()
+def design(prep: DataFrame, outcome_ids, terms: tuple[list[str], list[str]] | None = None) -> Design:
+    """Terms from the levels that complete rows at risk have (one small job).
+
+    ``terms`` are the numeric columns and factors of the denominator model (default: the study's).
+    """
+    numeric, factors = terms or denominator_terms()
     levels = W.factor_levels(prep.where((col("at_risk") == 1) & col("complete")), factors)
     ids = list(outcome_ids)
     empty = [i for i in ids if i not in levels]
@@ -76,14 +79,14 @@ def design(prep: DataFrame, outcome_ids) -> Design:
     return Design(ids, ["(intercept)", *numeric, *[f"{f}={level}" for f, level in known]], np.array(allowed))
 
 
-def fit_models(df: DataFrame, outcome_ids) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
+def fit_models(df: DataFrame, outcome_ids, denominator: tuple[list[str], list[str]] | None = None) -> dict[int, tuple[W.LogitFit, W.LogitFit]]:
     """O45 + O46 for all outcomes, on the at-risk rows of the uncloned table.
 
     Each Newton step of all outcomes is one aggregation over the rows. The numerator model (time,
     time^2) is fitted on starts and rows at risk per (outcome, time), which is the same binomial
     likelihood. A fit that does not settle fails the job.
     """
-    terms = design(df, outcome_ids)
+    terms = design(df, outcome_ids, denominator)
     rows = df.where(col("at_risk") == 1)
 
     flat = (rows.where(col("complete") & col("outcome_id").isin(terms.outcome_ids))
@@ -176,12 +179,13 @@ def effects(clones: DataFrame) -> DataFrame:
     return S.effect_measures(S.final_survival(curve, ["outcome_id", "arm"]), ["outcome_id"])
 
 
-def effects_modelled(table: DataFrame, params: StudyParams, outcome_ids, materialise=None) -> DataFrame:
+def effects_modelled(table: DataFrame, params: StudyParams, outcome_ids, materialise=None,
+                     denominator: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """Fit the weight models per outcome, weight, clone, censor, truncate, estimate."""
     prep = prepared(table, params)
     if materialise is not None:
         prep = materialise(prep)
-    fits = fit_models(prep, outcome_ids)
+    fits = fit_models(prep, outcome_ids, denominator)
     return effects(weighted_clones(with_fitted(prep, fits), params, materialise))
 
 

@@ -6,6 +6,8 @@ DataFrame with explicitly named and typed columns.
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +23,19 @@ from trialspark.operators import survival as S
 from trialspark.operators import weights as W
 from trialspark.functions.predicates import any_resistant, resistant_to
 from trialspark.operators.bounds import index_bounds
-from trialspark.params import FIXTURE_PARAMS
+from trialspark.params import AS_DOCUMENTED, FIXTURE_PARAMS
 from trialspark.plans import analysis as A
 from trialspark.plans import trial as T
-from trialspark.plans.session import cut
+from trialspark.plans.cuts import Cuts
+from trialspark.plans.session import cut, ensure_checkpoint_dir
 from trialspark.sources.fixtures import fixture_catalog
 
 col = F.col
 PARAMS = FIXTURE_PARAMS
+#: The stated intent instead of the code, wherever they differ.
+DOCUMENTED = dataclasses.replace(PARAMS, mode=AS_DOCUMENTED)
+#: A denominator model of three terms, small enough for SQL to solve.
+SMALL_MODEL = (["cal_time", "ruti_age"], [])
 ROUND = 9
 BOOTSTRAP_REPLICATES = PARAMS.bootstrap_replicates
 BOOTSTRAP_SEED = 7
@@ -46,15 +53,18 @@ def _cat(spark: SparkSession, sf_dir: str):
     return _CATALOGS[key]
 
 
-_MATERIALISED: dict = {}
+#: The driver's tables that the sources are made of.
+SOURCE_TABLES = ("customer", "lineitem", "orders", "supplier")
+_CUTS: dict = {}
 
 
-def _memo(spark, sf_dir, name, build):
-    """Materialise a reused intermediate once per (session, folder) in the checkpoint folder."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _MATERIALISED:
-        _MATERIALISED[key] = cut(build())
-    return _MATERIALISED[key]
+def _memo(spark, sf_dir, name, build, params=PARAMS):
+    """A reused intermediate, stored until the folder's files (or the parameters) change."""
+    app = spark.sparkContext.applicationId
+    if app not in _CUTS:
+        _CUTS[app] = Cuts(spark, f"{ensure_checkpoint_dir(spark)}/registry-{app}")
+    folder = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    return _CUTS[app].table(f"{name}-{folder}", build, [f"{sf_dir}/{t}.parquet" for t in SOURCE_TABLES], repr(params))
 
 
 def _pre(spark, sf_dir):
@@ -217,12 +227,12 @@ def unique_key_check(spark, sf_dir):
 
 def outcome_table(spark, sf_dir):
     cat, pre = _pre(spark, sf_dir)
-    return T.all_outcomes(cat, PARAMS, outcome_ids=[1], pre=pre)
+    return T.all_outcomes(cat, PARAMS, outcome_ids=[1], pre=pre, materialise=cut)
 
 
 def all_outcomes(spark, sf_dir):
     cat, pre = _pre(spark, sf_dir)
-    return T.all_outcomes(cat, PARAMS, pre=pre)
+    return T.all_outcomes(cat, PARAMS, pre=pre, bounds=index_bounds(pre), materialise=cut)
 
 
 # ---------------------------------------------------------------- analysis
@@ -309,6 +319,80 @@ def effects_modelled(spark, sf_dir):
     return A.effects_modelled(_table(spark, sf_dir), PARAMS, sorted(E.OUTCOMES), materialise=cut)
 
 
+def effects_small_model(spark, sf_dir):
+    """O44-O52 end to end with a fitted denominator of three terms (SQL takes the same Newton steps)."""
+    eff = A.effects_modelled(_table(spark, sf_dir), PARAMS, sorted(E.OUTCOMES), materialise=cut, denominator=SMALL_MODEL)
+    return eff.select("outcome_id", *[F.round(c, 6).alias(c) for c in ("r1", "r0", "rd", "rr", "nnt")])
+
+
+# ---------------------------------------------------------------- as documented
+def _pre_documented(spark, sf_dir):
+    cat = _cat(spark, sf_dir)
+    return cat, _memo(spark, sf_dir, "pre-documented", lambda: T.baseline_cohort(cat, DOCUMENTED, materialise=cut), DOCUMENTED)
+
+
+def _table_documented(spark, sf_dir):
+    cat, pre = _pre_documented(spark, sf_dir)
+    build = lambda: T.all_outcomes(cat, DOCUMENTED, pre=pre, bounds=index_bounds(pre), materialise=cut)
+    return _memo(spark, sf_dir, "outcomes-documented", build, DOCUMENTED)
+
+
+def cohort_exit_documented(spark, sf_dir):
+    """The age limit of the exit rules in years."""
+    return T.exit_cohort(_cat(spark, sf_dir), DOCUMENTED).select("alf_pe", "diag_date", "dod", "cohort_end_dt", "cohort_end_reason")
+
+
+def competing_events_documented(spark, sf_dir):
+    """The outcome comes first on the day of a new episode."""
+    cat, pre = _pre_documented(spark, sf_dir)
+    ids = sorted(E.OUTCOMES)
+    stacked = T.stacked_panel(T.patient_facts(pre, cat, DOCUMENTED, exclude=False), T.missing_dates(cat, pre, DOCUMENTED, ids), DOCUMENTED, ids)
+    df = O.resolve_competing(stacked.withColumn("outcome", O.outcome_flag(DOCUMENTED)), DOCUMENTED)
+    return df.select("alf_pe", col("outcome_id").cast("int"), "cal_time", "death", "ltf", "study_ended",
+                     "diag_12months", "new_pabx", col("outcome").cast("int"))
+
+
+def closest_specimen_documented(spark, sf_dir):
+    """No evidence is a code of its own."""
+    cat, pre = _pre_documented(spark, sf_dir)
+    return O.closest_specimen(pre, cat.urine_tests, DOCUMENTED)
+
+
+def co_occurring_documented(spark, sf_dir):
+    """A UTI code in the same episode."""
+    cat, pre = _pre_documented(spark, sf_dir)
+    res = E.hospital_resistance_events(cat, pre, DOCUMENTED)
+    uti = E.hospital_events(cat.diagnosis, cat.episode, cat.spell, pre, E.uti_code(col("diag_cd_1234")), DOCUMENTED)
+    both = E.exclude_recent_discharge(E.co_occurring(uti, res, DOCUMENTED), cat.spell, DOCUMENTED)
+    return both.select(*_EV).distinct()
+
+
+def lab_multi_documented(spark, sf_dir):
+    """Two different drugs."""
+    cat = _cat(spark, sf_dir)
+    return E.multi_resistant_events(cat.cohort, cat.urine_tests, DOCUMENTED).select(
+        "alf_pe", "spcm_collected_dt", "report_seq", "request_seq", col("resistant_count").cast("int"))
+
+
+def uti_counts_gp_documented(spark, sf_dir):
+    """A GP episode inside any hospital episode does not count."""
+    return _pre_documented(spark, sf_dir)[1].select("alf_pe", "gp_uti_pre")
+
+
+def clones_censored_documented(spark, sf_dir):
+    """The untreated arm leaves at the start, whenever in the grace period it is."""
+    df = M.censor_clones(A.prepared(_table_documented(spark, sf_dir), DOCUMENTED), DOCUMENTED)
+    return df.select("alf", "outcome_id", col("arm").cast("int"), "cal_time", col("censor_pos").cast("int"),
+                     col("my_censor").cast("int"), col("outcome").cast("int"), "pabx_start")
+
+
+def model_features_documented(spark, sf_dir):
+    """A missing rate counts as 0, a missing factor is a level; every row is complete."""
+    df = A.prepared(_table_documented(spark, sf_dir), DOCUMENTED)
+    return df.select("alf", "outcome_id", "cal_time", F.round("gp_prescrib_rate", ROUND).alias("gp_prescrib_rate"),
+                     *[f"{f}_lvl" for f in W.FACTORS], col("complete").cast("int").alias("complete"))
+
+
 def bootstrap_ci(spark, sf_dir):
     ci = A.bootstrap_fixed(_weighted(spark, sf_dir), replicates=BOOTSTRAP_REPLICATES, seed=BOOTSTRAP_SEED)
     return ci.select("outcome_id", col("replicates").cast("int"),
@@ -371,5 +455,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "denominator_score": denominator_score,
     "treatment_model": treatment_model,
     "effects_modelled": effects_modelled,
+    "effects_small_model": effects_small_model,
+    "cohort_exit_documented": cohort_exit_documented,
+    "competing_events_documented": competing_events_documented,
+    "closest_specimen_documented": closest_specimen_documented,
+    "co_occurring_documented": co_occurring_documented,
+    "lab_multi_documented": lab_multi_documented,
+    "uti_counts_gp_documented": uti_counts_gp_documented,
+    "clones_censored_documented": clones_censored_documented,
+    "model_features_documented": model_features_documented,
     "bootstrap_refit_ci": bootstrap_refit_ci,
 }

@@ -99,9 +99,7 @@ def stacked_panel(facts: DataFrame, dates_wide: DataFrame | None, params: StudyP
     """
     outs = F.array(*[F.struct(F.lit(i).alias("outcome_id"), col(f"od_{i}").alias("outcome_dt"))
                      for i in outcome_ids])
-    if dates_wide is not None:
-        facts = facts.join(dates_wide, KEY, "left")
-    base = (facts
+    base = (with_dates(facts, dates_wide)
             .withColumnsRenamed({"diag_date": "ruti_diag_dt", "gp_end_date": "gp_end_dt"})
             .withColumn("study_end", F.lit(params.study_end)))
     base = base.select(*[c for c in base.columns if not c.startswith("od_")], F.inline(outs))
@@ -115,6 +113,25 @@ def stacked_panel(facts: DataFrame, dates_wide: DataFrame | None, params: StudyP
     })
 
 
+def with_dates(facts: DataFrame, dates_wide: DataFrame | None) -> DataFrame:
+    return facts if dates_wide is None else facts.join(dates_wide, KEY, "left")
+
+
+#: What the interval rules read of a patient; everything else is attached after them.
+PANEL_FACTS = ("diag_date", "gp_end_date", "dod", "min_end_dt", "cohort_end_reason", "next_pabx_str", "pabx_str", "pabx_end",
+               "pabx_str_all", "pabx_end_all", "next_uti_dt")
+
+
+def attach_late(panel: DataFrame, facts: DataFrame) -> DataFrame:
+    """The patient's other columns on the finished panel rows.
+
+    Both sides are partitioned by patient and the panel is sorted by it already, so the wide columns are
+    shuffled once per patient and never sorted or repeated before the windows are done.
+    """
+    late = [c for c in facts.columns if c not in panel.columns and c not in PANEL_FACTS and not c.startswith("od_")]
+    return panel.join(facts.select(KEY, *late), KEY)
+
+
 def missing_dates(cat: SourceCatalog, pre: DataFrame, params: StudyParams, outcome_ids, bounds: IndexBounds = UNBOUNDED,
                   materialise=None) -> DataFrame | None:
     """The outcome dates that the baseline does not hold yet."""
@@ -136,14 +153,18 @@ def all_outcomes(cat: SourceCatalog, params: StudyParams, outcome_ids=None, pre:
     """O38d: the six outcome tables in one pass, stacked on ``outcome_id``.
 
     ``bounds`` is the range of index dates of a stored ``pre`` (``bounds.index_bounds``);
-    ``materialise`` stores the cohort's spells, which two rules read.
+    ``materialise`` stores the cohort's spells and the patient's facts, which are read twice. Only
+    the dates that the interval rules need go through the explosion and the windows.
     """
     outcome_ids = sorted(outcome_ids or E.OUTCOMES)
     pre = pre if pre is not None else baseline_cohort(cat, params)
     wide = missing_dates(cat, pre, params, outcome_ids, bounds, materialise)
     facts = patient_facts(pre, cat, params, bounds=bounds)
-    table = outcome_template(stacked_panel(facts, wide, params, outcome_ids), params)
-    return O.assemble(table, params)
+    if materialise is not None:  # read twice: for the panel, and for what is attached after it
+        facts = materialise(facts)
+    narrow = facts.select(KEY, *PANEL_FACTS, *[c for c in facts.columns if c.startswith("od_")])
+    panel = outcome_template(stacked_panel(narrow, wide, params, outcome_ids), params)
+    return O.assemble(attach_late(panel, facts), params)
 
 
 __all__ = ["exit_cohort", "baseline_cohort", "patient_facts", "stacked_panel", "outcome_template", "all_outcomes"]
