@@ -6,7 +6,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.helpers import documents, prose
+from tests.llm.helpers import documents, odd_texts, prose
 from tests.llm.test_dedup import exact_expected, near_expected
 from tests.llm.test_text import junk
 from trialspark.llm import bpe
@@ -42,4 +42,25 @@ def test_stages_and_run(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == columns
-        assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0 if stage is not corpus_pipeline.good_quality else True
+        assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, null and very long texts, repeated rows, clashing names; no labels and no benchmark."""
+    docs = documents(spark, odd_texts(), [None, None, *range(len(odd_texts()) - 2)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.good_quality(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.exact_duplicates(spark, docs, str(tmp_path)).count() == len(exact_groups_of(odd_texts()))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r["round_trip"] for r in rows) and all(r["score"] == "clash" for r in rows)
+
+
+def exact_groups_of(texts):
+    return {"".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r") for t in texts}

@@ -42,13 +42,32 @@ def sha256(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def file_backed(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if its rows have a place in files, else a stored copy of it."""
+#: Plan nodes that neither multiply nor combine rows: below them, a place in a file is one row.
+ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+
+
+def one_row_a_place(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is a row of a file of its own, and stays that row when read again."""
     try:
-        docs.metadataColumn("_metadata")
+        meta = docs.select(docs.metadataColumn("_metadata").alias("m")).schema["m"].dataType
     except AnalysisException:
-        return stored(docs, "landed")
-    return docs
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    nodes, at = [plan], 0
+    while at < len(nodes):
+        children = nodes[at].children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        at += 1
+    return "row_index" in meta.names and bool(plan.deterministic()) and all(n.nodeName() in ROW_BY_ROW or n.nodeName().startswith("Relation") for n in nodes)
+
+
+def file_backed(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have places of their own in files, else a stored copy of it.
+
+    A copy is made of rows that a step has multiplied or combined, of formats that don't number their
+    rows (all but Parquet), and of rows that may differ from one reading to the next.
+    """
+    return docs if one_row_a_place(docs) else stored(docs, "landed")
 
 
 def locator(docs: DataFrame) -> Column:
@@ -75,8 +94,11 @@ def keyed_state(spark: SparkSession, path: str, schema, files_per_trigger: int |
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     entries = reader.parquet(path).groupBy("digest").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("group_size"))
 
+    batches: list[int] = []
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batches.append(number)
 
     before = {key: spark.conf.get(key, None) for key in STATE_STORE}
     for key, value in STATE_STORE.items():
@@ -93,11 +115,9 @@ def keyed_state(spark: SparkSession, path: str, schema, files_per_trigger: int |
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    empty = spark.createDataFrame([], entries.schema)
-    try:
-        seen = spark.read.schema(StructType([*entries.schema, StructField("batch", IntegerType())])).parquet(out)
-    except AnalysisException:
-        return empty  # an empty table starts no batch
+    if not batches:  # an empty table starts no batch
+        return spark.createDataFrame([], entries.schema)
+    seen = spark.read.schema(StructType([*entries.schema, StructField("batch", IntegerType())])).parquet(out)
     last = F.max_by(F.struct("first", "group_size"), "batch").alias("last")
     return seen.groupBy("digest").agg(last).select("digest", "last.first", "last.group_size")
 

@@ -73,7 +73,11 @@ class Model:
     weights: np.ndarray
     bias: float
     prior: float
-    risk: float
+    risk: float  # infinite for a model that had nothing to learn from
+
+    @property
+    def trained(self) -> bool:
+        return bool(np.isfinite(self.risk))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         g = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
@@ -123,27 +127,37 @@ def _features_of(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on rows of ``docs`` where ``training`` (over doc_id) holds; ``labels`` has doc_id and quality.
 
-    Labels of rows without text in ``docs`` are harmless; null ids and labels
-    are left out. Raises where no positive label is left to learn from.
+    Labels of rows without text in ``docs`` are harmless; null ids and labels are left out, and
+    repeated ids count once (of several texts under one id the smallest is read), so no more than
+    ``positives + unlabelled`` rows reach the driver. Without a positive label, or without its
+    document, there is nothing to learn: the model is ``untrained`` and gives every text the prior
+    (0.5 where no label is known at all).
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(training)
     prior, n = known.agg(F.avg((F.col("quality") > 0).cast("double")), F.count(F.lit(1))).first()
     if not n or not prior:
-        raise ValueError("no positive label in the training fold")
+        return untrained(0.5 if not n else 0.01)
     prior = min(max(prior, 0.01), 0.99)
     order = F.xxhash64("doc_id")
-    trusted = known.where("quality > 0").select("doc_id").orderBy(order, "doc_id").limit(positives)
-    anyone = docs.select("doc_id").where("doc_id is not null").where(training).orderBy(order, "doc_id").limit(unlabelled)
+    trusted = known.where("quality > 0").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
+    anyone = docs.select("doc_id").where("doc_id is not null").where(training).distinct().orderBy(order, "doc_id").limit(unlabelled)
     picked = trusted.select("doc_id", F.lit(True).alias("positive")).unionByName(anyone.select("doc_id", F.lit(False).alias("positive")))
-    # at most positives + unlabelled ids, so the broadcast has a fixed bound
-    rows = _features_of(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("positive", "text")).toPandas()
+    # at most positives + unlabelled ids, so the broadcast has a fixed bound; one text an id, combined map-side
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "positive").agg(F.min(text_of()).alias("text"))
+    rows = _features_of(texts).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     chosen = rows["positive"].to_numpy(bool)
     if not chosen.any():
-        raise ValueError("no labelled document in the table")
+        return untrained(prior)
     return fit_features(x[chosen], x[~chosen] if (~chosen).any() else x, prior)
 
 
+def untrained(prior: float) -> Model:
+    """Gives the prior whatever the text."""
+    none = np.zeros(N_FEATURES)
+    return Model(none, none + 1, none, float(np.log(prior / (1 - prior))), prior, float("inf"))
+
+
 def score(text: Column | str, model: Model) -> Column:
     """Probability of label 1 for each text, 0 to 1; null counts as empty."""
 
