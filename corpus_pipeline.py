@@ -18,9 +18,11 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is under the threshold."""
+    """Drops documents whose quality score is under the threshold; all stay where no label says anything."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, quality.training_fold(F.col("doc_id")))
+    if not model.trained:
+        return docs
     return docs.where(quality.score(docs["text"], model) >= quality.THRESHOLD)
 
 
