@@ -71,6 +71,36 @@ def test_main_text_without_the_rest():
     assert extract.main_text(PAGE) == "Head & line\nFirst bold text.\nSecond line.\nThird <block> — end."
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    page = "<p title=don't>Hello there, this is the first one.</p><p>It's fine, and this is the second one.</p>"
+    assert extract.main_text(page) == "Hello there, this is the first one.\nIt's fine, and this is the second one."
+    page = "<p don't data-a=it's class=\"a>b\" id='c>d'>One full sentence stands here.</p><p x='y'z>Another full sentence stands here.</p>"
+    assert extract.main_text(page) == "One full sentence stands here.\nAnother full sentence stands here."
+
+
+def test_the_cut_overrules_the_sign_of_a_cost():
+    """A short line between paragraphs of one container stays, a lone phrase among links goes."""
+    page = ("<div><p>" + prose(1, 40).capitalize() + ".</p><p>Selah</p><p>" + prose(2, 40).capitalize() + ".</p></div>")
+    blocks = extract.blocks_of(page)
+    assert [extract.content_cost(b) > 0 for b in blocks] == [True, False, True]
+    assert extract.main_text(page).split("\n")[1] == "Selah"
+    link = "<li><a href='/x'>Some other page of this site</a></li>"
+    page = f"<ul>{link * 3}<li>More of it here</li>{link * 3}</ul>"
+    blocks = extract.blocks_of(page)
+    assert extract.content_cost(blocks[3]) > 0 and extract.main_text(page) == ""
+
+
+def test_cut_of_long_pages_takes_no_square():
+    rnd = random.Random(2)
+    n = 10_000
+    costs = [rnd.uniform(-3, 3) for _ in range(n)]
+    edges = [(i, i + 1, extract.NEXT_TO) for i in range(n - 1)] + [(i, i + 2, extract.SAME_PARENT) for i in range(0, n - 2, 2)]
+    began = time.process_time()
+    keep = extract.min_cut(costs, edges)
+    assert time.process_time() - began < 3
+    assert 0 < sum(keep) < n
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<div class='x", "</p></div>", "<script>var a=1;", "<!-- open", "<nav><a>x</a></nav>"])
 def test_pages_without_main_text(page):
     assert extract.main_text(page) == ""
@@ -152,8 +182,7 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert all((r["p"] >= quality.THRESHOLD) == (r["doc_id"] % 6 != 0) for r in scored)
     odd = documents(spark, odd_texts()).select(quality.score("text", model).alias("p")).collect()
     assert all(0 <= r["p"] <= 1 for r in odd)
-    with pytest.raises(ValueError):
-        quality.fit(docs, labels.limit(0), quality.training_fold(F.col("doc_id")))
+    assert not quality.fit(docs, labels.limit(0), quality.training_fold(F.col("doc_id"))).trained
 
 
 def test_quality_risk_stays_non_negative():
@@ -287,18 +316,81 @@ def test_maxent_counts_match_brute_force_and_beat_the_base(spark):
     assert sum(r["score"] for r in late) > sum(r["base_score"] for r in late)
 
 
+def _small_corpus(n=60):
+    words = maxent.Words()
+    tokens, sizes = maxent.tokenise([prose(k, 50) for k in range(n)], words)
+    return tokens, sizes, words.hashes()
+
+
+def _cells(tokens, hashes):
+    c, s = maxent.kinds(hashes)
+    return np.bincount(c[tokens] * maxent.SLOTS + s[tokens], minlength=maxent.CLASSES * maxent.SLOTS).reshape(maxent.CLASSES, maxent.SLOTS)
+
+
 def test_maxent_is_a_distribution_over_slots():
-    rng = np.random.default_rng(0)
-    hashes = rng.integers(0, 2**63, 500, dtype=np.uint64)
-    tokens, sizes = rng.integers(0, 500, 4000).astype(np.int32), np.array([1000, 3000])
-    weights, *_ = maxent.train(tokens, sizes, hashes, batch=512)
+    """The probabilities of all words that could come next add up to 1, whatever the context."""
+    tokens, sizes, hashes = _small_corpus()
+    model = maxent.Model.of(maxent.learn(tokens, sizes, hashes, 1024), _cells(tokens, hashes))
     context = maxent.contexts(tokens, sizes, hashes)[:, :50]
     total = np.zeros(50)
+    logits = lambda table, rows, first: sum(table[f][rows[f]] for f in range(maxent.CONTEXTS)) + first
     for c in range(maxent.CLASSES):
-        by_class, by_slot = maxent.Weights.rows(context, np.full(50, c))
-        slots = np.exp(maxent._log_softmax(maxent._logits(weights.slots, by_slot))).sum(axis=1)
-        total += np.exp(maxent._log_softmax(maxent._logits(weights.classes, by_class)))[:, c] * slots
-    assert np.allclose(total, 1, atol=1e-4)
+        by_class, by_slot = maxent.rows_of(context, np.full(50, c), 1024)
+        slots = np.exp(maxent.log_softmax(logits(model.slots, by_slot, np.log(model.share.slots[c])))).sum(axis=1)
+        total += np.exp(maxent.log_softmax(logits(model.classes, by_class, np.log(model.share.classes))))[:, c] * slots
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_maxent_rows_and_gradient_equal_plain_sums():
+    tokens, sizes, hashes = _small_corpus(12)
+    learnt = maxent.learn(tokens, sizes, hashes, 1024)
+    context = maxent.contexts(tokens, sizes, hashes)
+    c, s = maxent.kinds(hashes)
+    own = c[tokens]
+    want = np.zeros((maxent.CONTEXTS, 1024, maxent.SLOTS), int)
+    by_class, by_slot = maxent.rows_of(context, own, 1024)
+    for f in range(maxent.CONTEXTS):
+        for r, x in zip(by_slot[f], s[tokens]):
+            want[f, r, x] += 1
+    assert (learnt.counts[1] == want).all()
+    # the slope is the derivative of the log-likelihood of the picked tokens, each left out of its rows
+    share = maxent.Shares.of(_cells(tokens, hashes))
+
+    def likelihood(weights):
+        total = 0.0
+        for t in range(0, len(tokens), maxent.UPDATE_EVERY):
+            z = np.log(share.classes)
+            for f in range(maxent.CONTEXTS):
+                row = learnt.counts[0][f][by_class[f][t]].astype(float).copy()
+                row[own[t]] -= 1
+                k = f * maxent.STEPS + int(maxent.step_of(np.array([row.sum()]))[0])
+                z = z + weights[k] * (np.log((row + maxent.KAPPA * share.classes) / (row.sum() + maxent.KAPPA)) - np.log(share.classes))
+            total += z[own[t]] - np.log(np.exp(z).sum())
+        return total
+
+    start = maxent.start_weights()
+    for k in np.flatnonzero(learnt.slope[0])[:6]:
+        step = np.zeros_like(start)
+        step[k] = 1e-5
+        assert learnt.slope[0][k] == pytest.approx((likelihood(start + step) - likelihood(start - step)) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_maxent_learns_from_context(spark):
+    """Held-out text of the given table: at least 0.15 a token above the base, in one group and in many."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for size in (maxent.GROUP_BYTES, 400_000):
+        held = maxent.score(docs, crc_mod(F.col("doc_id"), 7) != 2, group_bytes=size).where("not training")
+        model, base, n = held.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        assert (model - base) / n > 0.15
+
+
+def test_maxent_of_repeated_rows_falls_into_many_groups(spark, tmp_path):
+    """A third of the rows alike, ids null: the groups stay even, and every row is scored the same."""
+    text = prose(3, 400)
+    documents(spark, [text] * 200 + [prose(k, 400) for k in range(400)], [None] * 200 + list(range(400))).write.parquet(f"{tmp_path}/d")
+    rows = maxent.score(spark.read.parquet(f"{tmp_path}/d"), F.lit(True), group_bytes=100_000).collect()
+    same = [r for r in rows if r["doc_id"] is None]
+    assert len(rows) == 600 and len(same) == 200 and len({round(r["score"], 6) for r in same}) == 1
 
 
 def test_maxent_without_training_rows_and_empty_table(spark):

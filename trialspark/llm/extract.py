@@ -80,9 +80,11 @@ ARTICLE_SHARE = 0.1
 NEXT_TO = 0.6
 SAME_PARENT = 0.8
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:[\"'][^>]*)?(?:>|\Z)|[^<]+|<", re.S)
+#: A quote opens a value only after an equals sign; elsewhere it is part of a name or of an unquoted value.
+VALUE = r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[\"'][^>]*|[^\s>\"'][^\s>]*)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{VALUE})?+)*+(?:>|\Z)|[^<]+|<", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 #: What ends the text of a raw element; in a script, what opens and closes a comment that may hold a script.
 RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TEXT}
 SCRIPT_MARK = re.compile(r"<!--(?:-?>)?|-->|</?script(?=[\s/>]|\Z)", re.I)
@@ -320,9 +322,10 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     """Which nodes lie on the source side of a minimum cut.
 
     A positive cost is the capacity from the source, a negative one that to the
-    sink; edges cost their capacity when their ends are parted. Shortest
-    augmenting paths; nodes that no residual path from the source reaches are
-    on the sink side.
+    sink; edges cost their capacity when their ends are parted. Flow is sent in
+    phases along shortest paths only (a level graph, each edge tried once a
+    phase), so long chains of blocks take few phases; nodes that no residual
+    path from the source reaches are on the sink side.
     """
     n = len(costs)
     source, sink = n, n + 1
@@ -344,24 +347,44 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
         join(a, b, cost, cost)
     tiny = 1e-9
     while True:
-        came = {source: -1}
+        level = [-1] * (n + 2)
+        level[source] = 0
         todo = deque([source])
-        while todo and sink not in came:
+        while todo:
             a = todo.popleft()
             for k in out[a]:
-                if room[k] > tiny and to[k] not in came:
-                    came[to[k]] = k
+                if room[k] > tiny and level[to[k]] < 0:
+                    level[to[k]] = level[a] + 1
                     todo.append(to[k])
-        if sink not in came:
-            return [i in came for i in range(n)]
-        path, a = [], sink
-        while a != source:
-            path.append(came[a])
-            a = to[came[a] ^ 1]
-        flow = min(room[k] for k in path)
-        for k in path:
-            room[k] -= flow
-            room[k ^ 1] += flow
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        tried = [0] * (n + 2)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[k] for k in path)
+                cut = len(path)
+                for at, k in enumerate(path):
+                    room[k] -= flow
+                    room[k ^ 1] += flow
+                    if room[k] <= tiny and at < cut:
+                        cut = at
+                del path[cut:]
+                a = to[path[-1]] if path else source
+                continue
+            while tried[a] < len(out[a]):
+                k = out[a][tried[a]]
+                if room[k] > tiny and level[to[k]] == level[a] + 1:
+                    path.append(k)
+                    a = to[k]
+                    break
+                tried[a] += 1
+            else:
+                if not path:
+                    break
+                a = to[path.pop() ^ 1]
+                tried[a] += 1
 
 
 def main_text(page: str | None) -> str:
