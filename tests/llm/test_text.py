@@ -270,6 +270,50 @@ def test_leaks_with_edits_are_found_and_others_not(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_replaced_words_regions_and_short_items_leak(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    long = prose(41, 40)
+    short = "seven paper lamps"
+    bench = spark.createDataFrame([(1, item), (2, long), (3, short), (4, "garden"), (5, "a b")], "item_id long, text string")
+    around = [prose(50 + k, 30) for k in range(20)]
+    cut = lambda t, lo, hi: t[int(len(t) * lo) : int(len(t) * hi)]
+    cases = {
+        f"{around[0]} {item.replace('fox', 'panther')} {around[1]}": {1},  # a replaced word
+        f"{around[2]} {item.replace('brown', 'red')} {around[3]}": {1},
+        f"{around[4]} {cut(long, 0, 5 / 6)}": {2},  # five sixths, at the start, at the end, in the middle
+        f"{cut(long, 1 / 6, 1)} {around[5]}": {2},
+        f"{around[6]} {cut(long, 0.1, 0.9)} {around[7]}": {2},
+        f"{around[8]} {cut(long, 0, 0.6)} {around[9]}": set(),  # under the stated region
+        f"{around[10]} {cut(long, 0, 0.4)} {prose(60, 9)} {cut(long, 0.6, 1)}": set(),
+        f"{around[11]} ({short.upper()}). {around[12]}": {3},
+        f"{around[13]} {short}s {around[14]}": set(),  # not at a word bound
+        f"garden {around[15]} a b": set(),  # one word, or too short to identify anything
+        f"{around[16]} {item} {around[17]} {short}, {long}": {1, 2, 3},
+        f"{around[18]} {' '.join(reversed(item.split()))}": set(),
+    }
+    docs = documents(spark, list(cases))
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert [{r["item_id"] for r in rows if r["doc_id"] == k} for k in range(len(cases))] == list(cases.values())
+    whole = {r["item_id"]: r["covered"] for r in rows if r["doc_id"] == 10}
+    assert whole == {1: len(item), 2: len(long), 3: len(short)}
+    assert decontaminate.clean(docs, bench).count() == sum(not v for v in cases.values())
+
+
+def test_every_region_of_the_stated_length_is_found():
+    """Against the definition: any three quarters of an item, wherever they start, with or without edits."""
+    rnd = random.Random(6)
+    for k in range(120):
+        item = prose(2000 + k, rnd.randrange(12, 60))
+        text = decontaminate.normal(item)
+        size = -(-3 * len(text) // 4) + 2
+        start = rnd.randrange(0, len(text) - size + 1)
+        part = bytearray(text[start : start + size])
+        for _ in range(rnd.randrange(0, max(1, int(size * 0.7 * decontaminate.EDITS * 0.5)))):
+            part[rnd.randrange(len(part))] = ord("#")
+        found = decontaminate.Index([(7, item)]).find([f"{prose(k, 20)} {part.decode('utf-8', 'replace')} {prose(k + 1, 20)}"])[0]
+        assert [f[0] for f in found] == [7]
+
+
 def edit_distance(item, part):
     row = [0] * (len(part) + 1)
     for i, c in enumerate(item, 1):

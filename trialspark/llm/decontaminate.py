@@ -2,16 +2,29 @@
 
 Texts and items are compared lower-cased, with one space for each white-space
 run, as UTF-8 bytes ("characters" here). An item of m characters leaks into a
-document if some part of the document is within ``EDITS`` * m edits of it.
-Such a part shares at least ``m - q + 1 - q * e`` q-grams with the item, on
-diagonals that lie at most e apart, hence within one of overlapping bands of
-2 * (e + 1) diagonals. Three steps, each of which loses nothing:
+document if
+
+* some part of the document is within its edit budget: ``EDITS`` * m edits, or
+  ``WORD`` edits (about one replaced word; at most m / 6) where that is more, or
+* a region of it leaks: ``REGION`` * m characters in a row, for m of ``LEAST_REGION``
+  or more, within ``EDITS`` of that length, or
+* it is shorter than 2 * q and stands in the document verbatim between word
+  bounds. Items of one word or under ``LEAST_ITEM`` characters identify nothing.
+
+e scattered edits leave at least ``m - q + 1 - q * e`` shared q-grams, a replaced
+run of w characters at least ``m - q + 1 - (q + w - 1)``, on diagonals that lie at
+most e (or w) apart, hence within one of overlapping bands of twice as many
+diagonals. Three steps, each of which loses nothing:
 
 * places of the document whose q-gram occurs in the benchmark, kept where a
   window that could hold an item (of some class of sizes) has enough of them;
-* per item and diagonal band, the shared q-grams are counted against the bound;
+* per item and diagonal band, the shared q-grams are counted against the bound
+  of the item, and in windows of its text against that of a region;
 * what remains is verified by banded alignment.
 
+A region of ``REGION`` * m is sought in windows of ``SOUGHT`` * m that start every
+``REGION - SOUGHT`` of the item, so each such region holds a whole window.
+
 The benchmark is a stated query set. It meets the documents in blocks of
 ``BLOCK_CHARS`` characters, each an index of bounded size that is broadcast;
 documents are never shuffled.
@@ -21,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +46,16 @@ from trialspark.llm.common import limit_batches, slices, text_of
 Q = 12
 EDITS = 0.05
 
+#: Edits that an item always has (about one word replaced), unless that is over a sixth of it.
+WORD = 10
+
+#: Share of an item that leaks by itself, what is sought of it, and the least item this holds for.
+REGION, SOUGHT = 0.75, 0.7
+LEAST_REGION = 64
+
+#: Items with fewer characters, or of one word, are not sought.
+LEAST_ITEM = 8
+
 #: Characters of benchmark text in one index.
 BLOCK_CHARS = 4_000_000
 
@@ -86,14 +110,27 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         clean = [(i, normal(t or "")) for i, t in items]
-        clean = [(i, t) for i, t in clean if len(t) >= 2 * Q]  # shorter ones identify no passage
+        self.short = ahocorasick.Automaton()
+        for i, t in clean:
+            if LEAST_ITEM <= len(t) < 2 * Q and b" " in t:
+                key = t.decode("utf-8", "surrogatepass")
+                self.short.add_word(key, (len(key), [*(self.short.get(key, (0, []))[1]), i]))
+        if len(self.short):
+            self.short.make_automaton()
+        clean = [(i, t) for i, t in clean if len(t) >= 2 * Q]
         self.ids = [i for i, _ in clean]
         self.texts = [t for _, t in clean]
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.sizes = sizes
-        # the bound must stay positive for the filter to lose nothing
+        # the bounds must stay positive for the filter to lose nothing
         self.edits = np.minimum((sizes * EDITS).astype(np.int64), np.maximum(0, (sizes - Q) // Q))
-        self.bound = sizes - Q + 1 - Q * self.edits
+        run = np.clip(np.minimum(sizes // 6, sizes - 2 * Q + 1), 0, WORD)
+        self.budget = np.maximum(self.edits, run)
+        self.bound = np.minimum(sizes - Q + 1 - Q * self.edits, np.where(run > 0, sizes - Q + 1 - (Q + run - 1), sizes))
+        self.part = np.where(sizes >= LEAST_REGION, (sizes * SOUGHT).astype(np.int64), 0)
+        self.part_edits = np.minimum((self.part * EDITS).astype(np.int64), np.maximum(0, (self.part - Q) // Q))
+        self.part_bound = np.where(self.part > 0, self.part - Q + 1 - Q * self.part_edits, self.bound)
+        least = np.minimum(self.bound, self.part_bound)
         grams = [_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
         flat = np.concatenate(grams) if grams else np.zeros(0, "<u8")
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -110,7 +147,7 @@ class Index:
         while len(left):
             some = sizes[(sizes >= left[0]) & (sizes <= left[0] * CLASS)]
             in_class = np.isin(sizes, some)
-            self.windows.append((int((sizes + self.edits)[in_class].max()), int(self.bound[in_class].min())))
+            self.windows.append((int((sizes + self.budget)[in_class].max()), int(least[in_class].min())))
             left = left[left > left[0] * CLASS]
 
     @staticmethod
@@ -138,12 +175,17 @@ class Index:
         there = self.distinct[np.minimum(found, len(self.distinct) - 1)] == grams[at]
         return at[there], found[there]
 
-    def find(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """For each text its leaks (item id, edits, place in the normalised text), by item."""
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        if not self.ids or not texts:
+    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text its leaks (item id, edits, place in the normalised text, characters of the item), by item."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        if not texts:
             return out
         clean = [normal(t) for t in texts]
+        if len(self.short):
+            for found, text in zip(out, clean):
+                found += self._verbatim(text.decode("utf-8", "surrogatepass"))
+        if not self.ids:
+            return out
         flat = np.frombuffer(b"".join(t + b"\0" * Q for t in clean), np.uint8)
         starts = np.cumsum([0] + [len(t) + Q for t in clean])
         at, number = self._places(flat)
@@ -154,37 +196,70 @@ class Index:
         entry = np.repeat(self.first[number], copies) + shift
         at = np.repeat(at, copies)
         item, place = self.item[entry], self.place[entry]
-        half = self.edits[item] + 1
+        half = self.budget[item] + 1
         # offset keeps diagonals positive; the place is in the joined texts, so a diagonal is of one text
         band = (at - place + int(self.sizes.max())) // half
         # each shared q-gram counts in its own band and in the one that starts a half earlier
         key = np.concatenate([item.astype(np.int64) << 40 | band, item.astype(np.int64) << 40 | np.maximum(band - 1, 0)])
         gram = np.concatenate([place, place])
         pairs = np.unique(np.stack([key, gram], axis=1), axis=0) if len(key) else np.zeros((0, 2), np.int64)
-        keys, counts = np.unique(pairs[:, 0], return_counts=True)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k, n in zip(keys.tolist(), counts.tolist()):
+        keys, first, counts = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}  # characters left out, edits, place
+        for k, low, n in zip(keys.tolist(), first.tolist(), counts.tolist()):
             i, b = k >> 40, k & ((1 << 40) - 1)
-            if n < self.bound[i]:
+            if n < min(self.bound[i], self.part_bound[i]):
                 continue
-            e = int(self.edits[i])
-            begin = b * (e + 1) - int(self.sizes.max())
+            begin = b * (int(self.budget[i]) + 1) - int(self.sizes.max())
             doc = int(np.searchsorted(starts, min(max(begin + self.sizes[i] // 2, 0), starts[-1] - 1), side="right") - 1)
-            if best.get((doc, i), (1,))[0] == 0:
-                continue
-            low = max(begin, int(starts[doc]))
-            part = clean[doc][low - starts[doc] : begin + 2 * (e + 1) + int(self.sizes[i]) + e - starts[doc]]
-            exact = part.find(self.texts[i])
-            if exact >= 0:
-                best[doc, i] = (0, low - int(starts[doc]) + exact)
+            known = best.get((doc, i))
+            if known is not None and known[:2] == (0, 0):
                 continue
-            edits = distance(np.frombuffer(self.texts[i], np.uint8), np.frombuffer(part, np.uint8), e, 3 * (e + 1))
-            if edits <= e and edits < best.get((doc, i), (e + 1,))[0]:
-                best[doc, i] = (edits, low - int(starts[doc]))
-        for (doc, i), (edits, place) in sorted(best.items()):
-            out[doc].append((self.ids[i], edits, place))
+            size = int(self.sizes[i])
+            found = self._verify(clean[doc], begin - int(starts[doc]), i, 0, size, int(self.budget[i])) if n >= self.bound[i] else None
+            if found is None and self.part[i] and (known is None or known[0]):
+                found = self._region(clean[doc], begin - int(starts[doc]), i, pairs[low : low + n, 1])
+            if found is not None and (known is None or found < known):
+                best[doc, i] = found
+        for (doc, i), (left, edits, place) in sorted(best.items()):
+            out[doc].append((self.ids[i], edits, place, int(self.sizes[i]) - left))
         return out
 
+    def _verbatim(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Short items between word bounds: the first place of each."""
+        found: dict[int, tuple[int, int, int, int]] = {}
+        for end, (size, ids) in self.short.iter(text):
+            start = end - size + 1
+            if (start and text[start - 1].isalnum()) or (end + 1 < len(text) and text[end + 1].isalnum()):
+                continue
+            for i in ids:
+                if i not in found:
+                    found[i] = (i, 0, len(text[:start].encode("utf-8", "surrogatepass")), len(text[start : end + 1].encode("utf-8", "surrogatepass")))
+        return list(found.values())
+
+    def _verify(self, text: bytes, begin: int, i: int, start: int, size: int, budget: int) -> tuple[int, int, int] | None:
+        """(characters left out, edits, place) if the item's part at ``start`` is in ``text`` near diagonal ``begin``."""
+        wanted = self.texts[i][start : start + size]
+        slack = int(self.budget[i])
+        low = max(begin + start, 0)
+        part = text[low : max(0, begin + start + 2 * (slack + 1) + size + budget)]
+        exact = part.find(wanted)
+        if exact >= 0:
+            return len(self.texts[i]) - size, 0, low + exact
+        edits = distance(np.frombuffer(wanted, np.uint8), np.frombuffer(part, np.uint8), budget, 3 * (slack + 1))
+        return (len(self.texts[i]) - size, edits, low) if edits <= budget else None
+
+    def _region(self, text: bytes, begin: int, i: int, grams: np.ndarray) -> tuple[int, int, int] | None:
+        """The first window of the item that leaks; ``grams`` are the places of its shared q-grams, ascending."""
+        size, part = int(self.sizes[i]), int(self.part[i])
+        step = max(1, int(size * (REGION - SOUGHT)))
+        for start in [*range(0, size - part, step), size - part]:
+            n = np.searchsorted(grams, start + part - Q, side="right") - np.searchsorted(grams, start)
+            if n >= self.part_bound[i]:
+                found = self._verify(text, begin, i, start, part, int(self.part_edits[i]))
+                if found is not None:
+                    return found
+        return None
+
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes over ``benchmark`` (item_id, text), each over about ``block_chars`` characters."""
@@ -197,24 +272,24 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Ind
 
 
 def leaks(text: Column | str, index: Index, spark) -> Column:
-    """Array of struct (item_id, edits, place) for each text: the items that leak into it."""
+    """Array of struct (item_id, edits, place, covered) for each text: the items that leak into it."""
     shared = spark.sparkContext.broadcast(index)
     limit_batches(spark)
 
-    @F.pandas_udf("array<struct<item_id:bigint,edits:int,place:bigint>>")
+    @F.pandas_udf("array<struct<item_id:bigint,edits:int,place:bigint,covered:bigint>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             found = shared.value.find(batch.tolist())
-            yield pd.Series([[{"item_id": i, "edits": e, "place": p} for i, e, p in x] for x in found], dtype=object)
+            yield pd.Series([[{"item_id": i, "edits": e, "place": p, "covered": c} for i, e, p, c in x] for x in found], dtype=object)
 
     return run(text_of(text))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, place): a row for each leak of an item into a row of ``docs``.
+    """(doc_id, item_id, edits, place, covered): a row for each leak of an item into a row of ``docs``.
 
-    Null and empty texts and items leak nothing, nor do items of under 2 * Q
-    characters. Repeated rows of ``docs`` are reported each; repeated items
+    ``covered`` counts the item's characters in the part found: all, or those of a region.
+    Null and empty texts and items leak nothing. Repeated rows of ``docs`` are reported each; repeated items
     once each row and id. An empty table gives an empty result.
     """
     spark = docs.sparkSession
