@@ -110,3 +110,26 @@ def test_sorted_rows_of_the_outcome_stage_hold_no_baseline_column(spark, tmp_pat
         assert not any(re.search(rf"\b{name}#", line) for line in windows), name
     scans = [line for line in plan.splitlines() if "Relation [" in line and "bmi_val" in line]
     assert scans  # attached after them
+
+
+@needs_data
+def test_bucketed_tables_join_without_an_exchange(spark):
+    from trialspark.operators import events as E
+    from trialspark.sources import store_bucketed, table_catalog
+
+    cat = fixture_catalog(spark, SF, FIXTURE_PARAMS)
+    tables = store_bucketed(cat, "trialspark_test", buckets=4)
+    stored = table_catalog(spark, tables, normalise=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hierarchy = stored.diagnosis.join(stored.episode, ["prov_unit_cd", "spell_num_pe", "epi_num"]).join(stored.spell, ["prov_unit_cd", "spell_num_pe"])
+        assert "Exchange" not in _plan(hierarchy) and "SortMergeJoin" in _plan(hierarchy)
+        by_patient = stored.urine_tests.join(stored.cohort.select("alf_pe", "diag_date"), "alf_pe")
+        assert "Exchange" not in _plan(by_patient)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pre = T.baseline_cohort(cat, FIXTURE_PARAMS, materialise=lambda df: df)
+    plain = E.outcome_dates(cat, pre, FIXTURE_PARAMS, [1, 2]).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, E.outcome_dates(stored, pre, FIXTURE_PARAMS, [1, 2]).collect()))
+    spark.sql("DROP DATABASE trialspark_test CASCADE")

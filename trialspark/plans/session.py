@@ -19,6 +19,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a join before an aggregation on the same key is split too, at the cost of one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a join on more keys than its tables are stored by needs no exchange
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
