@@ -419,6 +419,11 @@ def test_maxent_rows_and_gradient_equal_plain_sums():
         assert learnt.slope[0][k] == pytest.approx((likelihood(start + step) - likelihood(start - step)) / 2e-5, rel=1e-4, abs=1e-6)
 
 
+def test_maxent_counts_survive_packing():
+    x = np.array([[0, 1, 254], [255, 256, 10**12]])
+    assert (maxent.unpack(maxent.pack(x)).reshape(2, 3) == x).all()
+
+
 def test_maxent_learns_from_context(spark):
     """Held-out text of the given table: at least 0.15 a token above the base, in one group and in many."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

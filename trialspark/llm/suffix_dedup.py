@@ -2,7 +2,7 @@
 
 Every byte covered by a string of ``length`` bytes that also starts in a
 document with a smaller id is removed. The strings of that length are the
-windows of the texts. A window's anchor is the least hash of the 25-byte
+windows of the texts. A window's anchor is the least hash of the 20-byte
 strings in it, so equal windows have equal anchors; windows that follow each
 other mostly share one, and form a run.
 
@@ -18,8 +18,10 @@ other mostly share one, and form a run.
    bit a window goes back: does a smaller document have it.
 3. Each group of documents puts the bits together into removed spans.
 
-Groups of documents are dealt by a hash and buckets by the anchor's hash, both
-of bounded mean size at any input. A repeated passage reaches a bucket once a
+Groups of documents are dealt by their place in the table, so repeated rows don't
+gather in one, and buckets by the anchor's hash, both of bounded mean size at any
+input. What a group has found out about its runs passes the buckets' step beside
+the texts it asks about, and isn't worked out again. A repeated passage reaches a bucket once a
 group, however many documents hold it. An anchor found in ``HEAVY`` groups or
 more has its windows sent one by one, dealt by their own hash, so that the
 texts around a very common passage don't gather in one bucket.
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import limit_batches, slices, stored, text_of
+from trialspark.llm.exact_dedup import file_backed, locator
 
 #: Bytes of text in a group of documents, and for each bucket.
 GROUP_BYTES = 16 << 20
@@ -49,7 +53,7 @@ HEAVY = 256
 STEP = 7
 
 #: Length of an anchor's string; windows of a run; bytes of text worked at once.
-GRAM = 25
+GRAM = 20
 RUN = 32
 CHUNK = 1 << 20
 
@@ -270,6 +274,40 @@ class Pieces:
     def by_bucket(self) -> list[tuple[int, np.ndarray]]:
         return _split(np.array(self.bucket, np.int64))
 
+    def found(self) -> Found:
+        return Found(np.array(self.bucket, np.int64), np.array(self.first, np.int64), self.where)
+
+
+@dataclass
+class Found:
+    """What a group keeps of its pieces: bucket and least document of each, and where the runs are."""
+
+    bucket: np.ndarray
+    first: np.ndarray
+    where: list[np.ndarray]  # of each run document, start, windows, number of its piece
+
+    def by_bucket(self) -> list[tuple[int, np.ndarray]]:
+        return _split(self.bucket)
+
+    def packed(self) -> bytes:
+        """Columns of differences, which are small, compressed."""
+        owner, start, windows, number = self.where
+        head = np.array([len(self.bucket), len(owner)], np.int64).tobytes()
+        steps = [np.diff(x, prepend=0).astype(np.int32).tobytes() for x in (self.first, owner, start, number)]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join([head, self.bucket.astype(np.int32).tobytes(), *steps, windows.astype(np.uint8).tobytes()]))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Found:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, runs = np.frombuffer(raw, np.int64, 2).tolist()
+        parts, at = [], 16
+        for size in (n, n, runs, runs, runs):
+            parts.append(np.frombuffer(raw, np.int32, size, at).astype(np.int64))
+            at += 4 * size
+        bucket, first, owner, start, number = parts
+        windows = np.frombuffer(raw, np.uint8, runs, at).astype(np.int64)
+        return cls(bucket, np.cumsum(first), [np.cumsum(owner), np.cumsum(start), windows, np.cumsum(number)])
+
 
 def _asked(docs: Docs, pieces: Pieces) -> Iterator[tuple[int, bytes]]:
     ids = np.array(docs.ids, np.int64)
@@ -427,14 +465,14 @@ def _spans(size: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([begin, end], axis=1)
 
 
-def _removed(docs: Docs, pieces: Pieces, masks: dict[int, np.ndarray], length: int) -> Iterator[np.ndarray]:
+def _removed(docs: Docs, pieces: Found, masks: dict[int, np.ndarray], length: int) -> Iterator[np.ndarray]:
     """The removed spans of each document."""
     owner, start, windows, number = pieces.where
-    mask = np.zeros(len(pieces.texts), np.uint32)
+    mask = np.zeros(len(pieces.bucket), np.uint32)
     for bucket, at in pieces.by_bucket():
         mask[at] = masks[bucket]
     ids = np.array(docs.ids, np.int64)
-    first = ids[np.array(pieces.first, np.int64)] if pieces.first else ids[:0]
+    first = ids[pieces.first] if len(pieces.first) else ids[:0]
     # a later document of the group has all its windows in the first one
     mine = np.where(ids[owner] > first[number], np.uint32(0xFFFFFFFF), mask[number]) if len(owner) else mask[:0]
     hits_owner, hits = [], []
@@ -465,8 +503,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, with_text: bool = False, g
     limit_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups, buckets = slices(total, group_bytes), slices(total, bucket_bytes)
-    text = text_of()
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(groups)).cast("long").alias("g"))
+    docs = file_backed(docs.select("doc_id", "text"))
+    place = F.pmod(F.xxhash64(locator(docs)), F.lit(groups)).cast("long")
+    dealt = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"), place.alias("g"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[list[int], list[bytes]]] = {}
@@ -502,20 +541,25 @@ def repeated_spans(docs: DataFrame, length: int = 50, with_text: bool = False, g
     def ask(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         docs = Docs.unpacked(group["docs"].tolist())
         pieces = Pieces(docs, Shared(answers, buckets), length, buckets)
-        out = pd.DataFrame(list(_asked(docs, pieces)), columns=["bucket", "pieces"])
-        out.insert(0, "g", group["g"].iloc[0] if len(group) else 0)
+        number = int(group["g"].iloc[0]) if len(group) else 0
+        # the group's own findings go by a bucket of their own, below 0
+        out = pd.DataFrame([*_asked(docs, pieces), (-1 - number, pieces.found().packed())], columns=["bucket", "pieces"])
+        out.insert(0, "g", number)
         return out
 
+    def judge(bucket: pd.DataFrame) -> pd.DataFrame:
+        if bucket["bucket"].iloc[0] < 0:
+            return bucket.rename(columns={"pieces": "masks"})
+        return _judged(bucket, length)
+
     asks = packed.groupBy("g").cogroup(replies.groupBy("g")).applyInPandas(ask, "g long, bucket long, pieces binary")
-    masks = stored(asks.groupBy("bucket").applyInPandas(lambda x: _judged(x, length), "g long, bucket long, masks binary"), "masks")
-    both = replies.select("g", "bucket", "anchors", "heavy", F.lit(None).cast("binary").alias("masks")).unionByName(
-        masks.select("g", "bucket", F.lit(None).cast("binary").alias("anchors"), F.lit(None).cast("binary").alias("heavy"), "masks")
-    )
+    masks = stored(asks.groupBy("bucket").applyInPandas(judge, "g long, bucket long, masks binary"), "masks")
 
     def finish(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         docs = Docs.unpacked(group["docs"].tolist())
-        pieces = Pieces(docs, Shared(answers[answers["masks"].isna()], buckets), length, buckets)
-        answers = answers[~answers["masks"].isna()]
+        own = answers["bucket"] < 0
+        pieces = Found.unpacked(answers.loc[own, "masks"].iloc[0])
+        answers = answers[~own]
         found = {b: np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4") for b, x in zip(answers["bucket"], answers["masks"])}
         rows = []
         for i, text, spans in zip(docs.ids, docs.texts, _removed(docs, pieces, found, length)):
@@ -527,5 +571,5 @@ def repeated_spans(docs: DataFrame, length: int = 50, with_text: bool = False, g
         return out
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string, kept binary"
-    out = packed.groupBy("g").cogroup(both.groupBy("g")).applyInPandas(finish, schema)
+    out = packed.groupBy("g").cogroup(masks.groupBy("g")).applyInPandas(finish, schema)
     return out if with_text else out.drop("kept")
