@@ -497,18 +497,34 @@ def test_samples_have_one_size_whatever_the_length_of_texts(spark):
     assert sorted(got["few"]) == ["a b", "one", "two"]
 
 
-def test_automaton_phrases_match_brute_force():
+def plain_phrases(sample, text):
+    count, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample and text[at : at + 1] in sample:
+            size += 1
+        at += size
+        count += 1
+    return count
+
+
+@pytest.mark.parametrize("width", [1, 3, 8, 64])
+def test_automaton_phrases_match_brute_force(width):
+    """Whole texts, laid out in rows: a phrase that crosses rows counts once."""
     rnd = random.Random(9)
-    sample = bytes(rnd.choice(b"abc") for _ in range(60))
+    sample = bytes(rnd.choice(b"abc") for _ in range(60)) + b"abababababababababab"
     automaton = language.Automaton(sample)
-    for _ in range(40):
-        text = bytes(rnd.choice(b"abcd") for _ in range(rnd.randrange(1, 50)))
-        count, at = 0, 0
-        while at < len(text):
-            size = 1
-            while at + size < len(text) and text[at : at + size + 1] in sample and text[at : at + 1] in sample:
-                size += 1
-            at += size
-            count += 1
-        columns = np.frombuffer(text, np.uint8).reshape(-1, 1)
-        assert automaton.phrases(columns)[0] == count
+    texts = [bytes(rnd.choice(b"abcd") for _ in range(rnd.randrange(1, 50))) for _ in range(40)] + [b"ab" * 30, b"d" * 20, sample]
+    rows = [-(-len(t) // width) for t in texts]
+    laid = np.frombuffer(b"".join(t.ljust(n * width, b"\0") for t, n in zip(texts, rows)), np.uint8).reshape(-1, width)
+    owner = np.repeat(np.arange(len(texts)), rows)
+    count = automaton.phrases(np.ascontiguousarray(laid.T), np.diff(owner, prepend=-1) == 0)
+    padding = [n * width - len(t) for t, n in zip(texts, rows)]
+    assert (np.bincount(owner, count) - padding).tolist() == [plain_phrases(sample, t) for t in texts]
+
+
+def test_of_very_many_languages_the_commonest_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rows = [(k, text, lang) for lang, text in LANGS.items() for k in range(20)] + [(k, "stray words", f"x{k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(language.sample(docs)) == sorted(LANGS)

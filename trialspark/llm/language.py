@@ -9,10 +9,10 @@ is a phrase, so a small sample is never cheap. The phrase count times the
 logarithm of the common size, by byte, estimates the cross entropy, which gives
 the score.
 
-The automata hold at most ``SAMPLE_BYTES`` bytes of each language, and at most ``LANGUAGES`` languages are accepted, so their tables have
-a fixed bound and are broadcast. Texts are parsed whole: a task lays them out in
-rows of ``ROW_BYTES`` bytes, so that one numpy step moves every row of a batch
-by one byte, and adds up the phrases of a text's rows.
+The automata hold at most ``SAMPLE_BYTES`` bytes of each language, and the ``LANGUAGES`` languages with the most labelled
+text are learnt (a label on a few stray rows is none of them where there are more), so their tables have a fixed bound
+and are broadcast. Texts are parsed whole: a task lays them out in rows of ``ROW_BYTES`` bytes, so that one numpy
+step moves every row of a batch by one byte, and a phrase that crosses rows is carried over.
 """
 
 from __future__ import annotations
@@ -76,19 +76,51 @@ class Automaton:
                 table[state, self.symbol[c]] = to
         self.table = table.ravel() * self.symbols  # states as offsets into the table
 
-    def phrases(self, columns: np.ndarray) -> np.ndarray:
-        """Phrases of each row; ``columns`` holds the rows' bytes by position, 0 padding at the end."""
+    def phrases(self, columns: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that start in each row; ``columns`` holds the rows' bytes by position, 0 padding at the end.
+
+        ``follows`` says which rows go on with the text of the row before. All rows are first parsed from
+        their own beginning. A row that follows is then entered with the match its predecessor ended in,
+        until a phrase starts where one started before: from there on both parses are the same. A row
+        without such a place hands its match on to the next one. So the phrases are those of whole texts.
+        """
         state = np.zeros(columns.shape[1], np.int32)
-        count = np.zeros(columns.shape[1], np.int64)
-        for column in columns:
-            c = self.symbol[column]
-            to = self.table[state + c]
-            stuck = to == 0
-            count += stuck | (state == 0)
-            to[stuck] = self.table[c[stuck]]
-            state = to
+        starts = np.zeros(columns.shape, bool)
+        for new, column in zip(starts, columns):
+            new[:], state = self._step(state, self.symbol[column])
+        alone = starts.sum(axis=0)
+        count, own_end, end = alone.copy(), state, state.copy()
+        todo = np.flatnonzero(follows)
+        while len(todo):
+            state = end[todo - 1]
+            change = np.zeros(len(todo), np.int64)
+            open_ = np.arange(len(todo))
+            for began, column in zip(starts, columns):
+                rows = todo[open_]
+                new, state[open_] = self._step(state[open_], self.symbol[column[rows]])
+                old = began[rows]
+                met = new & old
+                change[open_] += new.astype(np.int64) - old
+                open_ = open_[~met]
+                if not len(open_):
+                    break
+            count[todo] = alone[todo] + change
+            last = own_end[todo]  # rows that met end as by themselves
+            last[open_] = state[open_]
+            moved = todo[last != end[todo]]
+            end[todo] = last
+            todo = moved[moved + 1 < len(follows)] + 1
+            todo = todo[follows[todo]]
         return count
 
+    def _step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase starts with the symbol, and the state after it."""
+        to = self.table[state + c]
+        stuck = to == 0
+        new = stuck | (state == 0)
+        to[stuck] = self.table[c[stuck]]
+        return new, to
+
 
 def normal(text: str) -> bytes:
     """Lower-cased letters with single spaces for all else, as UTF-8; empty if there is no letter."""
@@ -101,7 +133,8 @@ def sample(docs: DataFrame, size: int = SAMPLE_BYTES, slice_chars: int = SLICE_C
 
     Texts are cut into slices, and each language has so many buckets of hashes
     that the least slices of them hold several times ``size``; a language of
-    fewer slices has each by itself. Equal slices are one. One aggregation with
+    fewer slices has each by itself. Equal slices are one. Of more than ``LANGUAGES`` languages those with the
+    most labelled letters are taken. One aggregation with
     map-side combine; what reaches the driver is bounded by ``LANGUAGES * size``
     bytes and a slice a language.
     """
@@ -109,8 +142,8 @@ def sample(docs: DataFrame, size: int = SAMPLE_BYTES, slice_chars: int = SLICE_C
     parts = docs.where("lang is not null and text is not null").select("lang", F.explode(F.regexp_extract_all(letters, F.lit(f"(?s).{{1,{slice_chars}}}"), F.lit(0))).alias("piece"))
     parts = parts.select("lang", F.trim("piece").alias("piece")).where("piece <> ''")
     stock = parts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece").cast("long")).alias("bytes"))
-    if stock.limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    known = stock.orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).collect()  # one pass, a row a language
+    stock = docs.sparkSession.createDataFrame(known, stock.schema)
     stock = stock.select("lang", "n", F.ceil(8 * size * F.col("n") / F.col("bytes")).alias("buckets"))
     hashed = F.xxhash64("piece")
     bucket = F.when(F.col("n") <= F.col("buckets"), hashed).otherwise(F.pmod(hashed, F.col("buckets")))
@@ -143,10 +176,11 @@ class Model:
         laid = np.frombuffer(b"".join(x.ljust(n * ROW_BYTES, b"\0") for x, n in zip(clean, rows.tolist())), np.uint8)
         columns = np.ascontiguousarray(laid.reshape(-1, ROW_BYTES).T)
         ends = np.minimum(sizes[owner] - (np.arange(len(owner)) - (np.cumsum(rows) - rows)[owner]) * ROW_BYTES, ROW_BYTES)
+        follows = np.diff(owner, prepend=-1) == 0
         bits = np.zeros((len(clean), len(self.automata)))
         for k, automaton in enumerate(self.automata):
             # every padding byte is a phrase of its own
-            count = automaton.phrases(columns) - (ROW_BYTES - ends)
+            count = automaton.phrases(columns, follows) - (ROW_BYTES - ends)
             phrases = np.bincount(owner, count, len(clean))
             bits[:, k] = phrases * self.phrase_bits / np.maximum(1, sizes)
         best = bits.argmin(axis=1)
