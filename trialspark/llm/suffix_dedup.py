@@ -2,7 +2,7 @@
 
 Every byte covered by a string of ``length`` bytes that also starts in a
 document with a smaller id is removed. The strings of that length are the
-windows of the texts. A window's anchor is the least hash of the 20-byte
+windows of the texts. A window's anchor is the least hash of the 25-byte
 strings in it, so equal windows have equal anchors; windows that follow each
 other mostly share one, and form a run.
 
@@ -53,7 +53,7 @@ HEAVY = 256
 STEP = 7
 
 #: Length of an anchor's string; windows of a run; bytes of text worked at once.
-GRAM = 20
+GRAM = 25
 RUN = 32
 CHUNK = 1 << 20
 
