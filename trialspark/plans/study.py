@@ -64,7 +64,7 @@ def run(cat: SourceCatalog, params: StudyParams, out_dir: str | None = None, out
     cut = cuts.once
     pre = cut(T.baseline_cohort(cat, params, materialise=cut, check=check), "baseline")
     outcomes = cut(T.all_outcomes(cat, params, outcome_ids=ids, pre=pre, bounds=index_bounds(pre), materialise=cut), "outcomes")
-    prep = cut(A.prepared(outcomes, params), "prepared")
+    prep = cut(A.prepared(outcomes, params, rows=outcomes.count()), "prepared")
     fits = A.fit_models(prep, ids)
     clones = cut(A.weighted_clones(A.with_fitted(prep, fits), params, materialise=cut), "clones")
     curves = S.weighted_km(clones, ["outcome_id", "arm"])
