@@ -185,3 +185,28 @@ def test_intervals_of_both_bootstraps_on_the_fixture(spark):
     assert {r.outcome_id for r in ci} <= {1, 2, 3, 4, 5, 6}
     for r in ci:
         assert r.replicates <= 200 and (r.rd_lo is None or r.rd_lo <= r.rd_hi)
+
+
+def test_late_rows_share_the_weight_of_the_last_row_at_risk(spark):
+    """Rows after the risk is over are kept apart, and every known row still counts in the curves."""
+    params = FIXTURE_PARAMS
+    prep = cut(A.prepared(_patients(spark, seed=9, n=40), params).where("complete"))
+    terms = A.design(prep, [1, 4])
+    patients = cut(A.refit_patients(prep, params, terms, 3, 5))
+    at_risk, late = prep.where("outcome_id in (1, 4) and at_risk = 1").count(), prep.where("outcome_id in (1, 4) and at_risk = 0").count()
+    held = patients.agg(F.sum(F.size("rows")), F.sum(F.size("late"))).first()
+    assert (held[0], held[1]) == (at_risk, late) and late > 0
+    weights = R.Weights(np.zeros((2, 3, len(terms.terms))), np.zeros((2, 3, 3)))  # all probabilities 1/2: every weight is 1
+    sums = {(r.outcome_id, r.arm, r.cal_time): r.v for r in R.refitted_sums(patients, weights, np.full((2, 3), np.inf), [1, 4]).collect()}
+    clones = A.M.censor_clones(prep, params).where("outcome_id in (1, 4)").withColumn("sw_trunc", F.lit(1.0))
+    fixed = {(r.outcome_id, r.arm, r.cal_time): r.v for r in R.fixed_weight_sums(clones, 3, 5).collect()}
+    assert sums.keys() == fixed.keys()
+    assert all(np.allclose(sums[k], fixed[k]) for k in fixed)
+
+
+def test_panel_is_dealt_by_the_rows_it_becomes(spark, monkeypatch):
+    """A few patients fill as many tasks as their panel rows need, however small their exchange is."""
+    from trialspark.operators import panel as P
+    monkeypatch.setattr(P, "PANEL_ROWS", 100)
+    few = spark.range(30).select(F.col("id").cast("string").alias("alf_pe"))
+    assert P.spread(few, "alf_pe", 30 * 6 * P.most_intervals(FIXTURE_PARAMS)).rdd.getNumPartitions() == 98
