@@ -184,3 +184,16 @@ def test_equal_windows_are_the_classes_of_prefixes():
         want[tuple(text[s : s + 33].tolist())].add(s)
     full = {frozenset(v) for k, v in want.items() if len(k) == 33}
     assert full <= {frozenset(v) for v in groups.values()}
+
+
+def test_families_are_chained_by_component(spark, monkeypatch):
+    """Many nodes of one component in many buckets make one edge for each other component, not one a node."""
+    words = " ".join(f"w{i}" for i in range(40))
+    texts = spark.createDataFrame([(i, words) for i in range(30)] + [(30, words), (31, "a b c d e f g")], "doc_id long, text string")
+    rows = [(key, node, 0) for key in range(5) for node in range(30)] + [(0, 30, 30), (1, 31, 31)]
+    seen = []
+    monkeypatch.setattr(minhash, "components", lambda edges: seen.append(edges.count()) or components(edges))
+    links = minhash._across(spark.createDataFrame(rows, "key long, node long, component long"), texts, 5, 80)
+    found = {(r.u, r.v) for r in links.collect()}
+    assert seen == [2]
+    assert found == {(30, i) for i in range(30)}  # every link across components, and none to the other text

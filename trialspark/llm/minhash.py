@@ -196,14 +196,16 @@ def _across(here: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """All links between nodes of different components that buckets connect.
 
     ``here`` has the rows (key, node, component) of buckets with several
-    components. Nodes that buckets connect are a family; its nodes are dealt
+    components. Components that buckets connect are a family; its nodes are dealt
     into blocks of bounded size, a component of its own block or blocks if it
     is large, and every two blocks meet in a task of their own unless they are
     of one component. Sets are compared inside the task; only links leave it.
     """
-    chain = here.join(here.groupBy("key").agg(F.min("node").alias("v")), "key").select(F.col("node").alias("u"), "v").distinct()
-    families = components(chain).select("node", F.col("component").alias("family"))
-    nodes = here.select("node", "component").distinct().join(families, "node")
+    # which buckets a component has, not which of its nodes: a large group of near copies is one row a bucket
+    met = here.select("key", F.col("component").alias("u")).distinct()
+    chain = met.join(met.groupBy("key").agg(F.min("u").alias("v")), "key").where("u <> v").select("u", "v").distinct()
+    families = components(chain).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    nodes = here.select("node", "component").distinct().join(families, "component")
     nodes = nodes.join(texts.groupBy(F.col("doc_id").alias("node")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")), "node")
     size = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     own = size.select("family", "component", F.when(F.col("n") * 2 > BLOCK_NODES, F.col("component")).alias("part"))
