@@ -528,3 +528,15 @@ def test_of_very_many_languages_the_commonest_are_learnt(spark, monkeypatch):
     rows = [(k, text, lang) for lang, text in LANGS.items() for k in range(20)] + [(k, "stray words", f"x{k}") for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(language.sample(docs)) == sorted(LANGS)
+
+
+def test_maxent_update_takes_every_training_token(monkeypatch):
+    """The update's sums add up over the tokens whatever their place, in one batch or in many."""
+    tokens, sizes, hashes = _small_corpus(12)
+    whole = maxent.learn(tokens, sizes, hashes, 1024)
+    assert maxent.UPDATE_EVERY == 1
+    curve_of_all = np.trace(whole.curve[0])
+    monkeypatch.setattr(maxent, "BATCH", 7)
+    monkeypatch.setattr(maxent, "HELD", 50)
+    parts = maxent.learn(tokens, sizes, hashes, 1024)
+    assert np.allclose(whole.slope, parts.slope, atol=1e-3) and np.isclose(np.trace(parts.curve[0]), curve_of_all, rtol=1e-4)
