@@ -419,6 +419,20 @@ def test_maxent_rows_and_gradient_equal_plain_sums():
         assert learnt.slope[0][k] == pytest.approx((likelihood(start + step) - likelihood(start - step)) / 2e-5, rel=1e-4, abs=1e-6)
 
 
+def test_maxent_learns_without_copies_of_its_tables():
+    """What learning holds at a time: both tables of counts, the values of one softmax, and little else."""
+    import tracemalloc
+
+    tokens, sizes, hashes = _small_corpus(400)
+    rows = 1 << 16
+    table = maxent.CONTEXTS * rows * maxent.CLASSES * 4
+    tracemalloc.start()
+    maxent.learn(tokens, sizes, hashes, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * table  # 8.9 tables with the values of both, made whole in double precision
+
+
 def test_maxent_counts_survive_packing():
     x = np.array([[0, 1, 254], [255, 256, 10**12]])
     assert (maxent.unpack(maxent.pack(x)).reshape(2, 3) == x).all()
