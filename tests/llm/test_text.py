@@ -554,3 +554,66 @@ def test_maxent_update_takes_every_training_token(monkeypatch):
     monkeypatch.setattr(maxent, "HELD", 50)
     parts = maxent.learn(tokens, sizes, hashes, 1024)
     assert np.allclose(whole.slope, parts.slope, atol=1e-3) and np.isclose(np.trace(parts.curve[0]), curve_of_all, rtol=1e-4)
+
+
+def _plain_log_probability(tokens, sizes, hashes, model):
+    """By each token's three rows and a softmax of double precision."""
+    c, s = maxent.kinds(hashes)
+    context = maxent.contexts(tokens, sizes, hashes)
+    by_class, by_slot = maxent.rows_of(context, c[tokens], model.classes.shape[1])
+    out = np.zeros(len(tokens))
+    for table, row, share, right in (
+        (model.classes, by_class, np.broadcast_to(model.share.classes, (len(tokens), maxent.CLASSES)), c[tokens]),
+        (model.slots, by_slot, model.share.slots[c[tokens]], s[tokens]),
+    ):
+        z = np.log(share) + sum(table[f][row[f]].astype(float) for f in range(maxent.CONTEXTS))
+        out += maxent.log_softmax(z)[np.arange(len(tokens)), right]
+    return out
+
+
+def test_maxent_scores_equal_a_plain_softmax_however_far_apart_the_values():
+    tokens, sizes, hashes = _small_corpus(30)
+    model = maxent.Model.of(maxent.learn(tokens, sizes, hashes, 1024), _cells(tokens, hashes))
+    for factor in (1, 40, 400):  # at 400 products of exponentials leave single precision
+        wide = maxent.Model(model.classes * np.float32(factor), model.slots * np.float32(factor), model.share)
+        found = maxent.log_probability(tokens, sizes, hashes, np.zeros(len(hashes)), wide, batch=64)
+        assert np.allclose(found, _plain_log_probability(tokens, sizes, hashes, wide), rtol=1e-5, atol=1e-4)
+
+
+def test_maxent_curve_equals_plain_sums_and_spreads_no_number_over_its_outcomes(monkeypatch):
+    """The curvature in full, and the exponentials of learning and scoring: one for each cell of the rows, none for each token and outcome."""
+    tokens, sizes, hashes = _small_corpus(60)
+    rows = 1024
+    learnt = maxent.learn(tokens, sizes, hashes, rows)
+    c, s = maxent.kinds(hashes)
+    own, slot = c[tokens], s[tokens]
+    share = maxent.Shares.of(_cells(tokens, hashes))
+    found = maxent.rows_of(maxent.contexts(tokens, sizes, hashes), own, rows)
+    start, many = maxent.start_weights(), maxent.CONTEXTS * maxent.STEPS
+    for k, (right, shares) in enumerate(((own, np.broadcast_to(share.classes, (len(own), maxent.CLASSES))), (slot, share.slots[own]))):
+        slope, curve = np.zeros(many), np.zeros((many, many))
+        for t in range(len(tokens)):
+            z, x = np.log(shares[t]), np.zeros((many, maxent.CLASSES))
+            for f in range(maxent.CONTEXTS):
+                row = learnt.counts[k][f][found[k][f][t]].astype(float).copy()
+                row[right[t]] -= 1
+                at = f * maxent.STEPS + int(maxent.step_of(np.array([row.sum()]))[0])
+                x[at] = np.log1p(row / (maxent.KAPPA * shares[t]))
+            z = z + start @ x
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            slope += x[:, right[t]] - x @ p
+            curve += (x * p) @ x.T - np.outer(x @ p, x @ p)
+        assert np.allclose(learnt.slope[k], slope, rtol=1e-4, atol=1e-2)
+        assert np.allclose(learnt.curve[k], curve, rtol=1e-4, atol=1e-2)
+    taken = []
+    real = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *args, **kwargs: (taken.append(np.size(x)), real(x, *args, **kwargs))[1])
+    many_tokens, many_sizes = np.tile(tokens, 20), np.tile(sizes, 20)
+    learnt = maxent.learn(many_tokens, many_sizes, hashes, rows)
+    cells = 2 * maxent.CONTEXTS * rows * maxent.CLASSES
+    assert sum(taken) <= cells + 2 * len(many_tokens)  # it was 32 a token
+    taken.clear()
+    model = maxent.Model.of(learnt, _cells(many_tokens, hashes))
+    maxent.log_probability(many_tokens, many_sizes, hashes, np.zeros(len(hashes)), model)
+    assert sum(taken) <= cells + 2 * len(many_tokens)
