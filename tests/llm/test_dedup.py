@@ -186,6 +186,42 @@ def test_equal_windows_are_the_classes_of_prefixes():
     assert full <= {frozenset(v) for v in groups.values()}
 
 
+def _pieces(rnd, n, letters):
+    base = [bytes(rnd.choice(letters) for _ in range(rnd.randrange(50, 82))) for _ in range(n)]
+    return list(dict.fromkeys(base + [x[rnd.randrange(0, 9):] + y[:20] for x, y in zip(base, base[1:])]))
+
+
+@pytest.mark.parametrize("tripled", [suffix_dedup.TRIPLED, 0])
+@pytest.mark.parametrize("letters", [b"ab", bytes(range(256)), b"\x00\xff", b"z"])
+def test_least_documents_of_windows_equal_brute_force(monkeypatch, tripled, letters):
+    """Few and many symbols, ranks of two and of three stretches at a time."""
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "TRIPLED", tripled)
+    rnd = random.Random(len(letters))
+    texts = [x for x in _pieces(rnd, 40, letters) if 50 <= len(x) <= 81]
+    least = np.array([rnd.randrange(100) for _ in texts])
+    got, first = suffix_dedup.judge_pieces(texts, least, 50)
+    want = collections.defaultdict(lambda: 100)
+    for text, d in zip(texts, least.tolist()):
+        for i in range(len(text) - 49):
+            want[text[i : i + 50]] = min(want[text[i : i + 50]], d)
+    assert got.tolist() == [want[t[i : i + 50]] for t in texts for i in range(len(t) - 49)]
+    assert first.tolist() == np.cumsum([0] + [len(t) - 49 for t in texts])[:-1].tolist()
+
+
+def test_suffixes_told_apart_are_not_sorted_again(monkeypatch):
+    """One sort of all suffixes, one of the transform, and then only what is still equal."""
+    import numpy as np
+
+    rnd = random.Random(9)
+    text = np.frombuffer(b"\0".join(_pieces(rnd, 300, b"etaoinshrdlu ")) + b"\0", np.uint8).astype(np.int16)
+    sorted_, real = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *args, **kwargs: (sorted_.append(len(x)), real(x, *args, **kwargs))[1])
+    suffix_dedup.equal_windows(text, 50)
+    assert sum(sorted_) <= 4 * len(text)  # it was five times, whatever the text
+
+
 def test_families_are_chained_by_component(spark, monkeypatch):
     """Many nodes of one component in many buckets make one edge for each other component, not one a node."""
     words = " ".join(f"w{i}" for i in range(40))

@@ -49,19 +49,30 @@ BUCKET_BYTES = 4 << 20
 #: Groups that share an anchor from which its windows are dealt one by one.
 HEAVY = 256
 
-#: Symbols by which a level of the interval expansion goes on (9 bits each must fit 63).
-STEP = 7
-
-#: Length of an anchor's string; windows of a run; bytes of text worked at once.
+#: Length of an anchor's string; windows of a run; bytes of text worked at once, and packed by a task at once.
 GRAM = 25
 RUN = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 17
+PACKED = 32 << 20
+
+#: Suffixes up to which the ranks of three stretches fit one integer.
+TRIPLED = (1 << 21) - 1
+
+#: Bits by which an anchor is looked for before its place is.
+SIEVE = 22
+
+#: Low bits of an anchor that are kept beside its bucket (five bytes).
+LOW = 40
 
 NO_ID = np.iinfo(np.int64).max
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+#: A different odd factor for each eight bytes of a string.
+FACTORS = np.cumprod(np.full(64, ODD[1]))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * ODD[3]
     return (x ^ (x >> np.uint64(29))) * ODD[0]
@@ -73,10 +84,10 @@ def _hashes(raw: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    out = np.zeros(n, np.uint64)
-    for at in [*range(0, size - 7, 8), size - 8]:
-        out = (out ^ (eights[at : at + n] * ODD[1])) * ODD[2]
-        out ^= out >> np.uint64(31)
+    # a sum of products; what collides is at worst looked at in vain
+    out = eights[:n] * FACTORS[0]
+    for k, at in enumerate([*range(8, size - 7, 8), size - 8], 1):
+        out += eights[at : at + n] * FACTORS[k]
     return _mix(out)
 
 
@@ -149,6 +160,11 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _key(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low bits of each anchor, by which it is known."""
+    return (_bucket(anchors, buckets).astype(np.uint64) << np.uint64(LOW)) | (anchors & np.uint64((1 << LOW) - 1))
+
+
 def _low(hashes: np.ndarray) -> bytes:
     """The low five bytes of each hash."""
     return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -172,20 +188,22 @@ def _split(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 def _offered(docs: Docs, length: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """For each bucket the group's anchors, in order, and whether two of its documents share each."""
-    anchors, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for first, _, ends, begin, _, anchor in docs.runs(length):
-        owner = np.searchsorted(ends, begin, side="right") + first
-        order = np.lexsort((owner, anchor))
-        anchor, owner = anchor[order], owner[order]
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-        anchors.append(anchor[new])
-        owners.append(owner[new])
-    anchor, count = np.unique(np.concatenate(anchors), return_counts=True)
-    for bucket, at in _split(_bucket(anchor, buckets)):
-        low = anchor[at] & np.uint64((1 << 40) - 1)
-        order = np.argsort(low, kind="stable")
-        yield bucket, _low(low[order]), np.packbits(count[at][order] > 1).tobytes()
+        keys.append(_key(anchor, buckets))
+        owners.append(np.searchsorted(ends, begin, side="right") + first)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    if not len(heads):
+        return
+    many = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads)
+    key = key[heads]
+    bucket = key >> np.uint64(LOW)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=NONE)), len(key)).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(bucket[a]), _low(key[a:b]), np.packbits(many[a:b]).tobytes()
 
 
 def _shared(bucket: pd.DataFrame, heavy: int) -> pd.DataFrame:
@@ -217,20 +235,24 @@ class Shared:
         keys, heavy = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for bucket, anchors, bits in zip(replies["bucket"], replies["anchors"], replies["heavy"]):
             low = _from_low(anchors)
-            keys.append(low ^ _mix(np.full(1, bucket, np.uint64)))
+            keys.append(low | (np.uint64(bucket) << np.uint64(LOW)))
             heavy.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(low)).astype(bool))
         keys, heavy = np.concatenate(keys), np.concatenate(heavy)
         order = np.argsort(keys)
         self.keys, self.heavy = keys[order], heavy[order]
+        self.sieve = np.zeros(1 << SIEVE, bool)
+        self.sieve[(self.keys & np.uint64((1 << SIEVE) - 1)).astype(np.int64)] = True
 
     def find(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each anchor is shared, and whether it is heavy."""
-        if not len(self.keys):
-            return np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
-        keys = (anchors & np.uint64((1 << 40) - 1)) ^ _mix(_bucket(anchors, self.buckets).astype(np.uint64))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        there = self.keys[at] == keys
-        return there, there & self.heavy[at]
+        there, heavy = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
+        maybe = np.flatnonzero(self.sieve[(anchors & np.uint64((1 << SIEVE) - 1)).astype(np.int64)])
+        if len(maybe):
+            keys = _key(anchors[maybe], self.buckets)
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            there[maybe] = self.keys[at] == keys
+            heavy[maybe] = there[maybe] & self.heavy[at]
+        return there, heavy
 
 
 class Pieces:
@@ -318,30 +340,53 @@ def _asked(docs: Docs, pieces: Pieces) -> Iterator[tuple[int, bytes]]:
         yield bucket, zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
 
 
-def _packed_symbols(text: np.ndarray, count: int) -> np.ndarray:
-    """The first ``count`` symbols (below 512, at most 7) of each suffix in one integer."""
-    key = np.zeros(len(text), np.int64)
-    for k in range(count):
-        key <<= 9
-        key[: len(text) - k] |= text[k:]
-    return key
+def _suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts of the suffixes in the order of at least their first ``depth`` symbols; their first symbols in one integer, and how many these are.
 
-
-def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes in the order of at least their first ``depth`` symbols, by doubling."""
-    n, step = len(text), STEP
-    key = _packed_symbols(text, STEP)
+    Suffixes that are told apart already keep their place; the others are
+    ordered by the ranks of what follows, two or three times as deep a round.
+    """
+    n = len(text)
+    dense = (np.cumsum(np.bincount(text) > 0) - 1)[text]  # symbols that occur, numbered in order
+    bits = max(1, int(dense.max()).bit_length())
+    step = known = min(63 // bits, n, depth)
+    key = np.zeros(n, np.int64)
+    for k in range(known):
+        key <<= bits
+        key[: n - k] |= dense[k:]
     order = np.argsort(key)
-    while step < depth:
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
-        if rank[order[-1]] == n:
-            break
-        key = rank << 32
-        key[: n - step] |= rank[step:]
-        order = np.argsort(key)
-        step *= 2
-    return order.astype(np.int32)
+    first = key[order]
+    new = np.append(np.diff(first, prepend=-1) != 0, True)
+    rank = np.empty(n, np.int64)  # place of the first suffix that is equal so far, from 1
+    rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(1, n + 1), 0))
+    open_ = np.flatnonzero(~(new[:-1] & new[1:]))
+    times, width = (3, 21) if n < TRIPLED else (2, 31)
+    while step < depth and len(open_):
+        sub = order[open_]
+        key = rank[sub]
+        for k in range(1, times):
+            after = sub + k * step
+            key = (key << width) | np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        by = np.argsort(key)
+        sub, key = sub[by], key[by]
+        order[open_] = sub
+        new = np.append(np.diff(key, prepend=-1) != 0, True)
+        rank[sub] = np.maximum.accumulate(np.where(new[:-1], open_ + 1, 0))
+        open_ = open_[~(new[:-1] & new[1:])]
+        step *= times
+    return order.astype(np.int32), first, known
+
+
+def _rows_before(back: np.ndarray, steps: dict[int, np.ndarray], step: int) -> np.ndarray:
+    """The row ``step`` symbols on, from those of powers of two, which ``steps`` keeps."""
+    rows, power = None, 1
+    while power <= step:
+        if power not in steps:
+            steps[power] = steps[power // 2][steps[power // 2]] if power > 1 else back
+        if step & power:
+            rows = steps[power] if rows is None else steps[power][rows]
+        power *= 2
+    return rows
 
 
 def equal_windows(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,28 +395,23 @@ def equal_windows(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     ``text`` ends with its least symbol. The transform is that of the order by
     at least ``length`` symbols; among suffixes equal that far any order will
     do. All open intervals of suffixes with a common prefix are extended
-    backwards together, breadth first, by ``STEP`` symbols a level: the rows
+    backwards together, breadth first, by at most as many symbols a level as are known: the rows
     that a row stems from follow from the transform, and an interval ends
     between two rows if their new symbols differ or one ended between the rows
     they stem from. So the common prefixes come out by increasing value, up to
     ``length``; rows already parted are not looked at again.
     """
-    starts = _suffixes(text, length + 1)
+    starts, first, known = _suffixes(text, length + 1)
     transform = text[starts - 1]  # the symbol before each suffix
     back = np.argsort(transform, kind="stable").astype(np.int32)  # the row without the first symbol
-    first = _packed_symbols(text, STEP)[starts]
-    parted = np.diff(first, prepend=-1) != 0  # common prefixes below STEP
+    known = min(known, length)
+    parted = np.diff(first, prepend=-1) != 0  # common prefixes below what one integer holds
     open_ = np.flatnonzero(~parted)
-    known, steps = STEP, {1: back}
+    steps: dict[int, np.ndarray] = {}
     while known < length and len(open_):
-        step = min(STEP, length - known)
-        if step not in steps:
-            row = back
-            for _ in range(step - 1):
-                row = back[row]
-            steps[step] = row
+        step = min(known, length - known)
         interval = np.cumsum(parted, dtype=np.int32)
-        rows = steps[step]
+        rows = _rows_before(back, steps, step)
         split = interval[rows[open_]] != interval[rows[open_ - 1]]
         parted[open_[split]] = True
         open_ = open_[~split]
@@ -390,14 +430,15 @@ def judge_pieces(texts: list[bytes], least: np.ndarray, length: int) -> tuple[np
     begin = np.cumsum(sizes + 1) - sizes - 1
     joined[begin + sizes] = 0
     starts, same = equal_windows(joined, length)
-    piece = np.searchsorted(begin, starts, side="right") - 1
-    offset = starts - begin[piece]
-    window = offset <= sizes[piece] - length
-    piece, offset, same = piece[window], offset[window], same[window]
+    piece = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    window = np.arange(len(joined)) - begin[piece] <= (sizes - length)[piece]
+    number = np.cumsum(window) - 1  # windows are numbered by place
+    here = window[starts]
+    starts, same = starts[here], same[here]
     if len(same):
         heads = np.flatnonzero(np.diff(same, prepend=-1) != 0)
-        low = np.minimum.reduceat(least[piece], heads)
-        out[first[piece] + offset] = np.repeat(low, np.diff(np.append(heads, len(same))))
+        low = np.minimum.reduceat(least[piece[starts]], heads)
+        out[number[starts]] = np.repeat(low, np.diff(np.append(heads, len(same))))
     return out, first
 
 
@@ -432,22 +473,19 @@ def _judged(bucket: pd.DataFrame, length: int) -> pd.DataFrame:
         asks.append((docs, at))
     texts, least = list(number), np.array(least, np.int64)
     n_windows = np.array([len(x) - length + 1 for x in texts], np.int64)
-    first = np.cumsum(n_windows) - n_windows
-    lows = np.repeat(least, n_windows)
     # equal windows have equal anchors: a text with an anchor of its own shares none
     _, inverse, count = np.unique(_piece_anchors(texts), return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[inverse] > 1)
+    bits = np.zeros(len(texts), np.uint32)  # windows of each piece that a smaller document has than the piece's least one
     if len(several):
-        found, _ = judge_pieces([texts[i] for i in several.tolist()], least[several], length)
-        own = np.repeat(first[several], n_windows[several])
-        within = np.arange(len(found)) - np.repeat(np.cumsum(n_windows[several]) - n_windows[several], n_windows[several])
-        lows[own + within] = found
+        found, first = judge_pieces([texts[i] for i in several.tolist()], least[several], length)
+        n = n_windows[several]
+        lower = (found < np.repeat(least[several], n)).astype(np.uint32)
+        bits[several] = np.bitwise_or.reduceat(lower << (np.arange(len(found)) - np.repeat(first, n)).astype(np.uint32), first)
+    whole = ((np.uint64(1) << n_windows.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     masks = []
-    for docs, at in asks:
-        mask = np.zeros(len(at), np.uint32)
-        for k in range(RUN):
-            has = n_windows[at] > k
-            mask[has] |= (lows[first[at[has]] + k] < docs[has]).astype(np.uint32) << np.uint32(k)
+    for docs, at in asks:  # all windows of a piece are in its least document
+        mask = np.where(least[at] < docs, whole[at], bits[at])
         masks.append(zstandard.ZstdCompressor(level=1).compress(mask.astype("<u4").tobytes()))
     return pd.DataFrame({"g": bucket["g"], "bucket": bucket["bucket"], "masks": masks})
 
@@ -519,7 +557,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, with_text: bool = False, g
                 ids_of.append(i)
                 texts_of.append(t)
                 size += len(t)
-            if size >= 4 * CHUNK * 8:
+            if size >= PACKED:
                 yield pd.DataFrame([(g, Docs(*x).packed()) for g, x in held.items()], columns=["g", "docs"])
                 held, size = {}, 0
         if held:
