@@ -188,13 +188,15 @@ def _split(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 def _offered(docs: Docs, length: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """For each bucket the group's anchors, in order, and whether two of its documents share each."""
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for first, _, ends, begin, _, anchor in docs.runs(length):
         keys.append(_key(anchor, buckets))
-        owners.append(np.searchsorted(ends, begin, side="right") + first)
+        owners.append((np.searchsorted(ends, begin, side="right") + first).astype(np.int32))
     key, owner = np.concatenate(keys), np.concatenate(owners)
+    del keys, owners
     order = np.argsort(key)
     key, owner = key[order], owner[order]
+    del order
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     if not len(heads):
         return
@@ -347,20 +349,23 @@ def _suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int
     ordered by the ranks of what follows, two or three times as deep a round.
     """
     n = len(text)
-    dense = (np.cumsum(np.bincount(text) > 0) - 1)[text]  # symbols that occur, numbered in order
+    dense = (np.cumsum(np.bincount(text) > 0) - 1).astype(np.int16)[text]  # symbols that occur, numbered in order
     bits = max(1, int(dense.max()).bit_length())
     step = known = min(63 // bits, n, depth)
     key = np.zeros(n, np.int64)
     for k in range(known):
         key <<= bits
         key[: n - k] |= dense[k:]
+    del dense
     order = np.argsort(key)
     first = key[order]
+    del key
     new = np.append(np.diff(first, prepend=-1) != 0, True)
     rank = np.empty(n, np.int64)  # place of the first suffix that is equal so far, from 1
     rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(1, n + 1), 0))
     open_ = np.flatnonzero(~(new[:-1] & new[1:]))
     times, width = (3, 21) if n < TRIPLED else (2, 31)
+    del new
     while step < depth and len(open_):
         sub = order[open_]
         key = rank[sub]
