@@ -233,3 +233,45 @@ def test_families_are_chained_by_component(spark, monkeypatch):
     found = {(r.u, r.v) for r in links.collect()}
     assert seen == [2]
     assert found == {(30, i) for i in range(30)}  # every link across components, and none to the other text
+
+
+def test_windows_of_one_repeated_byte_are_not_parted_by_what_follows():
+    """A bucket whose pieces have one byte only: more symbols than a window's fit one integer."""
+    import numpy as np
+
+    got, _ = suffix_dedup.judge_pieces([b"x" * 50, b"x" * 51], np.array([4, 5]), 50)
+    assert got.tolist() == [4, 4, 4]  # the last was 5
+
+
+def test_only_pieces_with_an_equal_window_are_sorted(monkeypatch):
+    """Pieces of one anchor without an equal window don't reach the transform, and masks stay those of brute force."""
+    import numpy as np
+    import pandas as pd
+    import zstandard
+
+    rnd = random.Random(3)
+    stem = bytes(rnd.randrange(256) for _ in range(25))
+    some = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+    monkeypatch.setattr(suffix_dedup, "_piece_anchors", lambda texts: np.zeros(len(texts), np.uint64))
+    shared = some(13) + stem + some(13)
+    asked = [[some(20) + stem + some(12) for _ in range(40)] + [shared + some(4)], [some(20) + stem + some(12) for _ in range(40)] + [some(3) + shared]]
+    blobs = []
+    for k, texts in enumerate(asked):
+        head = np.array([len(texts)], np.int64).tobytes() + np.full(len(texts), k, np.int64).tobytes() + np.array([len(x) for x in texts], np.int32).tobytes()
+        blobs.append(zstandard.ZstdCompressor().compress(head + b"".join(texts)))
+    sorted_, real = [], suffix_dedup.judge_pieces
+    monkeypatch.setattr(suffix_dedup, "judge_pieces", lambda texts, *rest: (sorted_.append(len(texts)), real(texts, *rest))[1])
+    masks = suffix_dedup._judged(pd.DataFrame({"g": [0, 1], "bucket": [0, 0], "pieces": blobs}), 50)["masks"]
+    first, second = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4") for x in masks)
+    assert not first.any() and not second[:40].any() and second[40] == 0b11000  # windows 3 and 4 are in document 0
+    assert sorted_ == [2]  # it was all 82
+
+
+def test_equal_hashes_of_different_texts_are_told_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "_mix", lambda x: x & np.uint64(3))
+    texts = [prose(k, 20).encode()[:60] for k in (1, 2, 3, 1, 2, 4, 5, 1)]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    number, first = suffix_dedup._distinct(raw, np.arange(8) * 60, np.full(8, 11), 50)
+    assert number.tolist() == [0, 1, 2, 0, 1, 3, 4, 0] and first.tolist() == [0, 1, 2, 5, 6]

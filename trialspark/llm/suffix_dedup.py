@@ -55,6 +55,9 @@ RUN = 32
 CHUNK = 1 << 17
 PACKED = 32 << 20
 
+#: Texts, or places, whose hashes and bits are worked at once.
+SOME = 1 << 16
+
 #: Suffixes up to which the ranks of three stretches fit one integer.
 TRIPLED = (1 << 21) - 1
 
@@ -78,24 +81,84 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * ODD[0]
 
 
-def _hashes(raw: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes (8 or more) from each place."""
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one integer."""
+    return np.ndarray((max(0, len(raw) - 7),), "<u8", raw, strides=(1,))
+
+
+def _places(size: int) -> list[int]:
+    """Where eights begin that cover ``size`` bytes (8 or more)."""
+    return [*range(0, size - 7, 8), size - 8]
+
+
+def _sums(raw: np.ndarray, size: int) -> np.ndarray:
+    """A sum of products for the ``size`` bytes from each place; what collides is at worst looked at in vain."""
     n = len(raw) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    # a sum of products; what collides is at worst looked at in vain
-    out = eights[:n] * FACTORS[0]
-    for k, at in enumerate([*range(8, size - 7, 8), size - 8], 1):
-        out += eights[at : at + n] * FACTORS[k]
-    return _mix(out)
+    eights, out = _eights(raw), np.empty(n, np.uint64)
+    part = np.empty(min(n, SOME), np.uint64)
+    for first in range(0, n, SOME):  # what is not kept stays in a core's cache
+        here = out[first : first + SOME]
+        np.multiply(eights[first : first + len(here)], FACTORS[0], out=here)
+        for k, at in enumerate(_places(size)[1:], 1):
+            here += np.multiply(eights[first + at : first + at + len(here)], FACTORS[k], out=part[: len(here)])
+    return out
+
+
+def _sums_at(raw: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """As :func:`_sums`, for some places."""
+    eights, out = _eights(raw), np.zeros(len(places), np.uint64)
+    for k, at in enumerate(_places(size)):
+        out += eights[places + at] * FACTORS[k]
+    return out
+
+
+def _distinct(raw: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each text of ``windows`` windows from ``begin``, equal texts having one; the first text of each number.
+
+    Numbers ascend with the first texts. Texts of equal hashes are compared, and all are looked up if two differ.
+    """
+    hashes = np.empty(len(begin), np.uint64)
+    for at in range(0, len(begin), SOME):
+        here = slice(at, at + SOME)
+        ends = _sums_at(raw, begin[here] + windows[here] - 1, length)  # the first and the last window cover a text
+        hashes[here] = _mix(_sums_at(raw, begin[here], length) + ends * ODD[2] + windows[here].astype(np.uint64))
+    order = np.argsort(hashes, kind="stable")
+    new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])[: len(order)]
+    first = order[new]
+    del hashes
+    rank = np.empty(len(first), np.int32)
+    rank[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
+    number = np.empty(len(begin), np.int32)
+    number[order] = rank[np.cumsum(new, dtype=np.int32) - 1]
+    del order, new, rank
+    first = np.sort(first)
+    others = np.ones(len(begin), bool)
+    others[first] = False
+    again = np.flatnonzero(others)
+    eights, equal = _eights(raw), True
+    for at in range(0, len(again), SOME):
+        one = again[at : at + SOME]
+        other = first[number[one]]
+        equal = equal and (windows[one] == windows[other]).all()
+        last = np.minimum(windows[one], windows[other]) - 1
+        for k in _places(length):
+            equal = equal and (eights[begin[one] + k] == eights[begin[other] + k]).all()
+            equal = equal and (eights[begin[one] + last + k] == eights[begin[other] + last + k]).all()
+    if not equal:
+        known: dict[bytes, int] = {}
+        whole = raw.tobytes()
+        number = np.array([known.setdefault(whole[b : b + w + length - 1], len(known)) for b, w in zip(begin.tolist(), windows.tolist())], np.int32)
+        first = np.unique(number, return_index=True)[1]
+    return number, first
 
 
 def _anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Anchor of the window from each place; ``NONE`` where the text ends before the window does."""
+    """Anchor of the window from each place, not mixed; ``NONE`` where the text ends before the window does."""
     if len(raw) < length:
         return np.full(len(raw), NONE)
-    least = _hashes(raw, GRAM)
+    least = _sums(raw, GRAM)
     grams, width = length - GRAM + 1, 1
     while width * 2 <= grams:
         least = np.minimum(least[: len(least) - width], least[width:])
@@ -103,7 +166,7 @@ def _anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     if width < grams:
         least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])
     out = np.full(len(raw), NONE)
-    out[: len(least)] = np.minimum(least, NONE - np.uint64(1))
+    np.minimum(least, NONE - np.uint64(1), out=out[: len(least)])
     for end in ends.tolist():
         out[max(0, end - length + 1) : end] = NONE
     return out
@@ -143,16 +206,16 @@ class Docs:
             raw = np.frombuffer(b"".join(self.texts[at:last]), np.uint8)
             ends = np.cumsum([len(x) for x in self.texts[at:last]])
             anchor = _anchors(raw, ends, length)
-            start = np.flatnonzero(np.diff(anchor, prepend=NONE) != 0)
-            start = start[anchor[start] != NONE] if len(start) else start
-            stop = np.append(np.flatnonzero(np.diff(anchor) != 0) + 1, len(anchor))
-            stop = stop[np.searchsorted(stop, start, side="right")] if len(start) else start
+            edges = np.append(np.append(0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1), len(anchor))
+            edges = edges[: len(edges) if len(anchor) else 1]
+            held = anchor[edges[:-1]] != NONE
+            start, stop = edges[:-1][held], edges[1:][held]
             parts = -(-(stop - start) // RUN)
             n = np.repeat(start, parts)
             shift = (np.arange(len(n)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN
             begin = n + shift
             windows = np.minimum(np.repeat(stop, parts) - begin, RUN)
-            yield at, raw, ends, begin, windows, anchor[begin] if len(begin) else np.zeros(0, np.uint64)
+            yield at, raw, ends, begin, windows, _mix(anchor[begin]) if len(begin) else np.zeros(0, np.uint64)
             at = last
 
 
@@ -265,10 +328,11 @@ class Pieces:
     """
 
     def __init__(self, docs: Docs, shared: Shared, length: int, buckets: int):
-        known: dict[bytes, int] = {}
-        self.bucket: list[int] = []
-        self.first: list[int] = []  # least document that has it
-        where = []
+        self.whole = b"".join(docs.texts)
+        view, ends = memoryview(self.whole), np.cumsum([len(x) for x in docs.texts], dtype=np.int64).tolist()
+        docs.texts = [view[a:b] for a, b in zip([0, *ends], ends)]  # the texts are held once
+        runs = []
+        at = 0  # bytes of the texts before the chunk
         for first, raw, ends, begin, windows, anchor in docs.runs(length):
             there, heavy = shared.find(anchor)
             begin, windows, anchor, heavy = begin[there], windows[there], anchor[there], heavy[there]
@@ -276,30 +340,28 @@ class Pieces:
                 n = np.where(heavy, windows, 1)
                 shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 begin, single = np.repeat(begin, n) + shift, np.repeat(heavy, n)
-                windows = np.where(single, 1, np.repeat(windows, n))
-                anchor = np.where(single, _hashes(raw, length)[np.minimum(begin, len(raw) - length)], np.repeat(anchor, n))
+                windows, anchor = np.where(single, 1, np.repeat(windows, n)), np.repeat(anchor, n)
+                anchor[single] = _mix(_sums_at(raw, begin[single], length))
             owner = np.searchsorted(ends, begin, side="right")
             start = begin - np.append(0, ends)[owner]
-            whole = raw.tobytes()
-            key = _bucket(anchor, buckets)
-            number = np.empty(len(begin), np.int64)
-            for i, (b, w, k, d) in enumerate(zip(begin.tolist(), (begin + windows + length - 1).tolist(), key.tolist(), owner.tolist())):
-                text = whole[b:w]
-                found = known.get(text)
-                if found is None:
-                    found = known[text] = len(known)
-                    self.bucket.append(k)
-                    self.first.append(first + d)
-                number[i] = found
-            where.append((owner + first, start, windows, number))
-        self.texts = list(known)
-        self.where = [np.concatenate(x) if where else np.zeros(0, np.int64) for x in (zip(*where) if where else [()] * 4)]
+            small = ((owner + first).astype(np.int32), start.astype(np.int32), windows.astype(np.int32), _bucket(anchor, buckets).astype(np.int32))
+            runs.append((*small, begin + at))
+            at += len(raw)
+        owner, start, windows, bucket, begin = (np.concatenate(x) for x in zip(*runs)) if runs else np.zeros((5, 0), np.int32)
+        del runs
+        number, first = _distinct(np.frombuffer(self.whole, np.uint8), begin, windows, length)
+        self.bucket, self.first = bucket[first], owner[first]  # least document that has it
+        self.begin, self.end = begin[first], begin[first] + windows[first] + length - 1
+        self.where = [owner, start, windows, number]
 
     def by_bucket(self) -> list[tuple[int, np.ndarray]]:
-        return _split(np.array(self.bucket, np.int64))
+        return _split(self.bucket)
+
+    def texts(self, some: np.ndarray) -> list[bytes]:
+        return [self.whole[a:b] for a, b in zip(self.begin[some].tolist(), self.end[some].tolist())]
 
     def found(self) -> Found:
-        return Found(np.array(self.bucket, np.int64), np.array(self.first, np.int64), self.where)
+        return Found(self.bucket, self.first, self.where)
 
 
 @dataclass
@@ -334,16 +396,15 @@ class Found:
 
 
 def _asked(docs: Docs, pieces: Pieces) -> Iterator[tuple[int, bytes]]:
-    ids = np.array(docs.ids, np.int64)
-    first = ids[np.array(pieces.first, np.int64)] if pieces.first else ids[:0]
+    first = np.array(docs.ids, np.int64)[pieces.first]
     for bucket, at in pieces.by_bucket():
-        texts = [pieces.texts[i] for i in at.tolist()]
-        head = np.array([len(texts)], np.int64).tobytes() + first[at].tobytes() + np.array([len(x) for x in texts], np.int32).tobytes()
-        yield bucket, zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
+        sizes = (pieces.end[at] - pieces.begin[at]).astype(np.int32)
+        head = np.array([len(at)], np.int64).tobytes() + first[at].tobytes() + sizes.tobytes()
+        yield bucket, zstandard.ZstdCompressor(level=2).compress(head + b"".join(pieces.texts(at)))
 
 
 def _suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Starts of the suffixes in the order of at least their first ``depth`` symbols; their first symbols in one integer, and how many these are.
+    """Starts of the suffixes in the order of at least their first ``depth`` symbols; their first symbols in one integer, and how many these are (fewer than ``depth``).
 
     Suffixes that are told apart already keep their place; the others are
     ordered by the ranks of what follows, two or three times as deep a round.
@@ -379,6 +440,8 @@ def _suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int
         rank[sub] = np.maximum.accumulate(np.where(new[:-1], open_ + 1, 0))
         open_ = open_[~(new[:-1] & new[1:])]
         step *= times
+    if known == depth:  # one symbol more than the windows have, which must not part them
+        first, known = first >> bits, known - 1
     return order.astype(np.int32), first, known
 
 
@@ -451,46 +514,55 @@ def _piece_anchors(texts: list[bytes]) -> np.ndarray:
     """The anchor that all windows of each piece have."""
     sizes = np.array([len(x) for x in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    hashes = np.append(_hashes(np.frombuffer(b"".join(texts), np.uint8), GRAM), NONE)
+    hashes = np.append(_sums(np.frombuffer(b"".join(texts), np.uint8), GRAM), NONE)
     return np.minimum.reduceat(hashes, np.stack([begin, begin + sizes - GRAM + 1], axis=1).ravel())[::2]
 
 
+def _with_company(texts: list[bytes], length: int) -> np.ndarray:
+    """Whether another window has the hash of one of the text's windows: a text without has no window that another has."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    begin, n = np.cumsum(sizes) - sizes, sizes - length + 1
+    first = np.cumsum(n) - n
+    sums = _sums(np.frombuffer(b"".join(texts), np.uint8), length)[np.arange(n.sum()) + np.repeat(begin - first, n)]
+    order = np.argsort(sums)
+    same = np.flatnonzero(sums[order[1:]] == sums[order[:-1]])
+    found = np.zeros(len(sums), bool)
+    found[order[same]] = found[order[same + 1]] = True
+    return np.logical_or.reduceat(found, first)
+
+
 def _judged(bucket: pd.DataFrame, length: int) -> pd.DataFrame:
     """For each group a mask for each of its pieces: windows that a smaller document has."""
-    number: dict[bytes, int] = {}
-    asks = []
-    least = []
+    asks, parts = [], []
     for blob in bucket["pieces"]:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        docs = np.frombuffer(raw, np.int64, n, 8)
-        ends = np.cumsum(np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64)) + 8 + 12 * n
-        at = np.empty(n, np.int64)
-        for i, (a, b, d) in enumerate(zip([8 + 12 * n, *ends.tolist()], ends.tolist(), docs.tolist())):
-            text = raw[a:b]
-            k = number.get(text)
-            if k is None:
-                k = number[text] = len(least)
-                least.append(d)
-            elif d < least[k]:
-                least[k] = d
-            at[i] = k
-        asks.append((docs, at))
-    texts, least = list(number), np.array(least, np.int64)
-    n_windows = np.array([len(x) - length + 1 for x in texts], np.int64)
+        asks.append((np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64)))
+        parts.append(raw[8 + 12 * n :])
+    whole = b"".join(parts)
+    del parts
+    docs, sizes = (np.concatenate(x) for x in zip(*asks))
+    begin = np.cumsum(sizes) - sizes
+    number, first = _distinct(np.frombuffer(whole, np.uint8), begin, sizes - length + 1, length)
+    order = np.argsort(number, kind="stable")
+    least = np.minimum.reduceat(docs[order], np.searchsorted(number[order], np.arange(len(first))))
+    n_windows = sizes[first] - length + 1
+    texts = [whole[a:b] for a, b in zip(begin[first].tolist(), (begin + sizes)[first].tolist())]
     # equal windows have equal anchors: a text with an anchor of its own shares none
     _, inverse, count = np.unique(_piece_anchors(texts), return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[inverse] > 1)
+    if len(several):
+        several = several[_with_company([texts[i] for i in several.tolist()], length)]
     bits = np.zeros(len(texts), np.uint32)  # windows of each piece that a smaller document has than the piece's least one
     if len(several):
         found, first = judge_pieces([texts[i] for i in several.tolist()], least[several], length)
         n = n_windows[several]
         lower = (found < np.repeat(least[several], n)).astype(np.uint32)
         bits[several] = np.bitwise_or.reduceat(lower << (np.arange(len(found)) - np.repeat(first, n)).astype(np.uint32), first)
-    whole = ((np.uint64(1) << n_windows.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    every = ((np.uint64(1) << n_windows.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     masks = []
-    for docs, at in asks:  # all windows of a piece are in its least document
-        mask = np.where(least[at] < docs, whole[at], bits[at])
+    for (docs, _), at in zip(asks, np.split(number, np.cumsum([len(x) for x, _ in asks])[:-1])):  # all windows of a piece are in its least document
+        mask = np.where(least[at] < docs, every[at], bits[at])
         masks.append(zstandard.ZstdCompressor(level=1).compress(mask.astype("<u4").tobytes()))
     return pd.DataFrame({"g": bucket["g"], "bucket": bucket["bucket"], "masks": masks})
 
@@ -518,14 +590,14 @@ def _removed(docs: Docs, pieces: Found, masks: dict[int, np.ndarray], length: in
     first = ids[pieces.first] if len(pieces.first) else ids[:0]
     # a later document of the group has all its windows in the first one
     mine = np.where(ids[owner] > first[number], np.uint32(0xFFFFFFFF), mask[number]) if len(owner) else mask[:0]
-    hits_owner, hits = [], []
-    for k in range(RUN):
-        hit = (windows > k) & ((mine >> np.uint32(k)) & np.uint32(1) > 0)
-        hits_owner.append(owner[hit])
-        hits.append(start[hit] + k)
+    hits_owner, hits = [owner[:0]], [start[:0]]
+    for at in range(0, len(mine), SOME):  # the runs are in the order of documents and starts, so their windows are too
+        here = slice(at, at + SOME)
+        each = np.unpackbits(mine[here].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+        run, k = np.nonzero(each & (np.arange(RUN) < windows[here, None]))
+        hits_owner.append(owner[here][run])
+        hits.append(start[here][run] + k)
     owner, start = np.concatenate(hits_owner), np.concatenate(hits)
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
     bounds = np.searchsorted(owner, np.arange(len(docs.ids) + 1))
     for i, text in enumerate(docs.texts):
         yield _spans(len(text), start[bounds[i] : bounds[i + 1]], length)
