@@ -10,8 +10,8 @@ other mostly share one, and form a run.
    those that two documents share are sent back. Windows of other anchors
    occur once and are done.
 2. Runs of shared anchors are sent, once for each group and text, to the bucket
-   of their anchor. A bucket indexes its distinct runs: from their
-   Burrows-Wheeler transform, breadth-first backward extension of all
+   of their anchor. A bucket indexes its distinct runs that have a window whose
+   hash another window has: from their Burrows-Wheeler transform, breadth-first backward extension of all
    intervals derives the common prefixes of neighbouring suffixes by
    increasing value, and stops at ``length``. Suffixes that no shorter value
    parts are equal windows; the least document of each class is found, and one
